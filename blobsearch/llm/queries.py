@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, substring
+from . import decontaminate, jaccard, quality, substring
 
-QUERIES = {f.__name__: f for f in (substring.op3_substring_dedup, decontaminate.op8_decontaminate, quality.op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (substring.op3_substring_dedup, decontaminate.op8_decontaminate, quality.op9_quality_classifier, jaccard.op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
