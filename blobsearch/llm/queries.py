@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, quality, substring
+from . import chat, decontaminate, jaccard, quality, substring, tokens, topk
 
-QUERIES = {f.__name__: f for f in (substring.op3_substring_dedup, decontaminate.op8_decontaminate, quality.op9_quality_classifier, jaccard.op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        topk.op2_exact_top_k,
+        substring.op3_substring_dedup,
+        tokens.op5_token_counts,
+        chat.op6_chat_formatting,
+        decontaminate.op8_decontaminate,
+        quality.op9_quality_classifier,
+        jaccard.op10_jaccard_join,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_exact_top_k": topk.OP2_SQL, "op6_chat_formatting": chat.OP6_SQL}
