@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, quality, substring, tokens, topk
+from . import chat, decontaminate, jaccard, lm, mixing, quality, substring, tokens, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
         topk.op2_exact_top_k,
         substring.op3_substring_dedup,
+        mixing.op4_mix_sources,
         tokens.op5_token_counts,
         chat.op6_chat_formatting,
+        lm.op7_lm_score,
         decontaminate.op8_decontaminate,
         quality.op9_quality_classifier,
         jaccard.op10_jaccard_join,
