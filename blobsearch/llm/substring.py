@@ -29,6 +29,8 @@ WINDOW, GRAM = 20, 8
 FLUSH = 1_000_000
 #: From this many documents of one task on, a fingerprint is one row.
 COMBINE = 4
+#: Fewest tasks that compare full windows. A document's later windows come back in at most one row from each.
+TASKS = 64
 
 
 def _windows(s: textnum.Segment) -> tuple[np.ndarray, ...]:
@@ -225,7 +227,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def later_windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, starts (list of packed int32): verified windows that also start earlier; ``pairs`` from the index."""
-    n = partitions(docs.sparkSession)
+    n = max(TASKS, partitions(docs.sparkSession))
     lists = pairs.distinct().groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
     seen = docs.join(lists, "doc_id").mapInArrow(_suspects, "h long, fp long, doc_id long, start int, starts binary")
     dealt = seen.repartition(n, "h").sortWithinPartitions("h", "fp", "doc_id", "start")
