@@ -38,6 +38,8 @@ ALL_PAIRS = 32
 WEIGHT = 3
 #: Members of a star that one group compares with its centre.
 GROUP = 128
+#: Parts that two sets of over PARTS parts have to agree on before they are compared.
+FEW = 5
 FLUSH = 1_000_000
 
 
@@ -93,20 +95,21 @@ def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, cls), and rows (hot, times) for shingles common within a flush."""
-    names = ["doc_id", "n", "cls", "hot", "times"]
+    """A row for each document (doc_id, n, cls, sketch), and rows (hot, times) for shingles common within a flush."""
+    names = ["doc_id", "n", "cls", "sketch", "hot", "times"]
     held, docs, n = [], 0, 0
 
     def common(values: np.ndarray, docs: int) -> pa.RecordBatch:
         v, c = np.unique(values, return_counts=True)
         v, c = v[many := c >= max(8, COMMON * docs)], c[many]
-        return pa.record_batch([*[pa.nulls(len(v), pa.int64())] * 3, pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names)
+        return pa.record_batch([*[pa.nulls(len(v), pa.int64())] * 3, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
     for b in batches:
         for s in _segments(b):
             doc, value = shingle_sets(s)
             size, cls = _class_of(doc, value, s.n)
-            yield pa.record_batch([b["doc_id"].slice(s.first, s.n), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), *[pa.nulls(s.n, pa.int64())] * 2], names)
+            sketch = pa.array([x.tobytes() for x in sketches(doc, value, size)], pa.binary())
+            yield pa.record_batch([b["doc_id"].slice(s.first, s.n), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), sketch, *[pa.nulls(s.n, pa.int64())] * 2], names)
             held.append(value)
             docs, n = docs + s.n, n + len(value)
             if n >= FLUSH:
@@ -143,41 +146,76 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return known.mapInArrow(sign, "sig long, cls long")
 
 
+class _Parts:
+    """The filled parts, of the first PARTS, of a segment's sets in one instance each (a band and its lower neighbour)."""
+
+    def __init__(self, doc: np.ndarray, value: np.ndarray, instance: np.ndarray):
+        self.parts = N_PARTS[instance]  # of each text
+        self.seed = textnum.mix(instance.astype(np.uint64) + np.uint64(77))
+        mixed = textnum.mix(value ^ self.seed[doc])
+        part = ((mixed >> np.uint64(33)) % self.parts[doc].astype(np.uint64)).astype(np.int64)
+        use = np.flatnonzero(part < PARTS)
+        key = doc[use] * PARTS + part[use]
+        order = np.argsort(key, kind="stable")
+        key, self.shingle = key[order], use[order]
+        self.head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.key = key[self.head]
+        self.owner, self.number = self.key // PARTS, self.key % PARTS
+        self.total = np.add.reduceat(mixed[self.shingle], self.head) if len(self.head) else np.zeros(0, np.uint64)
+        self.filled = np.diff(np.append(self.head, len(key)))
+
+
 def _instance(doc, value, rare, size, cls, instance) -> Iterator[pa.RecordBatch]:
-    """The signatures of a segment's sets in one instance (a band and its lower neighbour) each."""
-    parts = N_PARTS[instance]
-    seed = textnum.mix(instance.astype(np.uint64) + np.uint64(77))
-    mixed = textnum.mix(value ^ seed[doc])
-    part = ((mixed >> np.uint64(33)) % parts[doc].astype(np.uint64)).astype(np.int64)
-    use = part < PARTS
-    key = doc[use] * PARTS + part[use]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    if not len(head):
+    """The signatures of a segment's sets in one instance each."""
+    p = _Parts(doc, value, instance)
+    if not len(p.head):
         return
-    total = np.add.reduceat(mixed[use][order], head)
-    filled = np.diff(np.append(head, len(key)))
-    has_rare = np.logical_or.reduceat(rare[use][order], head)
-    owner, number = key[head] // PARTS, key[head] % PARTS
-    need = np.where(parts > PARTS, ENOUGH, most_differences(size) + 1)
+    has_rare = np.logical_or.reduceat(rare[p.shingle], p.head)
+    need = np.where(p.parts > PARTS, ENOUGH, most_differences(size) + 1)
     n = len(size)
-    only_rare = np.bincount(owner[has_rare], minlength=n) >= need
-    keep = has_rare | ~only_rare[owner]
+    only_rare = np.bincount(p.owner[has_rare], minlength=n) >= need
+    keep = has_rare | ~only_rare[p.owner]
     # sets that fill too few of all their parts share empty ones too
-    poor = (np.bincount(owner, minlength=n) < need) & (parts <= PARTS) & (np.bincount(doc, minlength=n) > 0)
-    owner, number, total, filled = owner[keep], number[keep], total[keep], filled[keep]
+    poor = (np.bincount(p.owner, minlength=n) < need) & (p.parts <= PARTS) & (np.bincount(doc, minlength=n) > 0)
+    owner, number, total, filled = p.owner[keep], p.number[keep], p.total[keep], p.filled[keep]
     if poor.any():
-        empty = (np.arange(PARTS)[None, :] < parts[:, None]) & poor[:, None]
-        empty.ravel()[key[head]] = False
-        o, p = np.nonzero(empty)
-        owner, number = np.append(owner, o), np.append(number, p)
+        empty = (np.arange(PARTS)[None, :] < p.parts[:, None]) & poor[:, None]
+        empty.ravel()[p.key] = False
+        o, k = np.nonzero(empty)
+        owner, number = np.append(owner, o), np.append(number, k)
         total, filled = np.append(total, np.zeros(len(o), np.uint64)), np.append(filled, np.zeros(len(o), np.int64))
-    sig = textnum.mix(textnum.mix(total + number.astype(np.uint64)) + seed[owner] * np.uint64(3) + filled.astype(np.uint64))
-    sig = (sig & ~np.uint64(1)) | (parts[owner] > PARTS).astype(np.uint64)
+    sig = textnum.mix(textnum.mix(total + number.astype(np.uint64)) + p.seed[owner] * np.uint64(3) + filled.astype(np.uint64))
+    sig = (sig & ~np.uint64(1)) | (p.parts[owner] > PARTS).astype(np.uint64)
     yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array(cls[owner].view(np.int64))], ["sig", "cls"])
 
 
+def sketches(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A byte for each part of each text's two instances; 0 for an empty part."""
+    out = np.zeros((len(size), 2, PARTS), np.uint8)
+    band = np.searchsorted(TOPS, size)
+    for up in (0, 1):
+        p = _Parts(doc, value, band + up)
+        out[p.owner, up, p.number] = textnum.mix(p.total + p.filled.astype(np.uint64)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """False only if two sets of n and m shingles with these sketches are not linked.
+
+    Parts that differ hold a shingle each by which the sets differ. Of sets of
+    over PARTS parts, linked ones agree on fewer than FEW with a probability below 1e-9.
+    """
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    x, y = (int(v) for v in np.searchsorted(TOPS, [n, m]))
+    both = max(x, y)
+    same = np.frombuffer(a, np.uint8)[(both - x) * PARTS :][:PARTS] == np.frombuffer(b, np.uint8)[(both - y) * PARTS :][:PARTS]
+    parts = int(N_PARTS[both])
+    if parts > PARTS:
+        return int(same.sum()) >= FEW
+    return parts - int(same[:parts].sum()) <= n + m - 2 * ((3 * (n + m) + 6) // 7)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by sig, cls, to candidates a, b, w, sig: pairs with weights, or the stars (sig set) of large runs."""
     pairs, n = [], 0
@@ -261,37 +299,34 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by grp, salt, member: the centre comes first; yields a, b, ok for each member."""
-    now, centre = None, None
+    """Rows sorted by grp, salt, member: the centre comes first; yields a, b, ok for each member. n: size of a sketched set, null for whole sets."""
+    now, centre, size = None, None, None
     for b in batches:
         x, y, ok = [], [], []
-        for grp, salt, member, cls, sh in zip(*[b[c].to_pylist() for c in ("grp", "salt", "member", "cls", "shingles")], strict=True):
-            values = np.frombuffer(sh, np.uint64)
+        for grp, salt, member, cls, n, data in zip(*[b[c].to_pylist() for c in ("grp", "salt", "member", "cls", "n", "data")], strict=True):
             if not member:
-                now, centre = (grp, salt), values
-                continue
-            if now == (grp, salt):
+                now, centre, size = (grp, salt), data, n
+            elif now == (grp, salt):
                 x.append(grp)
                 y.append(cls)
-                ok.append(linked(centre, values))
+                ok.append(linked(np.frombuffer(centre, np.uint64), np.frombuffer(data, np.uint64)) if n is None else may_link(centre, data, size, n))
         yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _verify(rows: DataFrame) -> DataFrame:
-    """rows: grp, salt, member, cls, shingles; returns a, b, ok."""
+def _compared(rows: DataFrame) -> DataFrame:
+    """rows: grp, salt, member, cls, n, data; returns a, b, ok."""
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "grp", "salt").sortWithinPartitions("grp", "salt", "member")
-    return settle(dealt.mapInArrow(_compare, "a long, b long, ok boolean"), "verified")
+    return settle(dealt.mapInArrow(_compare, "a long, b long, ok boolean"), "compared")
 
 
-def _verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, ok for further pairs: a's set goes to each group of its partners once."""
+def _compare_pairs(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """a, b, ok for pairs, by data (cls, n, data) of their classes: a's goes once to each of a bounded number of groups of its partners."""
     by_a = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(GROUP)))
-    one = sets.select("cls", "shingles")
-    members = by_a.join(one, by_a["b"] == one["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(True).alias("member"), "cls", "shingles")
+    members = by_a.join(data, by_a["b"] == data["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(True).alias("member"), "cls", "n", "data")
     heads = by_a.select("a", "salt").distinct()
-    centres = heads.join(one, heads["a"] == one["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(False).alias("member"), "cls", "shingles")
-    return _verify(centres.unionByName(members))
+    centres = heads.join(data, heads["a"] == data["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(False).alias("member"), "cls", "n", "data")
+    return _compared(centres.unionByName(members))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,8 +352,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     docs = documents_of(docs)
-    profile = settle(docs.mapInArrow(_profile, "doc_id long, n long, cls long, hot long, times long"), "profile")
+    profile = settle(docs.mapInArrow(_profile, "doc_id long, n long, cls long, sketch binary, hot long, times long"), "profile")
     each = profile.where("hot is null").select("doc_id", "n", "cls")
+    classes = profile.where("hot is null and doc_id is not null and n > 0").groupBy("cls")
+    classes = settle(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     n_docs = each.count()
     top = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON / 2 * n_docs)
     hot = np.sort(np.array([r[0] for r in top.orderBy(F.desc("times"), "hot").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
@@ -330,18 +367,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = found.where("sig is null").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= WEIGHT).select("a", "b")
     pairs = settle(pairs.union(stars.select("a", "b")).distinct(), "pairs")
 
+    def likely(candidates: DataFrame) -> DataFrame:
+        """Candidates whose sketches allow a link."""
+        return _compare_pairs(candidates, classes.select("cls", "n", F.col("sketch").alias("data"))).where("ok").select("a", "b")
+
+    pairs = likely(pairs)
     # first each class is compared with its smallest partner only
     own = settle(pairs.groupBy("b").agg(F.min("a").alias("centre")).withColumnRenamed("b", "cls"), "own")
     leads = settle(own.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("leads")), "leads")
     own = own.join(leads, "centre").select("cls", "centre", F.pmod(F.xxhash64("cls"), "leads").alias("salt"))
-    classes = settle(each.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
     sought = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     plan = sought.join(classes, "cls").join(own, "cls", "left").join(leads.withColumnRenamed("centre", "cls"), "cls", "left")
     plan = settle(plan.select("doc_id", "cls", "centre", "salt", F.coalesce("leads", F.lit(0)).alias("leads")), "plan")
-    sets = settle(docs.join(plan, "doc_id").mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "sets")
-    heads = sets.where("leads > 0").select(F.col("cls").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads") - 1)).alias("salt"), F.lit(False).alias("member"), "cls", "shingles")
-    members = sets.where("centre is not null").select(F.col("centre").alias("grp"), "salt", F.lit(True).alias("member"), "cls", "shingles")
-    tested = _verify(heads.unionByName(members))
+    whole = settle(docs.join(plan, "doc_id").mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "sets")
+    as_data = [F.lit(None).cast("long").alias("n"), F.col("shingles").alias("data")]
+    heads = whole.where("leads > 0").select(F.col("cls").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads") - 1)).alias("salt"), F.lit(False).alias("member"), "cls", *as_data)
+    members = whole.where("centre is not null").select(F.col("centre").alias("grp"), "salt", F.lit(True).alias("member"), "cls", *as_data)
+    tested = _compared(heads.unionByName(members))
     labels = components(tested.where("ok"))
 
     def apart(candidates: DataFrame) -> DataFrame:
@@ -357,11 +399,21 @@ def similar_components(docs: DataFrame) -> DataFrame:
         nonlocal tested, labels
         more = settle(apart(candidates).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            got = _verify_pairs(more, sets)
+            got = _compare_pairs(more, whole.select("cls", *as_data).unionByName(missing(more)))
             tested = tested.unionByName(got)
             if not got.where("ok").isEmpty():
                 labels = components(tested.where("ok"))
 
+    def missing(pairs: DataFrame) -> DataFrame:
+        """Sets of classes that the first comparison did not need."""
+        new = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(whole.select("cls"), "cls", "left_anti")
+        new = settle(new, "new-classes")
+        if new.isEmpty():
+            return whole.select("cls", *as_data).limit(0)
+        none = F.lit(None).cast("long")
+        rows = new.join(classes, "cls").select("doc_id", "cls", none.alias("centre"), none.alias("salt"), F.lit(0).cast("long").alias("leads"))
+        return settle(docs.join(rows, "doc_id").mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "new-sets").select("cls", *as_data)
+
     test(pairs)
     # then, in runs too large for all pairs, members that their centre did not bring into one component
     split = settle(apart(stars).select("sig").distinct(), "split-runs")
@@ -371,7 +423,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
         label = labels.withColumnRenamed("node", "cls")
         runs = settle(runs.join(label, "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "split-members")
         other = runs.toDF("sig", "cls2", "label2")
-        test(runs.join(other, "sig").where("label <> label2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct())
+        crossed = runs.join(other, "sig").where("label <> label2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+        test(likely(crossed.distinct()))
 
     joined = settle(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "labelled")
     least = settle(joined.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
