@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lm, mixing, quality, substring, tokens, topk
+from . import chat, decontaminate, jaccard, lm, mixing, pii, quality, substring, tokens, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
+        pii.op1_pii,
         topk.op2_exact_top_k,
         substring.op3_substring_dedup,
         mixing.op4_mix_sources,
