@@ -39,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[^0-9]")
+_AT = re.compile(r"@|[(\[] ?at ?[)\]]")
 
 Span = tuple[int, int, str]
 
@@ -310,6 +311,15 @@ def viterbi(em: np.ndarray, tr: np.ndarray) -> np.ndarray:
     return out
 
 
+def plausible(value: str, kind: str) -> bool:
+    """What a span of the network has to hold at least."""
+    if kind == "email":
+        return bool(_AT.search(value))
+    groups = re.findall("[0-9]+", value)
+    digits = sum(map(len, groups))
+    return {"ip": len(groups) >= 4, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Connected stretches of the fixed windows that hold a trigger."""
     out: list[list[int]] = []
@@ -363,7 +373,7 @@ def model_spans(texts: list[str | None], net: BiLstmCrf) -> list[list[Span]]:
                 while e < len(tags) and tags[e] == tags[s] + 1:
                     e += 1
                 margin = (em[np.arange(s, e), tags[s:e]] - em[s:e, 0]).mean()
-                if e - s >= 6 and margin >= MARGIN and TRIGGER.search(texts[k], a + int(s), a + int(e)):
+                if e - s >= 6 and margin >= MARGIN and plausible(texts[k][a + int(s) : a + int(e)], KINDS[(tags[s] - 1) // 2]):
                     out[k].append((a + int(s), a + int(e), KINDS[(tags[s] - 1) // 2]))
     return out
 
