@@ -1,6 +1,6 @@
 """Registered queries with their oracle SQL."""
 
-from . import catalog
+from . import catalog, search
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "search"]
