@@ -1,6 +1,6 @@
 """Registered queries with their oracle SQL."""
 
-from . import catalog, search
+from . import catalog, files, search
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog", "search"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "files", "search"]

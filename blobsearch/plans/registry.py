@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+def _hex(text: str) -> str:
+    return text.encode("latin-1").hex().upper()
+
+
+#: Heads of payloads: marks of every known type, texts, and bytes that are neither.
+HEADS = [
+    "89504E470D0A1A0A", "FFD8FFE0", _hex("GIF89a"), _hex("%PDF-"), _hex("fLaC"), _hex("ID3"), "FFF1", "FFFB", _hex("OggS"), _hex("OggSxxtheora"),
+    "1A45DFA3", "1A45DFA3" + _hex("webm"), _hex("RIFF0000WAVE"), _hex("RIFF0000WEBP"), _hex("RIFF0000AVI "), "000001BA", "464C5601",
+    "0000001C" + _hex("ftypM4A "), "0000001C" + _hex("ftypheic"), "0000001C" + _hex("ftypavif"), "0000001C" + _hex("ftypisom"),
+    "0000001C" + _hex("ftypisom__hdlr__soun"), "0000001C" + _hex("ftypisom__hdlr__vide"), _hex("BM"), "49492A00", "377ABCAF271C", "1F8B08", "504B0304",
+    _hex("plain words here"), "C3A9C3A9", "00" * 16, "FFFE", "C328",
+]
+
 #: Stand-ins; a later one may read an earlier one.
 VIEWS = {
     "v_blobs": """
@@ -64,6 +77,32 @@ VIEWS = {
         SELECT CAST(vec_id AS STRING) AS blob_id, CAST(vec_id * 2654435761 AS BIGINT) AS h FROM embeddings
         UNION ALL
         SELECT CONCAT('dup', CAST(vec_id AS STRING)), CAST(vec_id * 2654435761 + MOD(vec_id, 3) AS BIGINT) FROM embeddings WHERE vec_id < 50""",
+    # heads of payloads of every known type, told apart by key, as hex
+    "v_payloads": f"""
+        SELECT CAST(o_orderkey AS STRING) AS blob_id, CASE WHEN MOD(o_orderkey, {len(HEADS) + 1}) = {len(HEADS)} THEN ''
+          ELSE CONCAT(CASE MOD(o_orderkey, {len(HEADS) + 1}) {' '.join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HEADS))} END, CAST(o_orderkey + 10000000 AS STRING)) END AS h
+        FROM orders""",
+    # listing items with both spellings of keys, blanks, zeros and unreadable epochs
+    "v_items": """
+        SELECT CAST(o_orderkey AS STRING) AS k, CAST(FLOOR(o_orderkey / 200) AS BIGINT) AS page,
+          CASE MOD(o_orderkey, 3) WHEN 0 THEN CONCAT('{"blobIdBase64":"b', CAST(o_orderkey AS STRING), '","endEpoch":"', CAST(MOD(o_orderkey, 60) AS STRING), '","size":', CAST(MOD(o_orderkey, 4) * 10 AS STRING), ',"owner":""}')
+            WHEN 1 THEN CONCAT('{"blobIdBase64":"","blob_id":"b', CAST(o_orderkey AS STRING), '","end_epoch":', CAST(MOD(o_orderkey, 60) AS STRING), ',"blob_size":7,"owner":"0x1","deletable":true}')
+            ELSE CONCAT('{"blobId":"b', CAST(o_orderkey AS STRING), '","endEpoch":"soon","size":0,"timestamp":', CAST(o_orderkey AS STRING), '}') END AS item
+        FROM orders""",
+    # chain objects, nested with and without a wrapper, and metadata encoded once or twice
+    "v_nodes": """
+        SELECT CAST(o_orderkey AS STRING) AS k, CASE MOD(o_orderkey, 3)
+            WHEN 0 THEN CONCAT('{"asMoveObject":{"contents":{"json":{"blob_id":"n', CAST(o_orderkey AS STRING), '","size":', CAST(MOD(o_orderkey, 9) AS STRING), ',"storage":{"end_epoch":', CAST(MOD(o_orderkey, 60) AS STRING), '}}}}}')
+            WHEN 1 THEN CONCAT('{"asMoveObject":{"contents":{"json":{"blob_id":"n', CAST(o_orderkey AS STRING), '","storage":{"fields":{"end_epoch":', CAST(MOD(o_orderkey, 60) AS STRING), '}}}}}}')
+            ELSE '{"asMoveObject":null}' END AS node, CONCAT('0x', CAST(MOD(o_custkey, 40) AS STRING)) AS owner,
+          CASE MOD(o_orderkey, 4) WHEN 0 THEN CONCAT('{"size":', CAST(MOD(o_orderkey, 100) AS STRING), '}')
+            WHEN 1 THEN CONCAT('"{', CHR(92), '"size', CHR(92), '":', CAST(MOD(o_orderkey, 100) AS STRING), '}"') WHEN 2 THEN '[1]' ELSE '{broken' END AS meta
+        FROM orders""",
+    "v_names": """
+        SELECT CAST(o_orderkey AS STRING) AS k, CONCAT('Q', CAST(MOD(o_orderkey, 50) AS STRING), '::20240101-1200-', LPAD(CAST(o_orderkey AS STRING), 16, '0'), '-red_fox--runs', CAST(MOD(o_orderkey, 5) AS STRING),
+          CASE MOD(o_orderkey, 6) WHEN 0 THEN '.MP4' WHEN 1 THEN '.opus' WHEN 2 THEN '.tar.gz' WHEN 3 THEN '' WHEN 4 THEN '.parquet' ELSE '.verylongext' END) AS name,
+          CASE MOD(o_orderkey, 5) WHEN 0 THEN 'image/x-png' WHEN 1 THEN 'application/vnd.ms-excel' WHEN 2 THEN 'application/atom+xml' WHEN 3 THEN 'text/plain' ELSE 'odd' END AS mime
+        FROM orders""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +136,7 @@ class Tables:
         ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in needed(statement))
         text = f"WITH {ctes} {statement}" if ctes else statement
         frames = {t: getattr(self, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
+        text = text.replace("{", "{{").replace("}", "}}")  # braces of JSON texts are none of the statement's own
         return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", text), **frames)
 
 

@@ -47,8 +47,8 @@ WITH s AS (SELECT blob_id, CAST(embedding[1:40] AS DOUBLE[]) AS e FROM v_vectors
 SELECT blob_id, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)) AS cut, list_concat(list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)), [0.0, 0.0]) AS padded FROM s
 """)
 def _(t):
-    cut = t.v_vectors.select("blob_id", V.reshape_dim("embedding", 40).alias("cut"))
-    return cut.select("blob_id", V.rounded("cut", 4).alias("cut"), V.rounded(V.reshape_dim("cut", 42), 4).alias("padded"))
+    cut = t.v_vectors.select("blob_id", V.reshape_dim("embedding", 40).alias("c"))
+    return cut.select("blob_id", V.rounded("c", 4).alias("cut"), V.rounded(V.reshape_dim("c", 42), 4).alias("padded"))
 
 
 @query("blend", """
