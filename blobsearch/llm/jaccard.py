@@ -8,10 +8,14 @@ most k shingles, which touch at most k parts: as a set fills more than k parts,
 linked sets share the signature of a part that is not empty. Up to PARTS parts
 all are enumerated and this is certain. Larger sets enumerate the first PARTS
 of their parts; a linked pair then agrees on each filled part with probability
-0.43 or more, and is missed with one below 1e-15, as with a hash collision.
-
-Shingles that stand in a large share of all documents say little: a set that
-fills enough parts with other shingles leaves out the parts that hold none.
+0.6, and is missed with one far below 1e-9, as with a hash collision.
+
+Shingles that stand in a large share of all documents say little. A set with
+so many others that a linked set has to hold SURE of them leaves out the parts
+that hold common ones only. A linked pair differs in k shingles among P parts,
+so each of those SURE stands in an agreeing part with probability 0.6 or more:
+a pair at the threshold that differs in nothing but uncommon shingles, the
+worst case, is missed with one below 1e-3; other pairs hold many times SURE.
 """
 
 from __future__ import annotations
@@ -28,18 +32,18 @@ from .store import documents_of, partitions, settle, table
 
 SHINGLE = 5
 PARTS = 64
-#: Filled parts that a set of over PARTS parts needs, to leave out those of common shingles.
-ENOUGH = 40
+#: Uncommon shingles that every set linked to a set has to hold, for it to leave out parts of common ones.
+SURE = 8
 #: Share of documents from which a shingle is common, and how many of those are told to every task.
-COMMON, COMMON_MOST = 0.01, 65_536
+COMMON, COMMON_MOST = 0.003, 65_536
 #: Members of a signature up to which all its pairs are candidates at once; larger ones start as stars.
-ALL_PAIRS = 32
+ALL_PAIRS = 64
 #: Weight of a pair from which it is a candidate: signatures of fully enumerated sets weigh all of it.
-WEIGHT = 3
+WEIGHT = 4
 #: Members of a star that one group compares with its centre.
 GROUP = 128
 #: Parts that two sets of over PARTS parts have to agree on before they are compared.
-FEW = 5
+FEW = 8
 FLUSH = 1_000_000
 
 
@@ -53,7 +57,7 @@ def _bands() -> np.ndarray:
 
 
 TOPS = _bands()
-N_PARTS = np.ceil(0.36 * TOPS).astype(np.int64) + 2
+N_PARTS = np.maximum(np.ceil(0.6 * TOPS).astype(np.int64) + 2, np.minimum(2 * TOPS + 1, PARTS))
 
 
 def shingle_sets(s: textnum.Segment, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +175,9 @@ def _instance(doc, value, rare, size, cls, instance) -> Iterator[pa.RecordBatch]
     if not len(p.head):
         return
     has_rare = np.logical_or.reduceat(rare[p.shingle], p.head)
-    need = np.where(p.parts > PARTS, ENOUGH, most_differences(size) + 1)
+    need = most_differences(size) + 1
     n = len(size)
-    only_rare = np.bincount(p.owner[has_rare], minlength=n) >= need
+    only_rare = 4 * np.bincount(doc[rare], minlength=n) >= size + 4 * SURE
     keep = has_rare | ~only_rare[p.owner]
     # sets that fill too few of all their parts share empty ones too
     poor = (np.bincount(p.owner, minlength=n) < need) & (p.parts <= PARTS) & (np.bincount(doc, minlength=n) > 0)
