@@ -23,7 +23,7 @@ SELECT blob_id, CASE WHEN h = '' THEN 'bin' WHEN starts_with(h, '{_hex("fLaC")}'
   WHEN {_FTYP} IS NOT NULL AND contains(h, '{_hex("soun")}') AND NOT contains(h, '{_hex("vide")}') THEN 'm4a' WHEN {_FTYP} IS NOT NULL THEN 'mp4'
   WHEN starts_with(h, '{_hex("%PDF-")}') THEN 'pdf' WHEN starts_with(h, '89504E47') THEN 'png' WHEN starts_with(h, 'FFD8FF') THEN 'jpg' WHEN starts_with(h, '{_hex("GIF89a")}') THEN 'gif' WHEN starts_with(h, '{_hex("BM")}') THEN 'bmp'
   WHEN starts_with(h, '49492A00') THEN 'tiff' WHEN starts_with(h, '377ABCAF271C') THEN '7z' WHEN starts_with(h, '1F8B') THEN 'gz' WHEN starts_with(h, '504B0304') THEN 'zip'
-  WHEN starts_with(h, '00') OR starts_with(h, 'C328') THEN 'bin' ELSE 'txt' END AS extension
+  WHEN regexp_matches(substr(h, 1, 32), '^(..)*00') OR starts_with(h, 'C328') THEN 'bin' ELSE 'txt' END AS extension
 FROM v_payloads
 """
 
