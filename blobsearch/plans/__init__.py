@@ -1,6 +1,6 @@
 """Registered queries with their oracle SQL."""
 
-from . import catalog, files, judge, search
+from . import catalog, files, judge, search, streams
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog", "files", "judge", "search"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "files", "judge", "search", "streams"]
