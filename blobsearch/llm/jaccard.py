@@ -37,13 +37,15 @@ SURE = 8
 #: Share of documents from which a shingle is common, and how many of those are told to every task.
 COMMON, COMMON_MOST = 0.003, 65_536
 #: Members of a signature up to which all its pairs are candidates at once; larger ones start as stars.
-ALL_PAIRS = 64
+ALL_PAIRS = 8
 #: Weight of a pair from which it is a candidate: signatures of fully enumerated sets weigh all of it.
 WEIGHT = 4
 #: Members of a star that one group compares with its centre.
 GROUP = 128
 #: Parts that two sets of over PARTS parts have to agree on before they are compared.
 FEW = 8
+#: Chosen documents that may be told to every task; more are joined by shuffling.
+TOLD = 200_000
 FLUSH = 1_000_000
 
 
@@ -293,6 +295,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(out["cls"].to_numpy().view(np.uint64) == _class_of(doc, value, s.n)[1]))
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """cls, shingle: of each set, uncommon shingles first, as many as any linked set has to meet."""
+    for b in batches:
+        for s in _segments(b):
+            doc, value = shingle_sets(s)
+            size, cls = _class_of(doc, value, s.n)
+            order = np.lexsort((value, np.isin(value, hot), doc))
+            place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+            use = place < (size - (3 * size + 3) // 4 + 1)[doc]
+            same = b["cls"].slice(s.first, s.n).to_numpy().view(np.uint64) == cls  # a repeated doc_id may stand for another text
+            use &= same[doc]
+            yield pa.record_batch([pa.array(cls[doc[use]].view(np.int64)), pa.array(value[order][use].view(np.int64))], ["cls", "shingle"])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have 100 * intersection >= 75 * union."""
     if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
@@ -371,6 +387,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = found.where("sig is null").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= WEIGHT).select("a", "b")
     pairs = settle(pairs.union(stars.select("a", "b")).distinct(), "pairs")
 
+    def chosen(rows: DataFrame) -> DataFrame:
+        """doc_id and text of documents named, with the naming table's columns."""
+        return docs.join(F.broadcast(rows) if rows.limit(TOLD + 1).count() <= TOLD else rows, "doc_id")
+
     def likely(candidates: DataFrame) -> DataFrame:
         """Candidates whose sketches allow a link."""
         return _compare_pairs(candidates, classes.select("cls", "n", F.col("sketch").alias("data"))).where("ok").select("a", "b")
@@ -383,7 +403,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     sought = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     plan = sought.join(classes, "cls").join(own, "cls", "left").join(leads.withColumnRenamed("centre", "cls"), "cls", "left")
     plan = settle(plan.select("doc_id", "cls", "centre", "salt", F.coalesce("leads", F.lit(0)).alias("leads")), "plan")
-    whole = settle(docs.join(plan, "doc_id").mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "sets")
+    whole = settle(chosen(plan).mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "sets")
     as_data = [F.lit(None).cast("long").alias("n"), F.col("shingles").alias("data")]
     heads = whole.where("leads > 0").select(F.col("cls").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads") - 1)).alias("salt"), F.lit(False).alias("member"), "cls", *as_data)
     members = whole.where("centre is not null").select(F.col("centre").alias("grp"), "salt", F.lit(True).alias("member"), "cls", *as_data)
@@ -415,20 +435,21 @@ def similar_components(docs: DataFrame) -> DataFrame:
         if new.isEmpty():
             return whole.select("cls", *as_data).limit(0)
         none = F.lit(None).cast("long")
-        rows = new.join(classes, "cls").select("doc_id", "cls", none.alias("centre"), none.alias("salt"), F.lit(0).cast("long").alias("leads"))
-        return settle(docs.join(rows, "doc_id").mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "new-sets").select("cls", *as_data)
+        rows = new.join(classes.drop("n", "sketch"), "cls").select("doc_id", "cls", none.alias("centre"), none.alias("salt"), F.lit(0).cast("long").alias("leads"))
+        return settle(chosen(rows).mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "new-sets").select("cls", *as_data)
 
     test(pairs)
     # then, in runs too large for all pairs, members that their centre did not bring into one component
     split = settle(apart(stars).select("sig").distinct(), "split-runs")
     if not split.isEmpty():
         runs = stars.join(split, "sig", "left_semi")
-        runs = runs.select("sig", F.col("b").alias("cls")).union(runs.select("sig", "a")).distinct()
+        members = settle(runs.select(F.col("b").alias("cls")).union(runs.select("a")).distinct().join(classes.select("cls", "doc_id"), "cls"), "split-members")
+        # of linked sets, ordered by uncommon shingles first, the first quarters share one
+        heads_of = settle(chosen(members).mapInArrow(lambda b: _prefixes(b, hot), "cls long, shingle long"), "prefixes")
         label = labels.withColumnRenamed("node", "cls")
-        runs = settle(runs.join(label, "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "split-members")
-        other = runs.toDF("sig", "cls2", "label2")
-        crossed = runs.join(other, "sig").where("label <> label2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-        test(likely(crossed.distinct()))
+        one = settle(heads_of.join(label, "cls", "left").select("shingle", "cls", F.coalesce("label", "cls").alias("label")), "prefix-labels")
+        crossed = one.join(one.toDF("shingle", "cls2", "label2"), "shingle").where("label <> label2 and cls < cls2")
+        test(likely(crossed.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()))
 
     joined = settle(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "labelled")
     least = settle(joined.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
