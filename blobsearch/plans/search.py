@@ -116,9 +116,9 @@ def _(t):
     return top.select("query_id", "blob_id", F.round(C.modality_score(F.col("sim")), 4).alias("score"))
 
 
-@query("knn_batch", f"SELECT query_id, blob_id, round(round(sim, 9), 6) AS sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, blob_id) AS rank FROM (SELECT w.blob_id AS query_id, v.blob_id, {DOT.format('v.embedding', 'w.embedding')} AS sim FROM v_vectors v, v_vectors w)) WHERE rank <= 10")
+@query("knn_batch", f"SELECT query_id, blob_id, round(sim, 3) AS sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, blob_id) AS rank FROM (SELECT w.blob_id AS query_id, v.blob_id, {DOT.format('v.embedding', 'w.embedding')} AS sim FROM v_vectors v, v_vectors w)) WHERE rank <= 10")
 def _(t):
-    return _sims(S.top_k_blocks(t.v_vectors, t.v_vectors.select(F.col("blob_id").alias("query_id"), F.col("embedding").alias("q")), 10, 64))
+    return S.top_k_blocks(t.v_vectors, t.v_vectors.select(F.col("blob_id").alias("query_id"), F.col("embedding").alias("q")), 10, 64).withColumn("sim", F.round("sim", 3))
 
 
 @query("knn_ann")
