@@ -219,3 +219,17 @@ def _(t):
     # templates are three constants
     kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(("a photo of {}", "a drawing of {}", "{} at night"))])
     return t.part.select("p_partkey", "p_brand", F.explode(kinds).alias("t")).select("p_partkey", F.col("t.i").alias("template"), F.replace(F.col("t.f"), F.lit("{}"), F.col("p_brand")).alias("prompt"))
+
+
+@query("join_images_annotations", "SELECT conv_id AS image_id, CAST(count(*) AS BIGINT) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def _(t):
+    images = t.conversations.select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.col("conv_id").cast("string").alias("file_name"))
+    ann = t.conversations.where("role = 'user'").select(F.col("turn").alias("id"), F.col("conv_id").alias("image_id"), F.col("text").alias("caption"))
+    return L.caption_annotations(images, ann).select("image_id", F.size("captions").cast("long").alias("n"))
+
+
+@query("src_payloads")
+def _(t):
+    # the table's own files as landed payloads
+    found = L.payloads(t.spark, f"{t.dir}/documents.parquet").select("blob_id", "size", F.hex(F.substring("content", 1, 600)).alias("h"))
+    return found.select("blob_id", "size", X.sniff(F.col("h"), F.col("size"))["kind"].alias("kind"))

@@ -360,3 +360,9 @@ def _(t):
 
     v = t.v_captions.select("blob_id", hashed_vector("caption", 64).alias("v"))
     return v.select("blob_id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("blob_id", "i", F.round("x", 6).alias("x"))
+
+
+@query("interval_iou", "SELECT p_partkey, round(greatest(0, least(p_size, 30) - greatest(p_size % 7, 5)) / nullif((p_size - p_size % 7) + (30 - 5) - greatest(0, least(p_size, 30) - greatest(p_size % 7, 5)), 0)::DOUBLE, 6) AS iou FROM part")
+def _(t):
+    size = F.col("p_size").cast("double")
+    return t.part.select("p_partkey", F.round(R.interval_iou(size % 7, size, F.lit(5.0), F.lit(30.0)), 6).alias("iou"))

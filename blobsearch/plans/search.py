@@ -338,7 +338,7 @@ def _(t):
     return S.hybrid(t.v_vectors, t.v_captions, asked, 5)
 
 
-@query("src_compare_sources", "SELECT blob_id, max(CASE WHEN src = 'a' THEN size END) AS a, max(CASE WHEN src = 'b' THEN size END) AS b FROM (SELECT blob_id, 'a' AS src, size FROM v_old UNION ALL SELECT blob_id, 'b', size FROM v_batch WHERE seq = 0) GROUP BY blob_id")
+@query("source_compare", "SELECT blob_id, max(CASE WHEN src = 'a' THEN size END) AS a, max(CASE WHEN src = 'b' THEN size END) AS b FROM (SELECT blob_id, 'a' AS src, size FROM v_old UNION ALL SELECT blob_id, 'b', size FROM v_batch WHERE seq = 0) GROUP BY blob_id")
 def _(t):
     both = t.v_old.select("blob_id", F.lit("a").alias("src"), "size").union(t.v_batch.where("seq = 0").select("blob_id", F.lit("b"), "size"))
     return both.groupBy("blob_id").pivot("src", ["a", "b"]).agg(F.max("size"))
@@ -443,3 +443,15 @@ def _(t):
 @query("text_normalization", "SELECT blob_id, lower(trim(caption)) AS caption FROM v_captions")
 def _(t):
     return t.v_captions.select("blob_id", F.lower(F.trim("caption")).alias("caption"))
+
+
+@query("dot", f"SELECT v.blob_id, round({DOT.format('v.embedding', 'w.embedding')}, 6) AS dot FROM v_vectors v JOIN v_vectors w ON v.label = CAST(w.blob_id AS BIGINT) - 100")
+def _(t):
+    w = t.v_vectors.select((F.col("blob_id").cast("long") - 100).alias("label"), F.col("embedding").alias("other"))
+    return t.v_vectors.join(w, "label").select("blob_id", F.round(V.dot("embedding", "other"), 6).alias("dot"))
+
+
+@query("join_ground_truth", knn_sql("TRUE", 10, "query_id, blob_id, CAST(rank AS INT) AS rank, label = (SELECT truth FROM v_queries q WHERE q.query_id = x.query_id) AS hit").replace(") WHERE rank <= 10", ") x WHERE rank <= 10"))
+def _(t):
+    hits = S.top_k(t.v_vectors, t.v_queries, 10).join(t.v_vectors.select("blob_id", "label"), "blob_id")
+    return hits.join(t.v_queries.select("query_id", "truth"), "query_id").select("query_id", "blob_id", "rank", (F.col("label") == F.col("truth")).alias("hit"))
