@@ -35,7 +35,9 @@ PARTS = 64
 #: Uncommon shingles that every set linked to a set has to hold, for it to leave out parts of common ones.
 SURE = 8
 #: Share of documents from which a shingle is common, and how many of those are told to every task.
-COMMON, COMMON_MOST = 0.003, 65_536
+COMMON, COMMON_MOST = 0.0002, 65_536
+#: Shingles that a task holds while it looks for common ones.
+HELD = 4_000_000
 #: Members of a signature up to which all its pairs are candidates at once; larger ones start as stars.
 ALL_PAIRS = 8
 #: Weight of a pair from which it is a candidate: signatures of fully enumerated sets weigh all of it.
@@ -101,13 +103,16 @@ def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, cls, sketch), and rows (hot, times) for shingles common within a flush."""
+    """A row for each document (doc_id, n, cls, sketch), and rows (hot, times) for shingles repeated among the sets a task holds."""
     names = ["doc_id", "n", "cls", "sketch", "hot", "times"]
-    held, docs, n = [], 0, 0
-
-    def common(values: np.ndarray, docs: int) -> pa.RecordBatch:
-        v, c = np.unique(values, return_counts=True)
-        v, c = v[many := c >= max(8, COMMON * docs)], c[many]
+    held, n = [], 0
+    seen: set[int] = set()  # copies of a set count once in a task
+
+    def common(values: np.ndarray) -> pa.RecordBatch:
+        values.sort()
+        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        c = np.diff(np.append(head, len(values)))
+        v, c = values[head[many := c > 1]], c[many]
         return pa.record_batch([*[pa.nulls(len(v), pa.int64())] * 3, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
     for b in batches:
@@ -116,13 +121,23 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, cls = _class_of(doc, value, s.n)
             sketch = pa.array([x.tobytes() for x in sketches(doc, value, size)], pa.binary())
             yield pa.record_batch([b["doc_id"].slice(s.first, s.n), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), sketch, *[pa.nulls(s.n, pa.int64())] * 2], names)
-            held.append(value)
-            docs, n = docs + s.n, n + len(value)
-            if n >= FLUSH:
-                yield common(np.concatenate(held), docs)
-                held, docs, n = [], 0, 0
+            held.append(value[_fresh(cls, size, seen)[doc]])
+            n += len(held[-1])
+            if n >= HELD:
+                yield common(np.concatenate(held))
+                held, n = [], 0
     if n:
-        yield common(np.concatenate(held), docs)
+        yield common(np.concatenate(held))
+
+
+def _fresh(cls: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether a text is the first with its set, which is not empty, that a task sees."""
+    fresh = np.zeros(len(cls), bool)
+    for i in np.flatnonzero(size):
+        if cls[i] not in seen:
+            seen.add(cls[i])
+            fresh[i] = True
+    return fresh
 
 
 def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -134,12 +149,7 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             for s in _segments(b):
                 doc, value = shingle_sets(s)
                 size, cls = _class_of(doc, value, s.n)
-                fresh = np.zeros(s.n, bool)
-                for i in np.flatnonzero(size):
-                    if cls[i] not in seen:
-                        seen.add(cls[i])
-                        fresh[i] = True
-                live = fresh[doc]
+                live = _fresh(cls, size, seen)[doc]
                 doc, value = doc[live], value[live]
                 if not len(doc):
                     continue
@@ -295,18 +305,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(out["cls"].to_numpy().view(np.uint64) == _class_of(doc, value, s.n)[1]))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """cls, shingle: of each set, uncommon shingles first, as many as any linked set has to meet."""
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """cls, n, rest, shingle: of each set, rarest shingles first, as many as any linked set has to meet. rest: shingles from this one on."""
+    hot, times = np.append(hot, np.uint64(0)), np.append(times, 0)
     for b in batches:
         for s in _segments(b):
             doc, value = shingle_sets(s)
             size, cls = _class_of(doc, value, s.n)
-            order = np.lexsort((value, np.isin(value, hot), doc))
+            at = np.searchsorted(hot[:-1], value)
+            order = np.lexsort((value, np.where(hot[at] == value, times[at], 0), doc))
             place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
             use = place < (size - (3 * size + 3) // 4 + 1)[doc]
             same = b["cls"].slice(s.first, s.n).to_numpy().view(np.uint64) == cls  # a repeated doc_id may stand for another text
             use &= same[doc]
-            yield pa.record_batch([pa.array(cls[doc[use]].view(np.int64)), pa.array(value[order][use].view(np.int64))], ["cls", "shingle"])
+            owner = doc[use]
+            rest = size[owner] - place[use]
+            yield pa.record_batch([pa.array(cls[owner].view(np.int64)), pa.array(size[owner]), pa.array(rest), pa.array(value[order][use].view(np.int64))], ["cls", "n", "rest", "shingle"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -377,8 +391,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     classes = profile.where("hot is null and doc_id is not null and n > 0").groupBy("cls")
     classes = settle(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     n_docs = each.count()
-    top = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON / 2 * n_docs)
-    hot = np.sort(np.array([r[0] for r in top.orderBy(F.desc("times"), "hot").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
+    top = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).where(F.col("times") >= F.greatest(F.lit(8), F.lit(COMMON / 2 * n_docs)))
+    told = top.orderBy(F.desc("times"), "hot").limit(COMMON_MOST).toArrow()
+    hot, times = told["hot"].to_numpy().view(np.uint64), told["times"].to_numpy()
+    hot, times = hot[order := np.argsort(hot)], times[order]
 
     n = partitions(docs.sparkSession)
     dealt = signatures(docs, hot).repartition(n, "sig").sortWithinPartitions("sig", "cls")
@@ -444,11 +460,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     if not split.isEmpty():
         runs = stars.join(split, "sig", "left_semi")
         members = settle(runs.select(F.col("b").alias("cls")).union(runs.select("a")).distinct().join(classes.select("cls", "doc_id"), "cls"), "split-members")
-        # of linked sets, ordered by uncommon shingles first, the first quarters share one
-        heads_of = settle(chosen(members).mapInArrow(lambda b: _prefixes(b, hot), "cls long, shingle long"), "prefixes")
+        # of linked sets, ordered by rarest shingles first, the first quarters share one, and from the first shared one on there is room for the overlap
+        heads_of = settle(chosen(members).mapInArrow(lambda b: _prefixes(b, hot, times), "cls long, n long, rest long, shingle long"), "prefixes")
         label = labels.withColumnRenamed("node", "cls")
-        one = settle(heads_of.join(label, "cls", "left").select("shingle", "cls", F.coalesce("label", "cls").alias("label")), "prefix-labels")
-        crossed = one.join(one.toDF("shingle", "cls2", "label2"), "shingle").where("label <> label2 and cls < cls2")
+        one = settle(heads_of.join(label, "cls", "left").select("shingle", "cls", "n", "rest", F.coalesce("label", "cls").alias("label")), "prefix-labels")
+        crossed = one.join(one.toDF("shingle", "cls2", "n2", "rest2", "label2"), "shingle").where("label <> label2 and cls < cls2 and 7 * least(rest, rest2) >= 3 * (n + n2)")
         test(likely(crossed.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()))
 
     joined = settle(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "labelled")
