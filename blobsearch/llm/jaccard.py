@@ -10,7 +10,7 @@ all are enumerated and this is certain. Larger sets enumerate the first PARTS
 of their parts; a linked pair then agrees on each filled part with probability
 0.6, and is missed with one far below 1e-9, as with a hash collision.
 
-Shingles that stand in a large share of all documents say little. A set with
+Shingles that stand in many documents say little. A set with
 so many others that a linked set has to hold SURE of them leaves out the parts
 that hold common ones only. A linked pair differs in k shingles among P parts,
 so each of those SURE stands in an agreeing part with probability 0.6 or more:
@@ -34,7 +34,7 @@ SHINGLE = 5
 PARTS = 64
 #: Uncommon shingles that every set linked to a set has to hold, for it to leave out parts of common ones.
 SURE = 8
-#: Share of documents from which a shingle is common, and how many of those are told to every task.
+#: A shingle whose repeats within tasks come to half this share of documents (and 8) is common; so many of them are told to every task.
 COMMON, COMMON_MOST = 0.0002, 65_536
 #: Shingles that a task holds while it looks for common ones.
 HELD = 4_000_000
