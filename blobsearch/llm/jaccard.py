@@ -10,12 +10,11 @@ all are enumerated and this is certain. Larger sets enumerate the first PARTS
 of their parts; a linked pair then agrees on each filled part with probability
 0.6, and is missed with one far below 1e-9, as with a hash collision.
 
-Shingles that stand in many documents say little. A set with
-so many others that a linked set has to hold SURE of them leaves out the parts
-that hold common ones only. A linked pair differs in k shingles among P parts,
-so each of those SURE stands in an agreeing part with probability 0.6 or more:
-a pair at the threshold that differs in nothing but uncommon shingles, the
-worst case, is missed with one below 1e-3; other pairs hold many times SURE.
+Shingles that stand in many documents say little. A set leaves out its parts
+of common ones only, where those left suffice for every set linked to it,
+whichever shingles they differ in (``enough``): up to PARTS parts this is
+certain, with more a linked pair is missed with a probability below 1e-9, as
+above. Any other set keeps all its parts.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from .store import documents_of, partitions, settle, table
 
 SHINGLE = 5
 PARTS = 64
-#: Uncommon shingles that every set linked to a set has to hold, for it to leave out parts of common ones.
-SURE = 8
+#: A set of over PARTS parts leaves out those of common shingles if a linked set is missed with a probability below this.
+MISS = 1e-9
 #: A shingle whose repeats within tasks come to half this share of documents (and 8) is common; so many of them are told to every task.
 COMMON, COMMON_MOST = 0.0002, 65_536
 #: Shingles that a task holds while it looks for common ones.
@@ -98,6 +97,31 @@ def most_differences(n: np.ndarray) -> np.ndarray:
     return n + s - 2 * ((3 * (n + s) + 6) // 7) + 1
 
 
+def enough(p: _Parts, rare: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a linked pair is found by the parts of each text that hold uncommon shingles.
+
+    A set linked to one of n lacks x of its shingles, n / 4 at most, and has up to
+    (n - 4 x) / 3 others; all x may be uncommon. A part with u of the r uncommon
+    shingles stays as it is with probability (1 - x / r)^u (1 - 1 / P)^((n - 4 x) / 3).
+    Parts are touched in negative association, so Chernoff's bound holds for the
+    number of parts that stay, which has to reach WEIGHT.
+    """
+    n = len(size)
+    held = np.add.reduceat(rare[p.shingle].astype(np.int64), p.head)
+    owner, held = p.owner[held > 0], held[held > 0]
+    kept = np.bincount(owner, minlength=n)
+    all_rare = np.maximum(np.bincount(p.doc[rare], minlength=n), 1)
+    least = np.full(n, np.inf)
+    for share in np.linspace(0, 0.25, 9):
+        left = np.maximum(1 - share * size / all_rare, 0)
+        stays = (1 - 1 / p.parts) ** (size * (1 - 4 * share) / 3)
+        least = np.minimum(least, np.bincount(owner, weights=left[owner] ** held, minlength=n) * stays)
+    tries = np.maximum(kept, 1)
+    q, x = np.clip(least / tries, 1e-12, 1 - 1e-12), np.minimum((WEIGHT - 1) / tries, 1 - 1e-12)
+    bound = tries * (x * np.log(x / q) + (1 - x) * np.log((1 - x) / (1 - q)))
+    return np.where(p.parts <= PARTS, kept > most_differences(size), (q > x) & (bound > -np.log(MISS)))
+
+
 def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
     return textnum.segments(b["text"], textnum.SPACE, lower=True)
 
@@ -166,7 +190,7 @@ class _Parts:
     """The filled parts, of the first PARTS, of a segment's sets in one instance each (a band and its lower neighbour)."""
 
     def __init__(self, doc: np.ndarray, value: np.ndarray, instance: np.ndarray):
-        self.parts = N_PARTS[instance]  # of each text
+        self.doc, self.parts = doc, N_PARTS[instance]  # the text of each shingle; the parts of each text
         self.seed = textnum.mix(instance.astype(np.uint64) + np.uint64(77))
         mixed = textnum.mix(value ^ self.seed[doc])
         part = ((mixed >> np.uint64(33)) % self.parts[doc].astype(np.uint64)).astype(np.int64)
@@ -189,8 +213,7 @@ def _instance(doc, value, rare, size, cls, instance) -> Iterator[pa.RecordBatch]
     has_rare = np.logical_or.reduceat(rare[p.shingle], p.head)
     need = most_differences(size) + 1
     n = len(size)
-    only_rare = 4 * np.bincount(doc[rare], minlength=n) >= size + 4 * SURE
-    keep = has_rare | ~only_rare[p.owner]
+    keep = has_rare | ~enough(p, rare, size)[p.owner]
     # sets that fill too few of all their parts share empty ones too
     poor = (np.bincount(p.owner, minlength=n) < need) & (p.parts <= PARTS) & (np.bincount(doc, minlength=n) > 0)
     owner, number, total, filled = p.owner[keep], p.number[keep], p.total[keep], p.filled[keep]
@@ -426,14 +449,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     tested = _compared(heads.unionByName(members))
     labels = components(tested.where("ok"))
 
-    def apart(candidates: DataFrame) -> DataFrame:
-        """Candidates of fitting sizes whose classes are in different components so far."""
+    def apart(candidates: DataFrame, fitting: bool = True) -> DataFrame:
+        """Candidates (of fitting sizes) whose classes are in different components so far."""
         for c in ("a", "b"):
             label = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
             size = classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
             candidates = candidates.join(label, c, "left").join(size, c)
-        fits = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        return candidates.where(fits).drop("la", "lb", "na", "nb")
+        fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb") if fitting else F.lit(True)
+        return candidates.where(fits & (F.coalesce("la", "a") != F.coalesce("lb", "b"))).drop("la", "lb", "na", "nb")
 
     def test(candidates: DataFrame) -> None:
         nonlocal tested, labels
@@ -456,7 +479,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     test(pairs)
     # then, in runs too large for all pairs, members that their centre did not bring into one component
-    split = settle(apart(stars).select("sig").distinct(), "split-runs")
+    # (members whose sizes do not fit their centre's may still be linked with each other)
+    split = settle(apart(stars, fitting=False).select("sig").distinct(), "split-runs")
     if not split.isEmpty():
         runs = stars.join(split, "sig", "left_semi")
         members = settle(runs.select(F.col("b").alias("cls")).union(runs.select("a")).distinct().join(classes.select("cls", "doc_id"), "cls"), "split-members")

@@ -100,6 +100,19 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(df).collect()} == brute.components(rows)
 
 
+@pytest.mark.parametrize(("n", "m", "rare"), [(1000, 850, 280), (300, 270, 84)])
+def test_jaccard_pairs_on_a_shared_passage(spark, n, m, rare):
+    both = -(-3 * (n + m) // 7)  # the pairs are at the threshold and differ in uncommon shingles only
+    passage, rows = [f"p{i}" for i in range(n - rare + 4)], []
+    for k in range(24):
+        shared = passage + [f"s{k}-{i}" for i in range(both + 4 - len(passage))]
+        rows += [(2 * k + j, " ".join(shared + [f"o{k}-{j}-{i}" for i in range(size - both)])) for j, size in enumerate((n, m))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute.components(rows)
+    assert [want[2 * k + 1] for k in range(24)] == [(m, 2 * k) for k in range(24)]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_components(df).collect()} == want
+
+
 def test_jaccard_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "A b c d E")], "doc_id long, text string")
     assert sorted((x.doc_id or 0, x.component_id or 0) for x in jaccard.similar_components(df).collect()) == [(0, 0), (5, 5), (5, 5), (7, 5)]
