@@ -1,10 +1,13 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every token from two tokens on each side. The
-vocabulary follows word counts over the whole corpus: the most frequent words
-are tokens, the others share hashed ones. Every task trains the network in
-numpy on a slice of each of its documents; tasks' weights are averaged by the
-tokens they saw, round by round. A document's score is the sum of its tokens'
+vocabulary follows word counts over the whole corpus: the WORDS most frequent
+words and every word that makes a share of SHARE of all words are tokens, the
+others share HASHED hashed ones. A word of a bucket has its share of the
+bucket's probability: its count by the bucket's, which has one count more for
+all words that the corpus lacks. Every task trains the network in numpy on all
+words of its documents in every round; tasks' weights are averaged by the
+tokens they saw, round by round. A document's score is the sum of its words'
 conditional log probabilities.
 """
 
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +25,18 @@ from . import textnum
 from .store import documents_of, settle, table
 
 WORDS, HASHED = 192, 64
+#: Share of all words from which a word is a token, however many there are.
+SHARE = 1 / 4096
 SIDE, EMBED, HIDDEN = 2, 24, 32
-#: Tokens of each document that a round trains on; rounds of averaging; tokens of a step; its rate.
-SLICE, ROUNDS, STEP, RATE = 48, 2, 512, 0.1
+#: Rounds of averaging; tokens of a step; its rate.
+ROUNDS, STEP, RATE = 2, 512, 0.1
 CHUNK = 8192
-_V = WORDS + HASHED
-_SHAPES = {"e": (_V + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, _V), "b2": (_V,)}
+#: Counts of words that are told to every task; those of other words are joined.
+TOLD = 262_144
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(HASHED)).astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -57,35 +67,39 @@ class Network:
 
     def __init__(self, words: np.ndarray, weights: np.ndarray | None = None, seed: int = 7):
         self.words = np.sort(words.astype(np.uint64))
+        self.v = v = len(self.words) + HASHED
+        self.shapes = {"e": (v + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, v), "b2": (v,)}
         r = np.random.default_rng(seed)
         if weights is None:
-            weights = np.concatenate([(r.standard_normal(s) * (0.1 if k == "e" else s[0] ** -0.5) if len(s) > 1 else np.zeros(s)).ravel() for k, s in _SHAPES.items()])
+            weights = np.concatenate([(r.standard_normal(s) * (0.1 if k == "e" else s[0] ** -0.5) if len(s) > 1 else np.zeros(s)).ravel() for k, s in self.shapes.items()])
         self.set(weights)
+        # counts of buckets and of words in them; those of other words, to be joined
+        self.sizes, self.told, self.told_n, self.joined = np.ones(HASHED), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
     def set(self, weights: np.ndarray) -> None:
         at = 0
-        for k, s in _SHAPES.items():
+        for k, s in self.shapes.items():
             n = int(np.prod(s))
             setattr(self, k, weights[at : at + n].reshape(s).astype(np.float32))
             at += n
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in _SHAPES]).astype(float)
+        return np.concatenate([getattr(self, k).ravel() for k in self.shapes]).astype(float)
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
+        bucket = len(self.words) + _bucket(h)
         if not len(self.words):
-            return WORDS + (h % np.uint64(HASHED)).astype(np.int64)
+            return bucket
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, WORDS + (h % np.uint64(HASHED)).astype(np.int64))
+        return np.where(self.words[at] == h, at, bucket)
 
-    @staticmethod
-    def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The tokens around each token; _V where the text ends."""
-        out = np.full((len(token), 2 * SIDE), _V, np.int64)
+    def contexts(self, token: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The tokens around each token; v where the text ends."""
+        out = np.full((len(token), 2 * SIDE), self.v, np.int64)
         for c, o in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             here, there = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
             if abs(o) < len(token):
-                out[here, c] = np.where(doc[here] == doc[there], token[there], _V)
+                out[here, c] = np.where(doc[here] == doc[there], token[there], self.v)
         return out
 
     def forward(self, ctx: np.ndarray):
@@ -112,7 +126,10 @@ class Network:
         dh = (p @ self.w2.T) * (1 - hid * hid)
         dx = (dh @ self.w1.T).reshape(-1, EMBED)
         de = np.zeros_like(self.e)
-        np.add.at(de, ctx.ravel(), dx)
+        flat = ctx.ravel()
+        order = np.argsort(flat, kind="stable")
+        head = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        de[flat[order[head]]] = np.add.reduceat(dx[order], head)
         return {"e": de, "w1": x.T @ dh, "b1": dh.sum(0), "w2": hid.T @ p, "b2": p.sum(0)}
 
     def train(self, ctx: np.ndarray, token: np.ndarray, memory: dict) -> None:
@@ -121,7 +138,7 @@ class Network:
             setattr(self, k, (getattr(self, k) - RATE * g / np.sqrt(memory[k])).astype(np.float32))
 
 
-def _train_round(docs: DataFrame, net: Network, number: int) -> np.ndarray:
+def _train_round(docs: DataFrame, net: Network) -> np.ndarray:
     """Weights averaged over tasks; each task starts from ``net``."""
     words, start = net.words, net.weights()
 
@@ -133,18 +150,14 @@ def _train_round(docs: DataFrame, net: Network, number: int) -> np.ndarray:
                 h = s.word_hashes()
                 token = own.tokens(h)
                 ctx = own.contexts(token, s.doc)
-                # a slice of each text, at a place that depends on its words and the round
-                room = np.maximum(s.words - SLICE, 0) + 1
-                first = h[np.minimum(s.begin, max(len(h) - 1, 0))] if len(h) else np.zeros(s.n, np.uint64)
-                place = (textnum.mix(first + np.uint64(number)) % room.astype(np.uint64)).astype(np.int64)
-                inner = np.arange(len(token)) - s.begin[s.doc] - place[s.doc]
-                use = (inner >= 0) & (inner < SLICE)
-                ctxs.append(ctx[use])
-                toks.append(token[use])
-                n += int(use.sum())
-                if n >= 64 * STEP:
-                    seen += _steps(own, ctxs, toks, memory)
-                    ctxs, toks, n = [], [], 0
+                # pieces of bounded length, whatever a text's
+                for i in range(0, len(token), 64 * STEP):
+                    ctxs.append(ctx[i : i + 64 * STEP])
+                    toks.append(token[i : i + 64 * STEP])
+                    n += len(toks[-1])
+                    if n >= 64 * STEP:
+                        seen += _steps(own, ctxs, toks, memory)
+                        ctxs, toks, n = [], [], 0
         if n:
             seen += _steps(own, ctxs, toks, memory)
         if seen:
@@ -167,11 +180,28 @@ def _steps(net: Network, ctxs, toks, memory) -> int:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """The vocabulary of all words' counts, then rounds of training in every task and averaging."""
-    top = settle(word_counts(docs), "words").orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    """The vocabulary of all words' counts, then rounds of training in every task and averaging; keeps the counts for ``score``."""
+    counts = settle(word_counts(docs), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    order = [F.desc("n"), "word"]
+    top = counts.orderBy(*order).limit(WORDS).union(counts.where(F.col("n") >= SHARE * total)).distinct().collect()
     net = Network(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    for k in range(rounds):
-        net.set(_train_round(docs, net, k))
+    for _ in range(rounds):
+        net.set(_train_round(docs, net))
+    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
+    net.sizes = np.ones(HASHED)
+    for r in rest.groupBy(F.pmod("word", F.lit(HASHED)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        net.sizes[r["b"]] += r["n"]
+    # a word that occurs once counts as much as one that the corpus lacks: log 1
+    often = rest.where("n > 1")
+    told = often.orderBy(*order).limit(TOLD).toArrow()
+    word, n = told["word"].to_numpy(), told["n"].to_numpy()
+    at = np.argsort(word.view(np.uint64))
+    net.told, net.told_n = word.view(np.uint64)[at], n[at]
+    if len(n) >= TOLD:
+        last = np.lexsort((word, -n))[-1]  # of equal counts the smaller hashes are told
+        least = F.lit(int(n[last]))
+        net.joined = often.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(int(word[last])))))
     return net
 
 
@@ -181,18 +211,35 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     Null and empty texts have no tokens and score 0. Repeated rows score alike;
     extra columns are ignored.
     """
-    words, weights = net.words, net.weights()
+    words, weights, sizes, told, told_n = net.words, net.weights(), net.sizes, net.told, net.told_n
+    join = net.joined is not None
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(words, weights)
+        own, row = Network(words, weights), TaskContext.get().partitionId() << 40
+        log_size, log_n = np.log(sizes), np.log(np.append(told_n, 1))
         for b in batches:
             for s in textnum.segments(b["text"], textnum.SPACE, lower=True):
-                token = own.tokens(s.word_hashes())
+                h = s.word_hashes()
+                token = own.tokens(h)
                 lp = own.log_prob(own.contexts(token, s.doc), token)
+                hashed = np.flatnonzero(token >= len(words))
+                at = np.searchsorted(told, h[hashed])
+                at[np.append(told, ~h[-1:])[at] != h[hashed]] = len(told)
+                lp[hashed] += log_n[at] - log_size[token[hashed] - len(words)]
                 total = np.bincount(s.doc, weights=lp, minlength=s.n)
-                yield pa.record_batch([b["doc_id"].slice(s.first, s.n), pa.array(s.words.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(s.words, 1))], ["doc_id", "n_tokens", "sum_logprob", "mean_logprob"])
-
-    return documents_of(docs).mapInArrow(scored, "doc_id long, n_tokens long, sum_logprob double, mean_logprob double")
+                rows = pa.array(np.arange(row, row + s.n))
+                yield pa.record_batch([rows, b["doc_id"].slice(s.first, s.n), pa.array(s.words.astype(np.int64)), pa.array(total), pa.nulls(s.n, pa.int64())], names)
+                if join and len(some := hashed[at == len(told)]):
+                    yield pa.record_batch([pa.array(row + s.doc[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64()), pa.array(h[some].view(np.int64))], names)
+                row += s.n
+
+    names = ["row", "doc_id", "n_tokens", "sum_logprob", "word"]
+    found = documents_of(docs).mapInArrow(scored, "row long, doc_id long, n_tokens long, sum_logprob double, word long")
+    if join:
+        found = settle(found, "lm-parts")
+        parts = found.where("word is not null").select("row", "word").join(net.joined, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        found = found.where("word is null").join(parts, "row", "left").withColumn("sum_logprob", F.col("sum_logprob") + F.coalesce("more", F.lit(0.0)))
+    return found.select("doc_id", "n_tokens", "sum_logprob", (F.col("sum_logprob") / F.greatest("n_tokens", F.lit(1))).alias("mean_logprob"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,41 @@ def test_lm_edges(spark, docs, rows, none):
     assert lm.score(none, lm.fit(none, 1)).count() == 0
 
 
+@pytest.mark.parametrize("told", [lm.TOLD, 5])
+def test_lm_words_of_a_bucket_have_their_shares(spark, monkeypatch, told):
+    monkeypatch.setattr(lm, "TOLD", told)
+    r = random.Random(3)
+    vocab = [f"v{i}" for i in range(6000)]
+    texts = [" ".join(vocab[min(int(r.paretovariate(0.5)), 5999)] for _ in range(200)) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    net = lm.fit(df, 1)
+    # one word alone: the network's distribution of that place sums to 1 over all words and one unknown
+    known = sorted({w for t in texts for w in (t or "").split(" ") if w})
+    alone = spark.createDataFrame([(i, w) for i, w in enumerate([*known, "never-seen"])], "doc_id long, text string")
+    lp = {x.doc_id: x.sum_logprob for x in lm.score(alone, net).collect()}
+    count = {w: sum((t or "").split(" ").count(w) for t in texts) for w in known}
+    (s,) = textnum.segments(pa.array(known), textnum.SPACE, lower=True)
+    token = net.tokens(s.word_hashes())
+    unknown = lm.HASHED - len(set(token[token >= len(net.words)].tolist()))
+    empty = net.log_prob(np.full((lm.HASHED, 4), net.v), np.arange(net.v - lm.HASHED, net.v))
+    seen = np.exp([lp[i] for i in range(len(known))]).sum()
+    assert seen + (np.exp(empty) / net.sizes).sum() == pytest.approx(1, abs=1e-4) and unknown < lm.HASHED
+    pairs = {}
+    for i, k in enumerate(token.tolist()):
+        if k >= len(net.words):
+            pairs.setdefault(k, []).append((lp[i], count[known[i]]))
+    assert any(len({n for _, n in v}) > 1 for v in pairs.values())
+    assert all(x[0] - v[0][0] == pytest.approx(np.log(x[1] / v[0][1]), abs=1e-6) for v in pairs.values() for x in v)
+
+
+def test_lm_learns_from_every_word(spark):
+    w = words(random.Random(5), 2000)
+    weights = lambda w: lm.fit(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string").coalesce(1), 1).weights()
+    whole = weights(w)
+    for i in range(0, 2000, 500):  # the same words in another order, anywhere in the text
+        assert (weights(w[:i] + w[i : i + 100][::-1] + w[i + 100 :]) != whole).any()
+
+
 def test_lm_gradients():
     net = lm.Network(np.arange(lm.WORDS).astype(np.uint64))
     r = np.random.default_rng(0)
