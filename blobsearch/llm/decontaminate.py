@@ -11,6 +11,7 @@ Lists of the rarest terms alone also answer proximity searches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .store import documents_of, settle, table
 WINDOW = 13
 #: Terms of each window whose lists are intersected before the whole window is compared.
 LISTS = 3
-#: Test terms that may be sent to every task; beyond it the terms are joined instead.
+#: Test terms that are sent to every task at once, on average; more are searched in hashed parts, one after the other.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -87,12 +88,12 @@ def _find(terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], hit
 
 
-def positional_index(docs: DataFrame, terms: np.ndarray, lengths: list[int]) -> DataFrame:
+def positional_index(docs: DataFrame, terms: np.ndarray, lengths: list[int], sizes: bool = True) -> DataFrame:
     """The stored index: term, doc_id, pos and, for each window length, the phrase hashes around the posting.
 
     phrases[l][o] is the hash of the l words that start o words before pos (0 where
     they leave the document). A row with a null term carries the document's number
-    of words; its pos is that number.
+    of words; its pos is that number. Without ``sizes`` there are none of those.
     """
     reach = [(n, o) for n in lengths for o in range(n)]
 
@@ -116,7 +117,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray, lengths: list[int]) ->
                 pos = (where - s.begin[s.doc[where]]).astype(np.int32)
                 phrases = pa.ListArray.from_arrays(np.arange(len(where) + 1, dtype=np.int32) * len(reach), _int64(around.ravel()))
                 yield pa.record_batch([_int64(terms[at]), doc, pa.array(pos), phrases], ["term", "doc_id", "pos", "phrases"])
-                k = s.n
+                k = s.n if sizes else 0
                 yield pa.record_batch([pa.nulls(k, pa.int64()), ids.slice(s.first, k), pa.array(s.words.astype(np.int32)), pa.nulls(k, pa.list_(pa.int64()))], ["term", "doc_id", "pos", "phrases"])
 
     return documents_of(docs).mapInArrow(post, "term long, doc_id long, pos int, phrases array<long>")
@@ -186,6 +187,12 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b["doc_id"], pa.array(hit, pa.int64()), b["items"]], ["doc_id", "n_hit", "items"])
 
 
+def _parts(terms: DataFrame) -> list[DataFrame]:
+    """Terms in hashed parts of BROADCAST_TERMS on average."""
+    n = -(-terms.count() // BROADCAST_TERMS) or 1
+    return [terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items array<string>: one row for each row of ``docs``.
 
@@ -197,13 +204,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     spark = docs.sparkSession
     wins = settle(windows(benchmark, size), "windows")
     terms = wins.select(F.explode("term").alias("term")).distinct()
-    if terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
-        raise ValueError(f"the benchmark has over {BROADCAST_TERMS} different terms: split it and search each part")
-    as_array = lambda df: np.sort(np.array([r[0] for r in df.collect()], np.int64).view(np.uint64))
+    lists = lambda df: [np.sort(np.array([r[0] for r in x.collect()], np.int64).view(np.uint64)) for x in _parts(df)]
     lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
-    plan = settle(search_plan(wins, term_counts(docs, as_array(terms))), "search-plan")
-    searched = as_array(plan.select(F.explode("rare.term").alias("term")).distinct())
-    index = settle(positional_index(docs, searched, lengths), "postings")
+    counts = reduce(DataFrame.union, [term_counts(docs, x) for x in lists(terms)])
+    plan = settle(search_plan(wins, counts), "search-plan")
+    searched = lists(plan.select(F.explode("rare.term").alias("term")).distinct())
+    index = settle(reduce(DataFrame.union, [positional_index(docs, x, lengths, i == 0) for i, x in enumerate(searched)]), "postings")
     found = phrase_matches(index, plan, lengths)
     # the same words are hit again and again by overlapping windows: distinct starts per document and length
     per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -13,6 +13,8 @@ from blobsearch.functions import vectors as V
 
 #: A table goes to every task only if its size is known to be below these rows.
 BROADCAST_ROWS = 100_000
+#: Vectors, or queries, of a block on average; queries of a block that are multiplied at once.
+BLOCK, ROWS = 4096, 512
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,25 +36,41 @@ def top_k(df: DataFrame, query: DataFrame, k: int, vector: str = "embedding") ->
 
 
 def top_k_blocks(df: DataFrame, query: DataFrame, k: int, dim: int) -> DataFrame:
-    """As ``top_k`` for many queries: batches of vectors are multiplied with the queries at once."""
-    rows = query.select("query_id", V.doubles("q").alias("q")).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"over {BROADCAST_ROWS} queries: search in parts")
-    names = [r["query_id"] for r in rows]
-    qs = np.array([r["q"] for r in rows], float).reshape(len(rows), dim)
+    """As ``top_k`` for many queries: hashed blocks of queries meet hashed blocks of vectors, each pair in a row of its own that keeps k for each query.
+
+    Only vectors and queries of ``dim`` components take part.
+    """
+    v = df.select("blob_id", V.doubles("embedding").alias("v")).where(F.size("v") == dim)
+    q = query.select("query_id", V.doubles("q").alias("q")).where(F.size("q") == dim)
+    n_blocks, n_groups = (-(-x.count() // BLOCK) or 1 for x in (v, q))
+    # a struct with the id keeps nulls, which lists of ids alone would lose
+    blocks = v.groupBy(F.pmod(F.xxhash64("blob_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("blob_id", "v")).alias("vs"))
+    groups = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["block", "grp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.array(b["blob_id"].to_pylist(), object)
-            sims = qs @ np.asarray(b["embedding"].flatten(), float).reshape(len(b), dim).T
-            m = min(k, len(ids))
-            # all rows as good as the batch's k-th, so that ties can be settled by id afterwards
-            kth = np.partition(sims, len(ids) - m, axis=1)[:, len(ids) - m] if m else np.zeros(len(qs))
-            q, i = np.nonzero(sims >= kth[:, None] - 1e-9)
-            yield pa.record_batch([pa.array([names[x] for x in q], pa.string()), pa.array(ids[i].tolist(), pa.string()), pa.array(sims[q, i])], ["query_id", "blob_id", "sim"])
-
-    found = df.select("blob_id", V.doubles("embedding").alias("embedding")).where(F.size("embedding") == dim).mapInArrow(search, "query_id string, blob_id string, sim double")
-    return ranked(found.withColumn("sim", F.round("sim", 9)), F.col("query_id"), [F.desc("sim"), "blob_id"]).where(F.col("rank") <= k)
+            for vs, qs in zip(b["vs"], b["qs"], strict=True):
+                ids, x = vs.values.field("blob_id").to_pylist(), np.asarray(vs.values.field("v").flatten(), float).reshape(-1, dim)
+                names, y = qs.values.field("query_id").to_pylist(), np.asarray(qs.values.field("q").flatten(), float).reshape(-1, dim)
+                # in the order of ids, so that ties are settled by place
+                order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+                x, m = x[order], min(k, len(ids))
+                for start in range(0, len(names), ROWS):
+                    sims = np.round(y[start : start + ROWS] @ x.T, 9)
+                    kth = np.partition(sims, len(ids) - m, axis=1)[:, len(ids) - m]
+                    who, best, sim = [], [], []
+                    for name, row, least in zip(names[start : start + ROWS], sims, kth, strict=True):
+                        at = np.flatnonzero(row >= least)
+                        at = at[np.argsort(-row[at], kind="stable")[:m]]
+                        who += [name] * len(at)
+                        best += [ids[order[i]] for i in at]
+                        sim.append(row[at])
+                    yield pa.record_batch([pa.array(who, pa.string()), pa.array(best, pa.string()), pa.array(np.concatenate(sim))], ["query_id", "blob_id", "sim"])
+
+    found = pairs.mapInArrow(search, "query_id string, blob_id string, sim double")
+    return ranked(found, F.col("query_id"), [F.desc("sim"), "blob_id"]).where(F.col("rank") <= k)
 
 
 def tokens(text: Column | str) -> Column:

@@ -128,6 +128,14 @@ def test_contamination(spark, docs, rows, none):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_by_many_terms(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 30)
+    texts = dict(rows)
+    items = [(i, " ".join(texts[i].split(" ")[-20:])) for i in (5, 7, 60)]
+    got = {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute.contamination(rows, items)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha y beta z gamma"), (2, "alpha " + "pad " * 50 + "beta gamma"), (3, "alpha beta")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")

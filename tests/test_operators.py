@@ -27,6 +27,22 @@ def test_zero_vector_stays(spark):
     assert one(spark, V.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
 
 
+def test_top_k_blocks_beyond_a_bound(spark, monkeypatch):
+    from blobsearch.operators import search as S
+
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 20)  # no bound on queries
+    monkeypatch.setattr(S, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(S, "ROWS", 5, raising=False)
+    x = np.random.default_rng(4).standard_normal((90, 4)).round(1)
+    x[20:50] = x[20]  # ties
+    rows = [(f"b{i}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("short", [1.0]), ("none", None)], "blob_id string, embedding array<double>")
+    got = S.top_k_blocks(df, df.select(F.col("blob_id").alias("query_id"), F.col("embedding").alias("q")), 6, 4).collect()
+    sims = np.round(x @ x.T, 9)
+    want = {(f"b{q}", f"b{i}", k + 1) for q in range(90) for k, i in enumerate(sorted(range(90), key=lambda i: (-sims[q, i], f"b{i}"))[:6])}
+    assert {(r.query_id, r.blob_id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
 def test_active_modes(spark):
     df = spark.createDataFrame([("a", "31", True), ("b", "soon", False), ("c", None, None)], "blob_id string, end_epoch string, is_active boolean")
     ids = lambda mode: sorted(r[0] for r in df.where(C.is_active(30, mode)).collect())
