@@ -1,53 +1,59 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Documents are sets of distinct 5-word shingles. Sizes fall into bands such that
-linked sets (Jaccard 0.75 or more) lie in one band or in neighbouring ones; for
-each band and its lower neighbour the shingle domain is cut into P parts by
-hash, and the content of a part is a signature. Two linked sets differ in at
-most k shingles, which touch at most k parts: as a set fills more than k parts,
-linked sets share the signature of a part that is not empty. Up to PARTS parts
-all are enumerated and this is certain. Larger sets enumerate the first PARTS
-of their parts; a linked pair then agrees on each filled part with probability
-0.6, and is missed with one far below 1e-9, as with a hash collision.
-
-Shingles that stand in many documents say little. A set leaves out its parts
-of common ones only, where those left suffice for every set linked to it,
-whichever shingles they differ in (``enough``): up to PARTS parts this is
-certain, with more a linked pair is missed with a probability below 1e-9, as
-above. Any other set keeps all its parts.
+linked sets (Jaccard 0.75 or more) lie in one band or in neighbouring ones; a
+set signs once for its own band and once for the next. In each of these
+instances the shingle domain is cut by hash into groups, each group into PARTS
+parts, and every subset of PARTS - SPOILT parts of a group is a signature: the
+content of these parts. Linked sets differ in at most k shingles, so in some
+group at most SPOILT parts differ and the others, as one of the subsets, agree.
+
+Signatures of few shingles say little. To spoil all signatures of a group that
+hold more than t shingles, differences have to touch a part of each; the least
+numbers of parts that do so, summed over groups, have to exceed k. A set leaves
+out its signatures of up to t shingles, with the largest t for which that still
+holds. Of two linked sets the one with the larger t then shares one of the
+signatures that it keeps, which the other keeps too: no linked pair is lost.
+
+Before, a packed count of shingles takes out sets of which less than three
+quarters stand in another set: those are linked with nothing. Sets that
+signatures connect form groups; only inside them sets are compared exactly,
+in blocks, and a block returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import documents_of, partitions, settle, table
+from .store import Scratch, documents_of, partitions, table
 
 SHINGLE = 5
-PARTS = 64
-#: A set of over PARTS parts leaves out those of common shingles if a linked set is missed with a probability below this.
-MISS = 1e-9
-#: A shingle whose repeats within tasks come to half this share of documents (and 8) is common; so many of them are told to every task.
-COMMON, COMMON_MOST = 0.0002, 65_536
-#: Shingles that a task holds while it looks for common ones.
-HELD = 4_000_000
-#: Members of a signature up to which all its pairs are candidates at once; larger ones start as stars.
-ALL_PAIRS = 8
-#: Weight of a pair from which it is a candidate: signatures of fully enumerated sets weigh all of it.
-WEIGHT = 4
-#: Members of a star that one group compares with its centre.
-GROUP = 128
-#: Parts that two sets of over PARTS parts have to agree on before they are compared.
-FEW = 8
+#: Parts of a first-level group; parts of it that may differ (a signature holds the others); differences for each group, on average.
+PARTS, SPOILT, DIFFERENCES = 4, 2, 2.5
+#: Largest t.
+SMALL = 6
+#: Shingles that a task holds before it packs them, and of a batch of sets that sign.
+HELD, SIGNED = 2_000_000, 500_000
+#: Rows that are cut into segments at a time.
+ROWS = 16_384
+#: Entries of runs that a task connects at a time.
+FLUSH = 1_000_000
+#: Sets and shingles of a block, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Sets of a block that hold a shingle, from which it is counted by matrix product; columns of one product.
+DENSE, COLUMNS = 24, 4096
 #: Chosen documents that may be told to every task; more are joined by shuffling.
 TOLD = 200_000
-FLUSH = 1_000_000
+#: Owner of a packed shingle that several sets of its unit hold.
+SEVERAL = 0xFFFF
 
 
 def _bands() -> np.ndarray:
@@ -60,7 +66,21 @@ def _bands() -> np.ndarray:
 
 
 TOPS = _bands()
-N_PARTS = np.maximum(np.ceil(0.6 * TOPS).astype(np.int64) + 2, np.minimum(2 * TOPS + 1, PARTS))
+#: First-level groups of each instance: at most SPOILT differences in one of them.
+GROUPS = np.where(2 * TOPS // 7 <= SPOILT, 1, np.floor(2 * TOPS // 7 / DIFFERENCES).astype(np.int64) + 1)
+SUBSETS = list(itertools.combinations(range(PARTS), PARTS - SPOILT))
+
+
+def _spoiling() -> np.ndarray:
+    """For each choice of subsets (as bits) the fewest parts that meet all of them."""
+    out = np.zeros(1 << len(SUBSETS), np.int64)
+    for bits in range(1, len(out)):
+        chosen = [set(s) for i, s in enumerate(SUBSETS) if bits >> i & 1]
+        out[bits] = next(n for n in range(1, PARTS + 1) if any(all(s & set(hit) for s in chosen) for hit in itertools.combinations(range(PARTS), n)))
+    return out
+
+
+COST = _spoiling()
 
 
 def shingle_sets(s: textnum.Segment, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,419 +111,415 @@ def _class_of(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, textnum.mix(total + size.astype(np.uint64))
 
 
-def most_differences(n: np.ndarray) -> np.ndarray:
-    """The most shingles by which a set of size n differs from a linked one."""
-    s = n * 4 // 3
-    return n + s - 2 * ((3 * (n + s) + 6) // 7) + 1
+def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
+    return textnum.segments(b["text"], textnum.SPACE, lower=True)
 
 
-def enough(p: _Parts, rare: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether a linked pair is found by the parts of each text that hold uncommon shingles.
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for x in keys:
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([[True], new]))
 
-    A set linked to one of n lacks x of its shingles, n / 4 at most, and has up to
-    (n - 4 x) / 3 others; all x may be uncommon. A part with u of the r uncommon
-    shingles stays as it is with probability (1 - x / r)^u (1 - 1 / P)^((n - 4 x) / 3).
-    Parts are touched in negative association, so Chernoff's bound holds for the
-    number of parts that stay, which has to reach WEIGHT.
-    """
-    n = len(size)
-    held = np.add.reduceat(rare[p.shingle].astype(np.int64), p.head)
-    owner, held = p.owner[held > 0], held[held > 0]
-    kept = np.bincount(owner, minlength=n)
-    all_rare = np.maximum(np.bincount(p.doc[rare], minlength=n), 1)
-    least = np.full(n, np.inf)
-    for share in np.linspace(0, 0.25, 9):
-        left = np.maximum(1 - share * size / all_rare, 0)
-        stays = (1 - 1 / p.parts) ** (size * (1 - 4 * share) / 3)
-        least = np.minimum(least, np.bincount(owner, weights=left[owner] ** held, minlength=n) * stays)
-    tries = np.maximum(kept, 1)
-    q, x = np.clip(least / tries, 1e-12, 1 - 1e-12), np.minimum((WEIGHT - 1) / tries, 1 - 1e-12)
-    bound = tries * (x * np.log(x / q) + (1 - x) * np.log((1 - x) / (1 - q)))
-    return np.where(p.parts <= PARTS, kept > most_differences(size), (q > x) & (bound > -np.log(MISS)))
 
+def _sizes(head: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(head, n))
 
-def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
-    return textnum.segments(b["text"], textnum.SPACE, lower=True)
 
+# --- sets that share enough of their shingles --------------------------------
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, cls, sketch), and rows (hot, times) for shingles repeated among the sets a task holds."""
-    names = ["doc_id", "n", "cls", "sketch", "hot", "times"]
-    held, n = [], 0
-    seen: set[int] = set()  # copies of a set count once in a task
+_UNIT = pa.schema([
+    ("bucket", pa.int32()), ("unit", pa.int64()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
+    ("cls", pa.int64()), ("owner", pa.int32()), ("shared", pa.int64()), ("owners", pa.binary()), ("data", pa.binary()),
+])
+_UNIT_SQL = "bucket int, unit long, row_key long, doc_id long, n long, cls long, owner int, shared long, owners binary, data binary"
+_PROFILE = ["row_key", "doc_id", "n", "cls", "shared"]
 
-    def common(values: np.ndarray) -> pa.RecordBatch:
-        values.sort()
-        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        c = np.diff(np.append(head, len(values)))
-        v, c = values[head[many := c > 1]], c[many]
-        return pa.record_batch([*[pa.nulls(len(v), pa.int64())] * 3, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
-    for b in batches:
-        for s in _segments(b):
-            doc, value = shingle_sets(s)
-            size, cls = _class_of(doc, value, s.n)
-            sketch = pa.array([x.tobytes() for x in sketches(doc, value, size)], pa.binary())
-            yield pa.record_batch([b["doc_id"].slice(s.first, s.n), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), sketch, *[pa.nulls(s.n, pa.int64())] * 2], names)
-            held.append(value[_fresh(cls, size, seen)[doc]])
-            n += len(held[-1])
-            if n >= HELD:
-                yield common(np.concatenate(held))
-                held, n = [], 0
-    if n:
-        yield common(np.concatenate(held))
-
-
-def _fresh(cls: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Whether a text is the first with its set, which is not empty, that a task sees."""
-    fresh = np.zeros(len(cls), bool)
-    for i in np.flatnonzero(size):
-        if cls[i] not in seen:
-            seen.add(cls[i])
-            fresh[i] = True
-    return fresh
-
-
-def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """sig, cls: the signatures of each distinct set. The lowest bit of sig tells sets of over PARTS parts."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            for s in _segments(b):
-                doc, value = shingle_sets(s)
-                size, cls = _class_of(doc, value, s.n)
-                live = _fresh(cls, size, seen)[doc]
-                doc, value = doc[live], value[live]
-                if not len(doc):
-                    continue
-                rare = ~np.isin(value, hot)
-                band = np.searchsorted(TOPS, size)
-                for up in (0, 1):
-                    yield from _instance(doc, value, rare, size, cls, band + up)
-
-    known = documents_of(docs).where("doc_id is not null and text is not null")
-    return known.mapInArrow(sign, "sig long, cls long")
-
-
-class _Parts:
-    """The filled parts, of the first PARTS, of a segment's sets in one instance each (a band and its lower neighbour)."""
-
-    def __init__(self, doc: np.ndarray, value: np.ndarray, instance: np.ndarray):
-        self.doc, self.parts = doc, N_PARTS[instance]  # the text of each shingle; the parts of each text
-        self.seed = textnum.mix(instance.astype(np.uint64) + np.uint64(77))
-        mixed = textnum.mix(value ^ self.seed[doc])
-        part = ((mixed >> np.uint64(33)) % self.parts[doc].astype(np.uint64)).astype(np.int64)
-        use = np.flatnonzero(part < PARTS)
-        key = doc[use] * PARTS + part[use]
-        order = np.argsort(key, kind="stable")
-        key, self.shingle = key[order], use[order]
-        self.head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.key = key[self.head]
-        self.owner, self.number = self.key // PARTS, self.key % PARTS
-        self.total = np.add.reduceat(mixed[self.shingle], self.head) if len(self.head) else np.zeros(0, np.uint64)
-        self.filled = np.diff(np.append(self.head, len(key)))
-
-
-def _instance(doc, value, rare, size, cls, instance) -> Iterator[pa.RecordBatch]:
-    """The signatures of a segment's sets in one instance each."""
-    p = _Parts(doc, value, instance)
-    if not len(p.head):
-        return
-    has_rare = np.logical_or.reduceat(rare[p.shingle], p.head)
-    need = most_differences(size) + 1
-    n = len(size)
-    keep = has_rare | ~enough(p, rare, size)[p.owner]
-    # sets that fill too few of all their parts share empty ones too
-    poor = (np.bincount(p.owner, minlength=n) < need) & (p.parts <= PARTS) & (np.bincount(doc, minlength=n) > 0)
-    owner, number, total, filled = p.owner[keep], p.number[keep], p.total[keep], p.filled[keep]
-    if poor.any():
-        empty = (np.arange(PARTS)[None, :] < p.parts[:, None]) & poor[:, None]
-        empty.ravel()[p.key] = False
-        o, k = np.nonzero(empty)
-        owner, number = np.append(owner, o), np.append(number, k)
-        total, filled = np.append(total, np.zeros(len(o), np.uint64)), np.append(filled, np.zeros(len(o), np.int64))
-    sig = textnum.mix(textnum.mix(total + number.astype(np.uint64)) + p.seed[owner] * np.uint64(3) + filled.astype(np.uint64))
-    sig = (sig & ~np.uint64(1)) | (p.parts[owner] > PARTS).astype(np.uint64)
-    yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array(cls[owner].view(np.int64))], ["sig", "cls"])
-
-
-def sketches(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A byte for each part of each text's two instances; 0 for an empty part."""
-    out = np.zeros((len(size), 2, PARTS), np.uint8)
-    band = np.searchsorted(TOPS, size)
-    for up in (0, 1):
-        p = _Parts(doc, value, band + up)
-        out[p.owner, up, p.number] = textnum.mix(p.total + p.filled.astype(np.uint64)) % np.uint64(255) + np.uint64(1)
-    return out
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    """Rows of _UNIT; columns not named are null."""
 
+    def column(f: pa.Field) -> pa.Array:
+        c = columns.get(f.name)
+        return pa.nulls(rows, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type)
 
-def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
-    """False only if two sets of n and m shingles with these sketches are not linked.
+    return pa.record_batch([column(f) for f in _UNIT], schema=_UNIT)
 
-    Parts that differ hold a shingle each by which the sets differ. Of sets of
-    over PARTS parts, linked ones agree on fewer than FEW with a probability below 1e-9.
-    """
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    x, y = (int(v) for v in np.searchsorted(TOPS, [n, m]))
-    both = max(x, y)
-    same = np.frombuffer(a, np.uint8)[(both - x) * PARTS :][:PARTS] == np.frombuffer(b, np.uint8)[(both - y) * PARTS :][:PARTS]
-    parts = int(N_PARTS[both])
-    if parts > PARTS:
-        return int(same.sum()) >= FEW
-    return parts - int(same[:parts].sum()) <= n + m - 2 * ((3 * (n + m) + 6) // 7)
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig, cls, to candidates a, b, w, sig: pairs with weights, or the stars (sig set) of large runs."""
-    pairs, n = [], 0
-
-    def flush(pairs) -> pa.RecordBatch:
-        a, b, w = map(np.concatenate, zip(*pairs, strict=True))
-        order = np.lexsort((b, a))
-        a, b, w = a[order], b[order], w[order]
-        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return pa.record_batch([pa.array(a[head]), pa.array(b[head]), pa.array(np.add.reduceat(w, head)), pa.nulls(len(head), pa.int64())], ["a", "b", "w", "sig"])
-
-    rest_sig, rest_cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = None  # sig and first member of a large run that goes on in the next batch
-    for b in _with_end(batches):
-        if b is None:
-            sig, cls, last = rest_sig, rest_cls, True
-        else:
-            sig, cls, last = np.append(rest_sig, b["sig"].to_numpy()), np.append(rest_cls, b["cls"].to_numpy()), False
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
-        head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(head, len(sig)))
-        cut = len(sig)
-        if not last and size[-1] <= ALL_PAIRS and not (first and first[0] == sig[-1]):
-            cut = head[-1]  # the last run may go on
-        rest_sig, rest_cls = sig[cut:], cls[cut:]
-        whole = head < cut
-        head, size = head[whole], size[whole]
-        large = size > ALL_PAIRS
-        if first and len(head) and sig[head[0]] == first[0]:
-            large[0] = True
-        for k in np.flatnonzero(large):
-            run = cls[head[k] : head[k] + size[k]]
-            centre = first[1] if first and first[0] == sig[head[k]] else run[0]
-            yield pa.record_batch([pa.array(np.full(len(run), centre)), pa.array(run), pa.nulls(len(run), pa.int64()), pa.array(np.full(len(run), sig[head[k]]))], ["a", "b", "w", "sig"])
-        if len(head):
-            first = (sig[head[-1]], first[1] if first and first[0] == sig[head[-1]] else cls[head[-1]]) if large[-1] and not last else None
-        small = ~large & (size > 1)
-        for m in np.unique(size[small]):
-            at = head[small & (size == m)]
-            i, j = np.triu_indices(m, 1)
-            a, c = cls[(at[:, None] + i).ravel()], cls[(at[:, None] + j).ravel()]
-            w = np.where(sig[np.repeat(at, len(i))] & 1, 1, WEIGHT)
-            pairs.append((a, c, w))
-            n += len(a)
-        if n >= FLUSH:
-            yield flush(pairs)
-            pairs, n = [], 0
-    if n:
-        yield flush(pairs)
 
+def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Units of documents: a row for each document, and for each bucket the unit's distinct shingles there, each with its only owner or SEVERAL.
 
-def _with_end(batches):
-    yield from batches
-    yield None
+    A unit's owners are its distinct sets. ``shared`` counts the shingles of a set that others of its unit hold.
+    """
+    unit = TaskContext.get().partitionId() << 32
+    owners: dict[int, int] = {}
+    rows, value, owner = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    n = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        v, o = np.concatenate(value), np.concatenate(owner)
+        # buckets by the upper half of a hash; inside a bucket the lower half tells shingles apart
+        bucket, low = ((v >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), v & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((low, bucket))
+        bucket, low, o = bucket[order], low[order].astype("<u4"), o[order]
+        head = _heads(bucket, low)
+        size = _sizes(head, len(low))
+        shared = np.append(np.bincount(o[np.repeat(size > 1, size)], minlength=len(owners)), 0)
+        ids = pa.concat_arrays([x[1] for x in rows])
+        row_key, size_of, cls, own = (np.concatenate([x[i] for x in rows]) for i in (0, 2, 3, 4))
+        yield _batch(len(own), bucket=np.full(len(own), unit % buckets), unit=np.full(len(own), unit), row_key=row_key, doc_id=ids, n=size_of, cls=cls, owner=own, shared=shared[own])
+        bucket, low, o = bucket[head], low[head], np.where(size > 1, SEVERAL, o[head]).astype("<u2")
+        at = _heads(bucket)
+        pieces = list(itertools.pairwise(np.append(at, len(low)).tolist()))
+        yield _batch(len(at), bucket=bucket[at], unit=np.full(len(at), unit), owners=[o[x:y].tobytes() for x, y in pieces], data=[low[x:y].tobytes() for x, y in pieces])
+
+    for b in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+        for s in _segments(b):
+            if n >= HELD or len(owners) + s.n >= SEVERAL:
+                yield from flush()
+                unit, owners, n = unit + 1, {}, 0
+                rows, value, owner = [], value[:1], owner[:1]
+            doc, v = shingle_sets(s)
+            size, cls = _class_of(doc, v, s.n)
+            own, fresh = np.full(s.n, -1), np.zeros(s.n, bool)
+            for i in np.flatnonzero(size).tolist():
+                known = len(owners)
+                own[i] = owners.setdefault(int(cls[i]), known)
+                fresh[i] = own[i] == known
+            live = fresh[doc]
+            rows.append((b["row_key"].slice(s.first, s.n).to_numpy(), b["doc_id"].slice(s.first, s.n), size, cls.view(np.int64), own))
+            value.append(v[live])
+            owner.append(own[doc[live]])
+            n += len(value[-1])
+    if rows:
+        yield from flush()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's rows to counts, for each unit and owner, of shingles that other units hold; rows of documents pass."""
+    unit, owners, low = [], [], []
+    for b in batches:
+        packed = b["data"].is_valid()
+        yield b.filter(b["data"].is_null())
+        b = b.filter(packed)
+        unit += b["unit"].to_pylist()
+        owners += [np.frombuffer(x.as_buffer(), "<u2") for x in b["owners"]]
+        low += [np.frombuffer(x.as_buffer(), "<u4") for x in b["data"]]
+    if not low:
+        return
+    row, low, owner = np.repeat(np.arange(len(low)), [len(x) for x in low]), np.concatenate(low), np.concatenate(owners)
+    order = np.argsort(low, kind="stable")
+    same = low[order[1:]] == low[order[:-1]]
+    again = np.zeros(len(low), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    again &= owner != SEVERAL
+    key, times = np.unique(row[again] * (SEVERAL + 1) + owner[again], return_counts=True)
+    row, owner = key // (SEVERAL + 1), (key % (SEVERAL + 1)).astype("<u2")
+    at = _heads(row)
+    pieces = list(itertools.pairwise(np.append(at, len(row)).tolist()))
+    times = times.astype("<u4")
+    yield _batch(len(at), unit=[unit[r] for r in row[at]], owners=[owner[x:y].tobytes() for x, y in pieces], data=[times[x:y].tobytes() for x, y in pieces])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit to the documents of each unit with their full ``shared``."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        docs, counts = t.filter(t["data"].is_null()), t.filter(t["data"].is_valid())
+        owner = docs["owner"].to_numpy()
+        more = np.zeros(max(owner.max(initial=-1), 0) + 2, np.int64)
+        for o, n in zip(counts["owners"], counts["data"], strict=True):
+            more[np.frombuffer(o.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<u4")
+        shared = docs["shared"].to_numpy() + more[owner]  # owner -1, of an empty set, meets the last place
+        yield from docs.set_column(docs.schema.get_field_index("shared"), "shared", pa.array(shared)).select(_PROFILE).to_batches()
+
+    for b in batches:
+        unit = b["unit"].to_numpy()
+        for x, y in itertools.pairwise(np.append(_heads(unit), len(unit)).tolist()):
+            if held and held[-1]["unit"][0].as_py() != unit[x]:
+                yield from whole()
+                held = []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield from whole()
+
+
+def profile(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, n, cls, shared: for each row its set's size and hash, and at least so many of its shingles as another set, or a copy in another task, holds."""
+    n = partitions(docs.sparkSession)
+    packed = docs.mapInArrow(lambda b: _packed(b, n), _UNIT_SQL)
+    counted = packed.repartitionById(n, "bucket").mapInArrow(_counted, _UNIT_SQL)
+    return counted.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_profiles, "row_key long, doc_id long, n long, cls long, shared long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The planned columns and shingles, the sorted hashes of each document's set."""
-    names = ["cls", "centre", "salt", "leads"]
+    """cls, n, shingles (the sorted hashes) of documents chosen for their class; each once in a task."""
+    seen: set[int] = set()
     for b in batches:
         for s in _segments(b):
             doc, value = shingle_sets(s)
+            size, cls = _class_of(doc, value, s.n)
+            want = b["cls"].slice(s.first, s.n).to_numpy()
             cuts = np.searchsorted(doc, np.arange(s.n + 1))
-            sets = [value[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            out = pa.record_batch([*[b[c].slice(s.first, s.n) for c in names], pa.array(sets, pa.binary())], [*names, "shingles"])
-            # a repeated doc_id may stand for another text
-            yield out.filter(pa.array(out["cls"].to_numpy().view(np.uint64) == _class_of(doc, value, s.n)[1]))
+            # a repeated doc_id may stand for another text, and a repeated row for the same
+            rows = [i for i in np.flatnonzero(cls.view(np.int64) == want).tolist() if not (int(cls[i]) in seen or seen.add(int(cls[i])))]
+            yield pa.record_batch([pa.array(want[rows]), pa.array(size[rows]), pa.array([value[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())], ["cls", "n", "shingles"])
+
+
+# --- signatures --------------------------------------------------------------
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """cls, n, rest, shingle: of each set, rarest shingles first, as many as any linked set has to meet. rest: shingles from this one on."""
-    hot, times = np.append(hot, np.uint64(0)), np.append(times, 0)
+def signatures(value: np.ndarray, size: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """sig, cls of sets given by their shingles, one set after the other: subsets of the parts of each group, in two instances."""
+    doc = np.repeat(np.arange(len(size)), size)
+    for up in (0, 1):
+        instance = np.searchsorted(TOPS, size) + up
+        groups = GROUPS[instance]
+        most = (size + np.minimum(TOPS[instance], size * 4 // 3)) // 7  # differences from a linked set of this instance
+        seed = textnum.mix(instance.astype(np.uint64) + np.uint64(77))
+        h = textnum.mix(value ^ seed[doc])
+        first = np.cumsum(groups) - groups
+        group = first[doc] + ((h >> np.uint64(20)) % groups[doc].astype(np.uint64)).astype(np.int64)
+        cell = group * PARTS + ((h >> np.uint64(7)) % np.uint64(PARTS)).astype(np.int64)
+        n_cells = int(groups.sum()) * PARTS
+        content = np.zeros(n_cells, np.uint64)
+        np.add.at(content, cell, textnum.mix(h + np.uint64(5)))
+        content, held = content.reshape(-1, PARTS), np.bincount(cell, minlength=n_cells).reshape(-1, PARTS)
+        owner = np.repeat(np.arange(len(size)), groups)
+        number = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
+        filled = np.stack([held[:, s].sum(1) for s in SUBSETS], 1)
+        small = np.full(len(size), -1)  # -1 keeps signatures of empty parts too, which suffices by counting
+        for t in range(SMALL + 1):
+            bits = ((filled > t) << np.arange(len(SUBSETS))).sum(1)
+            small[np.bincount(owner, weights=COST[bits], minlength=len(size)) > most] = t
+        for i, s in enumerate(SUBSETS):
+            keep = filled[:, i] > small[owner]
+            who, inside = owner[keep], content[keep][:, s].sum(1, dtype=np.uint64)
+            yield textnum.mix(textnum.mix(inside + np.uint64(i + 1)) + seed[who] * np.uint64(3) + number[keep] * np.uint64(0x9E3779B97F4A7C15)), cls[who]
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for s in _segments(b):
-            doc, value = shingle_sets(s)
-            size, cls = _class_of(doc, value, s.n)
-            at = np.searchsorted(hot[:-1], value)
-            order = np.lexsort((value, np.where(hot[at] == value, times[at], 0), doc))
-            place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
-            use = place < (size - (3 * size + 3) // 4 + 1)[doc]
-            same = b["cls"].slice(s.first, s.n).to_numpy().view(np.uint64) == cls  # a repeated doc_id may stand for another text
-            use &= same[doc]
-            owner = doc[use]
-            rest = size[owner] - place[use]
-            yield pa.record_batch([pa.array(cls[owner].view(np.int64)), pa.array(size[owner]), pa.array(rest), pa.array(value[order][use].view(np.int64))], ["cls", "n", "rest", "shingle"])
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have 100 * intersection >= 75 * union."""
-    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
-        return False
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    both = int((a[at] == b).sum())
-    return 100 * both >= 75 * (len(a) + len(b) - both)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by grp, salt, member: the centre comes first; yields a, b, ok for each member. n: size of a sketched set, null for whole sets."""
-    now, centre, size = None, None, None
+        size, cls = b["n"].to_numpy(), b["cls"].to_numpy()
+        at = 0
+        while at < len(size):
+            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), SIGNED)))
+            value = np.frombuffer(b"".join(x.as_buffer() for x in b["shingles"].slice(at, upto - at)), np.uint64)
+            for sig, who in signatures(value, size[at:upto], cls[at:upto]):
+                yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array(who)], ["sig", "cls"])
+            at = upto
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by sig, cls to centre, cls: each run's smallest member with each other one, once for FLUSH rows."""
+    sig, cls, n = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        head = _heads(sig[0])
+        centre = np.repeat(cls[0][head], _sizes(head, len(sig[0])))
+        live = centre != cls[0]
+        centre, member = centre[live], cls[0][live]
+        order = np.lexsort((member, centre))
+        centre, member = centre[order], member[order]
+        new = _heads(centre, member)
+        return pa.record_batch([pa.array(centre[new]), pa.array(member[new])], ["centre", "cls"])
+
     for b in batches:
-        x, y, ok = [], [], []
-        for grp, salt, member, cls, n, data in zip(*[b[c].to_pylist() for c in ("grp", "salt", "member", "cls", "n", "data")], strict=True):
-            if not member:
-                now, centre, size = (grp, salt), data, n
-            elif now == (grp, salt):
-                x.append(grp)
-                y.append(cls)
-                ok.append(linked(np.frombuffer(centre, np.uint64), np.frombuffer(data, np.uint64)) if n is None else may_link(centre, data, size, n))
-        yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
-def _compared(rows: DataFrame) -> DataFrame:
-    """rows: grp, salt, member, cls, n, data; returns a, b, ok."""
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "grp", "salt").sortWithinPartitions("grp", "salt", "member")
-    return settle(dealt.mapInArrow(_compare, "a long, b long, ok boolean"), "compared")
-
-
-def _compare_pairs(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """a, b, ok for pairs, by data (cls, n, data) of their classes: a's goes once to each of a bounded number of groups of its partners."""
-    by_a = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(GROUP)))
-    members = by_a.join(data, by_a["b"] == data["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(True).alias("member"), "cls", "n", "data")
-    heads = by_a.select("a", "salt").distinct()
-    centres = heads.join(data, heads["a"] == data["cls"]).select(F.col("a").alias("grp"), "salt", F.lit(False).alias("member"), "cls", "n", "data")
-    return _compared(centres.unionByName(members))
-
-
-def components(edges: DataFrame) -> DataFrame:
+        sig.append(b["sig"].to_numpy())
+        cls.append(b["cls"].to_numpy())
+        n += len(b)
+        if n >= FLUSH:
+            sig, cls = [np.concatenate(sig)], [np.concatenate(cls)]
+            yield flush()
+            last = np.searchsorted(sig[0], sig[0][-1])  # the last run may go on: its centre stays
+            sig, cls, n = [sig[0][last : last + 1]], [cls[0][last : last + 1]], 1
+    if n:
+        sig, cls = [np.concatenate(sig)], [np.concatenate(cls)]
+        yield flush()
+
+
+# --- exact comparison --------------------------------------------------------
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, above the diagonal."""
+    m = len(sets)
+    value, member = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, member = value[order], member[order]
+    head = _heads(value)
+    size = _sizes(head, len(value))
+    out = np.zeros((m, m), np.int64)
+    for d in np.unique(size[(size > 1) & (size < DENSE)]).tolist():
+        held = member[head[size == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        out += np.bincount((held[:, i] * m + held[:, j]).ravel(), minlength=m * m).reshape(m, m)
+    often = np.flatnonzero(size >= DENSE)
+    for at in range(0, len(often), COLUMNS):
+        part = often[at : at + COLUMNS]
+        x = np.zeros((m, len(part)), np.float32)
+        x[member[np.repeat(head[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())], np.repeat(np.arange(len(part)), size[part])] = 1
+        out += np.rint(x @ x.T).astype(np.int64)
+    return np.triu(out, 1)
+
+
+def forest(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first that links (100 * intersection >= 75 * union) reach from it."""
+    n = np.array([len(x) for x in sets])
+    link = 7 * overlaps(sets) >= 3 * (n[:, None] + n[None, :])
+    link = np.triu(link, 1)
+    link |= link.T
+    label = np.arange(len(n))
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], len(n)).min(1, initial=len(n)))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block to a, b: a spanning forest of the links inside each block."""
+    block, cls, sets = None, [], []
+
+    def done() -> pa.RecordBatch:
+        who = np.array(cls)
+        to = who[forest(sets)]
+        return pa.record_batch([pa.array(who[who != to]), pa.array(to[who != to])], ["a", "b"])
+
+    for b in batches:
+        for at, c, data in zip(b["block"].to_pylist(), b["cls"].to_pylist(), b["shingles"], strict=True):
+            if at != block:
+                if len(cls) > 1:
+                    yield done()
+                block, cls, sets = at, [], []
+            cls.append(c)
+            sets.append(np.frombuffer(data.as_buffer(), np.uint64))
+    if len(cls) > 1:
+        yield done()
+
+
+def compare(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of sets that stand in one block; places: cls, block."""
+    n = partitions(sets.sparkSession)
+    rows = places.join(sets, "cls").select("block", "cls", "shingles")
+    return rows.repartition(n, "block").sortWithinPartitions("block", "cls").mapInArrow(_blocks, "a long, b long")
+
+
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """node, label: the smallest node that edges (a, b) reach, by hooking to the least label and jumping pointers."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y").distinct(), "edges")
-    labels = settle(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"), "labels")
+    both = work.settle(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y").distinct(), "edges")
+    labels = work.settle(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"), "labels")
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["node"] == near["x"]).select("node", F.least("label", "near").alias("to"), "label")
         up = labels.select(F.col("node").alias("to"), F.col("label").alias("up"))
-        after = settle(hooked.join(up, "to").select("node", F.least("to", "up").alias("label"), (F.least("to", "up") < F.col("label")).alias("moved")), "labels")
+        after = work.settle(hooked.join(up, "to").select("node", F.least("to", "up").alias("label"), (F.least("to", "up") < F.col("label")).alias("moved")), "labels")
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels
 
 
+def _cut(m, n):
+    """Blocks for m sets of n shingles."""
+    return F.greatest(F.ceil(m / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+
+
+def _block_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """cls, block of groups of several blocks, and links a, b found on the way.
+
+    Sets are first compared with the smallest one that shares a signature with
+    them. What that connects stands in blocks of its own where it fills them, and
+    two blocks of one component, or of sizes that do not fit, are not compared.
+    """
+    own = members.join(stars.groupBy("cls").agg(F.min("centre").alias("centre")), "cls")
+    leads = own.groupBy("centre").agg(_cut(F.count("*"), F.sum("n")).alias("leads"))
+    salted = own.join(leads, "centre").select("cls", F.xxhash64("centre", F.pmod(F.xxhash64("cls"), "leads")).alias("block"))
+    heads = leads.select(F.col("centre").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads") - 1)).alias("salt"))
+    heads = heads.select("cls", F.xxhash64("cls", "salt").alias("block"))
+    found = work.settle(compare(work.settle(salted.union(heads), "leads"), sets), "star-links")
+    labels = components(found, work).withColumnRenamed("node", "cls")
+    placed = work.settle(members.join(labels, "cls", "left").select("cls", "n", "grp", F.coalesce("label", "cls").alias("label")), "placed")
+    of_label = placed.groupBy("grp", "label").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    of_label = of_label.withColumn("alone", (F.col("m") > BLOCK // 2) | (F.col("all") > BLOCK_SHINGLES // 2))
+    cuts = of_label.groupBy("grp", F.when(F.col("alone"), F.col("label")).alias("one")).agg(_cut(F.sum("m"), F.sum("all")).alias("cuts"))
+    of_label = work.settle(of_label.select("grp", "label", F.when(F.col("alone"), F.col("label")).alias("one")), "of-label")
+    where = placed.join(of_label, ["grp", "label"])
+    where = where.join(cuts.withColumnRenamed("grp", "g").withColumnRenamed("one", "o"), (F.col("grp") == F.col("g")) & F.col("one").eqNullSafe(F.col("o")))
+    salt = F.pmod(F.xxhash64(F.coalesce(F.when(F.col("one").isNotNull(), F.col("cls")), "label")), "cuts")
+    where = work.settle(where.select("cls", "n", "grp", "one", F.xxhash64("grp", F.coalesce("one", F.lit(0)), salt).alias("part")), "parts")
+    parts = where.groupBy("grp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("one").alias("one"))
+    other = parts.toDF("grp", "part2", "lo2", "hi2", "one2")
+    fits = (F.col("part") <= F.col("part2")) & (4 * F.col("hi") >= 3 * F.col("lo2")) & (4 * F.col("hi2") >= 3 * F.col("lo"))
+    pairs = parts.join(other, "grp").where(fits & ~F.coalesce(F.col("one") == F.col("one2"), F.lit(False)))
+    pairs = work.settle(pairs.select("part", "part2", F.xxhash64("part", "part2").alias("block")), "part-pairs")
+    sides = pairs.select("part", "block").union(pairs.where("part <> part2").select("part2", "block"))
+    return where.join(sides, "part").select("cls", "block"), found
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``.
+    """row_key, doc_id, n_shingles, component_id: one row for each row of ``docs``.
 
-    Documents without words link with nothing and are components of their own,
-    as are rows with a null doc_id (component_id null). Copies of one set are one
-    class; repeated rows each get the row of their class. Extra columns are
-    ignored; an empty table gives an empty result.
+    row_key is a hash of doc_id and text. Documents without words link with nothing
+    and are components of their own, as are rows with a null doc_id (component_id
+    null). Copies of one set are one class; repeated rows each get the row of their
+    class. Extra columns are ignored; an empty table gives an empty result.
     """
-    docs = documents_of(docs)
-    profile = settle(docs.mapInArrow(_profile, "doc_id long, n long, cls long, sketch binary, hot long, times long"), "profile")
-    each = profile.where("hot is null").select("doc_id", "n", "cls")
-    classes = profile.where("hot is null and doc_id is not null and n > 0").groupBy("cls")
-    classes = settle(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
-    n_docs = each.count()
-    top = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).where(F.col("times") >= F.greatest(F.lit(8), F.lit(COMMON / 2 * n_docs)))
-    told = top.orderBy(F.desc("times"), "hot").limit(COMMON_MOST).toArrow()
-    hot, times = told["hot"].to_numpy().view(np.uint64), told["times"].to_numpy()
-    hot, times = hot[order := np.argsort(hot)], times[order]
+    work = Scratch(docs.sparkSession)
+    docs = documents_of(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    each = work.settle(profile(docs), "profile")
+    known = each.where("doc_id is not null and n > 0")
+    alive = work.settle(known.where("4 * shared >= 3 * n").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "alive")
+    chosen = alive.select("doc_id", "cls")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen) if alive.count() <= TOLD else chosen, "doc_id")
+    sets = work.settle(chosen.mapInArrow(_sets, "cls long, n long, shingles binary"), "sets")
 
     n = partitions(docs.sparkSession)
-    dealt = signatures(docs, hot).repartition(n, "sig").sortWithinPartitions("sig", "cls")
-    found = settle(dealt.mapInArrow(_runs, "a long, b long, w long, sig long"), "candidates")
-    stars = found.where("sig is not null and a <> b")
-    pairs = found.where("sig is null").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= WEIGHT).select("a", "b")
-    pairs = settle(pairs.union(stars.select("a", "b")).distinct(), "pairs")
-
-    def chosen(rows: DataFrame) -> DataFrame:
-        """doc_id and text of documents named, with the naming table's columns."""
-        return docs.join(F.broadcast(rows) if rows.limit(TOLD + 1).count() <= TOLD else rows, "doc_id")
-
-    def likely(candidates: DataFrame) -> DataFrame:
-        """Candidates whose sketches allow a link."""
-        return _compare_pairs(candidates, classes.select("cls", "n", F.col("sketch").alias("data"))).where("ok").select("a", "b")
-
-    pairs = likely(pairs)
-    # first each class is compared with its smallest partner only
-    own = settle(pairs.groupBy("b").agg(F.min("a").alias("centre")).withColumnRenamed("b", "cls"), "own")
-    leads = settle(own.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("leads")), "leads")
-    own = own.join(leads, "centre").select("cls", "centre", F.pmod(F.xxhash64("cls"), "leads").alias("salt"))
-    sought = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    plan = sought.join(classes, "cls").join(own, "cls", "left").join(leads.withColumnRenamed("centre", "cls"), "cls", "left")
-    plan = settle(plan.select("doc_id", "cls", "centre", "salt", F.coalesce("leads", F.lit(0)).alias("leads")), "plan")
-    whole = settle(chosen(plan).mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "sets")
-    as_data = [F.lit(None).cast("long").alias("n"), F.col("shingles").alias("data")]
-    heads = whole.where("leads > 0").select(F.col("cls").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("leads") - 1)).alias("salt"), F.lit(False).alias("member"), "cls", *as_data)
-    members = whole.where("centre is not null").select(F.col("centre").alias("grp"), "salt", F.lit(True).alias("member"), "cls", *as_data)
-    tested = _compared(heads.unionByName(members))
-    labels = components(tested.where("ok"))
-
-    def apart(candidates: DataFrame, fitting: bool = True) -> DataFrame:
-        """Candidates (of fitting sizes) whose classes are in different components so far."""
-        for c in ("a", "b"):
-            label = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-            size = classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
-            candidates = candidates.join(label, c, "left").join(size, c)
-        fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb") if fitting else F.lit(True)
-        return candidates.where(fits & (F.coalesce("la", "a") != F.coalesce("lb", "b"))).drop("la", "lb", "na", "nb")
-
-    def test(candidates: DataFrame) -> None:
-        nonlocal tested, labels
-        more = settle(apart(candidates).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            got = _compare_pairs(more, whole.select("cls", *as_data).unionByName(missing(more)))
-            tested = tested.unionByName(got)
-            if not got.where("ok").isEmpty():
-                labels = components(tested.where("ok"))
-
-    def missing(pairs: DataFrame) -> DataFrame:
-        """Sets of classes that the first comparison did not need."""
-        new = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(whole.select("cls"), "cls", "left_anti")
-        new = settle(new, "new-classes")
-        if new.isEmpty():
-            return whole.select("cls", *as_data).limit(0)
-        none = F.lit(None).cast("long")
-        rows = new.join(classes.drop("n", "sketch"), "cls").select("doc_id", "cls", none.alias("centre"), none.alias("salt"), F.lit(0).cast("long").alias("leads"))
-        return settle(chosen(rows).mapInArrow(_sets, "cls long, centre long, salt long, leads long, shingles binary"), "new-sets").select("cls", *as_data)
-
-    test(pairs)
-    # then, in runs too large for all pairs, members that their centre did not bring into one component
-    # (members whose sizes do not fit their centre's may still be linked with each other)
-    split = settle(apart(stars, fitting=False).select("sig").distinct(), "split-runs")
-    if not split.isEmpty():
-        runs = stars.join(split, "sig", "left_semi")
-        members = settle(runs.select(F.col("b").alias("cls")).union(runs.select("a")).distinct().join(classes.select("cls", "doc_id"), "cls"), "split-members")
-        # of linked sets, ordered by rarest shingles first, the first quarters share one, and from the first shared one on there is room for the overlap
-        heads_of = settle(chosen(members).mapInArrow(lambda b: _prefixes(b, hot, times), "cls long, n long, rest long, shingle long"), "prefixes")
-        label = labels.withColumnRenamed("node", "cls")
-        one = settle(heads_of.join(label, "cls", "left").select("shingle", "cls", "n", "rest", F.coalesce("label", "cls").alias("label")), "prefix-labels")
-        crossed = one.join(one.toDF("shingle", "cls2", "n2", "rest2", "label2"), "shingle").where("label <> label2 and cls < cls2 and 7 * least(rest, rest2) >= 3 * (n + n2)")
-        test(likely(crossed.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()))
-
-    joined = settle(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "labelled")
-    least = settle(joined.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    of_class = settle(joined.join(least, "label").select("cls", F.col("least").alias("component_id")), "component-of")
-    placed = each.join(of_class, "cls", "left")
-    alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    dealt = sets.mapInArrow(_sign, "sig long, cls long").repartition(n, "sig").sortWithinPartitions("sig", "cls")
+    stars = work.settle(dealt.mapInArrow(_stars, "centre long, cls long").distinct(), "stars")
+    groups = components(stars.toDF("a", "b"), work)
+    members = work.settle(groups.join(alive, groups["node"] == alive["cls"]).select("cls", "n", F.col("label").alias("grp")), "members")
+    cuts = work.settle(members.groupBy("grp").agg(_cut(F.count("*"), F.sum("n")).alias("cuts")), "groups")
+    small = members.join(cuts.where("cuts = 1"), "grp").select("cls", F.col("grp").alias("block"))
+    large = cuts.where("cuts > 1")
+    if large.isEmpty():
+        found = compare(small, sets)
+    else:
+        pairs, first = _block_pairs(members.join(large, "grp").drop("cuts"), stars, sets, work)
+        found = compare(small.union(pairs), sets).union(first)
+    labels = components(found, work)
+
+    least = labels.join(alive, labels["node"] == alive["cls"]).groupBy("label").agg(F.min("doc_id").alias("linked"))
+    linked = work.settle(labels.join(least, "label").select(F.col("node").alias("cls"), "linked"), "linked")
+    copies = known.groupBy("cls").agg(F.min("doc_id").alias("least"))
+    work.drop(each, linked)
+    placed = each.join(copies, "cls", "left").join(linked, "cls", "left")
+    alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("linked", "least")).otherwise(F.col("doc_id"))
+    return placed.select("row_key", "doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"))
+    return similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays."""
-    gone = similar_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: of each component the document with the smallest doc_id stays, of repeated rows one.
+
+    Rows are told apart by doc_id and text. Rows without doc_id are in no
+    component and stay, of those of one text one. Other columns are kept as they
+    are, whatever their names.
+    """
+    work = Scratch(spark)
+    each = work.settle(similar_components(docs), "components")
+    gone = each.where("component_id <> doc_id").select(F.col("row_key").alias("_row_key"))
+    often = work.settle(each.groupBy(F.col("row_key").alias("_row_key")).count().where("count > 1").select("_row_key"), "repeated")
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = keyed.join(gone.distinct(), "_row_key", "left_anti")
+    if not often.isEmpty():
+        kept = kept.join(often, "_row_key", "left_anti").unionByName(kept.join(often, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
+    return kept.drop("_row_key")
