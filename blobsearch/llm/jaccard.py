@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import Scratch, documents_of, partitions, table
+from .store import Scratch, documents_of, partitions, table, told, with_row_key
 
 SHINGLE = 5
 #: Parts of a first-level group; parts of it that may differ (a signature holds the others); differences for each group, on average.
@@ -41,7 +41,7 @@ PARTS, SPOILT, DIFFERENCES = 4, 2, 2.5
 #: Largest t.
 SMALL = 6
 #: Shingles that a task holds before it packs them, and of a batch of sets that sign.
-HELD, SIGNED = 2_000_000, 500_000
+HELD, SIGNED = 1_000_000, 500_000
 #: Rows that are cut into segments at a time.
 ROWS = 16_384
 #: Entries of runs that a task connects at a time.
@@ -50,8 +50,6 @@ FLUSH = 1_000_000
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Sets of a block that hold a shingle, from which it is counted by matrix product; columns of one product.
 DENSE, COLUMNS = 24, 4096
-#: Chosen documents that may be told to every task; more are joined by shuffling.
-TOLD = 200_000
 #: Owner of a packed shingle that several sets of its unit hold.
 SEVERAL = 0xFFFF
 
@@ -315,8 +313,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig, cls to centre, cls: each run's smallest member with each other one, once for FLUSH rows."""
+def _stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by sig, cls to the pairs of each run's smallest member (centre) and each other one, once for FLUSH rows, packed by part of the centre."""
     sig, cls, n = [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -324,10 +322,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.repeat(cls[0][head], _sizes(head, len(sig[0])))
         live = centre != cls[0]
         centre, member = centre[live], cls[0][live]
-        order = np.lexsort((member, centre))
-        centre, member = centre[order], member[order]
-        new = _heads(centre, member)
-        return pa.record_batch([pa.array(centre[new]), pa.array(member[new])], ["centre", "cls"])
+        part = (textnum.mix(centre.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((member, centre, part))
+        order = order[_heads(centre[order], member[order])]
+        pairs, part = np.stack([centre[order], member[order]], 1), part[order]
+        at = _heads(part)
+        pieces = itertools.pairwise(np.append(at, len(part)).tolist())
+        return pa.record_batch([pa.array(part[at]), pa.array([pairs[x:y].tobytes() for x, y in pieces], pa.binary())], ["part", "pairs"])
 
     for b in batches:
         sig.append(b["sig"].to_numpy())
@@ -343,6 +344,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pairs of one part, as centre, cls."""
+    held = [np.frombuffer(x.as_buffer(), np.int64) for b in batches for x in b["pairs"]]
+    if held:
+        pairs = np.concatenate(held).reshape(-1, 2)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        order = order[_heads(pairs[order, 0], pairs[order, 1])]
+        yield pa.record_batch([pa.array(pairs[order, 0]), pa.array(pairs[order, 1])], ["centre", "cls"])
+
+
 # --- exact comparison --------------------------------------------------------
 
 
@@ -476,12 +487,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     known = each.where("doc_id is not null and n > 0")
     alive = work.settle(known.where("4 * shared >= 3 * n").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "alive")
     chosen = alive.select("doc_id", "cls")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen) if alive.count() <= TOLD else chosen, "doc_id")
+    chosen = docs.select("doc_id", "text").join(told(chosen), "doc_id")
     sets = work.settle(chosen.mapInArrow(_sets, "cls long, n long, shingles binary"), "sets")
 
     n = partitions(docs.sparkSession)
     dealt = sets.mapInArrow(_sign, "sig long, cls long").repartition(n, "sig").sortWithinPartitions("sig", "cls")
-    stars = work.settle(dealt.mapInArrow(_stars, "centre long, cls long").distinct(), "stars")
+    packed = dealt.mapInArrow(lambda b: _stars(b, n), "part int, pairs binary").repartitionById(n, "part")
+    stars = work.settle(packed.mapInArrow(_distinct, "centre long, cls long"), "stars")
     groups = components(stars.toDF("a", "b"), work)
     members = work.settle(groups.join(alive, groups["node"] == alive["cls"]).select("cls", "n", F.col("label").alias("grp")), "members")
     cuts = work.settle(members.groupBy("grp").agg(_cut(F.count("*"), F.sum("n")).alias("cuts")), "groups")
@@ -495,12 +507,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     labels = components(found, work)
 
     least = labels.join(alive, labels["node"] == alive["cls"]).groupBy("label").agg(F.min("doc_id").alias("linked"))
-    linked = work.settle(labels.join(least, "label").select(F.col("node").alias("cls"), "linked"), "linked")
-    copies = known.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    work.drop(each, linked)
-    placed = each.join(copies, "cls", "left").join(linked, "cls", "left")
-    alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("linked", "least")).otherwise(F.col("doc_id"))
-    return placed.select("row_key", "doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    linked = labels.join(least, "label").select(F.col("node").alias("cls"), "linked")
+    of_class = known.groupBy("cls").agg(F.min("doc_id").alias("least")).join(linked, "cls", "left")
+    of_class = work.settle(of_class.select("cls", F.coalesce("linked", "least").alias("component_id")), "of-class")
+    work.drop(each, of_class)
+    # both sides are plain tables, so that a class of very many copies can be split
+    placed = known.join(of_class, "cls").select("row_key", "doc_id", "n", "component_id")
+    placed = placed.union(each.where("doc_id is null or n = 0").select("row_key", "doc_id", "n", F.col("doc_id").alias("component_id")))
+    return placed.withColumnRenamed("n", "n_shingles")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,10 +530,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     work = Scratch(spark)
     each = work.settle(similar_components(docs), "components")
-    gone = each.where("component_id <> doc_id").select(F.col("row_key").alias("_row_key"))
-    often = work.settle(each.groupBy(F.col("row_key").alias("_row_key")).count().where("count > 1").select("_row_key"), "repeated")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = keyed.join(gone.distinct(), "_row_key", "left_anti")
+    keyed, key = with_row_key(docs)
+    gone = work.settle(each.where("component_id <> doc_id").select(F.col("row_key").alias(key)).distinct(), "gone")
+    often = work.settle(each.groupBy(F.col("row_key").alias(key)).count().where("count > 1").select(key), "repeated")
+    kept = keyed.join(told(gone), key, "left_anti")
     if not often.isEmpty():
-        kept = kept.join(often, "_row_key", "left_anti").unionByName(kept.join(often, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
-    return kept.drop("_row_key")
+        kept = kept.join(often, key, "left_anti").unionByName(kept.join(often, key, "left_semi").dropDuplicates([key]))
+    return kept.drop(key)

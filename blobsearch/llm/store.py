@@ -67,6 +67,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a table that may be told to every task; larger ones are joined by shuffling.
+TOLD = 200_000
+
+
+def told(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A settled table with a broadcast hint if it has at most so many rows (TOLD); else as it is."""
+    rows = TOLD if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a hash of doc_id and text in a column of a new name, and that name. Nulls hash like anything else."""
+    name = "_row_key"
+    while name in docs.columns:
+        name = f"_{name}"
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), name
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """doc_id and text only, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
