@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import documents_of, settle, table
+from .store import documents_of, settle, table, told, with_row_key
 
 WINDOW = 13
 #: Terms of each window whose lists are intersected before the whole window is compared.
@@ -229,6 +229,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where(_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Pipeline stage: contaminated documents go.
+
+    Every row is judged by its own text: doc_id and text, as a hash, stand for it,
+    so rows without doc_id or with a repeated one are judged like any other. Other
+    columns are kept as they are, whatever their names.
+    """
+    keyed, key = with_row_key(docs)
+    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = settle(found.where(_contaminated()).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(told(bad), key, "left_anti").drop(key)

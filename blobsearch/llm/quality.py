@@ -26,6 +26,9 @@ FEATURES = (
     "marks", "odd_symbols", "pipes", "exclamations", "non_ascii", "lines_per_word", "top_word", "sentence_ends",
 )
 
+#: Score from which a document is predicted to be good.
+THRESHOLD = 0.3
+
 _SCHEMA = "doc_id long, held_out boolean, stats array<double>"
 
 
@@ -95,10 +98,10 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Means and Cholesky factors of the two classes. ``only`` is the score where a class has no rows."""
+    """Means and inverse Cholesky factors of the two classes. ``only`` is the score where a class has no rows."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     offsets: np.ndarray
     only: float | None = None
 
@@ -112,14 +115,14 @@ class Discriminant:
         mixed += (ridge * np.trace(pooled) / len(pooled) + 1e-9) * np.eye(len(pooled))
         factors = np.linalg.cholesky(mixed)
         logdet = 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1)
-        return Discriminant(means, factors, np.log(n / n.sum()) - 0.5 * logdet)
+        return Discriminant(means, np.linalg.inv(factors), np.log(n / n.sum()) - 0.5 * logdet)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.only is not None:
             return np.full(len(x), self.only)
         density = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.inverses[k] @ (x - self.means[k]).T
             density.append(self.offsets[k] - 0.5 * (z * z).sum(0))
         # densities of far-off texts differ by hundreds: tempered by the number of statistics
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / len(FEATURES), -60, 60)))
@@ -145,7 +148,12 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     return Discriminant.fit(n, means, covs)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def _model(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
+    stats = settle(document_statistics(docs), "quality-stats")
+    return stats, fit(stats, labels)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``.
 
     Null and empty texts have all-zero statistics and are scored like any other.
@@ -154,8 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     classes every document gets the smoothed share of label 1. Repeated rows
     get equal scores; extra columns are ignored.
     """
-    stats = settle(document_statistics(docs), "quality-stats")
-    model = fit(stats, labels)
+    stats, model = _model(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,6 +178,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    good = classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """Pipeline stage: documents that the classifier rejects go.
+
+    Every row is judged by its own text where it stands, so rows without doc_id or
+    with a repeated one are judged like any other, and nothing is joined back.
+    Null and empty texts are scored too. Columns are kept as they are.
+    """
+    _, model = _model(docs, table(spark, sf_dir, "labels"))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in textnum.segments(b["text"], textnum.SPACE):
+                yield b.slice(s.first, s.n).filter(pa.array(model.score(statistics(s)) >= THRESHOLD))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(good, docs.schema)

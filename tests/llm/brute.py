@@ -76,3 +76,39 @@ def components(rows):
         for s in sets[d]:
             holders[s].append(d)
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def fill(amount: float, weights: list, room: list) -> list[float]:
+    """Divides an amount by weight; what exceeds a child's room goes to the others. Weight 0 takes nothing."""
+    out, open_, left = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0], float(amount)
+    while open_ and left > 0:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / total >= room[i]]
+        if not full:
+            for i in open_:
+                out[i] = left * weights[i] / total
+            break
+        for i in full:
+            out[i] = room[i]
+        left -= sum(room[i] for i in full)
+        open_ = [i for i in open_ if i not in set(full)]
+    return out
+
+
+def allocate(supply: dict, budget: float, weights: dict, epochs: int, levels=("domain", "lang", "source")) -> dict:
+    """Whole tokens for each leaf (a path of labels). A label without a weight weighs 1."""
+    out: dict = {}
+
+    def descend(leaves: dict, amount: float, depth: int) -> None:
+        if depth == len(levels):
+            out.update({path: int(amount + 1e-6) for path in leaves})
+            return
+        children: dict[str, dict] = {}
+        for path, n in sorted(leaves.items()):
+            children.setdefault(path[depth], {})[path] = n
+        shares = fill(amount, [weights.get(levels[depth], {}).get(c, 1.0) for c in children], [epochs * sum(x.values()) for x in children.values()])
+        for child, share in zip(children.values(), shares, strict=True):
+            descend(child, share, depth + 1)
+
+    descend(dict(supply), min(budget, epochs * sum(supply.values())), 0)
+    return out

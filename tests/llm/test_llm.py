@@ -196,14 +196,23 @@ def test_chat_parts(spark):
     assert [(a.type, a.ref, a.tokens) for a in row.attachments] == [("image", "s3://i", 256), ("audio", "a.wav", 18), ("document", "d", 8)] and row.expanded_tokens == 282
 
 
-def test_fill_and_allocate():
-    assert mixing.fill(10, [1, 1, 2], [1, 100, 100]) == pytest.approx([1, 3, 6])
-    assert mixing.fill(10, [1, 0], [3, 100]) == [3, 0]
+def test_allocate(spark):
+    def allocated(supply, *args):
+        rows = spark.createDataFrame([(*k, v) for k, v in supply.items()], "domain string, lang string, source string, n long")
+        got = {tuple(x)[:3]: x.taken for x in mixing.allocate(rows, *args).collect()}
+        assert got == brute.allocate(supply, *args)
+        return got
+
     supply = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 5, ("b", "x", "4"): 1000}
-    got = mixing.allocate(supply, 200, {"domain": {"a": 0.5, "b": 0.5}}, 1)
+    got = allocated(supply, 200, {"domain": {"a": 0.5, "b": 0.5}}, 1)
     # leaf 1's and y's shortages stay within a before b is asked
     assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 85, ("a", "y", "3"): 5, ("b", "x", "4"): 100}
-    assert sum(mixing.allocate(supply, 10**6, {}, 2).values()) == 2 * sum(supply.values())
+    assert sum(allocated(supply, 10**6, {}, 2).values()) == 2 * sum(supply.values())
+    assert allocated(supply, 50, {"domain": {"a": 0.0}, "source": {"4": 3}}, 1)[("a", "x", "1")] == 0
+    r = random.Random(9)
+    for _ in range(3):
+        supply = {(f"d{r.randrange(4)}", f"l{r.randrange(3)}", f"s{i}"): r.choice([0, 1, 7, 100, 5000]) for i in range(40)}
+        allocated(supply, r.randrange(1, 40000), {"domain": {"d0": 2.5, "d1": 0}, "lang": {"l1": 0.3}}, 2)
 
 
 def test_mix_against_brute(spark, rows, none):
@@ -216,7 +225,7 @@ def test_mix_against_brute(spark, rows, none):
     supply = {}
     for x in p:
         supply[x[1:4]] = supply.get(tuple(x[1:4]), 0) + x[4]
-    taken, want = mixing.allocate({tuple(k): v for k, v in supply.items()}, 0.7 * sum(supply.values()), mixing.WEIGHTS, 2), {}
+    taken, want = brute.allocate({tuple(k): v for k, v in supply.items()}, 0.7 * sum(supply.values()), mixing.WEIGHTS, 2), {}
     for path, n in supply.items():
         e, rest = divmod(taken[tuple(path)], n) if n else (0, 0)
         total = 0
