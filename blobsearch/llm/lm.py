@@ -1,18 +1,22 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every token from two tokens on each side. The
-vocabulary follows word counts over the whole corpus: the WORDS most frequent
-words and every word that makes a share of SHARE of all words are tokens, the
-others share HASHED hashed ones. A word of a bucket has its share of the
-bucket's probability: its count by the bucket's, which has one count more for
-all words that the corpus lacks. Every task trains the network in numpy on all
-words of its documents in every round; tasks' weights are averaged by the
-tokens they saw, round by round. A document's score is the sum of its words'
-conditional log probabilities.
+A small network predicts every token from two tokens on each side. The WORDS
+most frequent words of the whole corpus are tokens, in classes of neighbouring
+frequency: a token's probability is that of its class by that of the token in
+it. All other words share HASHED hashed tokens, a last class; such a word has
+its share of its token's probability: its count by the token's, which has one
+count more for all words that the corpus lacks.
+
+Documents are dealt by hash into shards whose number follows the corpus's words.
+In a round every shard trains the network in numpy on all words of the round's
+documents, and weights are averaged by the words they saw; the rounds take
+disjoint shares of the documents, together all of them. A document's score is
+the sum of its words' conditional log probabilities.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +28,20 @@ from pyspark.sql import functions as F
 from . import textnum
 from .store import documents_of, settle, table
 
-WORDS, HASHED = 192, 64
-#: Share of all words from which a word is a token, however many there are.
-SHARE = 1 / 4096
-SIDE, EMBED, HIDDEN = 2, 24, 32
-#: Rounds of averaging; tokens of a step; its rate.
-ROUNDS, STEP, RATE = 2, 512, 0.1
-CHUNK = 8192
+#: Tokens of a class; words that are tokens of their own; hashed tokens of the others.
+CLASS, WORDS, HASHED = 64, 8192, 64
+N_CLASSES = (WORDS + HASHED) // CLASS
+#: The token beside the first and the last word of a text.
+PAD = WORDS + HASHED
+SIDE, EMBED, HIDDEN = 2, 16, 24
+#: Places of a step; the rate.
+STEP, RATE = 8192, 0.1
+#: Of each 8 documents by hash those of the first round; the second takes the others.
+ROUNDS = ((0,), (1, 2, 3, 4, 5, 6, 7))
+#: Words of a shard, on average.
+SHARD_WORDS = 2_000_000
+#: Numbers of a part of the weights that tasks send to be averaged.
+PART = 32_768
 #: Counts of words that are told to every task; those of other words are joined.
 TOLD = 262_144
 
@@ -65,129 +76,186 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Network:
     """Tokens to the 2 * SIDE around them; weights as one vector for averaging."""
 
+    SHAPES = {
+        "e": (PAD + 1, EMBED), "w1": (2 * SIDE, EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, N_CLASSES), "bc": (N_CLASSES,),
+        "w2": (N_CLASSES, HIDDEN, CLASS), "b2": (N_CLASSES, CLASS),
+    }
+    #: Where a token's neighbours begin in a stream that has SIDE more places at each end.
+    AT = tuple(i for i in range(2 * SIDE + 1) if i != SIDE)
+
     def __init__(self, words: np.ndarray, weights: np.ndarray | None = None, seed: int = 7):
-        self.words = np.sort(words.astype(np.uint64))
-        self.v = v = len(self.words) + HASHED
-        self.shapes = {"e": (v + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, v), "b2": (v,)}
+        """words: hashes of the words that are tokens, most frequent first."""
+        self.words = words.astype(np.uint64)
+        self.rank = np.argsort(self.words)
+        self.known = self.words[self.rank]
         r = np.random.default_rng(seed)
         if weights is None:
-            weights = np.concatenate([(r.standard_normal(s) * (0.1 if k == "e" else s[0] ** -0.5) if len(s) > 1 else np.zeros(s)).ravel() for k, s in self.shapes.items()])
+            scale = {"e": 0.1, "w1": (2 * SIDE * EMBED) ** -0.5, "wc": HIDDEN**-0.5, "w2": HIDDEN**-0.5}
+            weights = np.concatenate([(r.standard_normal(s) * scale[k] if k in scale else np.zeros(s)).ravel() for k, s in self.SHAPES.items()])
         self.set(weights)
-        # counts of buckets and of words in them; those of other words, to be joined
+        # counts of hashed tokens and of words in them; those of other words, to be joined
         self.sizes, self.told, self.told_n, self.joined = np.ones(HASHED), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
     def set(self, weights: np.ndarray) -> None:
         at = 0
-        for k, s in self.shapes.items():
+        for k, s in self.SHAPES.items():
             n = int(np.prod(s))
             setattr(self, k, weights[at : at + n].reshape(s).astype(np.float32))
             at += n
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.shapes]).astype(float)
+        return np.concatenate([getattr(self, k).ravel() for k in self.SHAPES])
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
-        bucket = len(self.words) + _bucket(h)
+        bucket = WORDS + _bucket(h)
         if not len(self.words):
             return bucket
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, bucket)
-
-    def contexts(self, token: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The tokens around each token; v where the text ends."""
-        out = np.full((len(token), 2 * SIDE), self.v, np.int64)
-        for c, o in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            here, there = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
-            if abs(o) < len(token):
-                out[here, c] = np.where(doc[here] == doc[there], token[there], self.v)
-        return out
-
-    def forward(self, ctx: np.ndarray):
-        x = self.e[ctx].reshape(len(ctx), -1)
-        hid = np.tanh(x @ self.w1 + self.b1)
-        z = hid @ self.w2 + self.b2
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.rank[at], bucket)
+
+    def stream(self, s: textnum.Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a segment with SIDE pads around each text that has words; where each word stands; the words' hashes."""
+        h = s.word_hashes()
+        texts = np.cumsum(s.words > 0)
+        at = np.arange(len(h)) + SIDE * texts[s.doc]
+        out = np.full(len(h) + SIDE * (int(texts[-1]) + 1 if s.n else 1), PAD, np.uint16)
+        out[at] = self.tokens(h)
+        return out, at, h
+
+    def hidden(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of a stream, and the hidden layer at each place but SIDE at either end."""
+        e, n = self.e[s], len(s) - 2 * SIDE
+        pre = self.b1 + sum(e[i : i + n] @ w for i, w in zip(self.AT, self.w1, strict=True))
+        return e, np.tanh(pre)
+
+    @staticmethod
+    def _log_softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
-        return x, hid, z
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return z
+
+    @staticmethod
+    def _grouped(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Places of tokens other than pads in the order of tokens, these tokens, and the stretch of each class."""
+        order = np.argsort(t, kind="stable")
+        ts = t[order].astype(np.int64)
+        cuts = np.searchsorted(ts, np.arange(0, PAD + 1, CLASS))
+        return order[: cuts[-1]], ts[: cuts[-1]], [(c, a, b) for c, (a, b) in enumerate(itertools.pairwise(cuts.tolist())) if b > a]
+
+    def log_prob(self, s: np.ndarray) -> np.ndarray:
+        """The log probability of each place of a stream but SIDE at either end; 0 for pads."""
+        out = np.zeros(len(s) - 2 * SIDE, np.float64)
+        for at in range(0, len(out), STEP):
+            part = s[at : at + STEP + 2 * SIDE]
+            _, hid = self.hidden(part)
+            order, ts, classes = self._grouped(part[SIDE:-SIDE])
+            hs = hid[order]
+            z = self._log_softmax(hs @ self.wc + self.bc)
+            lp = z[np.arange(len(ts)), ts // CLASS]
+            for c, a, b in classes:
+                z = self._log_softmax(hs[a:b] @ self.w2[c] + self.b2[c])
+                lp[a:b] += z[np.arange(b - a), ts[a:b] % CLASS]
+            out[at + order] = lp
+        return out
 
-    def log_prob(self, ctx: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = np.empty(len(token))
-        for i in range(0, len(token), CHUNK):
-            _, _, z = self.forward(ctx[i : i + CHUNK])
-            out[i : i + CHUNK] = z[np.arange(len(z)), token[i : i + CHUNK]] - np.log(np.exp(z).sum(1))
+    def gradients(self, s: np.ndarray) -> dict[str, tuple]:
+        """Of the mean negative log probability over the places of a stream that are no pads: for each weight where it applies, and its values."""
+        e, hid = self.hidden(s)
+        order, ts, classes = self._grouped(s[SIDE:-SIDE])
+        n, hs, rows = max(len(ts), 1), hid[order], np.arange(len(ts))
+        p = np.exp(self._log_softmax(hs @ self.wc + self.bc))
+        p[rows, ts // CLASS] -= 1
+        p /= n
+        dh = p @ self.wc.T
+        out = {"wc": (slice(None), hs.T @ p), "bc": (slice(None), p.sum(0))}
+        chosen = np.array([c for c, _, _ in classes], np.int64)
+        g2, h2 = np.empty((len(classes), HIDDEN, CLASS), np.float32), np.empty((len(classes), CLASS), np.float32)
+        for i, (c, a, b) in enumerate(classes):
+            p = np.exp(self._log_softmax(hs[a:b] @ self.w2[c] + self.b2[c]))
+            p[rows[: b - a], ts[a:b] % CLASS] -= 1
+            p /= n
+            dh[a:b] += p @ self.w2[c].T
+            g2[i], h2[i] = hs[a:b].T @ p, p.sum(0)
+        out |= {"w2": (chosen, g2), "b2": (chosen, h2)}
+        d = np.zeros_like(hid)
+        d[order] = dh * (1 - hs * hs)
+        de, m = np.zeros_like(e), len(d)
+        for i, w in zip(self.AT, self.w1, strict=True):
+            de[i : i + m] += d @ w.T
+        out |= {"w1": (slice(None), np.stack([e[i : i + m].T @ d for i in self.AT])), "b1": (slice(None), d.sum(0))}
+        by = np.argsort(s, kind="stable")
+        head = np.flatnonzero(np.diff(s[by].astype(np.int64), prepend=-1))
+        out["e"] = (s[by[head]].astype(np.int64), np.add.reduceat(de[by], head))
         return out
 
-    def gradients(self, ctx: np.ndarray, token: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability."""
-        x, hid, z = self.forward(ctx)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), token] -= 1
-        p /= len(p)
-        dh = (p @ self.w2.T) * (1 - hid * hid)
-        dx = (dh @ self.w1.T).reshape(-1, EMBED)
-        de = np.zeros_like(self.e)
-        flat = ctx.ravel()
-        order = np.argsort(flat, kind="stable")
-        head = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        de[flat[order[head]]] = np.add.reduceat(dx[order], head)
-        return {"e": de, "w1": x.T @ dh, "b1": dh.sum(0), "w2": hid.T @ p, "b2": p.sum(0)}
-
-    def train(self, ctx: np.ndarray, token: np.ndarray, memory: dict) -> None:
-        for k, g in self.gradients(ctx, token).items():
-            memory[k] = memory.get(k, 1e-8) + g * g
-            setattr(self, k, (getattr(self, k) - RATE * g / np.sqrt(memory[k])).astype(np.float32))
+    def train(self, s: np.ndarray, memory: dict) -> None:
+        """A step of Adagrad on a stream; ``memory`` keeps the sums of squares."""
+        for k, (where, g) in self.gradients(s).items():
+            w = getattr(self, k)
+            if k not in memory:
+                memory[k] = np.full_like(w, 1e-8)
+            seen = memory[k][where] + g * g
+            memory[k][where] = seen
+            w[where] -= np.float32(RATE) * g / np.sqrt(seen)
+
+
+def _shards(docs: DataFrame, shards: int, shares: tuple[int, ...]) -> DataFrame:
+    """text of a round's documents, dealt by hash and in its order, so that neither files nor partitions matter."""
+    keyed = documents_of(docs).where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("key"))
+    mine = keyed.where(F.pmod("key", F.lit(8)).isin(*shares))
+    return mine.repartition(shards, F.shiftright("key", 3)).sortWithinPartitions("key", "text").select("text")
 
 
 def _train_round(docs: DataFrame, net: Network) -> np.ndarray:
-    """Weights averaged over tasks; each task starts from ``net``."""
+    """Weights averaged over shards by the words they saw; each starts from ``net``."""
     words, start = net.words, net.weights()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory, seen = Network(words, start), {}, 0
-        ctxs, toks, n = [], [], 0
+        rest = np.full(SIDE, PAD, np.uint16)
         for b in batches:
             for s in textnum.segments(b["text"], textnum.SPACE, lower=True):
-                h = s.word_hashes()
-                token = own.tokens(h)
-                ctx = own.contexts(token, s.doc)
-                # pieces of bounded length, whatever a text's
-                for i in range(0, len(token), 64 * STEP):
-                    ctxs.append(ctx[i : i + 64 * STEP])
-                    toks.append(token[i : i + 64 * STEP])
-                    n += len(toks[-1])
-                    if n >= 64 * STEP:
-                        seen += _steps(own, ctxs, toks, memory)
-                        ctxs, toks, n = [], [], 0
-        if n:
-            seen += _steps(own, ctxs, toks, memory)
+                stream, at, _ = own.stream(s)
+                seen += len(at)
+                rest = np.append(rest, stream[SIDE:])
+                while len(rest) >= STEP + 2 * SIDE:
+                    own.train(rest[: STEP + 2 * SIDE], memory)
+                    rest = rest[STEP:]
+        if len(rest) > 2 * SIDE:
+            own.train(rest, memory)
         if seen:
-            w = own.weights()
-            yield pa.record_batch([pa.array(np.arange(len(w))), pa.array(w * seen), pa.array(np.full(len(w), seen, np.int64))], ["i", "w", "n"])
+            w, shard = own.weights(), TaskContext.get().partitionId()
+            pieces = [w[i : i + PART].astype("<f4").tobytes() for i in range(0, len(w), PART)]
+            n = len(pieces)
+            yield pa.record_batch([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, shard)), pa.array(np.full(n, seen)), pa.array(pieces, pa.binary())], ["part", "shard", "seen", "w"])
 
-    rows = documents_of(docs).select("text").mapInArrow(train, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = {}, {}
+        for b in batches:
+            for part, n, w in zip(b["part"].to_pylist(), b["seen"].to_pylist(), b["w"], strict=True):
+                total[part] = total.get(part, 0.0) + n * np.frombuffer(w.as_buffer(), "<f4").astype(float)
+                seen[part] = seen.get(part, 0) + n
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([(total[p] / seen[p]).astype("<f4").tobytes() for p in total], pa.binary())], ["part", "w"])
+
+    parts = -(-len(start) // PART)
+    sent = docs.mapInArrow(train, "part int, shard long, seen long, w binary")
+    rows = sent.repartitionById(parts, "part").sortWithinPartitions("part", "shard").mapInArrow(average, "part int, w binary").collect()
     out = start.copy()
     for r in rows:
-        out[r["i"]] = r["w"]
+        w = np.frombuffer(r["w"], "<f4")
+        out[r["part"] * PART : r["part"] * PART + len(w)] = w
     return out
 
 
-def _steps(net: Network, ctxs, toks, memory) -> int:
-    ctx, tok = np.concatenate(ctxs), np.concatenate(toks)
-    order = np.random.default_rng(len(tok)).permutation(len(tok))
-    for i in range(0, len(tok), STEP):
-        net.train(ctx[order[i : i + STEP]], tok[order[i : i + STEP]], memory)
-    return len(tok)
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """The vocabulary of all words' counts, then rounds of training in every task and averaging; keeps the counts for ``score``."""
+def fit(docs: DataFrame) -> Network:
+    """The vocabulary of all words' counts, then rounds of training in every shard and averaging; keeps the counts for ``score``."""
     counts = settle(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     order = [F.desc("n"), "word"]
-    top = counts.orderBy(*order).limit(WORDS).union(counts.where(F.col("n") >= SHARE * total)).distinct().collect()
+    top = counts.orderBy(*order).limit(WORDS).collect()
     net = Network(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    for _ in range(rounds):
-        net.set(_train_round(docs, net))
+    for shares in ROUNDS:
+        net.set(_train_round(_shards(docs, -(-total // SHARD_WORDS) or 1, shares), net))
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
     net.sizes = np.ones(HASHED)
     for r in rest.groupBy(F.pmod("word", F.lit(HASHED)).alias("b")).agg(F.sum("n").alias("n")).collect():
@@ -219,13 +287,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         log_size, log_n = np.log(sizes), np.log(np.append(told_n, 1))
         for b in batches:
             for s in textnum.segments(b["text"], textnum.SPACE, lower=True):
-                h = s.word_hashes()
-                token = own.tokens(h)
-                lp = own.log_prob(own.contexts(token, s.doc), token)
-                hashed = np.flatnonzero(token >= len(words))
+                stream, at, h = own.stream(s)
+                token, lp = stream[at].astype(np.int64), own.log_prob(stream)[at - SIDE]
+                hashed = np.flatnonzero(token >= WORDS)
                 at = np.searchsorted(told, h[hashed])
                 at[np.append(told, ~h[-1:])[at] != h[hashed]] = len(told)
-                lp[hashed] += log_n[at] - log_size[token[hashed] - len(words)]
+                lp[hashed] += log_n[at] - log_size[token[hashed] - WORDS]
                 total = np.bincount(s.doc, weights=lp, minlength=s.n)
                 rows = pa.array(np.arange(row, row + s.n))
                 yield pa.record_batch([rows, b["doc_id"].slice(s.first, s.n), pa.array(s.words.astype(np.int64)), pa.array(total), pa.nulls(s.n, pa.int64())], names)
