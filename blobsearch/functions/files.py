@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
-import base64
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Extension families, the kinds they stand for, and mime types by extension.
+# Extension families and the kinds they stand for; the extension of each mime type.
 KIND_EXTENSIONS = {
-    "audio": "mp3 wav wave flac ogg oga opus m4a m4b aac aif aiff wma amr",
-    "video": "mp4 m4v mov webm mkv avi flv wmv mpg mpeg",
-    "image": "png jpg jpeg webp gif bmp heic heif avif",
-    "doc": "pdf doc docx rtf odt epub md mobi",
-    "text": "txt json yaml yml xml html htm csv tsv log",
-    "archive": "zip tar gz tgz rar 7z bz2 xz zst",
-    "code": "py js ts rs go java cpp c h rb php sh",
-    "data": "parquet arrow feather orc avro msgpack pb proto",
+    "audio": ("mp3", "wav", "wave", "flac", "ogg", "oga", "opus", "m4a", "m4b", "aac", "aif", "aiff", "wma", "amr"),
+    "video": ("mp4", "m4v", "mov", "webm", "mkv", "avi", "flv", "wmv", "mpg", "mpeg"),
+    "image": ("png", "jpg", "jpeg", "webp", "gif", "bmp", "heic", "heif", "avif"),
+    "doc": ("pdf", "doc", "docx", "rtf", "odt", "epub", "md", "mobi"),
+    "text": ("txt", "json", "yaml", "yml", "xml", "html", "htm", "csv", "tsv", "log"),
+    "archive": ("zip", "tar", "gz", "tgz", "rar", "7z", "bz2", "xz", "zst"),
+    "code": ("py", "js", "ts", "rs", "go", "java", "cpp", "c", "h", "rb", "php", "sh"),
+    "data": ("parquet", "arrow", "feather", "orc", "avro", "msgpack", "pb", "proto"),
+}
+EXTENSION_OF_MIME = {
+    "image/png": "png",
+    "image/jpeg": "jpg",
+    "image/jpg": "jpg",
+    "image/gif": "gif",
+    "image/webp": "webp",
+    "image/bmp": "bmp",
+    "image/tiff": "tiff",
+    "image/tif": "tiff",
+    "image/svg+xml": "svg",
+    "image/x-icon": "ico",
+    "image/vnd.microsoft.icon": "ico",
+    "application/pdf": "pdf",
+    "application/msword": "doc",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.ms-excel": "xls",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.ms-powerpoint": "ppt",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "application/zip": "zip",
+    "application/x-zip-compressed": "zip",
+    "application/x-tar": "tar",
+    "application/gzip": "gz",
+    "application/x-gzip": "gz",
+    "application/x-bzip2": "bz2",
+    "application/x-7z-compressed": "7z",
+    "application/x-rar-compressed": "rar",
+    "application/x-walrus-quilt": "quilt",
+    "video/mp4": "mp4",
+    "video/webm": "webm",
+    "video/quicktime": "mov",
+    "video/x-msvideo": "avi",
+    "video/x-matroska": "mkv",
+    "audio/mpeg": "mp3",
+    "audio/mp3": "mp3",
+    "audio/wav": "wav",
+    "audio/x-wav": "wav",
+    "audio/ogg": "ogg",
+    "audio/flac": "flac",
+    "text/plain": "txt",
+    "text/html": "html",
+    "text/css": "css",
+    "text/javascript": "js",
+    "text/x-python": "py",
+    "application/json": "json",
+    "application/xml": "xml",
+    "text/xml": "xml",
 }
-MIME_EXTENSIONS = {
-    "png": "image/png", "jpg": "image/jpeg image/jpg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff image/tif",
-    "svg": "image/svg+xml", "ico": "image/x-icon image/vnd.microsoft.icon", "pdf": "application/pdf", "doc": "application/msword",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xls": "application/vnd.ms-excel",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "ppt": "application/vnd.ms-powerpoint",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "zip": "application/zip application/x-zip-compressed",
-    "tar": "application/x-tar", "gz": "application/gzip application/x-gzip", "bz2": "application/x-bzip2", "7z": "application/x-7z-compressed",
-    "rar": "application/x-rar-compressed", "quilt": "application/x-quilt", "mp4": "video/mp4", "webm": "video/webm", "mov": "video/quicktime",
-    "avi": "video/x-msvideo", "mkv": "video/x-matroska", "mp3": "audio/mpeg audio/mp3", "wav": "audio/wav audio/x-wav", "ogg": "audio/ogg", "flac": "audio/flac",
-    "txt": "text/plain", "html": "text/html", "css": "text/css", "js": "text/javascript", "py": "text/x-python", "json": "application/json", "xml": "application/xml text/xml",
-}
 HEIC_BRANDS = ("heic", "heix", "heif", "mif1", "msf1")
 AVIF_BRANDS = ("avif", "avis")
 AUDIO_BRANDS = ("M4A ", "M4B ", "f4a ", "F4A ", "M4P ", "mp4a", "aac ")
@@ -44,7 +82,7 @@ def kind_from_extension(ext: Column | str) -> Column:
     ext = F.col(ext) if isinstance(ext, str) else ext
     out = F.lit(None).cast("string")
     for kind, names in reversed(KIND_EXTENSIONS.items()):
-        out = F.when(ext.isin(*names.split()), kind).otherwise(out)
+        out = F.when(ext.isin(*names), kind).otherwise(out)
     return out
 
 
@@ -57,7 +95,7 @@ def kind_from_mime(mime: Column | str) -> Column:
     m = F.col(mime) if isinstance(mime, str) else mime
     out = F.lit("binary")
     rules = [
-        (m == "application/x-quilt", "quilt"), *[(m.startswith(f"{k}/"), k) for k in ("image", "video", "audio", "text")],
+        (m == "application/x-walrus-quilt", "quilt"), *[(m.startswith(f"{k}/"), k) for k in ("image", "video", "audio", "text")],
         (m == "application/pdf", "pdf"), (m.isin("application/zip", "application/x-zip-compressed"), "archive"), (m.startswith("application/"), "application"),
     ]
     for when, kind in reversed(rules):
@@ -70,9 +108,8 @@ def extension_from_mime(mime: Column | str) -> Column:
     m = F.col(mime) if isinstance(mime, str) else mime
     sub = F.regexp_replace(F.regexp_replace(F.element_at(F.split(m, "/"), 2), r"x-|vnd\.", ""), r"\+(xml|json|zip)$", "")
     out = F.when((F.size(F.split(m, "/")) == 2) & sub.rlike("^[A-Za-z0-9]{1,5}$"), sub).otherwise("bin")
-    for ext, names in MIME_EXTENSIONS.items():
-        out = F.when(m.isin(*names.split()), ext).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in EXTENSION_OF_MIME.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, m), out)
 
 
 def kind_from_tags(tags: Column) -> Column:
@@ -151,7 +188,7 @@ def audio_rescue(name: Column | str, kind: Column | str) -> Column:
     """audio for generic kinds whose name has an audio extension."""
     name, kind = (F.col(x) if isinstance(x, str) else x for x in (name, kind))
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
-    return F.when(~kind.isin("audio", "image", "video") & name.contains(".") & ext.isin(*KIND_EXTENSIONS["audio"].split()), "audio").otherwise(kind)
+    return F.when(~kind.isin("audio", "image", "video") & name.contains(".") & ext.isin(*KIND_EXTENSIONS["audio"]), "audio").otherwise(kind)
 
 
 def parent_of(composite: Column | str) -> Column:
@@ -180,14 +217,25 @@ def caption_from_name(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(c, "[-_]+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def u256_to_base64url(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """256-bit decimal ids as little-endian bytes in URL-safe Base64 without padding; null if it is no such number."""
-
-    def one(s: str | None) -> str | None:
-        if not s or not s.isascii() or not s.isdigit() or (n := int(s)) >= 1 << 256:
-            return None
-        return base64.urlsafe_b64encode(n.to_bytes(32, "little")).decode().rstrip("=")
-
+@F.pandas_udf(T.BinaryType())
+def _little_endian(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """256-bit decimal ids as 32 bytes, a digit of all ids at a time; null if it is no such number."""
     for s in ids:
-        yield s.map(one, na_action="ignore")
+        text = s.fillna("").str.replace(r"^0+(?=[0-9])", "", regex=True)
+        ok = text.str.fullmatch("[0-9]{1,78}", flags=re.ASCII).to_numpy(bool)
+        digits = np.frombuffer("".join(text.where(ok, "0").str.zfill(78)).encode(), np.uint8).reshape(len(s), 78).astype(np.uint64) - 48
+        limbs = np.zeros((len(s), 17), np.uint64)  # 16 bits each; the last holds what exceeds 256
+        for place in range(78):
+            limbs *= np.uint64(10)
+            limbs[:, 0] += digits[:, place]
+            for i in range(16):
+                limbs[:, i + 1] += limbs[:, i] >> np.uint64(16)
+                limbs[:, i] &= np.uint64(0xFFFF)
+        ok &= limbs[:, 16] == 0
+        raw = limbs[:, :16].astype("<u2").tobytes()
+        yield pd.Series([raw[32 * i : 32 * i + 32] if good else None for i, good in enumerate(ok)], dtype=object)
+
+
+def u256_to_base64url(ids: Column | str) -> Column:
+    """256-bit decimal ids as little-endian bytes in URL-safe Base64 without padding; null if it is no such number."""
+    return F.rtrim(F.translate(F.base64(_little_endian(ids)), "+/=", "-_ "))

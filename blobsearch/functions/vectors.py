@@ -21,8 +21,10 @@ def norm(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    # one-element arrays bind the vector, then its norm: else both are computed again for every component
+    bound = F.transform(F.array(doubles(v)), lambda e: F.struct(e.alias("v"), norm(e).alias("n")))
+    unit = F.transform(bound, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
+    return F.element_at(unit, 1)
 
 
 def l2_distance(a: Column | str, b: Column | str) -> Column:

@@ -71,9 +71,14 @@ def recall_at(hits: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 
 def first_true_rank(sims: DataFrame, true: Column) -> DataFrame:
-    """query_id, first: the rank of each query's best true row in its similarity order."""
-    r = ranked(sims.withColumn("_true", true), F.col("query_id"), [F.desc("sim"), "blob_id"])
-    return r.groupBy("query_id").agg(F.min(F.when(F.col("_true"), F.col("rank"))).alias("first"))
+    """query_id, first: the rank of each query's best true row in its similarity order; null without a true row.
+
+    The best true row is one aggregate, the rows before it are counted by another: nothing is sorted.
+    """
+    rows = sims.select("query_id", F.struct((-F.col("sim")).alias("s"), "blob_id").alias("place"), true.alias("true"))
+    best = rows.groupBy("query_id").agg(F.min(F.when(F.col("true"), F.col("place"))).alias("best"))
+    before = rows.join(small(best), "query_id").groupBy("query_id", "best").agg(F.count_if(F.col("place") < F.col("best")).alias("n"))
+    return before.select("query_id", F.when(F.col("best").isNotNull(), F.col("n") + 1).alias("first"))
 
 
 def spans(segments: DataFrame, key: str, order: str, duration: str) -> DataFrame:

@@ -73,6 +73,36 @@ def top_k_blocks(df: DataFrame, query: DataFrame, k: int, dim: int) -> DataFrame
     return ranked(found, F.col("query_id"), [F.desc("sim"), "blob_id"]).where(F.col("rank") <= k)
 
 
+def rank_of_own(df: DataFrame, query: DataFrame, dim: int) -> DataFrame:
+    """query_id, first: the rank that the row named like the query has in the query's order. query: query_id, q, own (its similarity to that row).
+
+    Blocks of queries meet blocks of vectors; a pair of blocks returns a count for
+    each query, so nothing is ranked. Ties go to smaller ids.
+    """
+    v = df.select("blob_id", V.doubles("embedding").alias("v")).where(F.size("v") == dim)
+    q = query.select("query_id", V.doubles("q").alias("q"), "own").where(F.size("q") == dim)
+    n_blocks, n_groups = (-(-x.count() // BLOCK) or 1 for x in (v, q))
+    blocks = v.groupBy(F.pmod(F.xxhash64("blob_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("blob_id", "v")).alias("vs"))
+    groups = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp")).agg(F.collect_list(F.struct("query_id", "q", "own")).alias("qs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["block", "grp"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for vs, qs in zip(b["vs"], b["qs"], strict=True):
+                ids, x = np.array(vs.values.field("blob_id").to_pylist()), np.asarray(vs.values.field("v").flatten(), float).reshape(-1, dim)
+                names, y = np.array(qs.values.field("query_id").to_pylist()), np.asarray(qs.values.field("q").flatten(), float).reshape(-1, dim)
+                own = np.round(qs.values.field("own").to_numpy(zero_copy_only=False), 9)
+                ahead = np.zeros(len(names), np.int64)
+                for at in range(0, len(names), ROWS):
+                    part = slice(at, at + ROWS)
+                    sims, mine = np.round(y[part] @ x.T, 9), own[part, None]
+                    ahead[part] = (((sims > mine) & (ids[None, :] != names[part, None])) | ((sims == mine) & (ids[None, :] < names[part, None]))).sum(1)
+                yield pa.record_batch([pa.array(names), pa.array(ahead)], ["query_id", "ahead"])
+
+    return pairs.mapInArrow(count, "query_id string, ahead long").groupBy("query_id").agg((F.sum("ahead") + 1).alias("first"))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case words of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -157,6 +187,40 @@ def mmr(df: DataFrame, k: int, lam: float = 0.85, same_parent: float = 0.15, sch
     return df.select("query_id", "blob_id", "sim", V.doubles("embedding").alias("embedding"), "parent_quilt_id").groupBy("query_id").applyInPandas(choose, "query_id string, blob_id string, mmr_rank long")
 
 
+def cluster_candidates(df: DataFrame, top: int, mult: float = 1.0, rounds: int = 50) -> DataFrame:
+    """Adds cluster_id to candidates (query_id, blob_id, sim, embedding): k-means of each query's own ones, k = round(top * mult), at least 2.
+
+    Candidates of a query are few by contract. They start from the best one and
+    each time the one farthest from all centres; up to ``top`` of them are a
+    cluster each. A candidate without vector gets none and goes.
+    """
+    import pandas as pd
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sim", "blob_id"], ascending=[False, True], ignore_index=True)
+        if len(pdf) <= top:
+            return pdf[["query_id", "blob_id"]].assign(cluster_id=np.arange(len(pdf)))
+        x = np.array(pdf["embedding"].tolist(), float)
+        k = max(2, min(round(top * mult), len(pdf)))
+        centres = [0]
+        far = ((x - x[0]) ** 2).sum(1)
+        while len(centres) < k:
+            centres.append(int(far.argmax()))
+            far = np.minimum(far, ((x - x[centres[-1]]) ** 2).sum(1))
+        c, label = x[centres], None
+        for _ in range(rounds):
+            new = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2).argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            c = np.array([x[label == i].mean(0) if (label == i).any() else c[i] for i in range(k)])
+        return pdf[["query_id", "blob_id"]].assign(cluster_id=label)
+
+    rows = df.where("embedding is not null").select("query_id", "blob_id", "sim", V.doubles("embedding").alias("embedding"))
+    labels = rows.groupBy("query_id").applyInPandas(cluster, "query_id string, blob_id string, cluster_id long")
+    return df.join(labels, ["query_id", "blob_id"])
+
+
 def rerank_clusters(df: DataFrame, cluster: str = "label") -> DataFrame:
     """Round robin over clusters: the best of each cluster, then the second of each; clusters by their sum of sim."""
     sums = df.groupBy("query_id", cluster).agg(F.round(F.sum("sim"), 9).alias("mass"))

@@ -191,12 +191,12 @@ def _(t):
 
 
 @query("modality_counts", f"""
-WITH a AS (SELECT {_BUCKET} AS bucket, count(*) AS n FROM v_vectors GROUP BY 1), b AS (SELECT {_BUCKET} AS bucket, count(*) AS n FROM v_blobs WHERE indexed AND CAST(blob_id AS BIGINT) < 900 GROUP BY 1)
+WITH a AS (SELECT {_BUCKET} AS bucket, count(*) AS n FROM v_vectors GROUP BY 1), b AS (SELECT {_BUCKET} AS bucket, count(*) AS n FROM v_blobs WHERE indexed GROUP BY 1)
 SELECT coalesce(a.bucket, b.bucket) AS bucket, CAST(greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS BIGINT) AS n FROM a FULL OUTER JOIN b ON a.bucket = b.bucket
 """)
 def _(t):
     tally = lambda df: df.groupBy(C.modality("kind").alias("bucket")).agg(F.count("*").alias("n"))
-    return C.larger_counts(tally(t.v_vectors), tally(t.v_blobs.where("indexed and cast(blob_id as bigint) < 900")), "bucket")
+    return C.larger_counts(tally(t.v_vectors), tally(t.v_blobs.where("indexed")), "bucket")
 
 
 @query("cluster_sizes", "SELECT cluster_id, CAST(count(*) AS BIGINT) AS n FROM v_blobs WHERE indexed AND cluster_id IS NOT NULL GROUP BY 1")

@@ -44,7 +44,7 @@ def _(t):
     return _sniffed(t).where(F.col("extension").isin("m4a", "mp4", "heic", "avif")).groupBy("extension").agg(F.count("*").alias("n"))
 
 
-@query("kind_from_mime", "SELECT blob_id, CASE WHEN mime_type = 'application/x-quilt' THEN 'quilt' WHEN mime_type IS NULL THEN 'binary' ELSE split_part(mime_type, '/', 1) END AS kind FROM v_blobs")
+@query("kind_from_mime", "SELECT blob_id, CASE WHEN mime_type = 'application/x-walrus-quilt' THEN 'quilt' WHEN mime_type IS NULL THEN 'binary' ELSE split_part(mime_type, '/', 1) END AS kind FROM v_blobs")
 def _(t):
     return t.v_blobs.select("blob_id", X.kind_from_mime(F.coalesce("mime_type", F.lit(""))).alias("kind"))
 
@@ -179,9 +179,9 @@ def _(t):
     return L.caption_annotations(images, ann)
 
 
-@query("src_split_json", "SELECT doc_id AS image_id, source AS file_name, list_transform(string_split(substr(text, 1, 60), '.'), lambda x: trim(x)) AS captions FROM documents WHERE lang = 'de'")
+@query("src_split_json", "SELECT doc_id AS image_id, source AS file_name, list_transform(string_split(text, '.'), lambda x: trim(x)) AS captions FROM documents WHERE lang = 'de'")
 def _(t):
-    sentences = F.transform(F.split(F.substring("text", 1, 60), r"\."), lambda s: F.struct(s.alias("raw")))
+    sentences = F.transform(F.split("text", r"\."), lambda s: F.struct(s.alias("raw")))
     rows = t.documents.select(F.lit(None).cast("long").alias("cocoid"), F.col("doc_id").alias("imgid"), F.col("source").alias("filename"), F.col("lang").alias("split"), sentences.alias("sentences"))
     return L.split_annotations(rows, "de")
 
@@ -209,9 +209,9 @@ def _(t):
     return t.v_payloads.select("blob_id", L.decode_text(F.unhex("h")).alias("text"))
 
 
-@query("text_windows", "WITH n AS (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 400 THEN 1 ELSE least(64, ceil((length(text) - 400) / 360.0) + 1) END AS BIGINT))) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(n AS INT) AS n, md5(substr(text, n * 360 + 1, 400)) AS piece FROM n")
+@query("text_windows", "WITH n AS (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) <= 400 THEN 1 ELSE ceil((length(text) - 400) / 360.0) + 1 END AS BIGINT))) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(n AS INT) AS n, md5(substr(text, n * 360 + 1, 400)) AS piece FROM n")
 def _(t):
-    return R.text_windows(t.documents, "text", 400, 40).select("doc_id", "n", F.md5("piece").alias("piece"))
+    return R.text_windows(t.documents, "text", 400, 40, None).select("doc_id", "n", F.md5("piece").alias("piece"))
 
 
 @query("prompt_expand", "SELECT p_partkey, t.i AS template, replace(t.f, '{}', p_brand) AS prompt FROM part, (VALUES (0, 'a photo of {}'), (1, 'a drawing of {}'), (2, '{} at night')) t(i, f)")

@@ -318,12 +318,11 @@ def _(t):
     return hits.groupBy("query_id").agg(F.round(F.avg(F.when(F.col("caption").rlike("the|and"), 1.0).otherwise(0.0)), 6).alias("p"))
 
 
-@query("recall_i2i", f"WITH q AS (SELECT blob_id AS query_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), lambda p: p[1] + 0.3 * p[2]) AS q FROM v_vectors WHERE CAST(blob_id AS BIGINT) % 5 = 0), r AS (SELECT query_id, blob_id, row_number() OVER (PARTITION BY query_id ORDER BY {DOT.format('embedding', 'q')} DESC, blob_id) AS rank FROM v_vectors, q) SELECT {_recalls(1, 5)} FROM (SELECT query_id, min(CASE WHEN query_id = blob_id THEN rank END) AS first FROM r GROUP BY 1)")
+@query("recall_i2i", f"WITH q AS (SELECT blob_id AS query_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), lambda p: p[1] + 0.3 * p[2]) AS q FROM v_vectors), r AS (SELECT query_id, blob_id, row_number() OVER (PARTITION BY query_id ORDER BY round({DOT.format('embedding', 'q')}, 9) DESC, blob_id) AS rank FROM v_vectors, q) SELECT {_recalls(1, 5)} FROM (SELECT query_id, min(CASE WHEN query_id = blob_id THEN rank END) AS first FROM r GROUP BY 1)")
 def _(t):
     e = V.doubles("embedding")
-    q = t.v_vectors.where("cast(blob_id as bigint) % 5 = 0").select(F.col("blob_id").alias("query_id"), F.zip_with(e, F.reverse(e), lambda a, b: a + 0.3 * b).alias("q"))
-    sims = t.v_vectors.crossJoin(S.small(q)).select("query_id", "blob_id", V.dot("embedding", "q").alias("sim"))
-    return J.recall_at(J.first_true_rank(sims, F.col("query_id") == F.col("blob_id")), (1, 5))
+    q = t.v_vectors.select(F.col("blob_id").alias("query_id"), F.zip_with(e, F.reverse(e), lambda a, b: a + 0.3 * b).alias("q"), "embedding")
+    return J.recall_at(S.rank_of_own(t.v_vectors, q.withColumn("own", V.dot("embedding", "q")), 64), (1, 5))
 
 
 @query("pca_2d")
@@ -356,10 +355,10 @@ c AS (SELECT blob_id, CAST(concat('0x', substr(md5(t), 1, 8)) AS BIGINT) % 64 AS
 SELECT blob_id, CAST(i AS INT) AS i, round(n / norm, 6) AS x FROM c JOIN l USING (blob_id)
 """)
 def _(t):
-    from blobsearch.functions.encode import hashed_vector
+    from blobsearch.functions.encode import hashed_vectors
 
-    v = t.v_captions.select("blob_id", hashed_vector("caption", 64).alias("v"))
-    return v.select("blob_id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("blob_id", "i", F.round("x", 6).alias("x"))
+    v = hashed_vectors(t.v_captions, "blob_id", "caption", 64)
+    return v.select("blob_id", F.posexplode("embedding").alias("i", "x")).where("x <> 0").select("blob_id", "i", F.round("x", 6).alias("x"))
 
 
 @query("interval_iou", "SELECT p_partkey, round(greatest(0, least(p_size, 30) - greatest(p_size % 7, 5)) / nullif((p_size - p_size % 7) + (30 - 5) - greatest(0, least(p_size, 30) - greatest(p_size % 7, 5)), 0)::DOUBLE, 6) AS iou FROM part")

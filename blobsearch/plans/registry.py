@@ -30,7 +30,7 @@ VIEWS = {
           CAST(FLOOR(o_totalprice) AS BIGINT) AS size, CONCAT('0x', CAST(o_custkey AS STRING)) AS owner,
           CASE WHEN MOD(o_orderkey, 3) = 0 THEN 'graphql' ELSE 'listing' END AS source,
           CASE MOD(o_orderkey, 7) WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'audio/mpeg'
-            WHEN 4 THEN 'text/plain' WHEN 5 THEN 'application/x-quilt' ELSE NULL END AS mime_type,
+            WHEN 4 THEN 'text/plain' WHEN 5 THEN 'application/x-walrus-quilt' ELSE NULL END AS mime_type,
           CASE MOD(o_orderkey, 7) WHEN 0 THEN 'png' WHEN 1 THEN ' JPG ' WHEN 2 THEN 'mp4' WHEN 3 THEN 'mp3' WHEN 4 THEN '' WHEN 5 THEN 'quilt' ELSE NULL END AS extension,
           CASE MOD(o_orderkey, 7) WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'video' WHEN 3 THEN 'audio' WHEN 4 THEN 'text' WHEN 5 THEN 'quilt' ELSE NULL END AS kind,
           MOD(o_orderkey, 5) <> 0 AS is_active,
@@ -57,7 +57,7 @@ VIEWS = {
     "v_queries": "SELECT CAST(vec_id AS STRING) AS query_id, embedding AS q, label AS truth FROM embeddings WHERE vec_id < 10",
     "v_prototypes": "SELECT CAST(vec_id AS STRING) AS proto_id, embedding AS p FROM embeddings WHERE vec_id BETWEEN 10 AND 17",
     "v_anchors": "SELECT CAST(vec_id AS STRING) AS anchor_id, embedding AS a, MOD(vec_id, 7) AS x FROM embeddings WHERE vec_id < 12",
-    "v_captions": "SELECT CAST(doc_id AS STRING) AS blob_id, SUBSTRING(text, 1, 400) AS caption, lang FROM documents",
+    "v_captions": "SELECT CAST(doc_id AS STRING) AS blob_id, text AS caption, lang FROM documents",
     "v_events": """
         SELECT event_id, ts, event_type AS type, CASE WHEN MOD(event_id, 10) = 0 THEN '' ELSE CAST(MOD(event_id, 4000) AS STRING) END AS blob_id,
           CAST(MOD(user_id, 12) AS STRING) AS upstream, value / 10.0 AS latency_secs, event_type <> 'error' AS ok

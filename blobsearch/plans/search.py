@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blobsearch.functions import vectors as V
 from blobsearch.operators import catalog as C
+from blobsearch.operators import judge as J
 from blobsearch.operators import search as S
 
 from .registry import query
@@ -43,12 +44,12 @@ def _(t):
 
 
 @query("reshape_dim", """
-WITH s AS (SELECT blob_id, CAST(embedding[1:40] AS DOUBLE[]) AS e FROM v_vectors)
-SELECT blob_id, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)) AS cut, list_concat(list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)), [0.0, 0.0]) AS padded FROM s
+WITH s AS (SELECT blob_id, CAST(embedding[1:40] AS DOUBLE[]) AS e FROM v_vectors), c AS (SELECT blob_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS c FROM s)
+SELECT blob_id, list_transform(c, lambda x: round(x, 6)) AS cut, list_concat(list_transform(c, lambda x: round(x / sqrt(list_dot_product(c, c)), 6)), [0.0, 0.0]) AS padded FROM c
 """)
 def _(t):
     cut = t.v_vectors.select("blob_id", V.reshape_dim("embedding", 40).alias("c"))
-    return cut.select("blob_id", V.rounded("c", 4).alias("cut"), V.rounded(V.reshape_dim("c", 42), 4).alias("padded"))
+    return cut.select("blob_id", V.rounded("c").alias("cut"), V.rounded(V.reshape_dim("c", 42)).alias("padded"))
 
 
 @query("blend", """
@@ -307,6 +308,12 @@ def _(t):
     return S.rerank_clusters(_candidates(t)).select("query_id", "blob_id", "final_rank")
 
 
+@query("rerank_cluster_search")
+def _(t):
+    clustered = S.cluster_candidates(_candidates(t).drop("label"), 10)
+    return S.rerank_clusters(clustered, "cluster_id").where("final_rank <= 10").select("query_id", "blob_id", "cluster_id", "cluster_rank", "final_rank")
+
+
 @query("cross_encoder_rerank")
 def _(t):
     import numpy as np
@@ -375,7 +382,7 @@ def _(t):
 @query("rank_of_truth", f"WITH r AS (SELECT query_id, label, q.truth, row_number() OVER (PARTITION BY query_id ORDER BY {DOT.format('embedding', 'q')} DESC, blob_id) AS rank FROM v_vectors v, v_queries q), f AS (SELECT query_id, min(rank) AS first FROM r WHERE label = truth GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, median(first) AS median_rank, round(avg(first), 6) AS mean_rank FROM f")
 def _(t):
     sims = t.v_vectors.crossJoin(S.small(t.v_queries)).select("query_id", "blob_id", "label", "truth", V.dot("embedding", "q").alias("sim"))
-    first = S.ranked(sims, F.col("query_id"), [F.desc("sim"), "blob_id"]).where("label = truth").groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = J.first_true_rank(sims, F.col("label") == F.col("truth")).where("first is not null")
     return first.agg(F.count("*").alias("n"), F.median("first").alias("median_rank"), F.round(F.avg("first"), 6).alias("mean_rank"))
 
 
@@ -397,12 +404,13 @@ def _(t):
     return t.v_blobs.where("is_nsfw").orderBy(F.desc("nsfw_score"), "blob_id").offset(40).limit(20).select("blob_id", "nsfw_score")
 
 
-@query("page_size_sort", "SELECT blob_id, CAST(row_number() OVER (ORDER BY coalesce(try_cast(raw AS BIGINT), 0) DESC, blob_id) AS INT) AS pos FROM (SELECT blob_id, CASE WHEN CAST(blob_id AS BIGINT) % 5 = 0 THEN 'bad' ELSE CAST(size AS VARCHAR) END AS raw FROM v_blobs WHERE CAST(blob_id AS BIGINT) < 400)")
+@query("page_size_sort", "SELECT page, blob_id, CAST(row_number() OVER (PARTITION BY page ORDER BY coalesce(try_cast(raw AS BIGINT), 0) DESC, blob_id) AS INT) AS pos FROM (SELECT CAST(floor(CAST(blob_id AS BIGINT) / 400) AS BIGINT) AS page, blob_id, CASE WHEN CAST(blob_id AS BIGINT) % 5 = 0 THEN 'bad' ELSE CAST(size AS VARCHAR) END AS raw FROM v_blobs)")
 def _(t):
-    page = t.v_blobs.where("cast(blob_id as bigint) < 400").select("blob_id", F.when(F.col("blob_id").cast("long") % 5 == 0, "bad").otherwise(F.col("size").cast("string")).alias("raw"))
-    # one page of a listing
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.coalesce(F.expr("try_cast(raw AS BIGINT)"), F.lit(0))), "blob_id")
-    return page.select("blob_id", F.row_number().over(w).alias("pos"))
+    # every page of a listing by itself
+    n = F.col("blob_id").cast("long")
+    rows = t.v_blobs.select(F.floor(n / 400).alias("page"), "blob_id", F.when(n % 5 == 0, "bad").otherwise(F.col("size").cast("string")).alias("raw"))
+    w = Window.partitionBy("page").orderBy(F.desc(F.coalesce(F.expr("try_cast(raw AS BIGINT)"), F.lit(0))), "blob_id")
+    return rows.select("page", "blob_id", F.row_number().over(w).alias("pos"))
 
 
 @query("list_order_active", "SELECT blob_id, is_active, end_epoch FROM v_blobs ORDER BY is_active DESC, end_epoch DESC NULLS LAST, blob_id LIMIT 200")

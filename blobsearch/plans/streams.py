@@ -47,10 +47,10 @@ def _(t):
     return table.read()
 
 
-@query("stream_backfill_listen", f"SELECT coalesce(b.blob_id, e.blob_id) AS blob_id, coalesce(e.status, b.status) AS status FROM (SELECT blob_id, status FROM v_blobs WHERE CAST(blob_id AS BIGINT) < 3000) b FULL OUTER JOIN ({_LAST}) e ON b.blob_id = e.blob_id")
+@query("stream_backfill_listen", f"SELECT coalesce(b.blob_id, e.blob_id) AS blob_id, coalesce(e.status, b.status) AS status FROM v_blobs b FULL OUTER JOIN ({_LAST}) e ON b.blob_id = e.blob_id")
 def _(t):
     table = H.VersionedTable(t.spark, H.new_path(t.spark, "catalog"))
-    table.replace(t.v_blobs.where("cast(blob_id as bigint) < 3000").select("blob_id", "status"))
+    table.replace(t.v_blobs.select("blob_id", "status"))
     rows = J.with_id(event_stream(t)).select("blob_id", F.col("type").alias("status"), "event_id")
     J.run_available(rows, J.merge_into(table, {"status": "overwrite"}, "event_id"), H.new_path(t.spark, "checkpoint"))
     return table.read()
@@ -68,23 +68,35 @@ def _(t):
 @query("stream_coverage", "SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (blob_id <> '') AS BIGINT) AS with_id FROM v_events GROUP BY type")
 def _(t):
     table = H.VersionedTable(t.spark, H.new_path(t.spark, "coverage"))
-    counts = J.coverage(event_stream(t)).writeStream.outputMode("complete").foreachBatch(lambda b, _: table.replace(b))
-    counts.option("checkpointLocation", H.new_path(t.spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    J.run_table(J.coverage(event_stream(t)), "complete", J.replace_with(table), H.new_path(t.spark, "checkpoint"))
     return table.read()
 
 
 @query("stream_retry_budget", "SELECT blob_id, CAST(count(*) AS BIGINT) AS failures, CASE WHEN count(*) >= 3 THEN 'failed' ELSE 'requeue' END AS action FROM v_events WHERE NOT ok AND blob_id <> '' GROUP BY 1")
 def _(t):
-    return J.retry_budget(t.v_events.where("not ok and blob_id <> ''"))
+    table = H.VersionedTable(t.spark, H.new_path(t.spark, "retries"))
+    failures = J.with_id(event_stream(t)).where("not ok")
+    J.run_table(J.retry_budget(failures), "complete", J.replace_with(table), H.new_path(t.spark, "checkpoint"))
+    return table.read()
 
 
-@query("stream_health", """
+_HEALTH = """
 WITH s AS (SELECT upstream, list(CASE WHEN ok THEN latency_secs ELSE greatest(latency_secs, 4.0) END ORDER BY ts, event_id) AS l, list(ok ORDER BY ts, event_id) AS oks, max(CASE WHEN NOT ok THEN ts END) AS bad FROM v_events GROUP BY 1)
 SELECT upstream, CAST(len(l) AS BIGINT) AS requests, CAST(len(list_filter(oks, lambda x: NOT x)) AS BIGINT) AS failures,
   round(list_reduce(list_concat([CAST(1.0 AS DOUBLE)], l), lambda a, x: 0.25 * x + 0.75 * a), 6) AS ema,
   CAST(coalesce(list_position(list_reverse(oks), TRUE) - 1, len(oks)) AS BIGINT) AS streak,
   coalesce(list_position(list_reverse(oks), TRUE) - 1, len(oks)) >= 3 AND epoch(bad) + 60 > epoch(TIMESTAMP '2024-01-31 00:00:00') AS tripped FROM s
-""")
+"""
+
+
+@query("stream_health", _HEALTH)
+def _(t):
+    table = H.VersionedTable(t.spark, H.new_path(t.spark, "health"))
+    J.run_table(J.health_stream(event_stream(t)), "update", J.keep_latest(table, "upstream"), H.new_path(t.spark, "checkpoint"))
+    return J.tripped(table.read(), AS_OF).withColumn("ema", F.round("ema", 6))
+
+
+@query("health_of_log", _HEALTH)
 def _(t):
     return J.health(t.v_events.withColumn("ts", F.col("ts").cast("timestamp")), AS_OF).withColumn("ema", F.round("ema", 6))
 

@@ -52,6 +52,26 @@ def merge_into(table: VersionedTable, rules: dict[str, str], order: str) -> Call
     return merge
 
 
+def replace_with(table: VersionedTable) -> Callable[[DataFrame, int], None]:
+    """A batch sink for a stream in complete mode: each result replaces the one before."""
+    return lambda batch, _: table.replace(batch)
+
+
+def keep_latest(table: VersionedTable, key: str) -> Callable[[DataFrame, int], None]:
+    """A batch sink for a stream in update mode: a key's new row replaces its old one; a repeated batch changes nothing."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        old = table.read()
+        table.replace(batch if old is None else old.join(batch.select(key), key, "left_anti").unionByName(batch))
+
+    return merge
+
+
+def run_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """A stateful stream over all that has arrived, in the given output mode."""
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def coverage(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("blob_id") != "").alias("with_id"))
 
@@ -81,16 +101,23 @@ def health(log: DataFrame, as_of: str, reach: int = 200) -> DataFrame:
 
 
 def health_stream(log: DataFrame) -> DataFrame:
-    """upstream, requests, failures, ema, streak after each batch of a request stream; state is four numbers for each upstream."""
+    """upstream, requests, failures, ema, streak, last_bad (seconds) after each batch of a request stream; state is five numbers for each upstream."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, bad, ema, streak = state.get if state.exists else (0, 0, START, 0)
+        n, bad, ema, streak, last = state.get if state.exists else (0, 0, START, 0, float("-inf"))
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ok, lat in zip(rows["ok"], rows["latency_secs"], strict=True):
+        for at, ok, lat in zip(rows["ts"], rows["ok"], rows["latency_secs"], strict=True):
             n, bad, streak = n + 1, bad + (not ok), 0 if ok else streak + 1
+            last = last if ok else max(last, at.timestamp())
             ema = ALPHA * (lat if ok else max(lat, PENALTY)) + (1 - ALPHA) * ema
-        state.update((n, bad, ema, streak))
-        yield pd.DataFrame({"upstream": [key[0]], "requests": [n], "failures": [bad], "ema": [ema], "streak": [streak]})
+        state.update((n, bad, ema, streak, last))
+        yield pd.DataFrame({"upstream": [key[0]], "requests": [n], "failures": [bad], "ema": [ema], "streak": [streak], "last_bad": [last]})
+
+    numbers = "requests long, failures long, ema double, streak long, last_bad double"
+    return log.groupBy("upstream").applyInPandasWithState(fold, f"upstream string, {numbers}", numbers, "update", GroupStateTimeout.NoTimeout)
+
 
-    schema = "upstream string, requests long, failures long, ema double, streak long"
-    return log.groupBy("upstream").applyInPandasWithState(fold, schema, "requests long, failures long, ema double, streak long", "update", GroupStateTimeout.NoTimeout)
+def tripped(health: DataFrame, as_of: str) -> DataFrame:
+    """Adds whether an upstream is tripped at ``as_of`` to rows of ``health_stream``."""
+    cooling = F.col("last_bad") + COOLDOWN > F.unix_timestamp(F.lit(as_of).cast("timestamp"))
+    return health.withColumn("tripped", (F.col("streak") >= TRIP) & cooling).drop("last_bad")
