@@ -7,6 +7,10 @@ becomes an immutable run, bucketed and sorted by fingerprint, that is
 merge-joined with the historical runs. Windows of matched fingerprints are then
 verified: their full hashes decide exactly which of them start earlier
 elsewhere. Runs are compacted when there are too many.
+
+A fingerprint that a task meets in several documents is matched by that alone:
+the task tells its documents at once, and the index gets one entry for them all,
+so an entry's row is as short and a fingerprint's rows are as few as tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import hashlib
 import itertools
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +32,10 @@ from .store import documents_of, drop_path, new_path, partitions, settle, table
 WINDOW, GRAM = 20, 8
 #: Entries that a task gathers before it sorts them and passes them on.
 FLUSH = 1_000_000
-#: From this many documents of one task on, a fingerprint is one row.
-COMBINE = 4
+#: From this many documents of one task on, a fingerprint is one entry.
+COMBINE = 3
+#: Documents of a told list.
+TOLD_LIST = 4096
 #: Fewest tasks that compare full windows. A document's later windows come back in at most one row from each.
 TASKS = 64
 
@@ -69,7 +76,7 @@ def _gather(batches: Iterator[pa.RecordBatch], each, flush, limit: int = FLUSH)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """fp, doc_id, more: the fingerprints of each document; ``more``: further documents of the same task."""
+    """place, fp, doc_id, told: entries of the index (place is the fingerprint; no fp, no told), and lists of documents of one task that share fp (told; place: any)."""
 
     def each(b: pa.RecordBatch, s: textnum.Segment):
         rows, _, fp, at = _windows(s)
@@ -89,54 +96,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
         size = np.diff(np.append(head, len(fp)))
         many = (size >= COMBINE) | np.logical_or.reduceat(same, head)
-        alone = np.repeat(~many, size)
-        yield pa.record_batch([pa.array(fp[alone].view(np.int64)), pa.array(doc[alone]), pa.nulls(int(alone.sum()), pa.list_(pa.int64()))], ["fp", "doc_id", "more"])
+        entry = np.repeat(~many, size)
+        entry[head] = True
+        n, names = int(entry.sum()), ["place", "fp", "doc_id", "told"]
+        yield pa.record_batch([pa.array(fp[entry].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(doc[entry]), pa.nulls(n, pa.list_(pa.int64()))], names)
         if many.any():
-            rest = ~alone
-            rest[head] = False
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size[many] - 1)]).astype(np.int32), pa.array(doc[rest]))
-            yield pa.record_batch([pa.array(fp[head[many]].view(np.int64)), pa.array(doc[head[many]]), lists], ["fp", "doc_id", "more"])
+            fp, doc = fp[np.repeat(many, size)], doc[np.repeat(many, size)]
+            at = np.arange(len(fp)) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
+            head = np.flatnonzero(at % TOLD_LIST == 0)
+            lists = pa.ListArray.from_arrays(np.append(head, len(fp)).astype(np.int32), pa.array(doc))
+            place = textnum.mix(fp[head] + doc[head].astype(np.uint64)).view(np.int64)
+            yield pa.record_batch([pa.array(place), pa.array(fp[head].view(np.int64)), pa.array(doc[head]), lists], names)
 
     known = documents_of(docs).where("doc_id is not null and text is not null")
-    return known.mapInArrow(lambda batches: _gather(batches, each, flush), "fp long, doc_id long, more array<long>")
+    return known.mapInArrow(lambda batches: _gather(batches, each, flush), "place long, fp long, doc_id long, told array<long>")
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of fingerprints in the shared folder; at ``fanout`` runs they are merged into one."""
+    """Immutable runs of fingerprints in the shared folder, bucketed and sorted; at ``fanout`` runs they are merged into one.
+
+    ``runs`` (names and paths of tables) of an index that was not closed open it again.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, runs: list[tuple[str, str]] | None = None, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.buckets = partitions(spark)
-        self.runs: list[tuple[str, str]] = []
+        self.buckets = buckets or partitions(spark)
+        self.runs: list[tuple[str, str]] = list(runs or [])
 
-    def _write(self, entries: DataFrame) -> tuple[str, str]:
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        """rows: dealt to tasks by ``place`` already."""
         name, path = f"fingerprints_{uuid.uuid4().hex}", new_path(self.spark, "run")
-        entries.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
+        rows.write.partitionBy("kind").bucketBy(self.buckets, "place").sortBy("place").option("path", path).saveAsTable(name)
         return name, path
 
+    def _entries(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("kind = 'entry'").select("place", "doc_id")
+
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Adds a batch; returns doc_id, fp (with repeats) of new and old documents that share a fingerprint through it."""
-        run = self._write(fingerprints(batch))
-        new = self.spark.table(run[0])
-        inside = new.withColumn("n", F.count("*").over(Window.partitionBy("fp"))).where("n > 1 or more is not null").drop("n")
+        rows = fingerprints(batch).withColumn("kind", F.when(F.col("told").isNull(), "entry").otherwise("told"))
+        run = self._write(rows.repartition(self.buckets, "place"))
+        new = self._entries(run[0])
+        inside = new.withColumn("n", F.count("*").over(Window.partitionBy("place"))).where("n > 1").drop("n")
         found = [inside]
         for name, _ in self.runs:
-            old = self.spark.table(name)
-            found.append(new.join(old.select("fp").hint("merge"), "fp", "left_semi"))
-            found.append(old.join(new.select("fp").hint("merge"), "fp", "left_semi"))
-        matched = found[0]
-        for x in found[1:]:
-            matched = matched.unionByName(x)
-        pairs = settle(matched.select(F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"), "fp"), "matched")
+            old = self._entries(name)
+            found.append(new.join(old.select("place").hint("merge"), "place", "left_semi"))
+            found.append(old.join(new.select("place").hint("merge"), "place", "left_semi"))
+        told = self.spark.table(run[0]).where("kind = 'told'").select(F.explode("told").alias("doc_id"), "fp")
+        matched = reduce(DataFrame.unionByName, [x.select("doc_id", F.col("place").alias("fp")) for x in found], told)
+        pairs = settle(matched, "matched")
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
         return pairs
 
     def compact(self) -> None:
-        merged = self.spark.table(self.runs[0][0])
-        for name, _ in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(name))
+        """Merges all runs' entries into one run. Runs are read bucket by bucket, so nothing is shuffled."""
+        merged = reduce(DataFrame.unionByName, [self._entries(name) for name, _ in self.runs])
+        merged = merged.select("place", F.lit(None).cast("long").alias("fp"), "doc_id", F.lit(None).cast("array<long>").alias("told"), F.lit("entry").alias("kind"))
         old, self.runs = self.runs, [self._write(merged)]
         self._drop(old)
 
@@ -260,19 +278,19 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         yield pa.record_batch(out[: 4 + with_text], names[: 4 + with_text])
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 3, fanout: int = 2, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept): one row for each row of ``docs``.
 
     A word goes if a 20-word window over it also starts earlier (smaller doc_id,
     or same document and earlier start). The corpus enters the index in
-    ``batches`` batches by hash of doc_id. Null and empty texts have no words; a
+    ``batches`` batches by hash of doc_id, and its runs are compacted at ``fanout``. Null and empty texts have no words; a
     null doc_id keeps all its words and repeats no other's; rows that repeat a
     doc_id are one document, none earlier than the other. Extra columns are
     ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = documents_of(docs)
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, fanout)
     pairs = None
     for k in range(batches):
         got = index.ingest(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))

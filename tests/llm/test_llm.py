@@ -66,13 +66,19 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert sorted((x.doc_id or 0, x.n_removed) for x in substring.dedup_substrings(df, with_text=True).collect()) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
-def test_index_compacts(spark, docs, rows):
+def test_index_compacts_and_opens_again(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substring, "TOLD_LIST", 2)
     index = substring.FingerprintIndex(spark, fanout=2)
     pairs = None
     for k in range(3):
         got = index.ingest(docs.where(F.col("doc_id") % 3 == k))
         pairs = got if pairs is None else pairs.unionByName(got)
-    assert len(index.runs) < 3
+        assert len(index.runs) == 1
+        index = substring.FingerprintIndex(spark, 2, index.runs, index.buckets)
+    once = substring.FingerprintIndex(spark)
+    each = lambda x: {tuple(r) for r in x.collect()}
+    assert each(pairs) == each(once.ingest(docs))
+    once.close()
     later = substring.later_windows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), pairs)
     starts = {(r.doc_id, int(s)) for r in later.collect() for s in np.frombuffer(r.starts, "<i4")}
     index.close()
