@@ -147,7 +147,7 @@ def phrase_matches(index: DataFrame, plan: DataFrame, lengths: list[int], lists:
     lead = plan.select("item_id", "length", "phrase", F.col("rare")[0]["term"].alias("term"), F.col("rare")[0]["offset"].alias("offset"), "rare")
     postings = index.where("term is not null")
     found = (
-        postings.join(lead, "term")
+        postings.join(told(lead), "term")
         .withColumn("here", F.col("phrases")[slot[F.col("length")] + F.col("offset")])
         .where("here <> 0")
         .select("item_id", "doc_id", (F.col("pos") - F.col("offset")).alias("at"), "length", "phrase", "here", "rare")
@@ -161,10 +161,10 @@ def phrase_matches(index: DataFrame, plan: DataFrame, lengths: list[int], lists:
 
 
 def proximity_matches(index: DataFrame, plan: DataFrame, slop: int = 20, lists: int = LISTS) -> DataFrame:
-    """item_id, doc_id, at: documents that hold the rarest terms of a window within ``slop`` words of each other."""
+    """item_id, doc_id, at: places of a window's rarest term with its next rarest ones within ``slop`` words."""
     lead = plan.select("item_id", "start", F.col("rare")[0]["term"].alias("term"), F.expr(f"transform(slice(rare, 2, {lists - 1}), x -> x.term)").alias("others"))
     postings = index.where("term is not null").select("term", "doc_id", "pos")
-    found = postings.join(lead, "term").select("item_id", "start", "doc_id", F.col("pos").alias("at"), "others")
+    found = postings.join(told(lead), "term").select("item_id", "start", "doc_id", F.col("pos").alias("at"), "others")
     near = postings.select(F.col("term").alias("o_term"), F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"))
     for k in range(lists - 1):
         found = found.withColumn("want", F.expr(f"others[{k}]"))
@@ -193,8 +193,11 @@ def _parts(terms: DataFrame) -> list[DataFrame]:
     return [terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items array<string>: one row for each row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, proximity: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items array<string> and, with ``proximity``, n_near: one row for each row of ``docs``.
+
+    n_near: items of which a window's rarest terms stand near each other (proximity
+    matches, exact ones among them).
 
     Null and empty texts have no words. Repeated benchmark items count each under
     its own item_id; items or documents without an id match nothing. Rows that
@@ -216,7 +219,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     hits = per_doc.mapInArrow(_covered, "doc_id long, n_hit long, items array<string>")
     words = index.where("term is null").select("doc_id", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return words.join(hits, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items")).withColumn("n_items", F.size("items").cast("long"))
+    out = words.join(hits, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items")).withColumn("n_items", F.size("items").cast("long"))
+    if not proximity:
+        return out
+    near = proximity_matches(index, plan).select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_near"))
+    return out.join(near, "doc_id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
 def _contaminated():
@@ -225,7 +232,7 @@ def _contaminated():
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), _contaminated().alias("contaminated"), "n_near")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -236,6 +243,6 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     columns are kept as they are, whatever their names.
     """
     keyed, key = with_row_key(docs)
-    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), proximity=False)
     bad = settle(found.where(_contaminated()).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
     return keyed.join(told(bad), key, "left_anti").drop(key)
