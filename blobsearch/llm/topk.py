@@ -1,10 +1,10 @@
 """Exact top-k search with vector-approximation files.
 
-Every vector is stored with a quantised cell for each component. A block of
-queries scans the cells of a block of vectors for bounds of the inner product;
-then the exact vectors are read in the order of their bounds until the k-th
-score is certain. Blocks keep memory fixed; each answers with its own k best
-rows for each query, of which the k best overall are the result.
+A file of its own holds a quantised cell, one byte, for each component of every
+vector. A block of queries scans the cells of a block of vectors for bounds of
+the inner product and answers with the rows that may be among a query's k best.
+Then exact vectors are read in the order of their bounds: the best ones first,
+and of the others those whose bound reaches the k-th score found.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import settle, table
+from .store import settle, table, told
 
 K, SCALE, EVERY = 5, 256, 50
-CELLS = 64
+CELLS = 256
 #: Vectors and queries of a block, on average.
 VECTORS, QUERIES = 8192, 1024
-#: Exact vectors read at a time.
+#: Exact vectors that are read first for each query.
 READ = 32
 
 
@@ -40,62 +40,48 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def approximation_file(vectors: DataFrame, cells: int = CELLS) -> tuple[DataFrame, float, float]:
-    """Adds cell array<short> to vectors; also the lower end of the first cell and a cell's width."""
-    ends = vectors.where("dim > 0").agg(F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi")).first()
+    """dim, block, ids, cells (bytes, one for each component of each vector); also the lower end of the first cell and a cell's width."""
+    ends = vectors.where("dim > 0").agg(F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.count("*").alias("n")).first()
     lo, hi = (float(ends["lo"]), float(ends["hi"])) if ends["lo"] is not None else (0.0, 0.0)
     width = max((hi - lo) / cells, 1.0)
-    cell = F.transform("v", lambda c: F.least(F.floor((c - F.lit(lo)) / width), F.lit(cells - 1)).cast("short"))
-    return vectors.withColumn("cell", cell), lo, width
+    cell = F.transform("v", lambda c: (F.least(F.floor((c - F.lit(lo)) / width), F.lit(cells - 1)) - 128).cast("byte"))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-ends["n"] // VECTORS) or 1)).alias("block")
+    return vectors.groupBy("dim", block).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list(cell)).alias("cells")), lo, width
 
 
-def best_of_block(ids: np.ndarray, cell: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: float, width: float, k: int):
-    """Query, vector and score of the k best rows of a block for each query, ties to smaller ids."""
-    middle = lo + (cell + 0.5) * width
+def bounded_candidates(ids: np.ndarray, cell: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: float, width: float, k: int):
+    """Query, vector, upper bound and slack of the rows of a block that may be among a query's k best.
+
+    A score differs from that of the cells' middles by the slack at most; a row
+    stays if its upper bound reaches the k-th largest lower bound of the block.
+    """
+    middle = lo + (cell.astype(float) + 128.5) * width
     bound = q.astype(float) @ middle.T
-    # each component is off by half a cell at most; the last term covers rounding
+    # each component is off by half a cell at most; the last terms cover rounding
     slack = np.abs(q).sum(1) * (width / 2) + 1e-9 * (np.abs(q).astype(float) @ np.abs(middle).max(0, initial=0)) + 1e-6
-    out_q, out_v, out_s = [], [], []
-    for i, query in enumerate(qids):
-        b = bound[i]
-        own = ids == query
-        if own.any():
-            b = np.where(own, -np.inf, b)
-        n = len(b) - int(own.sum())
-        if not n:
-            continue
-        kth = np.partition(b, len(b) - min(k, n))[len(b) - min(k, n)]
-        at = np.flatnonzero(b >= kth - 2 * slack[i])
-        at = at[np.isfinite(b[at])]
-        at = at[np.argsort(-b[at], kind="stable")]
-        score, done = np.zeros(0, np.int64), 0
-        while done < len(at):
-            if len(score) >= k and np.partition(score, len(score) - k)[len(score) - k] > b[at[done]] + slack[i]:
-                break
-            part = at[done : done + READ]
-            score = np.append(score, v[part] @ q[i])
-            done += len(part)
-        read = ids[at[:done]]
-        top = np.lexsort((read, -score))[:k]
-        out_q.append(np.full(len(top), query))
-        out_v.append(read[top])
-        out_s.append(score[top])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(out_q), join(out_v), join(out_s)
+    bound[qids[:, None] == ids[None, :]] = -np.inf
+    m = min(k, len(ids))
+    kth = np.partition(bound, len(ids) - m, axis=1)[:, len(ids) - m]
+    i, j = np.nonzero((bound >= (kth - 2 * slack)[:, None]) & np.isfinite(bound))
+    return qids[i], ids[j], bound[i, j] + slack[i], slack[i]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score for queries and vectors of ``integer_vectors``.
 
-    Only vectors of the query's own dimension are candidates. Scores are exact
-    while they fit in 64 bits. Without vectors or queries the result is empty.
+    Cells alone are scanned. Of a query's candidates the READ best by bound are
+    read exactly; their k-th score decides which of the others, by their bounds,
+    are read too. Only vectors of the query's own dimension are candidates. Scores
+    are exact while they fit in 64 bits. Without vectors or queries the result is
+    empty.
     """
-    file, lo, width = approximation_file(vectors, cells)
-    file = settle(file, "approximations")
-    asked = settle(queries, "queries")
-    n_blocks, n_groups = (-(-x.count() // size) or 1 for x, size in ((file, VECTORS), (asked, QUERIES)))
-    block, group = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)).alias("grp")
-    blocks = file.groupBy("dim", block).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("cell")).alias("cells"), F.flatten(F.collect_list("v")).alias("vs"))
-    groups = asked.groupBy("dim", group).agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
+    # of equal vectors the k + 1 smallest ids beat all others (one may be the query's own)
+    equal = Window.partitionBy("dim", "v").orderBy("vec_id")
+    file, lo, width = approximation_file(vectors.withColumn("r", F.row_number().over(equal)).where(F.col("r") <= k + 1), cells)
+    blocks, asked = settle(file, "approximations"), settle(queries, "queries")
+    n_groups = -(-asked.count() // QUERIES) or 1
+    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    groups = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)).alias("grp")).agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
     # each block meets each group in a row of its own
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["dim", "block", "grp"])
@@ -105,15 +91,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS
             for i in range(len(b)):
                 one = b.slice(i, 1)
                 d = one["dim"][0].as_py()
-                get = lambda c, t: np.asarray(one[c][0].values.to_numpy(zero_copy_only=False), t)  # noqa: B023, E731
-                ids, qids = get("ids", np.int64), get("qids", np.int64)
-                cell, v, q = get("cells", float).reshape(len(ids), d), get("vs", np.int64).reshape(len(ids), d), get("qs", np.int64).reshape(len(qids), d)
-                found = best_of_block(ids, cell, v, qids, q, lo, width, k)
-                yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                get = lambda c: np.asarray(one[c][0].values.to_numpy(zero_copy_only=False))  # noqa: B023, E731
+                ids, qids = get("ids"), get("qids")
+                found = bounded_candidates(ids, get("cells").reshape(len(ids), d), qids, get("qs").reshape(len(qids), d), lo, width, k)
+                yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "upper", "slack"])
+
+    found = settle(pairs.mapInArrow(search, "query_id long, vec_id long, upper double, slack double"), "candidates")
+    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    first = settle(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= READ), "first")
+    read = settle(exact_scores(first, vectors, asked), "scores")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = read.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    # without a k-th score a query has READ candidates at most, which are read; of others those after the first READ
+    last = first.where(F.col("r") == READ).select("query_id", F.col("upper").alias("last"), F.col("vec_id").alias("last_id"))
+    more = found.join(told(settle(kth.join(last, "query_id"), "kth")), "query_id")
+    more = more.where((F.col("upper") >= F.col("kth")) & ((F.col("upper") < F.col("last")) | ((F.col("upper") == F.col("last")) & (F.col("vec_id") > F.col("last_id")))))
+    every_one = read.unionByName(exact_scores(settle(more.select("query_id", "vec_id"), "more"), vectors, asked))
+    return every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exact_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, score of settled candidates. Vectors are told the candidates, if these are few, and not the other way round."""
+    one = vectors.select("vec_id", "v").join(told(candidates.select("query_id", "vec_id")), "vec_id")
+    both = one.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return both.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda n, x: n + x).alias("score"))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
