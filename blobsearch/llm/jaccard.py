@@ -41,7 +41,7 @@ PARTS, SPOILT, DIFFERENCES = 4, 2, 2.5
 #: Largest t.
 SMALL = 6
 #: Shingles that a task holds before it packs them, and of a batch of sets that sign.
-HELD, SIGNED = 1_000_000, 500_000
+HELD, SIGNED = 500_000, 500_000
 #: Rows that are cut into segments at a time.
 ROWS = 16_384
 #: Entries of runs that a task connects at a time.
