@@ -25,6 +25,24 @@ MAX_TOKENS = 2048
 #: Chunks that a task remembers, and their longest length.
 REMEMBER, REMEMBER_CHARS = 400_000, 64
 _NONE = np.iinfo(np.int64).max
+# First and last of code points that the tokenizer's library does not take for letters, though later versions of Unicode do.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+
+
+def _blanks(pattern: str) -> str:
+    """Unicode white space without U+001C-U+001F, which \\s of the regex module adds."""
+    return pattern.replace("\\s", " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000")
+
+
+LOWER = str.maketrans({"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 
 
 class MergeTable:
@@ -47,8 +65,13 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # Unicode white space without U+001C-U+001F, which \s of the regex module adds
-        self.pattern = regex.compile(split.replace("\\s", " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
+        self.pattern = regex.compile(_blanks(split))
+        odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NO_LETTERS)
+        self.odd = regex.compile(f"[{odd}]")
+        letters, others = "[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"
+        if letters not in split or others not in split:
+            raise ValueError(f"unknown pattern {split}")
+        self.odd_pattern = regex.compile(_blanks(split.replace(others, f"(?:[{odd}]|{others[:-1]})+").replace(letters, f"(?:(?![{odd}])\\p{{L}})+")))
         self.blank = regex.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
@@ -90,8 +113,9 @@ class MergeTable:
         parts = self.specials.split(chunk) if "<" in chunk else [chunk]
         words = []
         for p in parts:
-            # each character is lower-cased by itself, so a final sigma is like any other
-            words += self.pattern.findall(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower())
+            # each character is lower-cased by itself, so a final sigma is like any other; two are younger than Python's tables
+            pattern = self.pattern if p.isascii() or not self.odd.search(p) else self.odd_pattern
+            words += pattern.findall(unicodedata.normalize("NFC", p).translate(LOWER).lower())
         return words, len(parts) - 1
 
 

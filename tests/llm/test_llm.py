@@ -160,6 +160,8 @@ def test_tokens_match_the_library(spark, docs, none):
     alphabet = "abcdeaaaa  <|endoftext|>'s't're \t\n\x1c\x85\xa0é́ΣσςİßŒ漢字한글²½①🙂{}!!??--ABC\x00"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(3000)] + ["a" * n for n in range(50)] + ["<|startoftext|>" * 3, "<|end<|endoftext|>oftext|>"]
     assert mine.count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    every = [f"{chr(c)}a{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert mine.count(every) == [len(e.ids) for e in lib.encode_batch(every, add_special_tokens=False)]
     got = {x.doc_id: x for x in tokens.count_tokens(docs, path).collect()}
     assert got[110].n_tokens == got[111].n_tokens == 0 and got[110].n_bytes == 0 and got[120].over_limit
     assert tokens.count_tokens(none, path).count() == 0
