@@ -168,7 +168,7 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         shared = np.append(np.bincount(o[np.repeat(size > 1, size)], minlength=len(owners)), 0)
         ids = pa.concat_arrays([x[1] for x in rows])
         row_key, size_of, cls, own = (np.concatenate([x[i] for x in rows]) for i in (0, 2, 3, 4))
-        yield _batch(len(own), bucket=np.full(len(own), unit % buckets), unit=np.full(len(own), unit), row_key=row_key, doc_id=ids, n=size_of, cls=cls, owner=own, shared=shared[own])
+        yield _batch(len(own), bucket=np.arange(len(own)) % buckets, unit=np.full(len(own), unit), row_key=row_key, doc_id=ids, n=size_of, cls=cls, owner=own, shared=shared[own])
         bucket, low, o = bucket[head], low[head], np.where(size > 1, SEVERAL, o[head]).astype("<u2")
         at = _heads(bucket)
         pieces = list(itertools.pairwise(np.append(at, len(low)).tolist()))
