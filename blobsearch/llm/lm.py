@@ -29,13 +29,13 @@ from . import textnum
 from .store import documents_of, settle, table
 
 #: Tokens of a class; words that are tokens of their own; hashed tokens of the others.
-CLASS, WORDS, HASHED = 64, 8192, 64
+CLASS, WORDS, HASHED = 128, 8192, 128
 N_CLASSES = (WORDS + HASHED) // CLASS
 #: The token beside the first and the last word of a text.
 PAD = WORDS + HASHED
 SIDE, EMBED, HIDDEN = 2, 16, 24
 #: Places of a step; the rate.
-STEP, RATE = 8192, 0.1
+STEP, RATE = 16_384, 0.1
 #: Of each 8 documents by hash those of the first round; the second takes the others.
 ROUNDS = ((0,), (1, 2, 3, 4, 5, 6, 7))
 #: Words of a shard, on average.
@@ -129,11 +129,20 @@ class Network:
         return e, np.tanh(pre)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        """In place."""
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
         return z
 
+    @staticmethod
+    def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """The logarithm of one softmax value of each row; z is used up."""
+        z -= z.max(1, keepdims=True)
+        out = z[np.arange(len(z)), chosen]
+        return out - np.log(np.exp(z, out=z).sum(1))
+
     @staticmethod
     def _grouped(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """Places of tokens other than pads in the order of tokens, these tokens, and the stretch of each class."""
@@ -150,11 +159,9 @@ class Network:
             _, hid = self.hidden(part)
             order, ts, classes = self._grouped(part[SIDE:-SIDE])
             hs = hid[order]
-            z = self._log_softmax(hs @ self.wc + self.bc)
-            lp = z[np.arange(len(ts)), ts // CLASS]
+            lp = self._log_chosen(hs @ self.wc + self.bc, ts // CLASS)
             for c, a, b in classes:
-                z = self._log_softmax(hs[a:b] @ self.w2[c] + self.b2[c])
-                lp[a:b] += z[np.arange(b - a), ts[a:b] % CLASS]
+                lp[a:b] += self._log_chosen(hs[a:b] @ self.w2[c] + self.b2[c], ts[a:b] % CLASS)
             out[at + order] = lp
         return out
 
@@ -163,7 +170,7 @@ class Network:
         e, hid = self.hidden(s)
         order, ts, classes = self._grouped(s[SIDE:-SIDE])
         n, hs, rows = max(len(ts), 1), hid[order], np.arange(len(ts))
-        p = np.exp(self._log_softmax(hs @ self.wc + self.bc))
+        p = self._softmax(hs @ self.wc + self.bc)
         p[rows, ts // CLASS] -= 1
         p /= n
         dh = p @ self.wc.T
@@ -171,7 +178,7 @@ class Network:
         chosen = np.array([c for c, _, _ in classes], np.int64)
         g2, h2 = np.empty((len(classes), HIDDEN, CLASS), np.float32), np.empty((len(classes), CLASS), np.float32)
         for i, (c, a, b) in enumerate(classes):
-            p = np.exp(self._log_softmax(hs[a:b] @ self.w2[c] + self.b2[c]))
+            p = self._softmax(hs[a:b] @ self.w2[c] + self.b2[c])
             p[rows[: b - a], ts[a:b] % CLASS] -= 1
             p /= n
             dh[a:b] += p @ self.w2[c].T

@@ -395,7 +395,11 @@ def fit(docs: DataFrame) -> BiLstmCrf | None:
 
 
 def find(docs: DataFrame, net: BiLstmCrf | None) -> DataFrame:
-    """doc_id, base and all (arrays of start, end, kind): one row for each row of ``docs``; null texts are empty."""
+    """doc_id, base and all (arrays of start, end, kind): one row for each row of ``docs``.
+
+    Null texts are empty. A null doc_id is kept; repeated rows each get the same
+    spans; extra columns are ignored; an empty table gives an empty result.
+    """
     params = net.p if net else None
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +455,11 @@ def redact(texts: list[str | None], net: BiLstmCrf | None) -> list[str | None]:
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced in the texts, and n_chars follows."""
+    """Pipeline stage: personal data is replaced in the texts, and n_chars follows.
+
+    Every row is rewritten where it stands, whatever its doc_id; null and empty
+    texts stay as they are, other columns are kept.
+    """
     net = fit(docs)
     params, columns = (net.p if net else None), docs.columns
 

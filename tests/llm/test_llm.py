@@ -337,10 +337,12 @@ def plain_score(net, text, count):
 
 
 def small_vocabulary(monkeypatch):
-    monkeypatch.setattr(lm, "WORDS", 128)
-    monkeypatch.setattr(lm, "N_CLASSES", 3)
-    monkeypatch.setattr(lm, "PAD", 192)
-    shapes = lm.Network.SHAPES | {"e": (193, lm.EMBED), "wc": (lm.HIDDEN, 3), "bc": (3,), "w2": (3, lm.HIDDEN, lm.CLASS), "b2": (3, lm.CLASS)}
+    pad = lm.CLASS + lm.HASHED
+    n = pad // lm.CLASS
+    monkeypatch.setattr(lm, "WORDS", lm.CLASS)
+    monkeypatch.setattr(lm, "N_CLASSES", n)
+    monkeypatch.setattr(lm, "PAD", pad)
+    shapes = lm.Network.SHAPES | {"e": (pad + 1, lm.EMBED), "wc": (lm.HIDDEN, n), "bc": (n,), "w2": (n, lm.HIDDEN, lm.CLASS), "b2": (n, lm.CLASS)}
     monkeypatch.setattr(lm.Network, "SHAPES", shapes)
 
 
@@ -435,6 +437,101 @@ def test_lm_gradients():
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(float(dense[i]), abs=2e-4, rel=0.05)
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows without id, repeated rows, one id with two texts, and columns whose names the operators use themselves."""
+    text = "Call +1 (415) 555-0100 or mail a.b@example.org about 10.0.0.1 and 4111 1111 1111 1111 today. " + " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, "one short text"), (2, "another short text"), (3, None), (None, None), (4, "")]
+    df = spark.createDataFrame([(d, x, "en", "src1", len(x or "")) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("domain", "n_tokens", "copies", "score", "cls", "row_key", "_row_key", "key", "n_hit", "component_id", "leaf"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    return df.repartition(2)
+
+
+def test_odd_rows_in_operators(spark, odd):
+    P = pytest.importorskip("public_tokenizers")
+    n = odd.count()
+    spans = pii.find(odd, None).collect()
+    assert len(spans) == n and sorted(len(r.base) for r in spans) == [0, 0, 0, 0, 0, 4, 4, 4, 4]
+    counted = tokens.count_tokens(odd, P.path("word_bpe_49k.json")).collect()
+    assert len(counted) == n and len({r.n_tokens for r in counted if r.n_bytes > 100}) == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    scored = quality.classify(odd, labels).collect()
+    assert len(scored) == n and all(r.held_out for r in scored if r.doc_id is None)
+    bench = spark.createDataFrame([("b", "one short text"), (None, "another short text"), ("b", "one short text"), ("c", None)], "item_id string, text string")
+    hits = {(r.doc_id, r.n_words): (r.n_hit, r["items"]) for r in decontaminate.contamination(odd, bench).collect()}
+    assert hits[(2, 3)] == (3, ["b"]) and hits[(None, 0)] == (0, []) and decontaminate.contamination(odd, bench).count() == n
+    taken = mixing.mix(mixing.with_domain(odd), {}, 1.0).collect()
+    assert len(taken) == n and all(r.copies == 1 and r.domain == "d1" for r in taken)
+    assert jaccard.similar_components(odd).count() == n and substring.dedup_substrings(odd).count() == n
+
+
+def test_odd_rows_in_stages(spark, sf_dir, odd, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([("b", "another short text")], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    # without labelled rows every document scores the same share of label 1, which is kept
+    good = stages["quality"](spark, odd, d)
+    assert good.columns == odd.columns and rows(good) == rows(odd)
+    one = stages["near copies"](spark, odd, d)
+    # repeated rows leave one, those without id are in no component
+    assert one.columns == odd.columns and rows(one) == sorted({(r.doc_id or 0, r.text or "") for r in odd.collect()})
+    clean = stages["decontaminate"](spark, odd, d)
+    assert clean.columns == odd.columns and rows(clean) == [x for x in rows(odd) if x != (2, "another short text")]
+    bare = stages["personal data"](spark, odd, d)
+    assert bare.columns == odd.columns and sum("[EMAIL]" in (r.text or "") for r in bare.collect()) == 4 and bare.count() == odd.count()
+    mix = stages["mix"](spark, odd, d)
+    assert set(mix.columns) == set(odd.columns) and {(r.domain, r.key) for r in mix.collect()} == {("d1", "own key")}
+    again = mixing.mix(mixing.with_domain(odd), mixing.WEIGHTS, mixing.BUDGET_SHARE, mixing.EPOCHS, mixing.SEED)
+    assert sorted((r.doc_id or 0, r.n_tokens, r.copies) for r in mix.collect()) == sorted((r.doc_id or 0, r.n_tokens, r.copies) for r in again.collect())
+
+
+def test_odd_conversations(spark):
+    long = "<[\\" * 50_000
+    rows = [(-7, 0, "user", "own turn"), (5, 0, "assistant", long), (5, 1, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").unionByName(chat.probe(spark))
+    back = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.read_back(chat.format_conversations(chat.from_texts(df))).collect()}
+    assert back[5] == [("assistant", long), ("user", "")]
+    assert back[-7] == [("user", "</s>[INST] ok [/INST]"), ("user", "own turn"), ("assistant", "</s>[INST] ok [/INST]")]
+
+
+def test_base_span_columns(spark, odd, sf_dir):
+    import hashlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    for r in pii.op1_pii(spark, sf_dir).collect():
+        base = pii.base_spans(texts[r.doc_id] or "")
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, _, k in base) for x in pii.KINDS]
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_discriminant_against_plain_densities(spark, sf_dir):
+    """The query's scores from means, covariances and log densities written out, over the same statistics."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_statistics(docs).toPandas().set_index("doc_id")
+    y = labels.toPandas().drop_duplicates("doc_id").set_index("doc_id").quality.reindex(stats.index)
+    x = np.array(stats.stats.tolist())
+    train = ~stats.held_out.to_numpy(bool) & y.notna().to_numpy()
+    cls = [x[train & (y == k).to_numpy()] for k in (0, 1)]
+    n, means, covs = [len(c) for c in cls], [c.mean(0) for c in cls], [np.cov(c.T, bias=True) for c in cls]
+    pooled = sum(a * c for a, c in zip(n, covs, strict=True)) / sum(n)
+    density = []
+    for k in (0, 1):
+        c = 0.7 * covs[k] + 0.3 * pooled
+        c += (1e-3 * np.trace(pooled) / len(pooled) + 1e-9) * np.eye(len(pooled))
+        far = np.einsum("ij,jk,ik->i", x - means[k], np.linalg.inv(c), x - means[k])
+        density.append(np.log(n[k] / sum(n)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * far)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / len(quality.FEATURES), -60, 60)))
+    got = quality.op9_quality_classifier(spark, sf_dir).toPandas().set_index("doc_id").reindex(stats.index)
+    assert np.allclose(got.score, want, atol=1e-6) and (got.predicted == (got.score >= 0.3)).all()
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf_dir, key):
     compare(spark, sf_dir, queries.QUERIES[key], queries.ORACLE_SQL[key])
