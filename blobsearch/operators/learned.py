@@ -17,8 +17,12 @@ from blobsearch.functions import vectors as V
 from .search import ranked
 
 
-def lsh_top_k(df: DataFrame, query: DataFrame, k: int, radius: float = 1.6, bucket: float = 1.2, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Approximate k nearest by random projections, reranked exactly: query_id, blob_id, sim, rank."""
+def lsh_top_k(df: DataFrame, query: DataFrame, k: int, radius: float = 1.35, bucket: float = 0.6, tables: int = 8, seed: int = 42) -> DataFrame:
+    """Approximate k nearest by random projections, reranked exactly: query_id, blob_id, sim, rank.
+
+    Pairs farther apart than ``radius`` (1.35: a cosine of 0.09) are left out before
+    the exact ranking. A pair has to share one bucket of ``tables`` ones.
+    """
     rows = df.select("blob_id", "embedding", array_to_vector(V.doubles("embedding")).alias("vector"))
     asked = query.select("query_id", "q", array_to_vector(V.doubles("q")).alias("vector"))
     model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)

@@ -109,7 +109,10 @@ def _(t):
     return t.v_names.select("k", tail.alias("tail"), X.caption_from_name("name").alias("caption"))
 
 
-@query("u256_to_base64url")
+_BYTES = "list_aggregate(list_transform(range(0, 32), lambda i: CASE WHEN i < 16 THEN printf('%02x', CAST((CAST(concat(blob_id, '000000000000000000000') AS HUGEINT) >> (8 * least(i, 15))) & 255 AS INT)) ELSE '00' END), 'string_agg', '')"
+
+
+@query("u256_to_base64url", f"SELECT blob_id, rtrim(replace(replace(base64(unhex({_BYTES})), '+', '-'), '/', '_'), '=') AS id FROM v_blobs")
 def _(t):
     return t.v_blobs.select("blob_id", X.u256_to_base64url(F.concat("blob_id", F.lit("000000000000000000000"))).alias("id"))
 

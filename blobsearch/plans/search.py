@@ -314,12 +314,19 @@ def _(t):
     return S.rerank_clusters(clustered, "cluster_id").where("final_rank <= 10").select("query_id", "blob_id", "cluster_id", "cluster_rank", "final_rank")
 
 
-@query("cross_encoder_rerank")
+@query("cross_encoder_rerank", f"""
+WITH s AS (SELECT query_id, blob_id, rank, CASE WHEN rank <= 10 THEN tanh(3 * sim) - (size % 100) / 200.0 ELSE -100 END AS second FROM ({KNN.format(SIMS)}) WHERE rank <= 30)
+SELECT query_id, blob_id, CAST(rank AS INT) AS rank, round(second, 6) AS second, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(second, 9) DESC, rank) AS INT) AS final_rank FROM s
+""")
 def _(t):
     import numpy as np
     import pyarrow as pa
 
-    return S.rescore_top(S.top_k(t.v_vectors, t.v_queries, 30), 10, lambda b: pa.array(np.tanh(b["sim"].to_numpy() * 3)))
+    # the second scorer looks at the pair's row too, so that its order is another one
+    scorer = lambda b: pa.array(np.tanh(b["sim"].to_numpy() * 3) - b["size"].to_numpy() % 100 / 200)
+    near = S.top_k(t.v_vectors, t.v_queries, 30).join(t.v_vectors.select("blob_id", "size"), "blob_id")
+    scored = S.ranked(S.rescore_top(near, 10, scorer), F.col("query_id"), [F.desc(F.round("second", 9)), "rank"], "final_rank")
+    return scored.select("query_id", "blob_id", "rank", F.round("second", 6).alias("second"), "final_rank")
 
 
 HYBRID = f"""

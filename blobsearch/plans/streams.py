@@ -56,7 +56,7 @@ def _(t):
     return table.read()
 
 
-@query("stream_cursor_resume")
+@query("stream_cursor_resume", "SELECT event_id, type FROM v_events")
 def _(t):
     # two runs on one checkpoint: the second starts at the first's cursor and finds nothing new
     out, check = H.new_path(t.spark, "out"), H.new_path(t.spark, "checkpoint")
@@ -106,14 +106,14 @@ def _(t):
     return C.prune_expired(t.v_vectors, 30).agg(F.count("*").alias("kept"))
 
 
-@query("write_snapshot")
+@query("write_snapshot", "SELECT blob_id, label, kind FROM v_vectors WHERE blob_id NOT IN (SELECT blob_id FROM v_blobs WHERE is_nsfw)")
 def _(t):
     table = H.VersionedTable(t.spark, H.new_path(t.spark, "vectors"))
     H.write_snapshot(table, t.v_vectors, t.v_blobs.where("is_nsfw"))
     return table.read().select("blob_id", "label", "kind")
 
 
-@query("write_exports")
+@query("write_exports", "SELECT blob_id FROM v_vectors")
 def _(t):
     paths = H.write_exports(t.v_vectors.select("blob_id", "label", "kind"), H.new_path(t.spark, "exports"))
     return t.spark.read.text(paths["ids"]).withColumnRenamed("value", "blob_id")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a folder of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="blobsearch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,11 +43,14 @@ class VersionedTable:
         v = self._versions()
         return self.spark.read.parquet(f"{self.path}/version={v[-1]}") if v else None
 
-    def replace(self, df: DataFrame) -> int:
-        """Writes the next version; earlier ones stay as backups."""
-        n = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/version={n}")
-        return n
+    def replace(self, df: DataFrame, backups: int = 8) -> int:
+        """Writes the next version; so many earlier ones stay as backups."""
+        done = self._versions() or [0]
+        df.write.mode("overwrite").parquet(f"{self.path}/version={done[-1] + 1}")
+        for old in done[:-backups]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={old}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return done[-1] + 1
 
 
 def write_snapshot(table: VersionedTable, vectors: DataFrame, blacklist: DataFrame) -> int:
