@@ -117,11 +117,13 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "caption", k1: float =
     """query_id, blob_id, bm25 of documents that hold every term of a query (query_id, terms array)."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
     wanted = small(asked.select("term").distinct())
-    lengths = docs.where(F.col(text).isNotNull()).select("blob_id", F.size(tokens(text)).cast("double").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("nd"), F.avg("dl").alias("avgdl"))
-    found = docs.where(F.col(text).isNotNull()).select("blob_id", F.explode(tokens(text)).alias("term")).join(wanted, "term").groupBy("term", "blob_id").agg(F.count("*").alias("tf"))
+    split = docs.where(F.col(text).isNotNull()).select("blob_id", tokens(text).alias("t"))
+    corpus = split.agg(F.count("*").alias("nd"), F.avg(F.size("t").cast("double")).alias("avgdl"))
+    # a posting carries its document's length; terms that nobody asked for go before they are shuffled
+    each = split.select("blob_id", F.size("t").cast("double").alias("dl"), F.explode("t").alias("term"))
+    found = each.join(wanted, "term").groupBy("term", "blob_id", "dl").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("n"))
-    hit = found.join(asked, "term").join(df, "term").join(lengths, "blob_id").crossJoin(F.broadcast(corpus))
+    hit = found.join(asked, "term").join(df, "term").crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("nd") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "blob_id").agg(F.sum(part).alias("bm25"), F.count("*").alias("hits"), F.max("n_terms").alias("n_terms")).where("hits = n_terms").select("query_id", "blob_id", "bm25")
