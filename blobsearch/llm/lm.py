@@ -29,7 +29,7 @@ from . import textnum
 from .store import documents_of, settle, table
 
 #: Tokens of a class; words that are tokens of their own; hashed tokens of the others.
-CLASS, WORDS, HASHED = 128, 8192, 128
+CLASS, WORDS, HASHED = 64, 4096, 64
 N_CLASSES = (WORDS + HASHED) // CLASS
 #: The token beside the first and the last word of a text.
 PAD = WORDS + HASHED
