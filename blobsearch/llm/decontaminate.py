@@ -24,6 +24,8 @@ from .store import documents_of, settle, table, told, with_row_key
 WINDOW = 13
 #: Terms of each window whose lists are intersected before the whole window is compared.
 LISTS = 3
+#: Words between terms that stand near each other, at most.
+SLOP = 20
 #: Test terms that are sent to every task at once, on average; more are searched in hashed parts, one after the other.
 BROADCAST_TERMS = 1_000_000
 
@@ -160,7 +162,7 @@ def phrase_matches(index: DataFrame, plan: DataFrame, lengths: list[int], lists:
     return found.where("here = phrase").select("item_id", "doc_id", "at", "length")
 
 
-def proximity_matches(index: DataFrame, plan: DataFrame, slop: int = 20, lists: int = LISTS) -> DataFrame:
+def proximity_matches(index: DataFrame, plan: DataFrame, slop: int = SLOP, lists: int = LISTS) -> DataFrame:
     """item_id, doc_id, at: places of a window's rarest term with its next rarest ones within ``slop`` words."""
     lead = plan.select("item_id", "start", F.col("rare")[0]["term"].alias("term"), F.expr(f"transform(slice(rare, 2, {lists - 1}), x -> x.term)").alias("others"))
     postings = index.where("term is not null").select("term", "doc_id", "pos")
@@ -235,6 +237,32 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), _contaminated().alias("contaminated"), "n_near")
 
 
+_TERMS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+bwin AS (SELECT item_id, n, s, w[s:s + n - 1] AS t FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+dwin AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)),
+found AS (SELECT DISTINCT doc_id, s, x.n, item_id FROM dwin x JOIN (SELECT item_id, n, array_to_string(t, ' ') AS k FROM bwin) y ON x.n = y.n AND x.k = y.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+post AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+counts AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+each AS (SELECT item_id, s, unnest(t) AS term, generate_subscripts(t, 1) AS o FROM bwin),
+rare AS (SELECT item_id, s, each.term, row_number() OVER (PARTITION BY item_id, s ORDER BY counts.n, o) AS r, count(counts.n) OVER (PARTITION BY item_id, s) AS known, count(*) OVER (PARTITION BY item_id, s) AS terms FROM each LEFT JOIN counts USING (term)),
+plan AS (SELECT DISTINCT item_id, max(CASE WHEN r = 1 THEN term END) AS t1, max(CASE WHEN r = 2 THEN term END) AS t2, max(CASE WHEN r = 3 THEN term END) AS t3 FROM rare WHERE known = terms AND r <= {LISTS} GROUP BY item_id, s),
+searched AS (SELECT * FROM post WHERE term IN (SELECT unnest([t1, t2, t3]) FROM plan)),
+lead AS (SELECT item_id, doc_id, pos, t2, t3 FROM searched JOIN plan ON term = t1),
+second AS (SELECT DISTINCT lead.* FROM lead LEFT JOIN searched p ON p.term = t2 AND p.doc_id = lead.doc_id AND p.pos BETWEEN lead.pos - {SLOP} AND lead.pos + {SLOP} WHERE t2 IS NULL OR p.pos IS NOT NULL),
+third AS (SELECT DISTINCT second.* FROM second LEFT JOIN searched p ON p.term = t3 AND p.doc_id = second.doc_id AND p.pos BETWEEN second.pos - {SLOP} AND second.pos + {SLOP} WHERE t3 IS NULL OR p.pos IS NOT NULL),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM third GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go.
 

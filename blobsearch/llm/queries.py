@@ -20,4 +20,7 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op2_exact_top_k": topk.OP2_SQL, "op6_chat_formatting": chat.OP6_SQL}
+ORACLE_SQL = {
+    "op2_exact_top_k": topk.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op6_chat_formatting": chat.OP6_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL, "op10_jaccard_join": jaccard.OP10_SQL,
+}
