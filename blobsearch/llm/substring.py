@@ -134,8 +134,8 @@ class FingerprintIndex:
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Adds a batch; returns doc_id, fp (with repeats) of new and old documents that share a fingerprint through it."""
-        rows = fingerprints(batch).withColumn("kind", F.when(F.col("told").isNull(), "entry").otherwise("told"))
-        run = self._write(rows.repartition(self.buckets, "place"))
+        rows = fingerprints(batch).repartition(self.buckets, "place")
+        run = self._write(rows.withColumn("kind", F.when(F.col("told").isNull(), "entry").otherwise("told")))
         new = self._entries(run[0])
         inside = new.withColumn("n", F.count("*").over(Window.partitionBy("place"))).where("n > 1").drop("n")
         found = [inside]
