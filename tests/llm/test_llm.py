@@ -548,6 +548,12 @@ def test_pipeline_stages(spark, sf_dir):
         ids = {r[0] for r in seen.select("doc_id").collect()}
         texts = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
         assert ids <= {d for d, _ in texts}
+        if name == "quality":
+            out = quality.classify(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            assert ids == {r.doc_id for r in out.where("predicted = 1").collect()}
+        if name == "mix":
+            out = mixing.mix(mixing.with_domain(before), mixing.WEIGHTS, mixing.BUDGET_SHARE, mixing.EPOCHS, mixing.SEED)
+            assert sorted((r.doc_id, r.copies) for r in seen.collect()) == sorted((r.doc_id, r.copies) for r in out.collect())
         if name == "near copies":
             assert ids == {d for d, (_, c) in brute.components(texts).items() if c == d}
         if name == "decontaminate":
