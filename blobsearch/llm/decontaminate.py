@@ -211,8 +211,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pro
     terms = wins.select(F.explode("term").alias("term")).distinct()
     lists = lambda df: [np.sort(np.array([r[0] for r in x.collect()], np.int64).view(np.uint64)) for x in _parts(df)]
     lengths = sorted(r[0] for r in wins.select("length").distinct().collect())
-    counts = reduce(DataFrame.union, [term_counts(docs, x) for x in lists(terms)])
-    plan = settle(search_plan(wins, counts), "search-plan")
+    counts = settle(reduce(DataFrame.union, [term_counts(docs, x) for x in lists(terms)]), "term-counts")
+    plan = settle(search_plan(wins, told(counts)), "search-plan")
     searched = lists(plan.select(F.explode("rare.term").alias("term")).distinct())
     index = settle(reduce(DataFrame.union, [positional_index(docs, x, lengths, i == 0) for i, x in enumerate(searched)]), "postings")
     found = phrase_matches(index, plan, lengths)
