@@ -41,7 +41,7 @@ ROUNDS = ((0,), (1, 2, 3, 4, 5, 6, 7))
 #: Words of a shard, on average.
 SHARD_WORDS = 2_000_000
 #: Numbers of a part of the weights that tasks send to be averaged.
-PART = 32_768
+PART = 2048
 #: Counts of words that are told to every task; those of other words are joined.
 TOLD = 262_144
 
