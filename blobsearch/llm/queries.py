@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lm, mixing, pii, quality, substring, tokens, topk
+from . import audit, chat, decontaminate, jaccard, lm, mixing, pii, quality, ranked, substring, tokens, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,13 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         quality.op9_quality_classifier,
         jaccard.op10_jaccard_join,
+        ranked.op12_ranked_search,
+        audit.op13_filter_interactions,
     )
 }
 
 ORACLE_SQL = {
     "op2_exact_top_k": topk.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op6_chat_formatting": chat.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL, "op10_jaccard_join": jaccard.OP10_SQL,
+    "op12_ranked_search": ranked.OP12_SQL, "op13_filter_interactions": audit.OP13_SQL,
 }

@@ -23,8 +23,8 @@ from . import textnum
 from .store import Scratch, documents_of, partitions, table
 
 K = 10
-#: Postings of a block; documents and bytes of text of a shard, about; documents that a search takes at first, doubled each time.
-BLOCK, SHARD_DOCS, SHARD_BYTES, FIRST = 64, 8192, 8 << 20, 256
+#: Postings of a block; documents and bytes of text of a shard, about; documents that a search with an open heap takes at first, doubled each time.
+BLOCK, SHARD_DOCS, SHARD_BYTES, FIRST = 64, 16384, 16 << 20, 256
 #: Terms of all items that are searched in one pass over the index, on average.
 PASS_TERMS = 1_000_000
 
@@ -141,6 +141,7 @@ class Shard:
         self.docs = len(self.ids)
         peak = self.impact(self.peak_tf.astype(np.int64), 10 + (90 * self.peak_n.astype(np.int64) * n_docs) // n_terms)
         self.block_max = np.maximum.reduceat(peak, self.peak_start[:-1]) if len(peak) else peak
+        self.list_max = np.maximum.reduceat(self.block_max, self.list_start[:-1]) if len(self.terms) else self.block_max
         self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.decoded = 0  # blocks
 
@@ -198,11 +199,11 @@ def search_shard(s: Shard, terms: np.ndarray, weights: np.ndarray, heap: Heap, f
     at = s.find(terms)
     have = np.flatnonzero((at >= 0) & (weights > 0))
     lists, w = at[have], weights[have]
-    bound = np.array([s.block_max[s.list_start[j] : s.list_start[j + 1]].max() for j in lists], np.int64) * w
+    bound = s.list_max[lists] * w
     order = np.argsort(bound, kind="stable")
     lists, w, bound = lists[order], w[order], bound[order]
     upto = np.cumsum(bound)
-    a, step = 0, first
+    a, step = 0, first if len(heap.ids) < heap.k else s.docs
     while a < s.docs:
         b = min(a + step, s.docs)
         least = heap.least
@@ -235,7 +236,7 @@ def search_shard(s: Shard, terms: np.ndarray, weights: np.ndarray, heap: Heap, f
                 asked = np.flatnonzero(blocks[i] >= 0)
                 if not len(asked):
                     continue
-                docs, impact = s.decode(np.unique(blocks[i][asked]))
+                docs, impact = s.whole[lists[i]] if lists[i] in s.whole else s.decode(np.unique(blocks[i][asked]))
                 p = np.minimum(np.searchsorted(docs, who[asked]), len(docs) - 1)
                 true = np.where(docs[p] == who[asked], impact[p] * w[i], 0)
                 score[asked] += true
