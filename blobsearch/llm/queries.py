@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, jaccard, lm, mixing, pii, quality, ranked, substring, tokens, topk
+from . import audit, chat, decontaminate, jaccard, lm, mixing, pii, quality, ranked, substring, tokens, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         quality.op9_quality_classifier,
         jaccard.op10_jaccard_join,
+        toxicity.op11_toxicity,
         ranked.op12_ranked_search,
         audit.op13_filter_interactions,
     )

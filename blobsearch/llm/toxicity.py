@@ -23,13 +23,16 @@ from .store import Scratch, documents_of, table
 
 #: Words of a window, and from one window's start to the next.
 SPAN, STEP = 32, 24
-WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 13, 1 << 15, (3, 5, 8)
+WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 13, 1 << 15, (3, 5, 7)
 EMBED, HIDDEN = 12, 12
 #: Labelled documents of each class that the network is trained on, at most, and windows of each class; documents of each class for the logistic.
-DOCS, WINDOWS, WEIGHED = 3000, 6000, 20_000
+DOCS, WINDOWS, WEIGHED = 4000, 8000, 20_000
+#: Words and n-grams are learned if so many documents of the training set hold them; of others nothing is known, and they add nothing.
+KNOWN = 4
 #: Longer windows (words of very many letters) are scored but not trained on.
 TRAINED_BYTES = 4096
-BATCH, UPDATES, RATE = 256, 300, 5e-3
+#: DROP: share of word and n-gram inputs that an update leaves out.
+BATCH, UPDATES, RATE, DROP = 256, 200, 5e-3, 0.3
 #: Windows that run through the network at once.
 CHUNK = 2048
 THRESHOLD = 0.5
@@ -92,6 +95,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Rows of values added up by their place."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    begin = np.flatnonzero(np.diff(places, prepend=-1))
+    if len(begin):
+        out[places[begin]] = np.add.reduceat(values[order], begin, axis=0)
+    return out
+
+
+def known_buckets(types: Types, idx: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word buckets and n-gram buckets that at least so many documents hold."""
+    pairs = np.unique(np.stack([np.broadcast_to(doc[:, None], idx.shape).ravel(), idx.ravel()], 1), axis=0)
+    pairs = pairs[pairs[:, 1] < len(types.word)]
+    word, gram, n = types.rows(pairs[:, 1])
+    held = lambda bucket, d, size: np.bincount(np.unique(bucket * (doc.max(initial=0) + 1) + d) // (doc.max(initial=0) + 1), minlength=size) >= least
+    return held(word, pairs[:, 0], WORD_BUCKETS), held(gram, np.repeat(pairs[:, 0], n), GRAM_BUCKETS)
+
+
 class Network:
     """Parameters by name; both directions of the recurrent layer are computed at once, on a leading axis of two."""
 
@@ -99,7 +122,7 @@ class Network:
         r, e, h = np.random.default_rng(seed), 2 * EMBED, HIDDEN
         init = lambda *shape, by=1.0: (r.standard_normal(shape) * by).astype(np.float32)
         self.p = {
-            "word": init(WORD_BUCKETS, EMBED, by=0.1), "gram": init(GRAM_BUCKETS, EMBED, by=0.1), "wx": init(2, e, 3 * h, by=e**-0.5), "bx": np.zeros((2, 3 * h), np.float32),
+            "word": np.zeros((WORD_BUCKETS, EMBED), np.float32), "gram": np.zeros((GRAM_BUCKETS, EMBED), np.float32), "wx": init(2, e, 3 * h, by=e**-0.5), "bx": np.zeros((2, 3 * h), np.float32),
             "u": init(2, h, 3 * h, by=h**-0.5), "wa": init(2 * h, h, by=(2 * h) ** -0.5), "va": init(h, by=h**-0.5), "out": init(2 * h, by=0.1), "bias": np.zeros(1, np.float32),
         }
 
@@ -169,8 +192,8 @@ class Network:
             back = dh * z + np.matmul(dy, p["u"].transpose(0, 2, 1))
         return g, dx
 
-    def gradients(self, types: Types, idx: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy of windows with labels y, and the gradients of all parameters."""
+    def gradients(self, types: Types, idx: np.ndarray, y: np.ndarray, r: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of windows with labels y, and the gradients of all parameters; with ``r`` the words and the n-grams of DROP of all types are left out."""
         some, local = np.unique(idx, return_inverse=True)
         local = local.reshape(idx.shape)
         none = len(types.word)
@@ -178,28 +201,38 @@ class Network:
             some = some[:-1]
         word, gram, n = types.rows(some)
         x = self.inputs(word, gram, n)
+        left = np.ones_like(x) if r is None else np.repeat((r.random((len(x), 2)) >= DROP) / (1 - DROP), EMBED, 1).astype(np.float32)
+        x *= left
         logit, kept = self.forward(self.projected(x), np.where(idx == none, len(some), local), keep=True)
         q = _sigmoid(logit)
         loss = -np.mean(y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))
         g, dx = self.backward(((q - y) / len(y)).astype(np.float32), kept)
         dgate = np.zeros((2, len(some) + 1, dx.shape[-1]), np.float32)
         for k in (0, 1):
-            np.add.at(dgate[k], kept[0][k], dx[k])
+            dgate[k] = _summed(kept[0][k].ravel(), dx[k].reshape(-1, dx.shape[-1]), len(some) + 1)
         dgate = dgate[:, :-1]
         g["bx"], g["wx"] = dgate.sum(1), np.matmul(x.T[None], dgate)
-        dtype = np.matmul(dgate, self.p["wx"].transpose(0, 2, 1)).sum(0)
-        g["word"], g["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
-        np.add.at(g["word"], word, dtype[:, :EMBED])
-        np.add.at(g["gram"], gram, np.repeat(dtype[:, EMBED:] / np.sqrt(n)[:, None].astype(np.float32), n, 0))
+        dtype = np.matmul(dgate, self.p["wx"].transpose(0, 2, 1)).sum(0) * left
+        g["word"] = _summed(word, dtype[:, :EMBED], WORD_BUCKETS)
+        g["gram"] = _summed(gram, np.repeat(dtype[:, EMBED:] / np.sqrt(n)[:, None].astype(np.float32), n, 0), GRAM_BUCKETS)
         return float(loss), g
 
-    def train(self, types: Types, idx: np.ndarray, y: np.ndarray, updates: int = UPDATES, seed: int = 0) -> Network:
-        """Adam over batches in which both classes weigh alike."""
+    def train(self, types: Types, idx: np.ndarray, y: np.ndarray, doc: np.ndarray, updates: int = UPDATES, seed: int = 0) -> Network:
+        """Adam over batches that hold as many windows of either class; doc: the document's number of each window.
+
+        Many windows of a toxic document hold nothing toxic. After half of the
+        updates those that the network takes for clean are left out, but for the
+        likeliest one of each document.
+        """
         r = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        known = dict(zip(("word", "gram"), known_buckets(types, idx, doc, KNOWN), strict=True))
         classes = [np.flatnonzero(y == c) for c in (0, 1)]
         deal = [np.zeros(0, np.int64)] * 2
         for k in range(1, updates + 1):
+            if k == updates // 2 + 1:
+                classes[1] = self._likely(types, idx, doc, classes[1])
+                deal[1] = deal[1][:0]
             half = []
             for c in (0, 1):
                 while len(deal[c]) < BATCH // 2:
@@ -207,14 +240,24 @@ class Network:
                 half.append(deal[c][: BATCH // 2])
                 deal[c] = deal[c][BATCH // 2 :]
             some = np.concatenate(half)
-            _, g = self.gradients(types, idx[some], y[some])
+            _, g = self.gradients(types, idx[some], y[some], r)
             rate = RATE * min(1.0, 2 * (1 - k / (updates + 1)))
             for name, v in self.p.items():
+                if name in known:
+                    g[name][~known[name]] = 0
                 first[name] += 0.1 * (g[name] - first[name])
                 second[name] += 0.01 * (g[name] * g[name] - second[name])
                 v -= rate * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-7)
         return self
 
+    def _likely(self, types: Types, idx: np.ndarray, doc: np.ndarray, some: np.ndarray) -> np.ndarray:
+        gates = self.projected(self.inputs(types.word, types.gram, types.size))
+        logit = np.concatenate([self.forward(gates, idx[some[i : i + CHUNK]]) for i in range(0, len(some), CHUNK)])
+        order = np.lexsort((-logit, doc[some]))
+        best = np.zeros(len(some), bool)
+        best[order[np.flatnonzero(np.diff(doc[some][order], prepend=-1))]] = True
+        return some[best | (logit > 0)]
+
     def score(self, seg: textnum.Segment) -> tuple[np.ndarray, np.ndarray]:
         """Text and logit of every window of a segment."""
         types = Types(seg)
@@ -264,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     scratch = Scratch(docs.sparkSession)
     # 2 DOCS rows at most go to every task
     cut = scratch.settle(documents_of(docs).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").mapInArrow(_cut, "doc_id long, label int, start long, text string"), "toxic-windows")
-    found = [pick(cut.where(F.col("label") == c), WINDOWS, "doc_id", "start", "text").select("text", "label").collect() for c in (0, 1)]
+    found = [pick(cut.where(F.col("label") == c), WINDOWS, "doc_id", "start", "text").select("text", "label", "doc_id").collect() for c in (0, 1)]
     scratch.drop()
     if not all(found):
         return None
@@ -273,7 +316,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     seg = next(textnum.segments(pa.array([r["text"] for r in rows]), textnum.NOT_WORD, lower=True, limit=1 << 40))
     types = Types(seg)
     _, idx = window_types(seg, types)
-    return Network().train(types, idx, np.array([r["label"] for r in rows], np.float32))
+    doc = np.unique([r["doc_id"] for r in rows], return_inverse=True)[1]
+    return Network().train(types, idx, np.array([r["label"] for r in rows], np.float32), doc)
 
 
 def window_scores(docs: DataFrame, network: Network) -> DataFrame:
