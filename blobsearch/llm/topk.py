@@ -1,10 +1,12 @@
 """Exact top-k search with vector-approximation files.
 
 A file of its own holds a quantised cell, one byte, for each component of every
-vector. A block of queries scans the cells of a block of vectors for bounds of
-the inner product and answers with the rows that may be among a query's k best.
-Then exact vectors are read in the order of their bounds: the best ones first,
-and of the others those whose bound reaches the k-th score found.
+vector; each dimension has cells of its own, of about equally many vectors. A
+block of queries scans the cells of a block of vectors for bounds of the inner
+product and answers with the rows that may be among a query's k best, by all
+blocks that its task has scanned so far. Then exact vectors are read in the order
+of their bounds: the best ones first, and of the others those whose bound reaches
+the k-th score found.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ from .store import settle, table, told
 
 K, SCALE, EVERY = 5, 256, 50
 CELLS = 256
-#: Vectors and queries of a block, on average.
-VECTORS, QUERIES = 8192, 1024
+#: Vectors of each dimension that the borders of cells are taken from, at most; every vector gets its cells.
+GRID = 4096
+#: Vectors and queries of a block, on average, and queries that are multiplied at once.
+VECTORS, QUERIES, ROWS = 8192, 8192, 512
 #: Exact vectors that are read first for each query.
 READ = 32
 
@@ -39,31 +44,82 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return known.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v")
 
 
-def approximation_file(vectors: DataFrame, cells: int = CELLS) -> tuple[DataFrame, float, float]:
-    """dim, block, ids, cells (bytes, one for each component of each vector); also the lower end of the first cell and a cell's width."""
-    ends = vectors.where("dim > 0").agg(F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = (float(ends["lo"]), float(ends["hi"])) if ends["lo"] is not None else (0.0, 0.0)
-    width = max((hi - lo) / cells, 1.0)
-    cell = F.transform("v", lambda c: (F.least(F.floor((c - F.lit(lo)) / width), F.lit(cells - 1)) - 128).cast("byte"))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-ends["n"] // VECTORS) or 1)).alias("block")
-    return vectors.groupBy("dim", block).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list(cell)).alias("cells")), lo, width
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dim, lo, hi: the least and the greatest value of each component of a task's vectors."""
+    ends: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for d in set(b["dim"].to_pylist()) - {0}:
+            x = b.filter(pa.compute.equal(b["dim"], d))["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            lo, hi = ends.get(d, (x[0], x[0]))
+            ends[d] = [np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))]
+    yield pa.record_batch([pa.array(list(ends), pa.int32()), *(pa.array([e[k].tolist() for e in ends.values()], pa.list_(pa.int64())) for k in (0, 1))], ["dim", "lo", "hi"])
 
 
-def bounded_candidates(ids: np.ndarray, cell: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: float, width: float, k: int):
-    """Query, vector, upper bound and slack of the rows of a block that may be among a query's k best.
+def grids(vectors: DataFrame, cells: int = CELLS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the least and the greatest value of every cell of every component: dim x cells.
 
-    A score differs from that of the cells' middles by the slack at most; a row
-    stays if its upper bound reaches the k-th largest lower bound of the block.
+    Inner borders are quantiles of at most GRID vectors, chosen by hash; the outer
+    ones are the extremes of all vectors. A far-off value widens the last cell of
+    its component, and no other.
     """
-    middle = lo + (cell.astype(float) + 128.5) * width
-    bound = q.astype(float) @ middle.T
-    # each component is off by half a cell at most; the last terms cover rounding
-    slack = np.abs(q).sum(1) * (width / 2) + 1e-9 * (np.abs(q).astype(float) @ np.abs(middle).max(0, initial=0)) + 1e-6
-    bound[qids[:, None] == ids[None, :]] = -np.inf
+    ends = vectors.mapInArrow(_extremes, "dim int, lo array<long>, hi array<long>").select("dim", F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x"))
+    ends = ends.groupBy("dim", "at").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    # a row for each component of each dimension
+    rows = ends.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("at", "lo", "hi"))).alias("x")).select("dim", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")).collect()
+    out = {0: (np.zeros((0, cells)), np.zeros((0, cells)))}
+    for r in rows:
+        sample = vectors.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(GRID).select("v").collect()
+        inner = np.floor(np.quantile(np.array([x["v"] for x in sample], float), np.arange(1, cells) / cells, axis=0))
+        # cell c holds lo[c] <= v <= hi[c]; a border belongs to the cell above it
+        lo = np.vstack([np.array(r["lo"], float), inner])
+        hi = np.vstack([inner - 1, np.array(r["hi"], float)])
+        out[r["dim"]] = lo.T, np.maximum(hi, lo).T
+    return out
+
+
+def approximation_file(vectors: DataFrame, grid: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """dim, block, ids, cells: the cells of a block of vectors, one byte for each component."""
+
+    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d in sorted(set(b["dim"].to_pylist())):
+                one = b.filter(pa.compute.equal(b["dim"], d))
+                x = one["v"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(one), d)
+                cell = np.zeros(x.shape, np.uint8)
+                for k in range(d):
+                    cell[:, k] = np.searchsorted(grid[d][0][k, 1:], x[:, k], side="right")
+                yield pa.record_batch([one["dim"], one["vec_id"], pa.array([c.tobytes() for c in cell], pa.binary())], ["dim", "vec_id", "cell"])
+
+    n = vectors.count()
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // VECTORS) or 1)).alias("block")
+    each = vectors.select("dim", "vec_id", "v").mapInArrow(quantised, "dim int, vec_id long, cell binary")
+    return each.groupBy("dim", block).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("cell").alias("cells"))
+
+
+def bounded_candidates(ids: np.ndarray, cell: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, best: np.ndarray | None = None):
+    """Query, vector and upper bound of the rows of a block that may be among a query's k best; also the k greatest lower bounds of each query.
+
+    best: those of earlier blocks. Along each component a row's value is off the
+    middle of its cell by half the cell at most, so its score is off by the halves
+    weighed with the query's absolute values. A row stays if its upper bound
+    reaches the k-th lower bound.
+    """
+    at = np.arange(cell.shape[1])
+    low, high = lo[at, cell], hi[at, cell]
+    middle, half = (low + high) / 2, (high - low) / 2
+    q = q.astype(float)
+    score, slack = q @ middle.T, np.abs(q) @ half.T
+    slack += 1e-9 * (np.abs(q) @ np.abs(middle).max(0, initial=0))[:, None] + 1e-9 * slack + 1e-6  # rounding
+    own = qids[:, None] == ids[None, :]
+    lower = np.where(own, -np.inf, score - slack)
     m = min(k, len(ids))
-    kth = np.partition(bound, len(ids) - m, axis=1)[:, len(ids) - m]
-    i, j = np.nonzero((bound >= (kth - 2 * slack)[:, None]) & np.isfinite(bound))
-    return qids[i], ids[j], bound[i, j] + slack[i], slack[i]
+    here = -np.partition(-lower, m - 1, axis=1)[:, :m] if m else lower
+    best = here if best is None else np.concatenate([best, here], 1)
+    best = -np.sort(-best, axis=1)[:, :k]
+    kth = best[:, k - 1] if best.shape[1] == k else np.full(len(q), -np.inf)
+    upper = np.where(own, -np.inf, score + slack)
+    i, j = np.nonzero((upper >= kth[:, None]) & ~own)
+    return qids[i], ids[j], upper[i, j], best
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS) -> DataFrame:
@@ -72,12 +128,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS
     Cells alone are scanned. Of a query's candidates the READ best by bound are
     read exactly; their k-th score decides which of the others, by their bounds,
     are read too. Only vectors of the query's own dimension are candidates. Scores
-    are exact while they fit in 64 bits. Without vectors or queries the result is
+    are ranked exactly, as decimals of 38 digits where 64 bits do not hold them
+    (then ``score`` is the nearest long). Without vectors or queries the result is
     empty.
     """
     # of equal vectors the k + 1 smallest ids beat all others (one may be the query's own)
     equal = Window.partitionBy("dim", "v").orderBy("vec_id")
-    file, lo, width = approximation_file(vectors.withColumn("r", F.row_number().over(equal)).where(F.col("r") <= k + 1), cells)
+    grid = grids(vectors, cells)
+    file = approximation_file(vectors.withColumn("r", F.row_number().over(equal)).where(F.col("r") <= k + 1), grid)
     blocks, asked = settle(file, "approximations"), settle(queries, "queries")
     n_groups = -(-asked.count() // QUERIES) or 1
     n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
@@ -87,16 +145,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS
     pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["dim", "block", "grp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, np.ndarray] = {}  # of all blocks that this task has scanned
         for b in batches:
             for i in range(len(b)):
                 one = b.slice(i, 1)
-                d = one["dim"][0].as_py()
-                get = lambda c: np.asarray(one[c][0].values.to_numpy(zero_copy_only=False))  # noqa: B023, E731
-                ids, qids = get("ids"), get("qids")
-                found = bounded_candidates(ids, get("cells").reshape(len(ids), d), qids, get("qs").reshape(len(qids), d), lo, width, k)
-                yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "upper", "slack"])
-
-    found = settle(pairs.mapInArrow(search, "query_id long, vec_id long, upper double, slack double"), "candidates")
+                d, grp = one["dim"][0].as_py(), one["grp"][0].as_py()
+                ids, qids, qs = (np.asarray(one[c][0].values.to_numpy(zero_copy_only=False)) for c in ("ids", "qids", "qs"))
+                cell = np.frombuffer(b"".join(one["cells"][0].as_py()), np.uint8).reshape(len(ids), d)
+                qs = qs.reshape(len(qids), d)
+                for a in range(0, len(qids), ROWS):
+                    key = (d, grp, a)
+                    *found, best[key] = bounded_candidates(ids, cell, qids[a : a + ROWS], qs[a : a + ROWS], *grid[d], k, best.get(key))
+                    yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "upper"])
+
+    found = settle(pairs.mapInArrow(search, "query_id long, vec_id long, upper double"), "candidates")
     order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
     first = settle(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= READ), "first")
     read = settle(exact_scores(first, vectors, asked), "scores")
@@ -107,14 +169,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS
     more = found.join(told(settle(kth.join(last, "query_id"), "kth")), "query_id")
     more = more.where((F.col("upper") >= F.col("kth")) & ((F.col("upper") < F.col("last")) | ((F.col("upper") == F.col("last")) & (F.col("vec_id") > F.col("last_id")))))
     every_one = read.unionByName(exact_scores(settle(more.select("query_id", "vec_id"), "more"), vectors, asked))
-    return every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.greatest(F.least("score", F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("long").alias("score"))
 
 
 def exact_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of settled candidates. Vectors are told the candidates, if these are few, and not the other way round."""
+    """query_id, vec_id, score decimal(38,0) of settled candidates; sums beyond 38 digits are the greatest or least such number. Vectors are told the candidates, if these are few, and not the other way round."""
     one = vectors.select("vec_id", "v").join(told(candidates.select("query_id", "vec_id")), "vec_id")
     both = one.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    return both.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda n, x: n + x).alias("score"))
+    wide = lambda x: x.cast("decimal(19,0)")
+    whole = F.aggregate(F.zip_with("v", "q", F.try_multiply), F.lit(0).cast("long"), F.try_add)
+    exact = F.aggregate(F.zip_with("v", "q", lambda x, y: wide(x) * wide(y)), F.lit(0).cast("decimal(38,0)"), lambda n, x: F.try_add(n, x).cast("decimal(38,0)"))
+    near = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda n, x: n + x)
+    most = F.lit("9" * 38).cast("decimal(38,0)")
+    return both.select("query_id", "vec_id", F.coalesce(whole.cast("decimal(38,0)"), exact, F.when(near > 0, most).otherwise(-most)).alias("score"))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
