@@ -156,7 +156,7 @@ def phrase_matches(index: DataFrame, plan: DataFrame, lengths: list[int], lists:
     )
     # further lists: each candidate asks for the posting (term, document, start + offset)
     for k in range(1, lists):
-        wants = found.withColumn("term", F.col("rare")[k]["term"]).withColumn("pos", F.col("at") + F.col("rare")[k]["offset"])
+        wants = found.withColumn("next", F.get("rare", F.lit(k))).withColumn("term", F.col("next.term")).withColumn("pos", F.col("at") + F.col("next.offset")).drop("next")
         have = postings.select("term", "doc_id", "pos")
         found = wants.where("term is not null").join(have, ["term", "doc_id", "pos"], "left_semi").unionByName(wants.where("term is null")).drop("term", "pos")
     return found.where("here = phrase").select("item_id", "doc_id", "at", "length")
@@ -169,7 +169,7 @@ def proximity_matches(index: DataFrame, plan: DataFrame, slop: int = SLOP, lists
     found = postings.join(told(lead), "term").select("item_id", "start", "doc_id", F.col("pos").alias("at"), "others")
     near = postings.select(F.col("term").alias("o_term"), F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"))
     for k in range(lists - 1):
-        found = found.withColumn("want", F.expr(f"others[{k}]"))
+        found = found.withColumn("want", F.get("others", F.lit(k)))
         pair = (F.col("want") == F.col("o_term")) & (F.col("doc_id") == F.col("o_doc")) & (F.abs(F.col("at") - F.col("o_pos")) <= slop)
         found = found.where("want is not null").join(near, pair, "left_semi").unionByName(found.where("want is null")).drop("want")
     return found.select("item_id", "doc_id", "at").distinct()
