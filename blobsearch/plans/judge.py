@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blobsearch.functions import hashing as H
 from blobsearch.functions import ranges as R
 from blobsearch.functions import vectors as V
+from blobsearch.operators import intervals as I
 from blobsearch.operators import judge as J
 from blobsearch.operators import search as S
 
@@ -210,47 +212,40 @@ def _(t):
     return t.v_clips.select("blob_id", F.explode(R.multiscale_windows("duration")).alias("w")).select("blob_id", "w.start", "w.end")
 
 
-_SEG = f"SELECT blob_id, s, e, duration, CAST(s / 2 AS BIGINT) AS n FROM ({_WIN.format(w='4.0', s='2.0')})"
-_IOU = f"SELECT *, greatest(0, least(e, g1) - greatest(s, g0)) / ((e - s) + (g1 - g0) - greatest(0, least(e, g1) - greatest(s, g0))) AS iou FROM (SELECT *, CAST(CAST(blob_id AS BIGINT) % 5 AS DOUBLE) AS g0, least(duration, CAST(blob_id AS BIGINT) % 5 + 6.0) AS g1 FROM ({_SEG})) WHERE g1 > g0"
+_IOU = "greatest(0, least(e, g1) - greatest(s, g0)) / ((e - s) + (g1 - g0) - greatest(0, least(e, g1) - greatest(s, g0)))"
 
 
-def _segments(t):
-    n = F.col("blob_id").cast("long") % 5
-    rows = t.v_clips.select("blob_id", "duration", F.posexplode(R.slide_windows("duration")).alias("n", "w")).select("blob_id", "n", F.col("w.start").alias("s"), F.col("w.end").alias("e"), n.cast("double").alias("g0"), F.least(F.col("duration"), n + 6.0).alias("g1"))
-    rows = rows.where("g1 > g0")
-    return rows.withColumn("iou", R.interval_iou(F.col("s"), F.col("e"), F.col("g0"), F.col("g1")))
-
-
-@query("interval_iou_join", f"SELECT blob_id, s, e, round(iou, 6) AS iou FROM ({_IOU}) WHERE iou > 0")
+@query("interval_iou_join", f"SELECT x.blob_id, truth_id, s, e, round({_IOU}, 6) AS iou FROM v_segments x JOIN v_truths y ON x.blob_id = y.blob_id AND s < g1 AND g0 < e")
 def _(t):
-    return _segments(t).where("iou > 0").select("blob_id", "s", "e", F.round("iou", 6).alias("iou"))
+    both = I.iou_join(t.v_segments.select("blob_id", "s", "e"), t.v_truths.select("blob_id", "truth_id", "g0", "g1"))
+    return both.select("blob_id", "truth_id", "s", "e", F.round("iou", 6).alias("iou"))
 
 
-_SEGSIM = f"SELECT i.*, {DOT.format('embedding', 'q')} AS sim, row_number() OVER (PARTITION BY i.blob_id ORDER BY round({DOT.format('embedding', 'q')}, 9) DESC, s) AS r FROM ({_IOU}) i JOIN embeddings x ON x.vec_id = (CAST(i.blob_id AS BIGINT) * 31 + n) % 500, v_queries WHERE query_id = '5'"
+_SEGSIM = f"SELECT query_id, blob_id, s, e, {DOT.format('embedding', 'q')} AS sim, row_number() OVER (PARTITION BY query_id, blob_id ORDER BY round({DOT.format('embedding', 'q')}, 9) DESC, s) AS r FROM v_segments, v_queries"
 
 
 def _scored_segments(t):
-    vec = t.embeddings.select("vec_id", "embedding")
-    rows = _segments(t).withColumn("vec_id", (F.col("blob_id").cast("long") * 31 + F.col("n")) % 500).join(vec, "vec_id").crossJoin(F.broadcast(t.v_queries.where("query_id = '5'")))
-    rows = rows.withColumn("sim", V.dot("embedding", "q"))
-    return S.ranked(rows, F.col("blob_id"), [F.desc(F.round("sim", 9)), "s"], "r")
+    rows = t.v_segments.crossJoin(S.small(t.v_queries.select("query_id", "q"))).select("query_id", "blob_id", "s", "e", V.dot("embedding", "q").alias("sim"))
+    w = Window.partitionBy("query_id", "blob_id").orderBy(F.desc(F.round("sim", 9)), "s")
+    return rows.withColumn("r", F.row_number().over(w))
 
 
-@query("in_video_search", f"SELECT blob_id, s, e, round((round(sim, 9) + 1) * 50, 2) AS score FROM ({_SEGSIM}) WHERE r <= 3")
+@query("in_video_search", f"SELECT query_id, blob_id, s, e, round((round(sim, 9) + 1) * 50, 2) AS score FROM ({_SEGSIM}) WHERE r <= 3")
 def _(t):
-    return _scored_segments(t).where("r <= 3").select("blob_id", "s", "e", F.round((F.round("sim", 9) + 1) * 50, 2).alias("score"))
+    return _scored_segments(t).where("r <= 3").select("query_id", "blob_id", "s", "e", F.round((F.round("sim", 9) + 1) * 50, 2).alias("score"))
 
 
-@query("moment_recall", f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN iou >= 0.3 THEN 1.0 ELSE 0 END), 6) AS r3, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN iou >= 0.7 THEN 1.0 ELSE 0 END), 6) AS r7, round(avg(iou), 6) AS miou FROM ({_SEGSIM}) WHERE r = 1")
+@query("moment_recall", f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN iou >= 0.3 THEN 1.0 ELSE 0 END), 6) AS r3, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN iou >= 0.7 THEN 1.0 ELSE 0 END), 6) AS r7, round(avg(iou), 6) AS miou FROM (SELECT {_IOU} AS iou FROM ({_SEGSIM}) x JOIN v_truths y ON x.blob_id = y.blob_id AND x.query_id = y.query_id WHERE r = 1)")
 def _(t):
+    # the best segment of each query and video against every true span of that query in it
+    best = _scored_segments(t).where("r = 1").drop("r")
+    rows = t.v_truths.join(S.small(best), ["query_id", "blob_id"]).select(R.interval_iou(F.col("s"), F.col("e"), F.col("g0"), F.col("g1")).alias("iou"))
     at = lambda x: F.round(F.avg(F.when(F.col("iou") >= x, 1.0).otherwise(0.0)), 6)
-    return _scored_segments(t).where("r = 1").agg(F.count("*").alias("n"), at(0.3).alias("r3"), at(0.5).alias("r5"), at(0.7).alias("r7"), F.round(F.avg("iou"), 6).alias("miou"))
+    return rows.agg(F.count("*").alias("n"), at(0.3).alias("r3"), at(0.5).alias("r5"), at(0.7).alias("r7"), F.round(F.avg("iou"), 6).alias("miou"))
 
 
 @query("span_hit_rate", "WITH p AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e, length(text) AS d, sum(length(text)) OVER (PARTITION BY conv_id) AS total FROM conversations) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN total * 0.4 BETWEEN e - d AND e THEN 1.0 ELSE 0.0 END), 6) AS hit FROM p WHERE turn = 1")
 def _(t):
-    from pyspark.sql import Window
-
     rows = J.spans(t.conversations.select("conv_id", "turn", F.length("text").alias("d")), "conv_id", "turn", "d")
     rows = rows.withColumn("total", F.sum("d").over(Window.partitionBy("conv_id")))
     mid = F.col("total") * 0.4
@@ -290,8 +285,6 @@ _NEG = f"SELECT query_id, blob_id, label, truth, sim, row_number() OVER (PARTITI
 
 @query("recall_local_neg", f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, blob_id) AS rank FROM ({_NEG}) WHERE (label = truth AND pick = 1) OR (label <> truth AND pick <= 20)) SELECT {_recalls(1, 5)} FROM (SELECT query_id, min(CASE WHEN label = truth THEN rank END) AS first FROM p GROUP BY 1)")
 def _(t):
-    from pyspark.sql import Window
-
     true = F.col("label") == F.col("truth")
     w = Window.partitionBy("query_id", true).orderBy(F.md5(F.concat("query_id", F.lit("-"), "blob_id")), "blob_id")
     pool = _query_sims(t).withColumn("pick", F.row_number().over(w)).where((true & (F.col("pick") == 1)) | (~true & (F.col("pick") <= 20)))

@@ -72,6 +72,12 @@ VIEWS = {
           CASE WHEN MOD(turn, 4) = 3 THEN 'audio/ogg' ELSE NULL END AS content_type
         FROM conversations""",
     "v_clips": "SELECT CAST(p_partkey AS STRING) AS blob_id, CAST(p_size AS DOUBLE) AS duration FROM part",
+    # every vector is a segment of one of 97 videos; every document a true span of one, of its query
+    "v_segments": "SELECT CAST(MOD(vec_id, 97) AS STRING) AS blob_id, CAST(FLOOR(vec_id / 97) AS DOUBLE) * 2 AS s, CAST(FLOOR(vec_id / 97) AS DOUBLE) * 2 + 4 AS e, embedding FROM embeddings",
+    "v_truths": """
+        SELECT CAST(MOD(doc_id, 97) AS STRING) AS blob_id, doc_id AS truth_id, CAST(MOD(doc_id, 10) AS STRING) AS query_id,
+          CAST(MOD(doc_id * 13, 211) AS DOUBLE) / 2 AS g0, CAST(MOD(doc_id * 13, 211) AS DOUBLE) / 2 + 1 + MOD(doc_id, 9) + CASE WHEN MOD(doc_id, 50) = 0 THEN 60 ELSE 0 END AS g1
+        FROM documents""",
     "v_labels": "SELECT CAST(doc_id AS STRING) AS blob_id, toxic = 1 AS is_nsfw_truth, quality FROM labels",
     "v_hashes": """
         SELECT CAST(vec_id AS STRING) AS blob_id, CAST(vec_id * 2654435761 AS BIGINT) AS h FROM embeddings
