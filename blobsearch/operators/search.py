@@ -245,14 +245,14 @@ def rescore_top(df: DataFrame, k: int, scorer) -> DataFrame:
     return df.where(F.col("rank") <= k).mapInArrow(run, schema).unionByName(df.where(F.col("rank") > k).withColumn("second", F.lit(-100.0)))
 
 
-def hybrid(vectors: DataFrame, captions: DataFrame, query: DataFrame, k: int, exclude_nsfw: bool = True, multiplier: float = 450.0, over: int = 20) -> DataFrame:
+def hybrid(vectors: DataFrame, captions: DataFrame, query: DataFrame, k: int, exclude_nsfw: bool = True, multiplier: float = 450.0, over: int = 20, index=None) -> DataFrame:
     """Vector and caption candidates fused by rank, floored, reranked and cut to k.
 
-    query: query_id, q, terms. Returns query_id, blob_id, final_rank, display, caption.
+    query: query_id, q, terms. index: a ``TextIndex`` of the captions; without one they are split anew. Returns query_id, blob_id, final_rank, display, caption.
     """
     pool = vectors.where((F.col("kind") == "image") & (~F.col("is_nsfw") if exclude_nsfw else F.lit(True)))
     near = top_k(pool, query.select("query_id", "q"), over * k)
-    words = bm25(captions, query).join(pool.select("blob_id"), "blob_id", "left_semi")
+    words = (index.bm25(query) if index else bm25(captions, query)).join(pool.select("blob_id"), "blob_id", "left_semi")
     words = ranked(words, F.col("query_id"), [F.desc(F.round("bm25", 9)), "blob_id"], "rank")
     fused = rrf([near, words])
     both = fused.join(near.select("query_id", "blob_id", F.col("sim").alias("near_sim")), ["query_id", "blob_id"], "left").join(words.select("query_id", "blob_id", F.col("rank").alias("fts_rank")), ["query_id", "blob_id"], "left")

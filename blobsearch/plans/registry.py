@@ -58,6 +58,15 @@ VIEWS = {
     "v_prototypes": "SELECT CAST(vec_id AS STRING) AS proto_id, embedding AS p FROM embeddings WHERE vec_id BETWEEN 10 AND 17",
     "v_anchors": "SELECT CAST(vec_id AS STRING) AS anchor_id, embedding AS a, MOD(vec_id, 7) AS x FROM embeddings WHERE vec_id < 12",
     "v_captions": "SELECT CAST(doc_id AS STRING) AS blob_id, text AS caption, lang FROM documents",
+    # changes of captions: deletions, two updates of some rows, texts that become null, and new rows
+    "v_changes": """
+        SELECT CAST(doc_id AS STRING) AS blob_id, 0 AS seq, MOD(doc_id, 10) = 3 AS deleted,
+          CASE WHEN MOD(doc_id, 10) = 5 THEN CONCAT('renewed words in ', lang, ' ', text) WHEN MOD(doc_id, 10) = 3 THEN text ELSE NULL END AS caption
+        FROM documents WHERE MOD(doc_id, 10) IN (3, 5, 7)
+        UNION ALL
+        SELECT CAST(doc_id AS STRING), 1, FALSE, CONCAT('last words of ', source) FROM documents WHERE MOD(doc_id, 20) = 5
+        UNION ALL
+        SELECT CONCAT('c', CAST(conv_id AS STRING)), 0, FALSE, MIN(text) FROM conversations GROUP BY conv_id""",
     "v_events": """
         SELECT event_id, ts, event_type AS type, CASE WHEN MOD(event_id, 10) = 0 THEN '' ELSE CAST(MOD(event_id, 4000) AS STRING) END AS blob_id,
           CAST(MOD(user_id, 12) AS STRING) AS upstream, value / 10.0 AS latency_secs, event_type <> 'error' AS ok

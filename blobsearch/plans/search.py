@@ -9,6 +9,8 @@ from blobsearch.functions import vectors as V
 from blobsearch.operators import catalog as C
 from blobsearch.operators import judge as J
 from blobsearch.operators import search as S
+from blobsearch.operators.textindex import TextIndex
+from blobsearch.sources.shared import new_path
 
 from .registry import query
 
@@ -209,15 +211,45 @@ def _terms(t):
     return t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.slice(S.tokens("text"), 1, 2).alias("terms"))
 
 
+def _index(t, captions):
+    index = TextIndex(t.spark, new_path(t.spark, "caption-index"))
+    index.rebuild(captions)
+    return index
+
+
 @query("bm25_match", f"WITH {BM25} SELECT query_id, blob_id, round(bm25, 6) AS bm25 FROM bm")
+def _(t):
+    return _index(t, t.v_captions).bm25(_terms(t)).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("bm25_of_texts", f"WITH {BM25} SELECT query_id, blob_id, round(bm25, 6) AS bm25 FROM bm")
 def _(t):
     return S.bm25(t.v_captions, _terms(t)).withColumn("bm25", F.round("bm25", 6))
 
 
-@query("fts_sync", "WITH tok AS (SELECT blob_id, unnest(list_filter(regexp_split_to_array(lower(caption), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM v_captions WHERE blob_id IN (SELECT blob_id FROM v_blobs WHERE is_active)) SELECT term, CAST(count(DISTINCT blob_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS tf FROM tok GROUP BY 1")
+_ACTIVE = "SELECT blob_id, caption FROM v_captions WHERE blob_id IN (SELECT blob_id FROM v_blobs WHERE is_active)"
+_SYNCED = f"SELECT blob_id, caption FROM ({_ACTIVE}) WHERE blob_id NOT IN (SELECT blob_id FROM v_changes) UNION ALL SELECT blob_id, caption FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY seq DESC) AS r FROM v_changes) WHERE r = 1 AND NOT deleted AND caption IS NOT NULL"
+
+
+def _synced(t, compact):
+    # the active captions, then a batch of changes that arrives twice
+    index = _index(t, t.v_captions.join(t.v_blobs.where("is_active"), "blob_id", "left_semi"))
+    for _ in range(2):
+        index.apply(t.v_changes, run=1)
+    if compact:
+        index.compact()
+        index.clean()
+    return index
+
+
+@query("fts_sync", f"WITH tok AS (SELECT blob_id, unnest(list_filter(regexp_split_to_array(lower(caption), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM ({_SYNCED})) SELECT term, CAST(count(DISTINCT blob_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS tf FROM tok GROUP BY 1")
+def _(t):
+    return _synced(t, True).postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+@query("bm25_after_changes", f"WITH {BM25.replace('v_captions', f'({_SYNCED})')} SELECT query_id, blob_id, round(bm25, 6) AS bm25 FROM bm")
 def _(t):
-    p = S.postings(t.v_captions.join(t.v_blobs.where("is_active"), "blob_id", "left_semi"))
-    return p.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    return _synced(t, False).bm25(_terms(t)).withColumn("bm25", F.round("bm25", 6))
 
 
 _NEAR = f"SELECT query_id, blob_id, rank, sim FROM ({KNN.format(SIMS)}) WHERE rank <= 20"
@@ -349,7 +381,7 @@ SELECT fin.query_id, fin.blob_id, CAST(fin.final_rank AS INT) AS final_rank, sc.
 @query("hybrid_search", HYBRID)
 def _(t):
     asked = t.v_queries.join(_terms(t), "query_id").select("query_id", "q", "terms")
-    return S.hybrid(t.v_vectors, t.v_captions, asked, 5)
+    return S.hybrid(t.v_vectors, t.v_captions, asked, 5, index=_index(t, t.v_captions))
 
 
 @query("source_compare", "SELECT blob_id, max(CASE WHEN src = 'a' THEN size END) AS a, max(CASE WHEN src = 'b' THEN size END) AS b FROM (SELECT blob_id, 'a' AS src, size FROM v_old UNION ALL SELECT blob_id, 'b', size FROM v_batch WHERE seq = 0) GROUP BY blob_id")
