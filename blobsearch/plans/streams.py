@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blobsearch.operators import catalog as C
+from blobsearch.operators import listing as G
+from blobsearch.sources import landed
 from blobsearch.sources import shared as H
+from blobsearch.sources.cursor import cursor_source
+from blobsearch.sources.paged import paged_source
 from blobsearch.streaming import jobs as J
 
 from .registry import Tables, query
@@ -39,30 +42,103 @@ def _(t):
 _LAST = "SELECT blob_id, arg_max(type, event_id) AS status FROM v_events WHERE blob_id <> '' GROUP BY blob_id"
 
 
-@query("stream_event_filter", _LAST)
-def _(t):
-    table = H.VersionedTable(t.spark, H.new_path(t.spark, "catalog"))
+def _catalog(t, name):
+    return H.BucketTable(t.spark, H.new_path(t.spark, name), "blob_id", "blob_id string, status string")
+
+
+def _merge_events(t, table):
     rows = J.with_id(event_stream(t)).select("blob_id", F.col("type").alias("status"), "event_id")
-    J.run_available(rows, J.merge_into(table, {"status": "overwrite"}, "event_id"), H.new_path(t.spark, "checkpoint"))
+    J.run_available(rows, J.merge_buckets(table, {"status": "overwrite"}, "event_id"), H.new_path(t.spark, "checkpoint"))
     return table.read()
 
 
+@query("stream_event_filter", _LAST)
+def _(t):
+    return _merge_events(t, _catalog(t, "catalog"))
+
+
 @query("stream_backfill_listen", f"SELECT coalesce(b.blob_id, e.blob_id) AS blob_id, coalesce(e.status, b.status) AS status FROM v_blobs b FULL OUTER JOIN ({_LAST}) e ON b.blob_id = e.blob_id")
 def _(t):
-    table = H.VersionedTable(t.spark, H.new_path(t.spark, "catalog"))
-    table.replace(t.v_blobs.select("blob_id", "status"))
-    rows = J.with_id(event_stream(t)).select("blob_id", F.col("type").alias("status"), "event_id")
-    J.run_available(rows, J.merge_into(table, {"status": "overwrite"}, "event_id"), H.new_path(t.spark, "checkpoint"))
-    return table.read()
+    # the full scan is a merge into an empty table; the stream then touches the buckets of its blobs
+    table = _catalog(t, "catalog")
+    table.merge(t.v_blobs.select("blob_id", "status"), lambda old, new: old.unionByName(new))
+    return _merge_events(t, table)
+
+
+_LOG = "event_id long, type string"
+
+
+def _log(t, path):
+    """The events as a log with cursors, landed in ranges of 1,000."""
+    rows, tip = landed.range_reader(path, "event_id", 1000)
+    name = f"cursor_log_{path.rsplit('-', 1)[1]}"
+    t.spark.dataSource.register(cursor_source(rows, tip, _LOG, name))
+    return t.spark.readStream.format(name).option("per_task", 2500)
+
+
+def _middle(t):
+    return t.events.agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
 
 
 @query("stream_cursor_resume", "SELECT event_id, type FROM v_events")
 def _(t):
-    # two runs on one checkpoint: the second starts at the first's cursor and finds nothing new
-    out, check = H.new_path(t.spark, "out"), H.new_path(t.spark, "checkpoint")
-    rows = event_stream(t).select("event_id", "type")
-    J.collected(rows, t.spark, check, out)
-    return J.collected(event_stream(t).select("event_id", "type"), t.spark, check, out)
+    # a run that ends half way, then one on the same checkpoint: it begins after the first one's cursor
+    path, out, check = (H.new_path(t.spark, n) for n in ("log", "out", "checkpoint"))
+    landed.land(t.v_events.select("event_id", "type"), path, "event_id", 1000)
+    J.collected(_log(t, path).option("start", -1).option("until", _middle(t)).load(), t.spark, check, out)
+    return J.collected(_log(t, path).option("start", -1).load(), t.spark, check, out)
+
+
+@query("stream_from_tip", "SELECT event_id, type FROM v_events WHERE event_id > (SELECT floor(max(event_id) / 2) FROM events)")
+def _(t):
+    # without a cursor a stream begins at the tip: of a log that grows between two runs it gives the growth
+    path, out, check = (H.new_path(t.spark, n) for n in ("log", "out", "checkpoint"))
+    rows, half = t.v_events.select("event_id", "type"), _middle(t)
+    landed.land(rows.where(F.col("event_id") <= half), path, "event_id", 1000)
+    J.collected(_log(t, path).load(), t.spark, check, out)
+    landed.land(rows.where(F.col("event_id") > half), path, "event_id", 1000)
+    return J.collected(_log(t, path).load(), t.spark, check, out)
+
+
+PAGE, POLLED, STREAK = 100, 5, 20
+
+#: Newest first: page 0 holds the newest events. Every 41st page lacks an event, and so ends the listing.
+_DEALT = f"SELECT CAST(floor(r / {PAGE}) AS BIGINT) AS page, CAST(r % {PAGE} AS BIGINT) AS pos, event_id FROM (SELECT event_id, (SELECT max(event_id) FROM events) - event_id AS r FROM events) WHERE r % {41 * PAGE} <> {40 * PAGE + 7}"
+_KNOWN = "SELECT event_id FROM events WHERE event_id % 9 <> 0 AND event_id < (SELECT max(event_id) FROM events) - 130 OR event_id < (SELECT max(event_id) FROM events) - 370"
+
+
+def _paged(t, pages):
+    """The events dealt into pages, landed, and listed through the paged source."""
+    newest = F.broadcast(t.events.agg(F.max("event_id").alias("newest")))
+    r = F.col("newest") - F.col("event_id")
+    rows = t.events.crossJoin(newest).where(r % (41 * PAGE) != 40 * PAGE + 7).select(F.floor(r / PAGE).alias("page"), (r % PAGE).alias("pos"), F.col("event_id").cast("string").alias("blobId"))
+    path = H.new_path(t.spark, "pages")
+    landed.land(rows, path, "page", 10)
+    read, tip = landed.range_reader(path, "page", 10)
+
+    def fetch(page):
+        return sorted(({"pos": x["pos"], "blobId": x["blobId"]} for x in read(page, page)), key=lambda x: x["pos"])
+
+    name = f"paged_{path.rsplit('-', 1)[1]}"
+    t.spark.dataSource.register(paged_source(fetch, name))
+    listed = t.spark.read.format(name).option("pages", tip() + 1 if pages is None else pages).option("pages_per_task", 10).option("page_size", PAGE).load()
+    item = F.from_json("item", "pos long, blobId string")
+    return listed.select("page", item.alias("x")).select("page", "x.pos", F.col("x.blobId").alias("blob_id"))
+
+
+@query("src_paged_listing", f"WITH d AS ({_DEALT}), n AS (SELECT page, count(*) AS n FROM d GROUP BY 1) SELECT page, pos, CAST(event_id AS VARCHAR) AS blob_id FROM d WHERE page <= (SELECT coalesce(min(page), 1000000000) FROM n WHERE n < {PAGE})")
+def _(t):
+    return G.until_short_page(_paged(t, None), PAGE)
+
+
+@query("poll_newest_pages", f"""
+WITH d AS (SELECT d.*, k.event_id IS NOT NULL AS known, row_number() OVER (ORDER BY page, pos) AS nth FROM ({_DEALT}) d LEFT JOIN ({_KNOWN}) k USING (event_id) WHERE page < {POLLED}),
+g AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (ORDER BY nth) AS g FROM d), s AS (SELECT *, CASE WHEN known THEN row_number() OVER (PARTITION BY g, known ORDER BY nth) ELSE 0 END AS run FROM g)
+SELECT page, pos, CAST(event_id AS VARCHAR) AS blob_id, known FROM s WHERE nth <= (SELECT coalesce(min(nth), 1000000000) FROM s WHERE run = {STREAK})
+""")
+def _(t):
+    known = t.sql(_KNOWN).select(F.col("event_id").cast("string").alias("blob_id"))
+    return G.poll_newest(_paged(t, POLLED), known, STREAK, POLLED)
 
 
 @query("stream_coverage", "SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (blob_id <> '') AS BIGINT) AS with_id FROM v_events GROUP BY type")
@@ -72,14 +148,19 @@ def _(t):
     return table.read()
 
 
-@query("stream_retry_budget", "SELECT blob_id, CAST(count(*) AS BIGINT) AS failures, CASE WHEN count(*) >= 3 THEN 'failed' ELSE 'requeue' END AS action FROM v_events WHERE NOT ok AND blob_id <> '' GROUP BY 1")
+@query("stream_retry_budget", "SELECT blob_id, CAST(least(count(*), 3) AS BIGINT) AS failures, CASE WHEN count(*) >= 3 THEN 'failed' ELSE 'requeue' END AS action FROM v_events WHERE NOT ok AND blob_id <> '' GROUP BY 1")
 def _(t):
-    table = H.VersionedTable(t.spark, H.new_path(t.spark, "retries"))
-    failures = J.with_id(event_stream(t)).where("not ok")
-    J.run_table(J.retry_budget(failures), "complete", J.replace_with(table), H.new_path(t.spark, "checkpoint"))
+    table = H.BucketTable(t.spark, H.new_path(t.spark, "retries"), "blob_id", "blob_id string, failures long, action string")
+    failures = J.with_id(event_stream(t)).where("not ok").withWatermark("ts", "0 seconds")
+    J.run_table(J.retry_stream(failures), "update", J.latest_in_buckets(table), H.new_path(t.spark, "checkpoint"))
     return table.read()
 
 
+@query("retry_budget_of_log", "SELECT blob_id, CAST(least(count(*), 3) AS BIGINT) AS failures, CASE WHEN count(*) >= 3 THEN 'failed' ELSE 'requeue' END AS action FROM v_events WHERE NOT ok AND blob_id <> '' GROUP BY 1")
+def _(t):
+    return J.retry_budget(J.with_id(t.v_events).where("not ok"))
+
+
 _HEALTH = """
 WITH s AS (SELECT upstream, list(CASE WHEN ok THEN latency_secs ELSE greatest(latency_secs, 4.0) END ORDER BY ts, event_id) AS l, list(ok ORDER BY ts, event_id) AS oks, max(CASE WHEN NOT ok THEN ts END) AS bad FROM v_events GROUP BY 1)
 SELECT upstream, CAST(len(l) AS BIGINT) AS requests, CAST(len(list_filter(oks, lambda x: NOT x)) AS BIGINT) AS failures,
@@ -89,11 +170,13 @@ SELECT upstream, CAST(len(l) AS BIGINT) AS requests, CAST(len(list_filter(oks, l
 """
 
 
-@query("stream_health", _HEALTH)
+@query("stream_health", _HEALTH.replace("epoch(TIMESTAMP '2024-01-31 00:00:00')", "(SELECT epoch(max(ts)) FROM v_events)"))
 def _(t):
-    table = H.VersionedTable(t.spark, H.new_path(t.spark, "health"))
-    J.run_table(J.health_stream(event_stream(t)), "update", J.keep_latest(table, "upstream"), H.new_path(t.spark, "checkpoint"))
-    return J.tripped(table.read(), AS_OF).withColumn("ema", F.round("ema", 6))
+    # timers fire until the watermark stands at the newest event
+    table = H.BucketTable(t.spark, H.new_path(t.spark, "health"), "upstream", "upstream string, requests long, failures long, ema double, streak long, tripped boolean")
+    log = event_stream(t).select("upstream", "ts", "event_id", "ok", "latency_secs").withWatermark("ts", "0 seconds")
+    J.run_table(J.health_stream(log), "update", J.latest_in_buckets(table), H.new_path(t.spark, "checkpoint"))
+    return table.read().withColumn("ema", F.round("ema", 6))
 
 
 @query("health_of_log", _HEALTH)
@@ -101,9 +184,14 @@ def _(t):
     return J.health(t.v_events.withColumn("ts", F.col("ts").cast("timestamp")), AS_OF).withColumn("ema", F.round("ema", 6))
 
 
-@query("stream_expire_flush", "SELECT CAST(count(*) AS BIGINT) AS kept FROM v_vectors WHERE expires_at IS NULL OR expires_at > 30")
+@query("stream_expire_flush", "SELECT blob_id, expires_at, expires_at IS NOT NULL AND expires_at <= (SELECT max(event_id) // 200 FROM events) AS expired FROM v_vectors")
 def _(t):
-    return C.prune_expired(t.v_vectors, 30).agg(F.count("*").alias("kept"))
+    # epochs arrive as a stream of ticks, one for each 200 events; each batch marks and takes out what has expired by then
+    table = H.BucketTable(t.spark, H.new_path(t.spark, "live"), "blob_id", "blob_id string, expires_at int, expired boolean")
+    table.merge(t.v_vectors.select("blob_id", "expires_at", F.lit(False).alias("expired")), lambda old, new: old.unionByName(new))
+    ticks = event_stream(t).select(F.floor(F.col("event_id") / 200).alias("epoch"))
+    J.run_available(ticks, J.expire_in(table), H.new_path(t.spark, "checkpoint"))
+    return table.read()
 
 
 @query("write_snapshot", "SELECT blob_id, label, kind FROM v_vectors WHERE blob_id NOT IN (SELECT blob_id FROM v_blobs WHERE is_nsfw)")

@@ -14,10 +14,12 @@ class Pages(InputPartition):
 
 
 def paged_source(fetch: Callable[[int], list[dict]], name: str = "paged_listing") -> type[DataSource]:
-    """A data source class ``name`` for ``spark.dataSource.register``; options: pages, pages_per_task.
+    """A data source class ``name`` for ``spark.dataSource.register``; options: pages, pages_per_task, page_size.
 
     Batch: partitions of page ranges; a range ends at its first page that is
-    empty or shorter than the one before. Stream: the offset is the next page.
+    empty, shorter than the one before or, if that is given, than ``page_size``.
+    Ranges are read at the same time: ``until_short_page`` takes out what stands
+    behind the listing's first short page. Stream: the offset is the next page.
     """
 
     def rows(page: int) -> list[tuple[int, str]]:
@@ -25,17 +27,17 @@ def paged_source(fetch: Callable[[int], list[dict]], name: str = "paged_listing"
 
     class Reader(DataSourceReader):
         def __init__(self, options):
-            self.pages, self.step = int(options.get("pages", 1)), int(options.get("pages_per_task", 10))
+            self.pages, self.step, self.full = int(options.get("pages", 1)), int(options.get("pages_per_task", 10)), int(options.get("page_size", 1))
 
         def partitions(self):
             return [Pages(i, min(i + self.step, self.pages)) for i in range(0, self.pages, self.step)]
 
         def read(self, partition) -> Iterator[tuple]:
-            size = 0
+            size = self.full
             for page in range(partition.first, partition.last):
                 got = rows(page)
                 yield from got
-                if len(got) < max(size, 1):
+                if len(got) < size:
                     return
                 size = len(got)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,63 @@ class VersionedTable:
         return done[-1] + 1
 
 
+class BucketTable:
+    """A Parquet table in hash buckets of its key, each a partition folder; a merge writes the buckets that its batch touches and no other.
+
+    The merged buckets are written aside first. Only a complete set replaces the
+    table's folders, and a job that finds one left by a lost driver replaces them
+    again before it does anything else.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, _bucket int").parquet(path)
+
+    def _finish(self) -> None:
+        """Puts a complete set of merged buckets in place."""
+        aside = f"{self.path}.merged"
+        if self._exists(f"{aside}/_SUCCESS"):
+            self._rows(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        p, fs = self._fs(aside)
+        fs.delete(p, True)
+
+    def read(self) -> DataFrame:
+        self._finish()
+        if not self._exists(self.path):
+            return self.spark.createDataFrame([], self.schema)
+        return self._rows(self.path).drop("_bucket")
+
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """combine(old rows of the touched buckets, batch) gives their new rows. Returns the touched buckets, so many at most as the table has."""
+        self._finish()
+        # its rows are read twice, and a stateful stream would run twice for that
+        aside = f"{self.path}.batch"
+        batch.write.mode("overwrite").parquet(aside)
+        batch = self.spark.read.schema(batch.schema).parquet(aside)
+        touched = sorted(r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect())
+        if not touched:
+            return touched
+        old = self._rows(self.path).where(F.col("_bucket").isin(touched)).drop("_bucket") if self._exists(self.path) else self.spark.createDataFrame([], self.schema)
+        new = combine(old, batch).withColumn("_bucket", self._bucket())
+        # the folder has buckets below it, so it is read by bucket again
+        new.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}.merged")
+        self._finish()
+        return touched
+
+
 def write_snapshot(table: VersionedTable, vectors: DataFrame, blacklist: DataFrame) -> int:
     """Vectors without the blacklisted ids as the next version."""
     return table.replace(vectors.join(blacklist.select("blob_id"), "blob_id", "left_anti"))
