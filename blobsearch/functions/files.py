@@ -71,7 +71,7 @@ EXTENSION_OF_MIME = {
     "text/xml": "xml",
 }
 HEIC_BRANDS = ("heic", "heix", "heif", "mif1", "msf1")
-AVIF_BRANDS = ("avif", "avis")
+AVIF_BRANDS = ("avif", "avis", "AVIF")
 AUDIO_BRANDS = ("M4A ", "M4B ", "f4a ", "F4A ", "M4P ", "mp4a", "aac ")
 #: Well-formed UTF-8 sequences of two to four bytes, or one, in hex.
 _UTF8 = "[0-7].|(C[2-9A-F]|D.)[89AB].|E.([89AB].){2}|F[0-4]([89AB].){3}"
@@ -124,12 +124,13 @@ def kind_from_tags(tags: Column) -> Column:
 
 def sniff(h: Column, size: Column) -> Column:
     """struct<mime_type, extension, kind> from the upper-case hex of a payload's prefix and its size in bytes; the first rule that holds."""
-    has = lambda text, upto=None: F.instr(h if upto is None else F.substring(h, 1, 2 * upto), text.encode().hex().upper()) > 0
+    # found from a byte's first digit on only
+    has = lambda text, upto=None: (h if upto is None else F.substring(h, 1, 2 * upto)).rlike(f"^(?:..)*?{text.encode().hex().upper()}")
     at = lambda byte, n: F.substring(h, 2 * byte + 1, 2 * n)
     text = lambda s: s.encode().hex().upper()
     starts = lambda *hexes: _any(h.startswith(x) for x in hexes)
-    place = F.instr(h, text("ftyp"))
-    brand = F.when(F.substring(h, 9, 8) == text("ftyp"), at(8, 4)).when((place >= 9) & (place % 2 == 1), F.substr(h, place + 8, F.lit(8)))
+    later = F.regexp_extract(h, f"^(?:..){{4}}(?:..)*?{text('ftyp')}(.{{8}})", 1)
+    brand = F.when(F.substring(h, 9, 8) == text("ftyp"), at(8, 4)).when(later != "", later)
     brand = F.when(brand.rlike("^([2-6][0-9A-F]|7[0-9A-E]){4}$"), brand)
     of = lambda *names: F.coalesce(brand.isin(*map(text, names)), F.lit(False))
     sound, picture = has("hdlr") & has("soun"), has("hdlr") & has("vide")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blobsearch.functions import hashing
 from blobsearch.functions import vectors as V
 
+from .components import components
 from .search import ranked, small
 
 # Label words of a vision model, in the order of their check, with scores.
@@ -86,3 +87,35 @@ def spans(segments: DataFrame, key: str, order: str, duration: str) -> DataFrame
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(duration).over(w)
     return segments.withColumn("end", end).withColumn("start", F.col("end") - F.col(duration))
+
+
+def duplicate_classes(hashes: DataFrame, most: int = hashing.NEAR) -> DataFrame:
+    """blob_id, class_id (the smallest id that near links reach), copies (ids of its hash), links (other hashes within ``most`` bits of its own)."""
+    reps = hashing.representatives(hashes)
+    near = hashing.near_hashes(hashes, most)
+    links = near.union(near.select("hb", "ha")).groupBy(F.col("ha").alias("h")).agg(F.count("*").alias("links"))
+    found = components(near.toDF("a", "b"))
+    # components are of hashes; their smallest id names them
+    named = found.join(reps.select(F.col("h").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    of = found.join(named, "component").select(F.col("node").alias("h"), "class_id")
+    each = reps.join(of, "h", "left").join(links, "h", "left").select("h", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return hashes.where("h is not null").select("blob_id", "h").distinct().join(each, "h").select("blob_id", "class_id", "copies", "links")
+
+
+def duplicate_accuracy(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """exact, near: shares of pairs (blob_id, copy) told as such; false_positive: of blobs whose best other candidate, neither itself nor its copy, is told as a duplicate."""
+    h = hashes.where("h is not null").select("blob_id", "h")
+    both = pairs.join(h, "blob_id").join(h.select(F.col("blob_id").alias("copy"), F.col("h").alias("g")), "copy", "left")
+    reps = hashing.representatives(hashes).select("h", "copies")
+    near = hashing.near_hashes(hashes)
+    around = near.union(near.select("hb", "ha")).toDF("h", "k").join(reps.select(F.col("h").alias("k"), "copies"), "k").groupBy("h").agg(F.sum("copies").alias("around"))
+    # ids within reach of a blob's hash, without itself and its copy
+    rows = both.join(reps, "h").join(around, "h", "left").withColumn("d", hashing.hamming("h", "g"))
+    others = F.col("copies") + F.coalesce("around", F.lit(0)) - 1 - F.when(F.col("d") <= hashing.NEAR, 1).otherwise(0)
+    kind = hashing.duplicate_class("d")
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    told = F.col("d").isNotNull()
+    return rows.agg(
+        F.round(F.avg(F.when(told, F.when(kind == "exact_duplicate", 1.0).otherwise(0.0))), 6).alias("exact"),
+        F.round(F.avg(F.when(told, F.when(kind == "near_duplicate", 1.0).otherwise(0.0))), 6).alias("near"), share(others > 0).alias("false_positive"),
+    )

@@ -13,7 +13,7 @@ from blobsearch.operators import judge as J
 from blobsearch.operators import search as S
 
 from .registry import query
-from .search import _CENTROID, DOT, _candidates
+from .search import _CENTROID, DOT, KNN
 
 _PROTO = f"SELECT blob_id, least(greatest(max({DOT.format('embedding', 'p')}), 0) * 300, 100) AS score FROM v_vectors, v_prototypes GROUP BY blob_id"
 
@@ -112,11 +112,23 @@ def _(t):
     return p.agg(F.count_if((F.col("x") >= 0) & (F.col("y") >= 0)).alias("q1"), F.count_if((F.col("x") < 0) & (F.col("y") >= 0)).alias("q2"), F.round(F.percentile(r, 0.5), 6).alias("median_radius"), F.round(F.percentile(r, 0.95), 6).alias("p95"), F.round(F.corr("x", "y"), 6).alias("corr"))
 
 
-@query("hash_dup_join", "SELECT x.blob_id AS a, y.blob_id AS b, CAST(bit_count(xor(x.h, y.h)) AS INT) AS distance FROM v_hashes x JOIN v_hashes y ON x.blob_id < y.blob_id AND bit_count(xor(x.h, y.h)) <= 6")
+_REPS = "reps AS (SELECT h, min(blob_id) AS rep, count(*) AS copies FROM v_hashes GROUP BY h), near AS (SELECT x.h AS ha, y.h AS hb, x.rep AS ra, y.rep AS rb, y.copies FROM reps x JOIN reps y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 6)"
+
+
+@query("hash_dup_join", f"WITH {_REPS} SELECT ra AS a, rb AS b, CAST(bit_count(xor(ha, hb)) AS INT) AS distance FROM near WHERE ra < rb UNION ALL SELECT rep, blob_id, 0 FROM v_hashes JOIN reps USING (h) WHERE blob_id <> rep")
 def _(t):
     return H.near_pairs(t.v_hashes)
 
 
+@query("hash_dup_classes", f"""
+WITH RECURSIVE {_REPS}, reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT reach.a, near.rb FROM reach JOIN near ON reach.b = near.ra),
+cls AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a), links AS (SELECT ra AS rep, count(*) AS links FROM near GROUP BY ra)
+SELECT blob_id, class_id, CAST(copies AS BIGINT) AS copies, CAST(coalesce(links, 0) AS BIGINT) AS links FROM v_hashes JOIN reps USING (h) JOIN cls USING (rep) LEFT JOIN links USING (rep)
+""")
+def _(t):
+    return J.duplicate_classes(t.v_hashes)
+
+
 @query("hamming", "SELECT x.blob_id, CAST(bit_count(xor(x.h, y.h)) AS INT) AS d FROM v_hashes x JOIN v_hashes y ON y.blob_id = concat('dup', x.blob_id)")
 def _(t):
     y = t.v_hashes.select(F.col("blob_id").alias("other"), F.col("h").alias("g"))
@@ -138,15 +150,19 @@ def _(t):
     return _dups(t)
 
 
-_GRID = "SELECT vec_id, list_transform(range(0, 72), lambda i: CAST(floor(abs(embedding[(i % 60) + 1]) * 1000) AS INT)) AS px FROM embeddings"
+_GRID = "SELECT vec_id, embedding, list_transform(range(0, 72), lambda i: CAST(floor(abs(embedding[(i % 64) + 1]) * 1000) AS INT)) AS px FROM embeddings"
+_BITS = "list_transform(list_filter(range(1, 72), lambda i: i % 9 > 0), lambda i: CASE WHEN px[i + 1] > px[i] THEN 1 ELSE 0 END)"
+_HALF = f"list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform({_BITS}[{{0}}], lambda x: CAST(x AS BIGINT))), lambda a, b: a * 2 + b)"
+
+
+def _grid(t):
+    px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(F.abs(F.element_at("embedding", (i % 64 + 1).cast("int"))).cast("double") * 1000).cast("int"))
+    return t.embeddings.select("vec_id", "embedding", px.alias("px"))
 
 
-@query("dhash", f"SELECT vec_id, list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(list_filter(range(1, 72), lambda i: i % 9 > 0), lambda i: CASE WHEN px[i + 1] > px[i] THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)[1:60]), lambda a, b: a * 2 + b) AS h FROM ({_GRID})")
+@query("dhash", f"SELECT vec_id, printf('%08X%08X', {_HALF.format('1:32')}, {_HALF.format('33:64')}) AS h FROM ({_GRID})")
 def _(t):
-    # the oracle's integers overflow beyond 60 bits, so both sides hash the first 60 cells
-    px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(F.abs(F.element_at("embedding", (i % 60 + 1).cast("int"))).cast("double") * 1000).cast("int"))
-    grid = t.embeddings.select("vec_id", px.alias("px"))
-    return grid.select("vec_id", F.shiftrightunsigned(H.dhash("px"), 4).alias("h"))
+    return _grid(t).select("vec_id", F.lpad(F.hex(H.dhash("px")), 16, "0").alias("h"))
 
 
 @query("phash_dct")
@@ -155,41 +171,54 @@ def _(t):
     return t.embeddings.select("vec_id", H.phash_dct(px).alias("h"))
 
 
-_FP = "SELECT query_id, blob_id, CAST(rank AS INT) AS rank, CASE WHEN CAST(blob_id AS BIGINT) % 5 = 0 THEN NULL ELSE CAST(CAST(blob_id AS BIGINT) % 11 AS INT) END AS distance FROM ({0})"
+# the query images: rows 30 to 39 of the catalog, of image k the first 3 k pixels black
+_QIMG = f"SELECT CAST(vec_id - 30 AS VARCHAR) AS query_id, embedding AS own, list_transform(range(0, 72), lambda i: CASE WHEN i < 3 * (vec_id - 30) THEN 0 ELSE px[i + 1] END) AS px FROM ({_GRID}) WHERE vec_id BETWEEN 30 AND 39"
+_HASH = f"CAST(array_to_string({_BITS}, '') AS BIT)"
 
 
-def _fingerprinted(t):
-    n = F.col("blob_id").cast("long")
-    return _candidates(t).select("query_id", "blob_id", "rank", F.when(n % 5 != 0, (n % 11).cast("int")).alias("distance"))
+def _query_images(t):
+    k = F.col("vec_id") - 30
+    px = F.transform("px", lambda x, i: F.when(i < 3 * k, 0).otherwise(x))
+    return _grid(t).where("vec_id between 30 and 39").select(k.cast("string").alias("query_id"), F.col("embedding").alias("own"), H.dhash(px).alias("g"))
 
 
-def _prov_sql() -> str:
-    from .search import _CAND
+def _prov_sql(q: str) -> str:
+    """q: what the query image's candidates are searched by."""
+    near = KNN.format(f"SELECT x.query_id, x.g, blob_id, {DOT.format('v.embedding', 'x.q')} AS sim FROM v_vectors v, x")
+    c = f"SELECT *, {_CLASS.format('distance')} AS class FROM (SELECT n.query_id, blob_id, rank, bit_count(xor(n.g, i.h)) AS distance FROM ({near}) n JOIN i USING (blob_id) WHERE rank <= 12)"
+    best = "SELECT query_id, blob_id, class FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class <> 'exact_duplicate', rank) AS r FROM c WHERE class IN ('exact_duplicate', 'near_duplicate')) WHERE r = 1"
+    x = f"x AS (SELECT m.query_id, {_HASH} AS g, {q} AS q FROM ({_QIMG}) m JOIN v_queries c ON c.query_id = m.query_id), i AS (SELECT CAST(vec_id AS VARCHAR) AS blob_id, {_HASH} AS h FROM ({_GRID}))"
+    return f"WITH {x}, c AS ({c}) SELECT t.query_id, b.blob_id, b.class, t.n_exact, t.n_near FROM (SELECT query_id, CAST(count(*) FILTER (class = 'exact_duplicate') AS BIGINT) AS n_exact, CAST(count(*) FILTER (class = 'near_duplicate') AS BIGINT) AS n_near FROM c GROUP BY 1) t LEFT JOIN ({best}) b ON t.query_id = b.query_id"
 
-    c = f"SELECT *, {_CLASS.format('distance')} AS class FROM ({_FP.format(_CAND)}) WHERE rank <= 12"
-    best = f"SELECT query_id, blob_id, class FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class <> 'exact_duplicate', rank) AS r FROM ({c}) WHERE class IN ('exact_duplicate', 'near_duplicate')) WHERE r = 1"
-    return f"SELECT t.query_id, b.blob_id, b.class, t.n_exact, t.n_near FROM (SELECT query_id, CAST(count(*) FILTER (class = 'exact_duplicate') AS BIGINT) AS n_exact, CAST(count(*) FILTER (class = 'near_duplicate') AS BIGINT) AS n_near FROM ({c}) GROUP BY 1) t LEFT JOIN ({best}) b ON t.query_id = b.query_id"
 
+def _told(t, images):
+    """Provenance of query images (query_id, q, g) by the hashes of their candidates' grids."""
+    near = S.top_k(t.v_vectors, images.select("query_id", "q"), 30).select("query_id", "blob_id", "rank")
+    hashes = _grid(t).select(F.col("vec_id").cast("string").alias("blob_id"), H.dhash("px").alias("h"))
+    rows = hashes.join(S.small(near), "blob_id").join(S.small(images.select("query_id", "g")), "query_id")
+    return J.provenance(rows.select("query_id", "blob_id", "rank", H.hamming("g", "h").alias("distance")))
 
-@query("provenance", _prov_sql())
+
+@query("provenance", _prov_sql("CAST(m.own AS DOUBLE[])"))
 def _(t):
-    return J.provenance(_fingerprinted(t))
+    return _told(t, _query_images(t).select("query_id", F.col("own").alias("q"), "g"))
 
 
-@query("reverse_image", _prov_sql().replace("v_queries", "(SELECT query_id, list_transform(list_zip(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), lambda p: p[1] * 0.8 + p[2] * 0.2) AS q FROM v_queries JOIN v_vectors ON blob_id = concat('3', query_id))"))
+@query("reverse_image", _prov_sql("list_transform(list_zip(CAST(m.own AS DOUBLE[]), CAST(c.q AS DOUBLE[])), lambda p: p[1] * 0.8 + p[2] * 0.2)"))
 def _(t):
-    # the caption's vector of a query is that of row 3<query>; the order of candidates is the same before and after normalising
-    cap = t.v_vectors.select("blob_id", F.col("embedding").alias("cap"))
-    q = t.v_queries.join(cap, F.col("blob_id") == F.concat(F.lit("3"), "query_id")).select("query_id", V.blend("q", "cap", 0.2).alias("q"))
-    n = F.col("blob_id").cast("long")
-    near = S.top_k(t.v_vectors, q, 30).select("query_id", "blob_id", "rank", F.when(n % 5 != 0, (n % 11).cast("int")).alias("distance"))
-    return J.provenance(near)
+    # the caption's vector of image k is that of query k; the order of candidates is the same before and after normalising
+    images = _query_images(t).join(t.v_queries.select("query_id", F.col("q").alias("cap")), "query_id")
+    return _told(t, images.select("query_id", V.blend("own", "cap", 0.2).alias("q"), "g"))
 
 
-@query("dup_accuracy", f"SELECT round(avg(CASE WHEN class = 'exact_duplicate' THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN class = 'near_duplicate' THEN 1.0 ELSE 0.0 END), 6) AS near FROM ({_DUPS}) WHERE class <> 'unknown'")
+@query("dup_accuracy", f"""
+WITH d AS ({_DUPS.replace('SELECT x.blob_id,', 'SELECT x.blob_id, x.h,')}), f AS (SELECT blob_id, EXISTS (SELECT 1 FROM v_hashes y WHERE y.blob_id <> d.blob_id AND y.blob_id <> concat('dup', d.blob_id) AND bit_count(xor(y.h, d.h)) <= 6) AS fp FROM d)
+SELECT round(avg(CASE WHEN class = 'exact_duplicate' THEN 1.0 ELSE 0.0 END) FILTER (class <> 'unknown'), 6) AS exact, round(avg(CASE WHEN class = 'near_duplicate' THEN 1.0 ELSE 0.0 END) FILTER (class <> 'unknown'), 6) AS near,
+  round(avg(CASE WHEN fp THEN 1.0 ELSE 0.0 END), 6) AS false_positive FROM d JOIN f USING (blob_id)
+""")
 def _(t):
-    share = lambda k: F.round(F.avg(F.when(F.col("class") == k, 1.0).otherwise(0.0)), 6)
-    return _dups(t).where("class <> 'unknown'").agg(share("exact_duplicate").alias("exact"), share("near_duplicate").alias("near"))
+    originals = t.v_hashes.where("blob_id not like 'dup%'")
+    return J.duplicate_accuracy(t.v_hashes, originals.select("blob_id", F.concat(F.lit("dup"), "blob_id").alias("copy")))
 
 
 @query("recency_boost", "SELECT event_id, round(CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) < 86400 THEN 0.05 * (1 - greatest(0, floor(epoch(TIMESTAMP '2024-01-31 00:00:00')) - floor(epoch(ts))) / 3600.0 / 24) ELSE 0 END, 6) AS boost FROM v_events WHERE epoch(ts) <> epoch(TIMESTAMP '2024-01-30 00:00:00')")

@@ -164,7 +164,9 @@ def query(key: str, sql: str | None = None):
             views = needed(sql)
             ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
             body = sql.strip()
-            if ctes and body.upper().startswith("WITH "):
+            if ctes and body.upper().startswith("WITH RECURSIVE "):
+                body = f"WITH RECURSIVE {ctes}, {body[15:]}"
+            elif ctes and body.upper().startswith("WITH "):
                 body = f"WITH {ctes}, {body[5:]}"
             elif ctes:
                 body = f"WITH {ctes} {body}"

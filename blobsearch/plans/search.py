@@ -124,11 +124,11 @@ def _(t):
     return S.top_k_blocks(t.v_vectors, t.v_vectors.select(F.col("blob_id").alias("query_id"), F.col("embedding").alias("q")), 10, 64).withColumn("sim", F.round("sim", 3))
 
 
-@query("knn_ann")
+@query("knn_ann", knn_sql(cols="query_id, blob_id, CAST(rank AS INT) AS rank"))
 def _(t):
-    from blobsearch.operators.learned import lsh_top_k
+    from blobsearch.operators.learned import CellIndex
 
-    return lsh_top_k(t.v_vectors, t.v_queries, 10)
+    return CellIndex(t.v_vectors).top_k(t.v_queries, 10)[0].select("query_id", "blob_id", "rank")
 
 
 @query("cross_similarity", f"SELECT query_id, round(avg({DOT.format('embedding', 'q')}), 6) AS mean, round(max({DOT.format('embedding', 'q')}), 6) AS top FROM v_vectors, v_queries GROUP BY query_id")

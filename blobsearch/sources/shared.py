@@ -25,6 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: lineage ends, and a lost executor costs a task."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class VersionedTable:
     """A Parquet table that is replaced as a whole: each version is a folder, the newest complete one counts."""
 

@@ -83,26 +83,11 @@ def test_phash_against_a_plain_transform(spark, sf_dir):
         assert int(r.h) & (1 << 64) - 1 == int("".join(str(int(b)) for b in bits), 2)
 
 
-def test_kmeans_labels_every_row(spark, sf_dir):
-    out = run(spark, sf_dir, "kmeans")
-    assert len(out) == 480 and out.cluster_id.nunique() == 30
-
-
 def test_pca_is_centred_and_ordered(spark, sf_dir):
     out = run(spark, sf_dir, "pca_2d")
     assert abs(out.x.mean()) < 1e-9 and abs(out.y.mean()) < 1e-9 and out.x.std() >= out.y.std()
 
 
-def test_lsh_recall(spark, sf_dir):
-    from blobsearch.operators.search import top_k
-    from blobsearch.plans.registry import Tables
-
-    t = Tables(spark, sf_dir)
-    near = run(spark, sf_dir, "knn_ann")[["query_id", "blob_id"]]
-    exact = top_k(t.v_vectors, t.v_queries, 10).toPandas()[["query_id", "blob_id"]]
-    assert len(near.merge(exact)) / len(exact) >= 0.9
-
-
 def test_adapter_gives_unit_vectors(spark, sf_dir):
     out = run(spark, sf_dir, "residual_adapter")
     assert all(abs(sum(x * x for x in e) - 1) < 1e-9 for e in out.embedding)
