@@ -43,17 +43,6 @@ def dedupe(events: DataFrame, delay: str | None = None) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["blob_id"]) if delay else events.dropDuplicates(["blob_id"])
 
 
-def merge_into(table: VersionedTable, rules: dict[str, str], order: str) -> Callable[[DataFrame, int], None]:
-    """A batch sink that upserts by blob id; a repeated batch changes nothing."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        old = table.read()
-        empty = batch.sparkSession.createDataFrame([], batch.drop(order).schema)
-        table.replace(upsert(old if old is not None else empty, batch, ["blob_id"], rules, order))
-
-    return merge
-
-
 def merge_buckets(table: BucketTable, rules: dict[str, str], order: str) -> Callable[[DataFrame, int], None]:
     """A batch sink that upserts by the table's key into the buckets that the batch touches; a repeated batch changes nothing."""
     return lambda batch, _: table.merge(batch, lambda old, new: upsert(old, new, [table.key], rules, order))
@@ -81,16 +70,6 @@ def replace_with(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: table.replace(batch)
 
 
-def keep_latest(table: VersionedTable, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch sink for a stream in update mode: a key's new row replaces its old one; a repeated batch changes nothing."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        old = table.read()
-        table.replace(batch if old is None else old.join(batch.select(key), key, "left_anti").unionByName(batch))
-
-    return merge
-
-
 def run_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """A stateful stream over all that has arrived, in the given output mode."""
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -16,7 +16,6 @@ from blobsearch.operators import listing
 from blobsearch.sources import landing as L
 from blobsearch.sources import paged
 from blobsearch.sources import shared as H
-from blobsearch.streaming import jobs as J
 
 
 def one(spark, column):
@@ -132,14 +131,12 @@ def test_payload_files(spark, tmp_path):
     assert (got.blob_id, bytes(got.content), got.size) == ("q1::a.txt", b"abc", 3)
 
 
-def test_versions_and_merge(spark):
+def test_versions(spark):
     table = H.VersionedTable(spark, H.new_path(spark, "t"))
     assert table.read() is None
-    batch = spark.createDataFrame([("a", "x", 1)], "blob_id string, status string, seq int")
-    merge = J.merge_into(table, {"status": "overwrite"}, "seq")
-    merge(batch, 0)
-    merge(batch, 0)
-    assert [tuple(r) for r in table.read().collect()] == [("a", "x")] and len(table._versions()) == 2
+    for n in range(3):
+        table.replace(spark.range(n + 1), backups=1)
+    assert table.read().count() == 3 and len(table._versions()) == 2
 
 
 def test_encoder_plugs_in(spark):
@@ -148,18 +145,6 @@ def test_encoder_plugs_in(spark):
     assert [r.blob_id for r in out] == ["a"] and abs(sum(x * x for x in out[0].embedding) - 1) < 1e-9
 
 
-def test_health_stream_equals_batch(spark, tmp_path):
-    rows = [(u, f"2024-01-01 00:00:{i:02d}", i, i % 4 != u, 0.5 + i) for u in range(2) for i in range(20)]
-    log = spark.createDataFrame(rows, "u int, t string, event_id int, ok boolean, latency_secs double").selectExpr("cast(u as string) upstream", "cast(t as timestamp) ts", "event_id", "ok", "latency_secs")
-    log.write.parquet(f"{tmp_path}/log")
-    stream = J.health_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"))
-    got = []
-    q = stream.writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {r.upstream: (r.requests, r.failures, round(r.ema, 9), r.streak) for r in J.health(log, "2024-01-01 00:00:30").collect()}
-    assert {r.upstream: (r.requests, r.failures, round(r.ema, 9), r.streak) for r in got} == want
-
-
 def test_listing_prefers_named_keys(spark):
     item = json.dumps({"blobIdBase64": "", "blob_id": "b", "size": 0, "blob_size": 9, "end_epoch": "x"})
     got = L.normalize_listing(spark.createDataFrame([(item,), ("{broken",)], "item string")).collect()
