@@ -16,6 +16,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blobsearch.sources.shared import settled
+
 from .search import small, tokens
 
 #: Asked terms up to which the scan of the postings itself is filtered; the others are joined.
@@ -28,7 +30,12 @@ _TOTAL = "run long, base boolean, docs long, words double"
 
 
 def postings_of(docs: DataFrame, text: str = "caption") -> tuple[DataFrame, DataFrame]:
-    """The postings (term, blob_id, tf, dl) and lengths (blob_id, dl) of rows with an id and a text. A row stands in one batch, so nothing is shuffled to count it."""
+    """The postings (term, blob_id, tf, dl) and lengths (blob_id, dl) of rows with an id and a text.
+
+    A row stands in one batch, so nothing is shuffled to count it. Texts are split
+    once: what they give is a table in the shared folder, with a row without term
+    for each document.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,9 +43,11 @@ def postings_of(docs: DataFrame, text: str = "caption") -> tuple[DataFrame, Data
             flat = pa.table({"row": pa.compute.list_parent_indices(terms), "term": terms.flatten()}).group_by(["row", "term"]).aggregate([([], "count_all")])
             row = flat["row"].combine_chunks()
             yield pa.record_batch([flat["term"].combine_chunks(), b["blob_id"].take(row), flat["count_all"].combine_chunks(), b["dl"].take(row)], ["term", "blob_id", "tf", "dl"])
+            yield pa.record_batch([pa.nulls(len(b), pa.string()), b["blob_id"], pa.array([0] * len(b), pa.int64()), b["dl"]], ["term", "blob_id", "tf", "dl"])
 
     split = docs.where(F.col(text).isNotNull() & F.col("blob_id").isNotNull()).select(F.col("blob_id").cast("string").alias("blob_id"), tokens(text).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    return split.mapInArrow(counted, "term string, blob_id string, tf long, dl double"), split.select("blob_id", "dl")
+    rows = settled(split.mapInArrow(counted, "term string, blob_id string, tf long, dl double"), "counted")
+    return rows.where("term is not null"), rows.where("term is null").select("blob_id", "dl")
 
 
 class TextIndex:
