@@ -55,6 +55,28 @@ def two_anchor_probability(a: Column, b: Column, temperature: float = 100.0) ->
     return 1 / (1 + F.exp(temperature * (b - a)))
 
 
+def dashboard(images: DataFrame, anchors: DataFrame, prototypes: DataFrame, nsfw: tuple[str, ...], multiplier: float = 300.0, semantic: float = 0.62, threshold: float = 0.0, high: float = 0.62, low: float = 0.56) -> DataFrame:
+    """key, n: images of each category and confidence, by anchors (anchor_id, a) of which some are ``nsfw`` labels.
+
+    An image is NSFW by its prototypes (the tag, high) or else by an NSFW anchor of
+    at least ``semantic`` (low). Besides, its best other anchor counts as high or low
+    if its score reaches ``threshold`` and that tier's, with the tier's margin over
+    the second; all others are uncertain.
+    """
+    bad = F.col("anchor_id").isin(*nsfw)
+    tag = prototype_score(images, prototypes, multiplier).select("blob_id", "flagged")
+    sims = images.crossJoin(small(anchors.where(bad))).groupBy("blob_id").agg(F.max(F.round(V.dot("embedding", "a"), 9)).alias("sem"))
+    best = nearest_anchors(images.select("blob_id", "embedding"), anchors.where(~bad))
+    rows = best.join(tag, "blob_id").join(sims, "blob_id", "left")
+    s1, margin = F.round("s1", 9), F.round(F.col("s1") - F.coalesce("s2", F.lit(-1.0)), 9)
+    level = tier(s1, margin, high=max(threshold, high), low=max(threshold, low))
+    name = F.col("best").cast("string")
+    keys = F.when(level == "uncertain", F.array(F.lit("uncertain"))).otherwise(F.array(name, F.concat(name, F.lit(":"), level)))
+    hit = F.when(F.col("flagged"), "high").when(F.col("sem") >= semantic, "low")
+    both = F.concat(keys, F.when(hit.isNotNull(), F.array(F.lit("nsfw"), F.concat(F.lit("nsfw:"), hit))).otherwise(F.array().cast("array<string>")))
+    return rows.select(F.explode(both).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 def provenance(candidates: DataFrame, first: int = 12) -> DataFrame:
     """query_id, blob_id, class, n_exact, n_near: the first exact copy among the first candidates (rank, distance), else the first near one."""
     c = candidates.where(F.col("rank") <= first).withColumn("class", hashing.duplicate_class("distance"))

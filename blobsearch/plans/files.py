@@ -207,6 +207,25 @@ def _(t):
     return L.id_list(t.events.select(value.alias("value"), F.col("event_id").alias("n")))
 
 
+_IDS = "SELECT rpad(concat('id', CAST(user_id AS VARCHAR)), 43, 'x') AS blob_id, min(event_id) AS n FROM events WHERE {0} GROUP BY 1"
+
+
+def _id_lines(t, where):
+    line = F.rpad(F.concat(F.lit("id"), F.col("user_id").cast("string")), 43, "x")
+    return t.events.where(where).select(line.alias("value"), F.col("event_id").alias("n"))
+
+
+@query("src_id_list_active", f"SELECT * FROM ({_IDS.format("event_type = 'purchase'")}) ORDER BY n LIMIT 40")
+def _(t):
+    return L.preferred_ids(_id_lines(t, "event_type = 'purchase'"), _id_lines(t, "true"), 40)
+
+
+@query("src_id_list_all", _IDS.format("TRUE"))
+def _(t):
+    # the list of active ids holds lines of the wrong length only
+    return L.preferred_ids(_id_lines(t, "true").withColumn("value", F.lit("short")), _id_lines(t, "true"))
+
+
 @query("decode_text")
 def _(t):
     return t.v_payloads.select("blob_id", L.decode_text(F.unhex("h")).alias("text"))

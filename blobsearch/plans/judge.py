@@ -60,6 +60,30 @@ def _tiered(t):
     return _nearest(t).withColumn("tier", J.tier(s1, margin, high=0.42, low=0.36)).withColumn("margin", margin)
 
 
+_SEM = "(SELECT * FROM s WHERE anchor NOT IN (0, 1))"
+_DASH = _CENTROID + f""", img AS (SELECT * FROM v_vectors WHERE kind = 'image'), s AS (SELECT blob_id, c.label AS anchor, round({DOT.format('embedding', 'c.c')}, 9) AS s FROM img v, cen c),
+r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY s DESC, anchor) AS r FROM {_SEM}), n AS (SELECT a.blob_id, a.anchor AS best, a.s AS s1, round(a.s - b.s, 9) AS m FROM r a JOIN r b ON a.blob_id = b.blob_id AND a.r = 1 AND b.r = 2),
+x AS (SELECT n.*, p.score > 85 AS tag, sem.s AS sem FROM n JOIN ({_PROTO}) p USING (blob_id) JOIN (SELECT blob_id, max(s) AS s FROM s WHERE anchor IN (0, 1) GROUP BY 1) sem USING (blob_id)),
+k AS (SELECT *, CASE WHEN s1 >= {{0}} AND m >= 0.02 THEN 'high' WHEN s1 >= {{1}} AND m >= 0.008 THEN 'low' ELSE 'uncertain' END AS tier, CASE WHEN tag THEN 'high' WHEN sem >= {{2}} THEN 'low' END AS bad FROM x)
+SELECT key, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(list_concat(CASE WHEN tier = 'uncertain' THEN ['uncertain'] ELSE [CAST(best AS VARCHAR), concat(CAST(best AS VARCHAR), ':', tier)] END, CASE WHEN bad IS NULL THEN [] ELSE ['nsfw', concat('nsfw:', bad)] END)) AS key FROM k) GROUP BY 1
+"""
+
+
+def _dashboard(t, **thresholds):
+    anchors = V.centroid(t.v_vectors, "label", "embedding").select(F.col("label").cast("string").alias("anchor_id"), F.col("centroid").alias("a"))
+    return J.dashboard(t.v_vectors.where("kind = 'image'"), anchors, t.v_prototypes, ("0", "1"), **thresholds)
+
+
+@query("classify_dashboard", _DASH.format("0.62", "0.56", "0.62"))
+def _(t):
+    return _dashboard(t)
+
+
+@query("classify_dashboard_loose", _DASH.format("0.42", "0.36", "0.3"))
+def _(t):
+    return _dashboard(t, high=0.42, low=0.36, semantic=0.3)
+
+
 @query("tiered_classify", _NEAREST + f"SELECT blob_id, best, {_TIER} AS tier, round(round(s1 - s2, 9), 6) AS margin FROM n")
 def _(t):
     return _tiered(t).select("blob_id", "best", "tier", F.round("margin", 6).alias("margin"))
@@ -221,11 +245,9 @@ def _(t):
     return J.duplicate_accuracy(t.v_hashes, originals.select("blob_id", F.concat(F.lit("dup"), "blob_id").alias("copy")))
 
 
-@query("recency_boost", "SELECT event_id, round(CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) < 86400 THEN 0.05 * (1 - greatest(0, floor(epoch(TIMESTAMP '2024-01-31 00:00:00')) - floor(epoch(ts))) / 3600.0 / 24) ELSE 0 END, 6) AS boost FROM v_events WHERE epoch(ts) <> epoch(TIMESTAMP '2024-01-30 00:00:00')")
+@query("recency_boost", "SELECT event_id, round(CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts)) < 86400 THEN 0.05 * (1 - greatest(0, epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts))) / 3600.0 / 24) ELSE 0 END, 6) AS boost FROM v_events")
 def _(t):
-    at = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    rows = t.v_events.where(F.col("ts").cast("timestamp") != at)
-    return rows.select("event_id", F.round(R.recency_boost(F.col("ts").cast("timestamp"), F.lit("2024-01-31 00:00:00").cast("timestamp")), 6).alias("boost"))
+    return t.v_events.select("event_id", F.round(R.recency_boost(F.col("ts").cast("timestamp"), F.lit("2024-01-31 00:00:00").cast("timestamp")), 6).alias("boost"))
 
 
 _WIN = "SELECT blob_id, duration, CAST(n * {s} AS DOUBLE) AS s, least(duration, n * {s} + {w}) AS e FROM (SELECT blob_id, duration, unnest(range(0, CASE WHEN duration <= {w} THEN 1 ELSE CAST(ceil((duration - {w}) / {s}) AS BIGINT) + 1 END)) AS n FROM v_clips)"
@@ -368,7 +390,7 @@ def _(t):
     from blobsearch.operators.learned import residual_adapter
 
     r = np.random.default_rng(1)
-    return residual_adapter(t.v_vectors, 0.1 * r.standard_normal((64, 64)), np.zeros(64))
+    return residual_adapter(t.v_vectors, 0.1 * r.standard_normal((64, 64)), 0.05 * r.standard_normal(64))
 
 
 @query("embed_text_hash", """

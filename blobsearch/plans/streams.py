@@ -201,7 +201,12 @@ def _(t):
     return table.read().select("blob_id", "label", "kind")
 
 
-@query("write_exports", "SELECT blob_id FROM v_vectors")
-def _(t):
-    paths = H.write_exports(t.v_vectors.select("blob_id", "label", "kind"), H.new_path(t.spark, "exports"))
-    return t.spark.read.text(paths["ids"]).withColumnRenamed("value", "blob_id")
+@query("write_exports", "SELECT form, blob_id, CASE WHEN form <> 'ids' THEN label END AS label, CASE WHEN form <> 'ids' THEN kind END AS kind FROM v_vectors, (SELECT unnest(['ids', 'csv', 'jsonl']) AS form)")
+def _(t):
+    # each form is read again
+    rows = t.v_vectors.select("blob_id", "label", "kind")
+    paths = H.write_exports(rows, H.new_path(t.spark, "exports"))
+    ids = t.spark.read.text(paths["ids"]).select(F.col("value").alias("blob_id"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("string").alias("kind"))
+    forms = {"ids": ids, "csv": t.spark.read.schema(rows.schema).option("header", True).csv(paths["csv"]), "jsonl": t.spark.read.schema(rows.schema).json(paths["jsonl"])}
+    out = [df.select(F.lit(form).alias("form"), "blob_id", "label", "kind") for form, df in forms.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -96,6 +96,14 @@ def id_list(lines: DataFrame, line: str = "value", length: int | None = 43, orde
     return rows.groupBy("blob_id").agg(F.min(order).alias(order))
 
 
+def preferred_ids(active: DataFrame, every: DataFrame, limit: int | None = None, length: int | None = 43, order: str = "n") -> DataFrame:
+    """The ids of the list of active ones if it holds any, else those of the list of all; with a limit the first so many of them."""
+    a, b = id_list(active, length=length, order=order), id_list(every, length=length, order=order)
+    some = F.broadcast(a.agg((F.count("*") > 0).alias("_some")))
+    ids = a.unionByName(b.crossJoin(some).where(~F.col("_some")).drop("_some"))
+    return ids.orderBy(order, "blob_id").limit(limit) if limit is not None else ids
+
+
 def decode_text(content: Column | str, most: int = 10 << 20) -> Column:
     """Bytes as UTF-8 text, bad sequences replaced, cut at ``most`` bytes."""
     return F.make_valid_utf8(F.substring(content, 1, most).cast("string"))

@@ -83,14 +83,35 @@ def test_phash_against_a_plain_transform(spark, sf_dir):
         assert int(r.h) & (1 << 64) - 1 == int("".join(str(int(b)) for b in bits), 2)
 
 
-def test_pca_is_centred_and_ordered(spark, sf_dir):
-    out = run(spark, sf_dir, "pca_2d")
-    assert abs(out.x.mean()) < 1e-9 and abs(out.y.mean()) < 1e-9 and out.x.std() >= out.y.std()
+def _unit_rows(spark, sf_dir):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id >= 20").toPandas()
+    return rows.vec_id.astype(str).tolist(), np.array(rows.embedding.tolist(), float)
+
+
+def test_pca_against_a_plain_decomposition(spark, sf_dir):
+    import numpy as np
+
+    ids, x = _unit_rows(spark, sf_dir)
+    x = x - x.mean(0)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    for c, name in ((-1, "x"), (-2, "y")):
+        v = vectors[:, c] * np.sign(vectors[np.abs(vectors[:, c]).argmax(), c])
+        got = run(spark, sf_dir, "pca_2d").set_index("blob_id")[name]
+        assert np.abs(got[ids].to_numpy() - x @ v).max() < 1e-6
 
 
-def test_adapter_gives_unit_vectors(spark, sf_dir):
-    out = run(spark, sf_dir, "residual_adapter")
-    assert all(abs(sum(x * x for x in e) - 1) < 1e-9 for e in out.embedding)
+def test_adapter_against_a_plain_product(spark, sf_dir):
+    import numpy as np
+
+    ids, x = _unit_rows(spark, sf_dir)
+    r = np.random.default_rng(1)
+    w, b = 0.1 * r.standard_normal((64, 64)), 0.05 * r.standard_normal(64)
+    y = x + x @ w.T + b
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    out = run(spark, sf_dir, "residual_adapter").set_index("blob_id").embedding
+    assert np.abs(np.array(out[ids].tolist()) - y).max() < 1e-6
 
 
 def test_resumed_stream_reads_once(spark, sf_dir):
