@@ -24,7 +24,7 @@ from .store import Scratch, documents_of, partitions, table
 
 K = 10
 #: Postings of a block; documents and bytes of text of a shard, about; documents that a search with an open heap takes at first, doubled each time.
-BLOCK, SHARD_DOCS, SHARD_BYTES, FIRST = 64, 16384, 16 << 20, 256
+BLOCK, SHARD_DOCS, SHARD_BYTES, FIRST = 64, 16384, 8 << 20, 256
 #: Terms of all items that are searched in one pass over the index, on average.
 PASS_TERMS = 1_000_000
 
