@@ -16,8 +16,6 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blobsearch.sources.shared import settled
-
 from .search import small, tokens
 
 #: Asked terms up to which the scan of the postings itself is filtered; the others are joined.
@@ -29,12 +27,12 @@ _DOC = "blob_id string, dl double, run long"
 _TOTAL = "run long, base boolean, docs long, words double"
 
 
-def postings_of(docs: DataFrame, text: str = "caption") -> tuple[DataFrame, DataFrame]:
+def postings_of(docs: DataFrame, path: str, text: str = "caption") -> tuple[DataFrame, DataFrame]:
     """The postings (term, blob_id, tf, dl) and lengths (blob_id, dl) of rows with an id and a text.
 
     A row stands in one batch, so nothing is shuffled to count it. Texts are split
-    once: what they give is a table in the shared folder, with a row without term
-    for each document.
+    once: what they give is written to ``path``, with a row without term for each
+    document.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +44,9 @@ def postings_of(docs: DataFrame, text: str = "caption") -> tuple[DataFrame, Data
             yield pa.record_batch([pa.nulls(len(b), pa.string()), b["blob_id"], pa.array([0] * len(b), pa.int64()), b["dl"]], ["term", "blob_id", "tf", "dl"])
 
     split = docs.where(F.col(text).isNotNull() & F.col("blob_id").isNotNull()).select(F.col("blob_id").cast("string").alias("blob_id"), tokens(text).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    rows = settled(split.mapInArrow(counted, "term string, blob_id string, tf long, dl double"), "counted")
+    out = split.mapInArrow(counted, "term string, blob_id string, tf long, dl double")
+    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.schema(out.schema).parquet(path)
     return rows.where("term is not null"), rows.where("term is null").select("blob_id", "dl")
 
 
@@ -55,6 +55,11 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._aside = f"{path}.counted"
+
+    def _drop(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _read(self, kind: str, schema: str, runs: list[int]) -> DataFrame:
         if not runs:
@@ -99,7 +104,7 @@ class TextIndex:
         at = F.lit(run).cast("long").alias("run")
         # ranges of (term, blob_id): a scan skips what was not asked for, and a common term fills many files
         rows = postings.select("term", "blob_id", "tf", "dl", at).repartitionByRange(n, "term", "blob_id").sortWithinPartitions("term", "blob_id")
-        rows.write.mode("overwrite").parquet(f"{self.path}/postings-{run}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/postings-{run}")
         docs.select("blob_id", "dl", at).write.mode("overwrite").parquet(f"{self.path}/docs-{run}")
         own = self._read("docs", _DOC, [run]).agg(F.count("dl").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0.0)).alias("words"))
         total = own.select(at, F.lit(base).alias("base"), (F.col("docs") - before[0]).alias("docs"), (F.col("words") - before[1]).alias("words"))
@@ -108,7 +113,8 @@ class TextIndex:
     def rebuild(self, docs: DataFrame, text: str = "caption") -> None:
         """One run of all rows with a text; it replaces all earlier ones. Ids are unique, as a catalog's are."""
         run = max(self.runs(), default=-1) + 1
-        self._write(run, *postings_of(docs, text), True, (0, 0.0))
+        self._write(run, *postings_of(docs, self._aside, text), True, (0, 0.0))
+        self._drop(self._aside)
 
     def apply(self, changes: DataFrame, run: int | None = None, text: str = "caption", order: str = "seq") -> None:
         """A batch of changes: blob_id, text, deleted and an order; of several changes of one row the last counts.
@@ -125,12 +131,13 @@ class TextIndex:
         last = Window.partitionBy("blob_id").orderBy(F.desc(order))
         rows = changes.where("blob_id is not null").withColumn("_r", F.row_number().over(last)).where("_r = 1")
         kept = rows.withColumn(text, F.when(~F.coalesce("deleted", F.lit(False)), F.col(text)))
-        postings, lengths = postings_of(kept, text)
+        postings, lengths = postings_of(kept, self._aside, text)
         docs = kept.select(F.col("blob_id").cast("string").alias("blob_id")).join(lengths, "blob_id", "left")
         # what the changed rows were before, from their kept lengths
         ids = small(kept.select(F.col("blob_id").cast("string").alias("blob_id")))
         old = self._newest(self._read("docs", _DOC, runs).join(ids, "blob_id", "left_semi")).agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
         self._write(run, postings, docs, False, (old[0], old[1]))
+        self._drop(self._aside)
 
     def compact(self) -> None:
         """What counts as one run. Earlier runs stay for readers that have begun; ``clean`` drops them."""
