@@ -42,8 +42,14 @@ def blend(a: Column | str, b: Column | str, w: float = 0.2) -> Column:
     return l2_normalize(F.zip_with(doubles(a), doubles(b), lambda x, y: x * (1 - w) + y * w))
 
 
+def rounded_number(x: Column | str, digits: int = 6) -> Column:
+    """x rounded. What rounds to zero keeps its sign, as in IEEE arithmetic; Spark's own round takes it."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.abs(x) < 0.5 / 10**digits, x * 0.0).otherwise(F.round(x, digits))
+
+
 def rounded(v: Column | str, digits: int = 6) -> Column:
-    return F.transform(doubles(v), lambda x: F.round(x, digits))
+    return F.transform(doubles(v), lambda x: rounded_number(x, digits))
 
 
 def centroid(df: DataFrame, key: str | list[str], vector: str, out: str = "centroid") -> DataFrame:

@@ -24,7 +24,7 @@ def knn_sql(where: str = "TRUE", k: int = 10, cols: str = "query_id, blob_id, ro
 
 
 def _sims(df):
-    return df.withColumn("sim", F.round("sim", 6))
+    return df.withColumn("sim", V.rounded_number("sim"))
 
 
 @query("l2_normalize", "WITH d AS (SELECT blob_id, CAST(embedding AS DOUBLE[]) AS e FROM v_vectors) SELECT blob_id, list_transform(e, lambda x: round(3 * x / sqrt(9 * list_dot_product(e, e)), 6)) AS v FROM d")
@@ -36,7 +36,7 @@ def _(t):
 @query("cosine", f"SELECT query_id, blob_id, round({DOT.format('embedding', 'q')}, 6) AS sim FROM v_vectors, v_queries WHERE query_id = '3'")
 def _(t):
     q = t.v_queries.where("query_id = '3'")
-    return t.v_vectors.crossJoin(F.broadcast(q)).select("query_id", "blob_id", F.round(V.dot("embedding", "q"), 6).alias("sim"))
+    return t.v_vectors.crossJoin(F.broadcast(q)).select("query_id", "blob_id", V.rounded_number(V.dot("embedding", "q")).alias("sim"))
 
 
 @query("l2_distance", "SELECT query_id, blob_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS d FROM v_vectors, v_queries WHERE query_id = '4'")
@@ -100,7 +100,7 @@ def _(t):
 @query("score_scale", f"SELECT blob_id, round(least(greatest(sim, 0) * 450, 100), 4) AS score, round(least(greatest((sim + 1) / 2, 0), 1) * 100, 4) AS modality, round(1 - sim, 6) AS distance FROM (SELECT blob_id, {DOT.format('embedding', 'q')} AS sim FROM v_vectors, v_queries WHERE query_id = '1')")
 def _(t):
     sims = t.v_vectors.crossJoin(F.broadcast(t.v_queries.where("query_id = '1'"))).select("blob_id", V.dot("embedding", "q").alias("sim"))
-    return sims.select("blob_id", F.round(C.score_scale(F.col("sim"), 450), 4).alias("score"), F.round(C.modality_score(F.col("sim")), 4).alias("modality"), F.round(1 - F.col("sim"), 6).alias("distance"))
+    return sims.select("blob_id", F.round(C.score_scale(F.col("sim"), 450), 4).alias("score"), F.round(C.modality_score(F.col("sim")), 4).alias("modality"), V.rounded_number(1 - F.col("sim")).alias("distance"))
 
 
 @query("knn_exact", knn_sql("query_id = '0'"))
@@ -495,7 +495,7 @@ def _(t):
 @query("dot", f"SELECT v.blob_id, round({DOT.format('v.embedding', 'w.embedding')}, 6) AS dot FROM v_vectors v JOIN v_vectors w ON v.label = CAST(w.blob_id AS BIGINT) - 100")
 def _(t):
     w = t.v_vectors.select((F.col("blob_id").cast("long") - 100).alias("label"), F.col("embedding").alias("other"))
-    return t.v_vectors.join(w, "label").select("blob_id", F.round(V.dot("embedding", "other"), 6).alias("dot"))
+    return t.v_vectors.join(w, "label").select("blob_id", V.rounded_number(V.dot("embedding", "other")).alias("dot"))
 
 
 @query("join_ground_truth", knn_sql("TRUE", 10, "query_id, blob_id, CAST(rank AS INT) AS rank, label = (SELECT truth FROM v_queries q WHERE q.query_id = x.query_id) AS hit").replace(") WHERE rank <= 10", ") x WHERE rank <= 10"))

@@ -26,6 +26,16 @@ def test_zero_vector_stays(spark):
     assert one(spark, V.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    x = [-3e-7, -0.0, 0.0, 3e-7, -5e-7, -1.25e-3, None, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x,)], "x array<double>")
+    assert str(df.select(V.rounded("x").alias("x")).first().x) == "[-0.0, -0.0, 0.0, 0.0, -1e-06, -0.00125, None, inf, nan]"
+    # vectors that are blended, cut and normalised to a component just below zero
+    v = spark.createDataFrame([([-3e-7, 1.0], [-3e-7, 1.0])], "a array<double>, b array<double>")
+    for c in (V.l2_normalize("a"), V.blend("a", "b"), V.reshape_dim("a", 2)):
+        assert str(v.select(V.rounded(c).alias("x")).first().x) == "[-0.0, 1.0]"
+
+
 def test_top_k_blocks_beyond_a_bound(spark, monkeypatch):
     from blobsearch.operators import search as S
 
