@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -87,6 +88,17 @@ def test_sniff_transport_stream(spark):
     assert df.select(files.sniff(F.col("h"), F.length("h") / 2)["extension"]).first()[0] == "ts"
 
 
+def test_grid_in_single_precision(spark):
+    # in double, the product of the single 0.009 and 1000 is below 9; so is that of 0.011 and 1000 below 11
+    from blobsearch.plans import judge
+
+    x = np.float32([0.009, 0.011, -0.009, 0.5, 0.0, *np.random.default_rng(2).uniform(-1, 1, 59)])
+    up = np.floor(np.abs(x) * np.float32(1000))
+    assert (up > np.floor(np.abs(x).astype(float) * 1000)).any()
+    df = spark.createDataFrame([(1, x.tolist())], "vec_id long, embedding array<float>")
+    assert judge._grid(SimpleNamespace(embeddings=df)).first().px == [int(up[i % 64]) for i in range(72)]
+
+
 def test_dhash_against_numpy(spark):
     px = [random.Random(1).randrange(256) for _ in range(72)]
     g = np.array(px).reshape(8, 9)
