@@ -116,6 +116,17 @@ def test_near_pairs_against_all_pairs(spark):
     assert {(x.a, x.b) for x in got.collect()} == want
 
 
+def test_near_hashes_of_small_numbers(spark):
+    # multiples below 2**45: the highest bits are all zero, and no band may consist of them
+    rows = spark.range(3000).select((F.col("id") * 2654435761).alias("h")).union(spark.range(60).select((F.col("id") * 2654435761).bitwiseXOR(F.lit(1 << 40 | 5)).alias("h")))
+    near = hashing.near_hashes(rows)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    h = np.unique([i * 2654435761 for i in range(3000)] + [(i * 2654435761) ^ (1 << 40 | 5) for i in range(60)])
+    want = {(int(a), int(b)) for i, a in enumerate(h) for b in h[i + 1 :][np.bitwise_count(h[i + 1 :] ^ a) <= 6]}
+    assert want and {(x.ha, x.hb) for x in near.collect()} == want
+
+
 def test_windows(spark):
     ends = lambda d: [(w.start, w.end) for w in one(spark, R.slide_windows(F.lit(d)))]
     assert ends(0.0) == [] and ends(3.0) == [(0, 3)] and ends(4.5) == [(0, 4), (2, 4.5)]
