@@ -101,6 +101,8 @@ def _(t):
 
 
 PAGE, POLLED, STREAK = 100, 5, 20
+#: Pages of a landed folder, and of a task of the paged source.
+SPAN = 100
 
 #: Newest first: page 0 holds the newest events. Every 41st page lacks an event, and so ends the listing.
 _DEALT = f"SELECT CAST(floor(r / {PAGE}) AS BIGINT) AS page, CAST(r % {PAGE} AS BIGINT) AS pos, event_id FROM (SELECT event_id, (SELECT max(event_id) FROM events) - event_id AS r FROM events) WHERE r % {41 * PAGE} <> {40 * PAGE + 7}"
@@ -113,22 +115,31 @@ def _paged(t, pages):
     r = F.col("newest") - F.col("event_id")
     rows = t.events.crossJoin(newest).where(r % (41 * PAGE) != 40 * PAGE + 7).select(F.floor(r / PAGE).alias("page"), (r % PAGE).alias("pos"), F.col("event_id").cast("string").alias("blobId"))
     path = H.new_path(t.spark, "pages")
-    landed.land(rows, path, "page", 10)
-    read, tip = landed.range_reader(path, "page", 10)
+    landed.land(rows, path, "page", SPAN)
+    read, tip = landed.range_reader(path, "page", SPAN)
+    held = {}
 
     def fetch(page):
-        return sorted(({"pos": x["pos"], "blobId": x["blobId"]} for x in read(page, page)), key=lambda x: x["pos"])
+        # a task's pages come from one folder, read once
+        first = page // SPAN * SPAN
+        if first not in held:
+            held.clear()
+            pages = held[first] = {}
+            for x in read(first, first + SPAN - 1):
+                pages.setdefault(x["page"], []).append({"pos": x["pos"], "blobId": x["blobId"]})
+        return sorted(held[first].get(page, []), key=lambda x: x["pos"])
 
     name = f"paged_{path.rsplit('-', 1)[1]}"
     t.spark.dataSource.register(paged_source(fetch, name))
-    listed = t.spark.read.format(name).option("pages", tip() + 1 if pages is None else pages).option("pages_per_task", 10).option("page_size", PAGE).load()
+    listed = t.spark.read.format(name).option("pages", tip() + 1 if pages is None else pages).option("pages_per_task", SPAN).option("page_size", PAGE).load()
     item = F.from_json("item", "pos long, blobId string")
     return listed.select("page", item.alias("x")).select("page", "x.pos", F.col("x.blobId").alias("blob_id"))
 
 
 @query("src_paged_listing", f"WITH d AS ({_DEALT}), n AS (SELECT page, count(*) AS n FROM d GROUP BY 1) SELECT page, pos, CAST(event_id AS VARCHAR) AS blob_id FROM d WHERE page <= (SELECT coalesce(min(page), 1000000000) FROM n WHERE n < {PAGE})")
 def _(t):
-    return G.until_short_page(_paged(t, None), PAGE)
+    # written once: pages are counted first and then cut
+    return G.until_short_page(H.settled(_paged(t, None), "listed"), PAGE)
 
 
 @query("poll_newest_pages", f"""

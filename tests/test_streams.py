@@ -231,6 +231,18 @@ def test_cursor_source_reads_each_event_once(spark):
         assert sorted(ids()) == list(range(5, 75))
 
 
+def test_a_range_lists_its_own_folders(spark, monkeypatch):
+    import pyarrow.fs as fs
+
+    path = H.new_path(spark, "log")
+    landed.land(spark.range(100).select(F.when(F.col("id") != 57, F.col("id")).alias("event_id")), path, "event_id", 10)
+    rows, tip = landed.range_reader(path, "event_id", 10)
+    seen, selector = [], fs.FileSelector
+    monkeypatch.setattr(fs, "FileSelector", lambda base, **kw: seen.append(base) or selector(base, **kw))
+    assert [r["event_id"] for r in rows(28, 31)] == [28, 29, 30, 31] and [b.rsplit("/", 1)[1] for b in seen] == ["_range=2", "_range=3"]
+    assert tip() == 99 and rows(200, 210) == []
+
+
 def test_cursor_source_starts_at_the_tip(spark):
     path, out, check = (H.new_path(spark, n) for n in ("log", "out", "check"))
     landed.land(spark.range(30).select(F.col("id").alias("event_id"), F.lit("x").alias("type")), path, "event_id", 10)
