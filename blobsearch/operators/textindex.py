@@ -22,11 +22,23 @@ from .search import small, tokens
 FILTERED = 256
 #: A join on terms is dealt over so many tasks for each term, for a common term has a share of all documents.
 SALT = 32
+#: Terms that a task counts at a time.
+TERMS = 200_000
 _POSTING = "term string, blob_id string, tf long, dl double, run long"
 _DOC = "blob_id string, dl double, run long"
 _TOTAL = "run long, base boolean, docs long, words double"
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of at most TERMS terms, or one row: what a task holds to count does not follow the batch."""
+    ends = b["t"].offsets.to_numpy()
+    at = 0
+    while at < len(b):
+        upto = max(at + 1, int(ends.searchsorted(ends[at] + TERMS, "right")) - 1)
+        yield b.slice(at, upto - at)
+        at = upto
+
+
 def postings_of(docs: DataFrame, path: str, text: str = "caption") -> tuple[DataFrame, DataFrame]:
     """The postings (term, blob_id, tf, dl) and lengths (blob_id, dl) of rows with an id and a text.
 
@@ -36,7 +48,7 @@ def postings_of(docs: DataFrame, path: str, text: str = "caption") -> tuple[Data
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in _pieces(whole)):
             terms = b["t"]
             flat = pa.table({"row": pa.compute.list_parent_indices(terms), "term": terms.flatten()}).group_by(["row", "term"]).aggregate([([], "count_all")])
             row = flat["row"].combine_chunks()

@@ -6,6 +6,7 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,16 @@ def test_near_hashes_of_small_numbers(spark):
     assert want and {(x.ha, x.hb) for x in near.collect()} == want
 
 
+def test_terms_are_counted_in_pieces(monkeypatch):
+    from blobsearch.operators import textindex
+
+    monkeypatch.setattr(textindex, "TERMS", 5)
+    b = pa.record_batch({"t": [["x"], ["a"] * 3, [], ["b"] * 2, ["c"] * 9, ["d"], []], "n": list(range(7))}).slice(1)
+    pieces = list(textindex._pieces(b))
+    assert [p["n"].to_pylist() for p in pieces] == [[1, 2, 3], [4], [5, 6]]
+    assert [len(p["t"].flatten()) for p in pieces] == [5, 9, 1]
+
+
 def test_windows(spark):
     ends = lambda d: [(w.start, w.end) for w in one(spark, R.slide_windows(F.lit(d)))]
     assert ends(0.0) == [] and ends(3.0) == [(0, 3)] and ends(4.5) == [(0, 4), (2, 4.5)]
