@@ -313,8 +313,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Rows centre, member (centre < member) that connect what all of them do: one less than there are sets, at most. Each member keeps its smallest centre."""
+    ids, place = np.unique(pairs, return_inverse=True)
+    place = place.reshape(-1, 2)
+    root, kept = np.arange(len(ids)), np.zeros(len(pairs), bool)
+    while True:
+        x, y = root[place[:, 0]], root[place[:, 1]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        live = np.flatnonzero(low != high)
+        if not len(live):
+            return pairs[kept]
+        # roots hang on smaller ones, so that no cycle closes
+        order = live[np.lexsort((low[live], high[live]))]
+        order = order[_heads(high[order])]
+        kept[order] = True
+        to = np.arange(len(ids))
+        to[high[order]] = low[order]
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
+
+
 def _stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig, cls to the pairs of each run's smallest member (centre) and each other one, once for FLUSH rows, packed by part of the centre."""
+    """Rows sorted by sig, cls to pairs of a run's smallest member (centre) and another one that connect what runs connect, packed by part of the centre. FLUSH rows give fewer pairs than sets, however many signatures these share."""
     sig, cls, n = [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -322,10 +344,10 @@ def _stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         centre = np.repeat(cls[0][head], _sizes(head, len(sig[0])))
         live = centre != cls[0]
         centre, member = centre[live], cls[0][live]
-        part = (textnum.mix(centre.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((member, centre, part))
-        order = order[_heads(centre[order], member[order])]
-        pairs, part = np.stack([centre[order], member[order]], 1), part[order]
+        pairs = spanning(np.stack([centre, member], 1))
+        part = (textnum.mix(pairs[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        pairs, part = pairs[order], part[order]
         at = _heads(part)
         pieces = itertools.pairwise(np.append(at, len(part)).tolist())
         return pa.record_batch([pa.array(part[at]), pa.array([pairs[x:y].tobytes() for x, y in pieces], pa.binary())], ["part", "pairs"])
@@ -345,13 +367,11 @@ def _stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different pairs of one part, as centre, cls."""
+    """Pairs of one part, as centre, cls, that connect what all of them do."""
     held = [np.frombuffer(x.as_buffer(), np.int64) for b in batches for x in b["pairs"]]
     if held:
-        pairs = np.concatenate(held).reshape(-1, 2)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        order = order[_heads(pairs[order, 0], pairs[order, 1])]
-        yield pa.record_batch([pa.array(pairs[order, 0]), pa.array(pairs[order, 1])], ["centre", "cls"])
+        pairs = spanning(np.concatenate(held).reshape(-1, 2))
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["centre", "cls"])
 
 
 # --- exact comparison --------------------------------------------------------
@@ -423,17 +443,29 @@ def compare(places: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
-    """node, label: the smallest node that edges (a, b) reach, by hooking to the least label and jumping pointers."""
-    both = work.settle(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y").distinct(), "edges")
-    labels = work.settle(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"), "labels")
-    while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["x"]).select("node", F.least("label", "near").alias("to"), "label")
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("up"))
-        after = work.settle(hooked.join(up, "to").select("node", F.least("to", "up").alias("label"), (F.least("to", "up") < F.col("label")).alias("moved")), "labels")
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            return labels
+    """node, label: the smallest node that edges (a, b) reach.
+
+    In each round every node hooks to its smallest neighbour, and once to that
+    one's, and edges are told between what nodes hooked to: edges inside a group
+    that came together go, so later rounds join few.
+    """
+    links = work.settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not links.isEmpty():
+        both = links.union(links.select("b", "a")).toDF("x", "y")
+        near = work.settle(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to")), "near")
+        up = near.toDF("to", "up")
+        hooks = work.settle(near.join(up, "to").select("x", "up"), "hooks")
+        first = hooks.toDF("a", "a2")
+        links = links.join(first, "a").join(hooks.toDF("b", "b2"), "b").where("a2 <> b2")
+        links = work.settle(links.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        if labels is None:
+            labels = hooks.toDF("node", "label")
+        else:
+            # nodes whose label met no further edge stay
+            moved = labels.join(hooks.toDF("label", "further"), "label", "left")
+            labels = work.settle(moved.select("node", F.coalesce("further", "label").alias("label")), "labels")
+    return labels
 
 
 def _cut(m, n):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blobsearch.llm import chat, decontaminate, jaccard, lm, mixing, pii, quality, queries, substring, textnum, tokens, topk
+from blobsearch.llm.store import Scratch
 from llm import brute
 from oracle import compare
 
@@ -92,6 +93,26 @@ def test_jaccard(spark, docs, rows, none):
     assert jaccard.similar_components(none).count() == 0
 
 
+def test_spanning_pairs_of_one_group(spark):
+    r = np.random.default_rng(3)
+    # 40 sets that share many signatures with many centres, two chains, and a pair
+    pairs = [(int(a), int(b)) for a, b in np.sort(r.integers(-20, 20, (900, 2)), 1) if a != b]
+    pairs += [(100 + i, 101 + i) for i in range(6)] + [(300 - i - 1, 300 - i) for i in range(6)] + [(7000, 1 << 60)]
+    some = jaccard.spanning(np.array(pairs))
+    found = {x.node: x.label for x in jaccard.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark)).collect()}
+    assert {x.node: x.label for x in jaccard.components(spark.createDataFrame(some.tolist(), "a long, b long"), Scratch(spark)).collect()} == found
+    assert len(some) == len(found) - len(set(found.values())) and set(map(tuple, some.tolist())) <= set(pairs)
+    want = {n: n for p in pairs for n in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert found == want
+    least = {}
+    for a, b in pairs:
+        least[b] = min(a, least.get(b, a))
+    assert {(a, b) for b, a in least.items()} <= set(map(tuple, some.tolist()))
+
+
 def test_jaccard_large_group_of_near_copies(spark):
     r = random.Random(2)
     base = [f"t{i}" for i in range(300)]
