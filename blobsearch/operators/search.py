@@ -13,7 +13,9 @@ from blobsearch.functions import vectors as V
 
 #: A table goes to every task only if its size is known to be below these rows.
 BROADCAST_ROWS = 100_000
-#: Vectors, or queries, of a block on average; queries of a block that are multiplied at once.
+#: Blocks of vectors and groups of queries of an all-pairs search; vectors of a block, which a task holds, at most on average.
+BLOCKS, GROUPS, HELD = 8, 16, 524_288
+#: Vectors, and queries, that are multiplied at once.
 BLOCK, ROWS = 4096, 512
 
 
@@ -35,72 +37,129 @@ def top_k(df: DataFrame, query: DataFrame, k: int, vector: str = "embedding") ->
     return ranked(sims, F.col("query_id"), [F.desc("sim"), "blob_id"]).where(F.col("rank") <= k)
 
 
+def _pairs(v: DataFrame, q: DataFrame) -> DataFrame:
+    """A partition for each pair of a block of vectors (id, v) and a group of queries (id, q, own): the vectors in the order of ids, then the queries.
+
+    The numbers of blocks and groups do not follow the tables, so a row is sent
+    equally often at any size. Only if a block had more than HELD vectors there
+    are more blocks.
+    """
+    n = max(BLOCKS, -(-v.count() // HELD))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.withColumn("block", number(n)).withColumn("grp", every(GROUPS)).withColumn("asks", F.lit(False))
+    right = q.withColumn("block", every(n)).withColumn("grp", number(GROUPS)).withColumn("asks", F.lit(True))
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("part", F.col("block") * GROUPS + F.col("grp")).drop("block", "grp")
+    return rows.repartitionById(n * GROUPS, "part").sortWithinPartitions("asks", "id")
+
+
+def _floats(df: DataFrame, vector: str) -> Column:
+    """Single precision is sent as it is, anything else in double."""
+    return F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else V.doubles(vector)
+
+
+def _held(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, pa.Array, pa.RecordBatch]]:
+    """The vectors of a partition of ``_pairs``, their ids, and queries as they come."""
+    vectors, ids, x, names = [], [], None, None
+    for b in batches:
+        n = len(b) - b["asks"].true_count
+        if n:
+            vectors.append(b["v"].slice(0, n).flatten().to_numpy(zero_copy_only=False))
+            ids.append(b["id"].slice(0, n))
+        if n < len(b) and (ids or names is not None):
+            if names is None:
+                x, names = np.concatenate(vectors).reshape(-1, dim), pa.concat_arrays(ids)
+                vectors.clear()
+            yield x, names, b.slice(n)
+
+
+def _best(y: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k vectors closest to each query, as query, place of the vector and similarity; of equal ones the first places. NaN is greatest, as in SQL."""
+    who, place, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, short = np.full(len(y), -np.inf), np.ones(len(y), bool)
+    for at in range(0, len(x), BLOCK):
+        s = y @ x[at : at + BLOCK].astype(float).T
+        if at == 0 and s.shape[1] > k:
+            s = np.round(s, 9)
+            kth = np.partition(s, -k, axis=1)[:, -k, None]
+            tie = s == kth
+            row, col = np.nonzero(~(s <= kth) | (tie & (np.cumsum(tie, 1) <= k)))
+            new = s[row, col]
+        else:
+            # what may reach the k-th best when rounded; a later place loses a tie
+            row, col = np.nonzero(~(s < (least - 1e-9 - 1e-14 * np.abs(least))[:, None]) | short[:, None])
+            new = np.round(s[row, col], 9)
+            better = short[row] | ~(new <= least[row])
+            row, col, new = row[better], col[better], new[better]
+        if not len(row):
+            continue
+        who, place, sim = np.append(who, row), np.append(place, at + col), np.append(sim, new)
+        order = np.lexsort((place, -sim, ~np.isnan(sim), who))
+        order = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < k]
+        who, place, sim = who[order], place[order], sim[order]
+        n = np.bincount(who, minlength=len(y))
+        short = n < k
+        least[~short] = sim[np.cumsum(n)[~short] - 1]
+    return who, place, sim
+
+
 def top_k_blocks(df: DataFrame, query: DataFrame, k: int, dim: int) -> DataFrame:
-    """As ``top_k`` for many queries: hashed blocks of queries meet hashed blocks of vectors, each pair in a row of its own that keeps k for each query.
+    """As ``top_k`` for many queries: hashed blocks of vectors meet hashed groups of queries, and each pair keeps k for each query.
 
     Only vectors and queries of ``dim`` components take part.
     """
-    v = df.select("blob_id", V.doubles("embedding").alias("v")).where(F.size("v") == dim)
-    q = query.select("query_id", V.doubles("q").alias("q")).where(F.size("q") == dim)
-    n_blocks, n_groups = (-(-x.count() // BLOCK) or 1 for x in (v, q))
-    # a struct with the id keeps nulls, which lists of ids alone would lose
-    blocks = v.groupBy(F.pmod(F.xxhash64("blob_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("blob_id", "v")).alias("vs"))
-    groups = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["block", "grp"])
+    v = df.select(F.col("blob_id").alias("id"), _floats(df, "embedding").alias("v")).where(F.size("v") == dim)
+    q = query.select(F.col("query_id").alias("id"), _floats(query, "q").alias("q")).where(F.size("q") == dim)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for vs, qs in zip(b["vs"], b["qs"], strict=True):
-                ids, x = vs.values.field("blob_id").to_pylist(), np.asarray(vs.values.field("v").flatten(), float).reshape(-1, dim)
-                names, y = qs.values.field("query_id").to_pylist(), np.asarray(qs.values.field("q").flatten(), float).reshape(-1, dim)
-                # in the order of ids, so that ties are settled by place
-                order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
-                x, m = x[order], min(k, len(ids))
-                for start in range(0, len(names), ROWS):
-                    sims = np.round(y[start : start + ROWS] @ x.T, 9)
-                    kth = np.partition(sims, len(ids) - m, axis=1)[:, len(ids) - m]
-                    who, best, sim = [], [], []
-                    for name, row, least in zip(names[start : start + ROWS], sims, kth, strict=True):
-                        at = np.flatnonzero(row >= least)
-                        at = at[np.argsort(-row[at], kind="stable")[:m]]
-                        who += [name] * len(at)
-                        best += [ids[order[i]] for i in at]
-                        sim.append(row[at])
-                    yield pa.record_batch([pa.array(who, pa.string()), pa.array(best, pa.string()), pa.array(np.concatenate(sim))], ["query_id", "blob_id", "sim"])
-
-    found = pairs.mapInArrow(search, "query_id string, blob_id string, sim double")
+        for x, ids, b in _held(batches, dim):
+            y = b["q"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+            for at in range(0, len(y), ROWS):
+                who, place, sim = _best(y[at : at + ROWS], x, k)
+                yield pa.record_batch([b["id"].take(pa.array(at + who)), ids.take(pa.array(place)), pa.array(sim)], ["query_id", "blob_id", "sim"])
+
+    found = _pairs(v, q).mapInArrow(search, "query_id string, blob_id string, sim double")
     return ranked(found, F.col("query_id"), [F.desc("sim"), "blob_id"]).where(F.col("rank") <= k)
 
 
+def _ahead(y: np.ndarray, own: np.ndarray, place: np.ndarray, mine: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many vectors stand before each query's own similarity: of equal ones those of smaller places. The row at ``place`` is none of them where it is the query's own (``mine``)."""
+    n, tol = np.zeros(len(y), np.int64), (2e-9 + 1e-14 * np.abs(own))[:, None]
+    for at in range(0, len(x), BLOCK):
+        s = y @ x[at : at + BLOCK].astype(float).T
+        d = s - own[:, None]
+        n += np.count_nonzero(d > tol, axis=1)
+        # those that rounding may make equal, or that are not numbers
+        row, col = np.nonzero(~(np.abs(d) > tol))
+        r, o, p = np.round(s[row, col], 9), own[row], at + col
+        above = (r > o) | (np.isnan(r) & ~np.isnan(o))
+        tie = (r == o) | (np.isnan(r) & np.isnan(o))
+        n += np.bincount(row[(above & ~(mine[row] & (p == place[row]))) | (tie & (p < place[row]))], minlength=len(y))
+    return n
+
+
 def rank_of_own(df: DataFrame, query: DataFrame, dim: int) -> DataFrame:
     """query_id, first: the rank that the row named like the query has in the query's order. query: query_id, q, own (its similarity to that row).
 
-    Blocks of queries meet blocks of vectors; a pair of blocks returns a count for
+    Blocks of vectors meet groups of queries; a pair of them returns a count for
     each query, so nothing is ranked. Ties go to smaller ids.
     """
-    v = df.select("blob_id", V.doubles("embedding").alias("v")).where(F.size("v") == dim)
-    q = query.select("query_id", V.doubles("q").alias("q"), "own").where(F.size("q") == dim)
-    n_blocks, n_groups = (-(-x.count() // BLOCK) or 1 for x in (v, q))
-    blocks = v.groupBy(F.pmod(F.xxhash64("blob_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("blob_id", "v")).alias("vs"))
-    groups = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp")).agg(F.collect_list(F.struct("query_id", "q", "own")).alias("qs"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["block", "grp"])
+    v = df.select(F.col("blob_id").alias("id"), _floats(df, "embedding").alias("v")).where(F.size("v") == dim)
+    q = query.select(F.col("query_id").alias("id"), _floats(query, "q").alias("q"), "own").where(F.size("q") == dim)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for vs, qs in zip(b["vs"], b["qs"], strict=True):
-                ids, x = np.array(vs.values.field("blob_id").to_pylist()), np.asarray(vs.values.field("v").flatten(), float).reshape(-1, dim)
-                names, y = np.array(qs.values.field("query_id").to_pylist()), np.asarray(qs.values.field("q").flatten(), float).reshape(-1, dim)
-                own = np.round(qs.values.field("own").to_numpy(zero_copy_only=False), 9)
-                ahead = np.zeros(len(names), np.int64)
-                for at in range(0, len(names), ROWS):
-                    part = slice(at, at + ROWS)
-                    sims, mine = np.round(y[part] @ x.T, 9), own[part, None]
-                    ahead[part] = (((sims > mine) & (ids[None, :] != names[part, None])) | ((sims == mine) & (ids[None, :] < names[part, None]))).sum(1)
-                yield pa.record_batch([pa.array(names), pa.array(ahead)], ["query_id", "ahead"])
-
-    return pairs.mapInArrow(count, "query_id string, ahead long").groupBy("query_id").agg((F.sum("ahead") + 1).alias("first"))
+        names = None
+        for x, ids, b in _held(batches, dim):
+            names = np.array(ids.to_pylist()) if names is None else names
+            asked = np.array(b["id"].to_pylist())
+            place = np.searchsorted(names, asked)
+            mine = names[np.minimum(place, len(names) - 1)] == asked
+            y = b["q"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+            own = np.round(b["own"].to_numpy(zero_copy_only=False).astype(float), 9)
+            parts = [slice(at, at + ROWS) for at in range(0, len(y), ROWS)]
+            yield pa.record_batch([b["id"], pa.array(np.concatenate([_ahead(y[p], own[p], place[p], mine[p], x) for p in parts]))], ["query_id", "ahead"])
+
+    return _pairs(v, q).mapInArrow(count, "query_id string, ahead long").groupBy("query_id").agg((F.sum("ahead") + 1).alias("first"))
 
 
 def tokens(text: Column | str) -> Column:

@@ -54,6 +54,62 @@ def test_top_k_blocks_beyond_a_bound(spark, monkeypatch):
     assert {(r.query_id, r.blob_id, r["rank"]) for r in got} == want and len(got) == len(want)
 
 
+def _sent(df):
+    """Bytes that the shuffles of a query wrote, once it has run."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _unit(n, dim=16):
+    x = np.random.default_rng(n).standard_normal((n, dim))
+    return [(f"b{i}", v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+
+
+@pytest.mark.parametrize("search", ["top_k_blocks", "rank_of_own"])
+def test_all_pairs_are_sent_in_proportion(spark, monkeypatch, search):
+    from blobsearch.operators import search as S
+
+    monkeypatch.setattr(S, "BLOCK", 16)
+    sent = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    for n in (200, 800):
+        df = spark.createDataFrame(_unit(n), "blob_id string, embedding array<float>")
+        q = df.select(F.col("blob_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(1.0).alias("own"))
+        out = S.top_k_blocks(df, q, 3, 16) if search == "top_k_blocks" else S.rank_of_own(df, q, 16)
+        assert len(out.collect()) == n * (3 if search == "top_k_blocks" else 1)
+        sent.append(_sent(out))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < sent[1] < 5 * sent[0]
+
+
+def test_rank_of_own_with_ties_in_any_block(spark, monkeypatch):
+    from blobsearch.operators import search as S
+
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "ROWS", 5)
+    monkeypatch.setattr(S, "HELD", 9, raising=False)  # more blocks than BLOCKS
+    x = np.random.default_rng(5).standard_normal((90, 4)).round(1)
+    x[20:50] = x[20]  # ties
+    y = x + 0.3 * x[:, ::-1]
+    own = [float(a @ b) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*((f"b{i}", v.tolist()) for i, v in enumerate(x)), ("short", [1.0]), ("none", None)], "blob_id string, embedding array<double>")
+    q = spark.createDataFrame([(f"b{i}", v.tolist(), o) for i, (v, o) in enumerate(zip(y, own, strict=True))], "query_id string, q array<double>, own double")
+    got = {r.query_id: r["first"] for r in S.rank_of_own(df, q, 4).collect()}
+    sims = np.round(y @ x.T, 9)
+    assert got == {f"b{j}": 1 + sorted(range(90), key=lambda i: (-sims[j, i], f"b{i}")).index(j) for j in range(90)}
+    found = S.top_k_blocks(df, q, 6, 4).collect()
+    assert {(r.query_id, r.blob_id, r["rank"]) for r in found} == {(f"b{j}", f"b{i}", k + 1) for j in range(90) for k, i in enumerate(sorted(range(90), key=lambda i: (-sims[j, i], f"b{i}"))[:6])}
+
+
 def test_active_modes(spark):
     df = spark.createDataFrame([("a", "31", True), ("b", "soon", False), ("c", None, None)], "blob_id string, end_epoch string, is_active boolean")
     ids = lambda mode: sorted(r[0] for r in df.where(C.is_active(30, mode)).collect())
