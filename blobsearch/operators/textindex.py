@@ -5,6 +5,10 @@ alone, and a row for each deleted one. A posting counts while its run is the
 newest of its document. How many documents there are and how long they are
 together is kept as differences, so nothing is recounted, and texts of unchanged
 rows are not read. Compaction writes what counts as one run.
+
+A file of postings has all terms of its documents, in the order of terms: the
+task that split the texts sorts and writes them, so no posting is shuffled, a
+scan for some terms skips the other pages, and a common term is in every file.
 """
 
 from __future__ import annotations
@@ -39,12 +43,11 @@ def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
-def postings_of(docs: DataFrame, path: str, text: str = "caption") -> tuple[DataFrame, DataFrame]:
-    """The postings (term, blob_id, tf, dl) and lengths (blob_id, dl) of rows with an id and a text.
+def postings_of(docs: DataFrame, path: str, run: int, text: str = "caption") -> DataFrame:
+    """Writes the postings of rows with an id and a text to ``path``, as a run's; returns the lengths (blob_id, dl).
 
     A row stands in one batch, so nothing is shuffled to count it. Texts are split
-    once: what they give is written to ``path``, with a row without term for each
-    document.
+    once: a row without term for each document stands before the postings.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +59,13 @@ def postings_of(docs: DataFrame, path: str, text: str = "caption") -> tuple[Data
             yield pa.record_batch([pa.nulls(len(b), pa.string()), b["blob_id"], pa.array([0] * len(b), pa.int64()), b["dl"]], ["term", "blob_id", "tf", "dl"])
 
     split = docs.where(F.col(text).isNotNull() & F.col("blob_id").isNotNull()).select(F.col("blob_id").cast("string").alias("blob_id"), tokens(text).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    out = split.mapInArrow(counted, "term string, blob_id string, tf long, dl double")
-    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    rows = docs.sparkSession.read.schema(out.schema).parquet(path)
-    return rows.where("term is not null"), rows.where("term is null").select("blob_id", "dl")
+    rows = split.mapInArrow(counted, "term string, blob_id string, tf long, dl double").withColumn("run", F.lit(run).cast("long"))
+    _write_postings(rows, path)
+    return docs.sparkSession.read.schema(_POSTING).parquet(path).where("term is null").select("blob_id", "dl")
+
+
+def _write_postings(rows: DataFrame, path: str) -> None:
+    rows.select("term", "blob_id", "tf", "dl", "run").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 class TextIndex:
@@ -67,11 +73,6 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._aside = f"{path}.counted"
-
-    def _drop(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _read(self, kind: str, schema: str, runs: list[int]) -> DataFrame:
         if not runs:
@@ -103,20 +104,16 @@ class TextIndex:
         """term, blob_id, tf, dl of the documents as they stand. With one run all postings count, and nothing is joined."""
         runs = self.runs()
         rows = self._read("postings", _POSTING, runs)
-        if terms is not None:
-            rows = rows.where(F.col("term").isin(terms))
+        rows = rows.where("term is not null" if terms is None else F.col("term").isin(terms))
         if len(runs) > 1:
             # only what came after the base run can make a posting old: its documents alone are read
             changed = self._read("docs", _DOC, runs[1:]).groupBy("blob_id").agg(F.max("run").alias("newest"))
             rows = rows.join(small(changed), "blob_id", "left").where(F.col("newest").isNull() | (F.col("newest") == F.col("run")))
         return rows.select("term", "blob_id", "tf", "dl")
 
-    def _write(self, run: int, postings: DataFrame, docs: DataFrame, base: bool, before: tuple[int, float]) -> None:
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def _write(self, run: int, docs: DataFrame, base: bool, before: tuple[int, float]) -> None:
+        """The documents of a run whose postings are written, then its totals, with which it counts."""
         at = F.lit(run).cast("long").alias("run")
-        # ranges of (term, blob_id): a scan skips what was not asked for, and a common term fills many files
-        rows = postings.select("term", "blob_id", "tf", "dl", at).repartitionByRange(n, "term", "blob_id").sortWithinPartitions("term", "blob_id")
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/postings-{run}")
         docs.select("blob_id", "dl", at).write.mode("overwrite").parquet(f"{self.path}/docs-{run}")
         own = self._read("docs", _DOC, [run]).agg(F.count("dl").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0.0)).alias("words"))
         total = own.select(at, F.lit(base).alias("base"), (F.col("docs") - before[0]).alias("docs"), (F.col("words") - before[1]).alias("words"))
@@ -125,8 +122,7 @@ class TextIndex:
     def rebuild(self, docs: DataFrame, text: str = "caption") -> None:
         """One run of all rows with a text; it replaces all earlier ones. Ids are unique, as a catalog's are."""
         run = max(self.runs(), default=-1) + 1
-        self._write(run, *postings_of(docs, self._aside, text), True, (0, 0.0))
-        self._drop(self._aside)
+        self._write(run, postings_of(docs, f"{self.path}/postings-{run}", run, text), True, (0, 0.0))
 
     def apply(self, changes: DataFrame, run: int | None = None, text: str = "caption", order: str = "seq") -> None:
         """A batch of changes: blob_id, text, deleted and an order; of several changes of one row the last counts.
@@ -143,19 +139,20 @@ class TextIndex:
         last = Window.partitionBy("blob_id").orderBy(F.desc(order))
         rows = changes.where("blob_id is not null").withColumn("_r", F.row_number().over(last)).where("_r = 1")
         kept = rows.withColumn(text, F.when(~F.coalesce("deleted", F.lit(False)), F.col(text)))
-        postings, lengths = postings_of(kept, self._aside, text)
+        lengths = postings_of(kept, f"{self.path}/postings-{run}", run, text)
         docs = kept.select(F.col("blob_id").cast("string").alias("blob_id")).join(lengths, "blob_id", "left")
         # what the changed rows were before, from their kept lengths
         ids = small(kept.select(F.col("blob_id").cast("string").alias("blob_id")))
         old = self._newest(self._read("docs", _DOC, runs).join(ids, "blob_id", "left_semi")).agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
-        self._write(run, postings, docs, False, (old[0], old[1]))
-        self._drop(self._aside)
+        self._write(run, docs, False, (old[0], old[1]))
 
     def compact(self) -> None:
         """What counts as one run. Earlier runs stay for readers that have begun; ``clean`` drops them."""
         runs = self.runs()
         if len(runs) > 1:
-            self._write(runs[-1] + 1, self.postings(), self.documents().where("dl is not null"), True, (0, 0.0))
+            run = runs[-1] + 1
+            _write_postings(self.postings().withColumn("run", F.lit(run).cast("long")), f"{self.path}/postings-{run}")
+            self._write(run, self.documents().where("dl is not null"), True, (0, 0.0))
 
     def clean(self) -> None:
         """Drops the folders of runs that a base run has replaced."""

@@ -88,6 +88,22 @@ def test_text_index_follows_changes(spark):
     same()
 
 
+def test_postings_are_written_in_order_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"the w{i % 7} w{i % 11}") for i in range(60)], "blob_id string, caption string").repartition(3)
+    index = TextIndex(spark, H.new_path(spark, "ix"))
+    index.rebuild(docs)
+    index.apply(spark.createDataFrame([("d1", "anew", 0, False), ("d2", None, 0, True)], "blob_id string, caption string, seq int, deleted boolean"))
+    index.compact()
+    for run, n in ((0, 60), (2, 58)):
+        files = {}
+        for r in spark.read.parquet(f"{index.path}/postings-{run}").where("term is not null").select("*", F.input_file_name().alias("file")).collect():
+            files.setdefault(r.file, []).append(r.term)
+        # a file's terms are in order, whatever others hold
+        assert all(x == sorted(x) for x in files.values()) and sum(x.count("the") for x in files.values()) == n
+        assert run or all("the" in x for x in files.values())
+    assert sorted(r.blob_id for r in index.postings(["the", "anew"]).collect()) == sorted(["d0", "d1", *(f"d{i}" for i in range(3, 60))])
+
+
 def test_text_index_writes_a_failed_batch_anew(spark):
     path = H.new_path(spark, "ix")
     index = TextIndex(spark, path)
