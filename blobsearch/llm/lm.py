@@ -34,8 +34,10 @@ N_CLASSES = (WORDS + HASHED) // CLASS
 #: The token beside the first and the last word of a text.
 PAD = WORDS + HASHED
 SIDE, EMBED, HIDDEN = 2, 16, 24
-#: Places of a step; the rate.
-STEP, RATE = 16_384, 0.1
+#: Places of a step; places scored at once; the rate.
+STEP, SCORED, RATE = 16_384, 65_536, 0.1
+#: Places whose outputs are held at once; up to this size of all outputs, exponentials need no greatest output taken off first.
+BLOCK, SAFE = 512, 60.0
 #: Of each 8 documents by hash those of the first round; the second takes the others.
 ROUNDS = ((0,), (1, 2, 3, 4, 5, 6, 7))
 #: Words of a shard, on average.
@@ -54,6 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), n over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed()
         held, n = [], 0
 
         def flush(held) -> pa.RecordBatch:
@@ -73,6 +76,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return documents_of(docs).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _keep_freed() -> None:
+    """Frees a large block once: malloc then keeps freed arrays of up to this size for the next ones, instead of fresh pages for each step."""
+    np.empty(31 << 20, np.uint8)
+
+
 class Network:
     """Tokens to the 2 * SIDE around them; weights as one vector for averaging."""
 
@@ -88,6 +96,9 @@ class Network:
         self.words = words.astype(np.uint64)
         self.rank = np.argsort(self.words)
         self.known = self.words[self.rank]
+        # where the hashes of each 16 leading bits begin, and how many there are at most
+        heads = (self.known >> np.uint64(48)).astype(np.int64)
+        self.first, self.longest = np.searchsorted(heads, np.arange(1 << 16)), int(np.bincount(heads, minlength=1).max())
         r = np.random.default_rng(seed)
         if weights is None:
             scale = {"e": 0.1, "w1": (2 * SIDE * EMBED) ** -0.5, "wc": HIDDEN**-0.5, "w2": HIDDEN**-0.5}
@@ -110,8 +121,11 @@ class Network:
         bucket = WORDS + _bucket(h)
         if not len(self.words):
             return bucket
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.rank[at], bucket)
+        last = len(self.known) - 1
+        at = np.minimum(self.first.take((h >> np.uint64(48)).astype(np.int64)), last)
+        for _ in range(self.longest - 1):
+            at = np.minimum(at + (self.known.take(at) < h), last)
+        return np.where(self.known.take(at) == h, self.rank.take(at), bucket)
 
     def stream(self, s: textnum.Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of a segment with SIDE pads around each text that has words; where each word stands; the words' hashes."""
@@ -123,25 +137,15 @@ class Network:
         return out, at, h
 
     def hidden(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings of a stream, and the hidden layer at each place but SIDE at either end."""
-        e, n = self.e[s], len(s) - 2 * SIDE
-        pre = self.b1 + sum(e[i : i + n] @ w for i, w in zip(self.AT, self.w1, strict=True))
-        return e, np.tanh(pre)
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        """In place."""
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
-    @staticmethod
-    def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """The logarithm of one softmax value of each row; z is used up."""
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(z)), chosen]
-        return out - np.log(np.exp(z, out=z).sum(1))
+        """At each place of a stream but SIDE at either end: its neighbours' embeddings; the hidden layer, and a 1 that biases multiply."""
+        near = np.lib.stride_tricks.sliding_window_view(s, 2 * SIDE + 1)[:, self.AT]
+        x = self.e.take(near, 0).reshape(len(near), -1)
+        out = np.zeros((len(x), HIDDEN + 1), np.float32)
+        np.matmul(x, self.w1.reshape(-1, HIDDEN), out=out[:, :HIDDEN])
+        out[:, :HIDDEN] += self.b1
+        np.tanh(out, out=out)
+        out[:, HIDDEN] = 1
+        return x, out
 
     @staticmethod
     def _grouped(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -151,48 +155,78 @@ class Network:
         cuts = np.searchsorted(ts, np.arange(0, PAD + 1, CLASS))
         return order[: cuts[-1]], ts[: cuts[-1]], [(c, a, b) for c, (a, b) in enumerate(itertools.pairwise(cuts.tolist())) if b > a]
 
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with biases as the last row, of the softmax over classes and of those within them; whether no value can pass SAFE."""
+        wc, w2 = np.concatenate([self.wc, self.bc[None]]), np.concatenate([self.w2, self.b2[:, None]], 1)
+        # hidden values are at most 1
+        return wc, w2, bool(max(np.abs(wc).sum(0).max(), np.abs(w2).sum(1).max()) < SAFE)
+
+    @staticmethod
+    def _softmaxes(ts: np.ndarray, classes: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Stretches of at most BLOCK sorted tokens: -1 for the softmax over classes, else the class that it is in; begin, end, chosen outputs."""
+        of, own = divmod(ts, CLASS)
+        for chosen, (c, a, b) in itertools.chain([(of, (-1, 0, len(ts)))], ((own, x) for x in classes)):
+            for i in range(a, b, BLOCK):
+                j = min(i + BLOCK, b)
+                yield c, i, j, chosen[i:j]
+
     def log_prob(self, s: np.ndarray) -> np.ndarray:
         """The log probability of each place of a stream but SIDE at either end; 0 for pads."""
         out = np.zeros(len(s) - 2 * SIDE, np.float64)
-        for at in range(0, len(out), STEP):
-            part = s[at : at + STEP + 2 * SIDE]
+        (wc, w2, safe), rows, ones = self._outputs(), np.arange(BLOCK), np.ones(max(N_CLASSES, CLASS), np.float32)
+        for at in range(0, len(out), SCORED):
+            part = s[at : at + SCORED + 2 * SIDE]
             _, hid = self.hidden(part)
             order, ts, classes = self._grouped(part[SIDE:-SIDE])
-            hs = hid[order]
-            lp = self._log_chosen(hs @ self.wc + self.bc, ts // CLASS)
-            for c, a, b in classes:
-                lp[a:b] += self._log_chosen(hs[a:b] @ self.w2[c] + self.b2[c], ts[a:b] % CLASS)
-            out[at + order] = lp
+            hs = hid.take(order, 0)
+            # for each place the outputs chosen and the sums of exponentials, over classes and within one
+            value, total = np.empty((2, len(ts)), np.float32), np.empty((2, len(ts)), np.float32)
+            for c, i, j, chosen in self._softmaxes(ts, classes):
+                z = hs[i:j] @ (wc if c < 0 else w2[c])
+                if not safe:
+                    z -= z.max(1, keepdims=True)
+                value[int(c >= 0), i:j] = z[rows[: j - i], chosen]
+                np.matmul(np.exp(z, out=z), ones[: z.shape[1]], out=total[int(c >= 0), i:j])
+            out[at + order] = (value - np.log(total)).sum(0)
         return out
 
     def gradients(self, s: np.ndarray) -> dict[str, tuple]:
         """Of the mean negative log probability over the places of a stream that are no pads: for each weight where it applies, and its values."""
-        e, hid = self.hidden(s)
+        x, hid = self.hidden(s)
         order, ts, classes = self._grouped(s[SIDE:-SIDE])
-        n, hs, rows = max(len(ts), 1), hid[order], np.arange(len(ts))
-        p = self._softmax(hs @ self.wc + self.bc)
-        p[rows, ts // CLASS] -= 1
-        p /= n
-        dh = p @ self.wc.T
-        out = {"wc": (slice(None), hs.T @ p), "bc": (slice(None), p.sum(0))}
-        chosen = np.array([c for c, _, _ in classes], np.int64)
-        g2, h2 = np.empty((len(classes), HIDDEN, CLASS), np.float32), np.empty((len(classes), CLASS), np.float32)
-        for i, (c, a, b) in enumerate(classes):
-            p = self._softmax(hs[a:b] @ self.w2[c] + self.b2[c])
-            p[rows[: b - a], ts[a:b] % CLASS] -= 1
-            p /= n
-            dh[a:b] += p @ self.w2[c].T
-            g2[i], h2[i] = hs[a:b].T @ p, p.sum(0)
-        out |= {"w2": (chosen, g2), "b2": (chosen, h2)}
-        d = np.zeros_like(hid)
-        d[order] = dh * (1 - hs * hs)
-        de, m = np.zeros_like(e), len(d)
-        for i, w in zip(self.AT, self.w1, strict=True):
-            de[i : i + m] += d @ w.T
-        out |= {"w1": (slice(None), np.stack([e[i : i + m].T @ d for i in self.AT])), "b1": (slice(None), d.sum(0))}
+        n, hs = max(len(ts), 1), hid.take(order, 0)
+        (wc, w2, safe), rows, ones = self._outputs(), np.arange(BLOCK), np.ones(max(N_CLASSES, CLASS), np.float32)
+        # before scaling, over classes and within one
+        dh, scale, gc = np.empty((2, len(ts), HIDDEN), np.float32), np.empty((2, len(ts), 1), np.float32), np.zeros_like(wc)
+        chosen_classes = np.array([c for c, _, _ in classes], np.int64)
+        g2 = {c: np.zeros((HIDDEN + 1, CLASS), np.float32) for c, _, _ in classes}
+        for c, i, j, chosen in self._softmaxes(ts, classes):
+            h, w = hs[i:j], wc if c < 0 else w2[c]
+            z = h @ w
+            if not safe:
+                z -= z.max(1, keepdims=True)
+            total = np.exp(z, out=z) @ ones[: z.shape[1]]
+            # rows are left unscaled: the narrower hidden values are scaled in their place
+            z[rows[: j - i], chosen] -= total
+            at = int(c >= 0), slice(i, j)
+            np.divide(1, n * total[:, None], out=scale[at])
+            np.matmul(z, w[:HIDDEN].T, out=dh[at])
+            g = gc if c < 0 else g2[c]
+            g += (z.T @ (h * scale[at])).T
+        gs = np.stack(list(g2.values())) if g2 else np.zeros((0, HIDDEN + 1, CLASS), np.float32)
+        out = {"wc": (slice(None), gc[:HIDDEN]), "bc": (slice(None), gc[HIDDEN]), "w2": (chosen_classes, gs[:, :HIDDEN]), "b2": (chosen_classes, gs[:, HIDDEN])}
+        d = np.zeros((len(hid), HIDDEN), np.float32)
+        hs = hs[:, :HIDDEN]
+        dh *= scale
+        d[order] = (dh[0] + dh[1]) * (1 - hs * hs)
+        dx, de, m = d @ self.w1.reshape(-1, HIDDEN).T, np.zeros((len(s), EMBED), np.float32), len(d)
+        for k, i in enumerate(self.AT):
+            de[i : i + m] += dx[:, k * EMBED : (k + 1) * EMBED]
+        out |= {"w1": (slice(None), (x.T @ d).reshape(self.w1.shape)), "b1": (slice(None), np.ones(m, np.float32) @ d)}
         by = np.argsort(s, kind="stable")
-        head = np.flatnonzero(np.diff(s[by].astype(np.int64), prepend=-1))
-        out["e"] = (s[by[head]].astype(np.int64), np.add.reduceat(de[by], head))
+        tokens = s.take(by).astype(np.int64)
+        head = np.flatnonzero(np.diff(tokens, prepend=-1))
+        out["e"] = (tokens[head], np.add.reduceat(de.take(by, 0), head))
         return out
 
     def train(self, s: np.ndarray, memory: dict) -> None:
@@ -203,7 +237,7 @@ class Network:
                 memory[k] = np.full_like(w, 1e-8)
             seen = memory[k][where] + g * g
             memory[k][where] = seen
-            w[where] -= np.float32(RATE) * g / np.sqrt(seen)
+            w[where] -= np.float32(RATE) * g / np.sqrt(seen, out=seen)
 
 
 def _shards(docs: DataFrame, shards: int, shares: tuple[int, ...]) -> DataFrame:
@@ -218,6 +252,7 @@ def _train_round(docs: DataFrame, net: Network) -> np.ndarray:
     words, start = net.words, net.weights()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed()
         own, memory, seen = Network(words, start), {}, 0
         rest = np.full(SIDE, PAD, np.uint16)
         for b in batches:
@@ -290,6 +325,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     join = net.joined is not None
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed()
         own, row = Network(words, weights), TaskContext.get().partitionId() << 40
         log_size, log_n = np.log(sizes), np.log(np.append(told_n, 1))
         for b in batches:

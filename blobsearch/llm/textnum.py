@@ -87,12 +87,13 @@ def _cut(data: np.ndarray, offsets: np.ndarray, first: int, sep: np.ndarray, low
         body = LOWER[body]
     # one separator after each text, so that no word crosses a border
     out = np.full(len(body) + n, 32, np.uint8)
-    shift = np.repeat(np.arange(n), lengths)
-    out[np.arange(len(body)) + shift] = body
+    borders = np.cumsum(lengths + 1)
+    inside = np.ones(len(out), bool)
+    inside[borders - 1] = False
+    out[inside] = body
     is_word = ~sep[out]
     edge = np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    borders = np.cumsum(lengths + 1)
     doc = np.searchsorted(borders, start, side="right")
     words = np.bincount(doc, minlength=n)
     return Segment(first, n, out, start, end, doc, words, np.cumsum(words) - words, borders)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the library, exact round trips and held-out accuracy."""
 
 import random
+import resource
 
 import numpy as np
 import pyarrow as pa
@@ -437,6 +438,46 @@ def test_lm_learns_from_every_word(spark):
         assert (weights(w[:i] + w[i : i + 100][::-1] + w[i + 100 :]) != whole).any()
 
 
+def test_lm_steps_take_no_fresh_memory():
+    lm._keep_freed()
+    r = np.random.default_rng(2)
+    net, memory = lm.Network(np.arange(lm.WORDS).astype(np.uint64) << np.uint64(48)), {}
+    s = np.minimum(r.zipf(1.3, lm.STEP + 2 * lm.SIDE), lm.PAD - 1).astype(np.uint16)
+    pages = []
+    for _ in range(8):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        net.train(s, memory)
+        net.log_prob(s)
+        pages.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+    assert sorted(pages[2:])[3] < 500  # of 4 KB; over 2,000 when each step gives its arrays back
+
+
+def test_lm_large_outputs(monkeypatch):
+    r = np.random.default_rng(4)
+    s = r.integers(0, lm.PAD + 1, 3000).astype(np.uint16)
+    net = lm.Network(np.arange(lm.WORDS).astype(np.uint64) << np.uint64(48))
+    lp, grad = net.log_prob(s), net.gradients(s)
+    monkeypatch.setattr(lm, "SAFE", 0.0)  # the greatest output is taken off
+    assert net.log_prob(s) == pytest.approx(lp, abs=1e-4)
+    for k, (where, g) in net.gradients(s).items():
+        assert np.array_equal(grad[k][0], where) if k in ("e", "w2", "b2") else grad[k][0] == where
+        assert g == pytest.approx(grad[k][1], rel=1e-3, abs=1e-7)
+    monkeypatch.undo()
+    net.wc, net.w2 = net.wc * 1e4, net.w2 * 1e4
+    assert np.isfinite(net.log_prob(s)).all() and all(np.isfinite(g).all() for _, g in net.gradients(s).values())
+
+
+def test_lm_tokens_of_any_hashes():
+    r = np.random.default_rng(6)
+    h = r.integers(0, 2**64, 5000, dtype=np.uint64)
+    h[:3000] &= np.uint64(0x0007FFFFFFFFFFFF)  # hundreds of equal leading bits
+    h[3000:3002] = 0, 2**64 - 1
+    words = np.unique(h)[r.permutation(len(np.unique(h)))][:2500]
+    net, rank = lm.Network(words), {int(x): i for i, x in enumerate(words)}
+    want = [rank.get(int(x), lm.WORDS + int(x) % lm.HASHED) for x in h]
+    assert net.tokens(h).tolist() == want and lm.Network(words[:0]).tokens(h[:9]).tolist() == [lm.WORDS + int(x) % lm.HASHED for x in h[:9]]
+
+
 def test_lm_gradients():
     net = lm.Network(np.arange(lm.WORDS).astype(np.uint64))
     r = np.random.default_rng(0)
