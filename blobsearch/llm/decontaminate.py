@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import documents_of, settle, table, told, with_row_key
+from .store import documents_of, settle, small_batches, table, told, with_row_key
 
 WINDOW = 13
 #: Terms of each window whose lists are intersected before the whole window is compared.
@@ -270,6 +270,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     so rows without doc_id or with a repeated one are judged like any other. Other
     columns are kept as they are, whatever their names.
     """
+    small_batches(spark)
     keyed, key = with_row_key(docs)
     found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), proximity=False)
     bad = settle(found.where(_contaminated()).select(F.col("doc_id").alias(key)).distinct(), "contaminated")

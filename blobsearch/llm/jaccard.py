@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import Scratch, documents_of, partitions, table, told, with_row_key
+from .store import Scratch, documents_of, partitions, small_batches, table, told, with_row_key
 
 SHINGLE = 5
 #: Parts of a first-level group; parts of it that may differ (a signature holds the others); differences for each group, on average.
@@ -41,11 +41,11 @@ PARTS, SPOILT, DIFFERENCES = 4, 2, 2.5
 #: Largest t.
 SMALL = 6
 #: Shingles that a task holds before it packs them, and of a batch of sets that sign.
-HELD, SIGNED = 500_000, 500_000
+HELD, SIGNED = 500_000, 125_000
 #: Rows that are cut into segments at a time.
 ROWS = 16_384
 #: Entries of runs that a task connects at a time.
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: Sets and shingles of a block, on average.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Sets of a block that hold a shingle, from which it is counted by matrix product; columns of one product.
@@ -110,7 +110,7 @@ def _class_of(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _segments(b: pa.RecordBatch) -> Iterator[textnum.Segment]:
-    return textnum.segments(b["text"], textnum.SPACE, lower=True)
+    return textnum.segments(b["text"], textnum.SPACE, lower=True, limit=textnum.SMALL_BYTES)
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -154,22 +154,26 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     """
     unit = TaskContext.get().partitionId() << 32
     owners: dict[int, int] = {}
-    rows, value, owner = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    rows, value, owner = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
     n = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        v, o = np.concatenate(value), np.concatenate(owner)
-        # buckets by the upper half of a hash; inside a bucket the lower half tells shingles apart
-        bucket, low = ((v >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), v & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((low, bucket))
-        bucket, low, o = bucket[order], low[order].astype("<u4"), o[order]
-        head = _heads(bucket, low)
-        size = _sizes(head, len(low))
+        key, o = np.concatenate(value), np.concatenate(owner)
+        del value[1:], owner[1:]  # what is held is not kept beside its copy
+        # buckets by the upper half of a hash, in its place; inside a bucket the lower half tells shingles apart
+        half = key.view("<u4")[1::2]
+        half %= np.uint32(buckets)
+        order = np.argsort(key, kind="stable")
+        key, o = key[order], o[order]
+        del order, half
+        head = _heads(key)
+        size = _sizes(head, len(key))
         shared = np.append(np.bincount(o[np.repeat(size > 1, size)], minlength=len(owners)), 0)
         ids = pa.concat_arrays([x[1] for x in rows])
         row_key, size_of, cls, own = (np.concatenate([x[i] for x in rows]) for i in (0, 2, 3, 4))
         yield _batch(len(own), bucket=np.arange(len(own)) % buckets, unit=np.full(len(own), unit), row_key=row_key, doc_id=ids, n=size_of, cls=cls, owner=own, shared=shared[own])
-        bucket, low, o = bucket[head], low[head], np.where(size > 1, SEVERAL, o[head]).astype("<u2")
+        key, o = key[head], np.where(size > 1, SEVERAL, o[head]).astype("<u2")
+        bucket, low = (key >> np.uint64(32)).astype(np.int64), key.astype("<u4")
         at = _heads(bucket)
         pieces = list(itertools.pairwise(np.append(at, len(low)).tolist()))
         yield _batch(len(at), bucket=bucket[at], unit=np.full(len(at), unit), owners=[o[x:y].tobytes() for x, y in pieces], data=[low[x:y].tobytes() for x, y in pieces])
@@ -190,7 +194,7 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             live = fresh[doc]
             rows.append((b["row_key"].slice(s.first, s.n).to_numpy(), b["doc_id"].slice(s.first, s.n), size, cls.view(np.int64), own))
             value.append(v[live])
-            owner.append(own[doc[live]])
+            owner.append(own[doc[live]].astype(np.uint16))
             n += len(value[-1])
     if rows:
         yield from flush()
@@ -574,6 +578,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     component and stay, of those of one text one. Other columns are kept as they
     are, whatever their names.
     """
+    small_batches(spark)
     work = Scratch(spark)
     each = work.settle(similar_components(docs), "components")
     keyed, key = with_row_key(docs)

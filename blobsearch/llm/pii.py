@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import documents_of, table
+from .store import documents_of, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base spans that training takes at most; each gives a window as it stands, one rewritten and one without it.
@@ -460,6 +460,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is rewritten where it stands, whatever its doc_id; null and empty
     texts stay as they are, other columns are kept.
     """
+    small_batches(spark)
     net = fit(docs)
     params, columns = (net.p if net else None), docs.columns
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .store import documents_of, settle, table
+from .store import documents_of, settle, small_batches, table
 
 FEATURES = (
     "log_words", "word_length", "word_length_sd", "distinct_words", "repeat_pairs", "upper", "digits",
@@ -84,7 +84,7 @@ def statistics(seg: textnum.Segment) -> np.ndarray:
 
 def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [statistics(s) for s in textnum.segments(b["text"], textnum.SPACE)]
+        rows = [statistics(s) for s in textnum.segments(b["text"], textnum.SPACE, limit=textnum.SMALL_BYTES)]
         x = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
         offsets = np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)
         yield pa.record_batch([b["doc_id"], b["held_out"], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "held_out", "stats"])
@@ -184,11 +184,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with a repeated one are judged like any other, and nothing is joined back.
     Null and empty texts are scored too. Columns are kept as they are.
     """
+    small_batches(spark)
     _, model = _model(docs, table(spark, sf_dir, "labels"))
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in textnum.segments(b["text"], textnum.SPACE):
+            for s in textnum.segments(b["text"], textnum.SPACE, limit=textnum.SMALL_BYTES):
                 yield b.slice(s.first, s.n).filter(pa.array(model.score(statistics(s)) >= THRESHOLD))
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(good, docs.schema)

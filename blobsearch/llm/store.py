@@ -16,6 +16,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of the pipeline's stages; Spark's own bound is 64 MB, for each task and on both sides.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a table that ``new_path`` named, on whichever file system holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 20
+#: For steps whose arrays are many times the segment.
+SMALL_BYTES = 1 << 18
 
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)

@@ -2,6 +2,8 @@
 
 import random
 import resource
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blobsearch.llm import chat, decontaminate, jaccard, lm, mixing, pii, quality, queries, substring, textnum, tokens, topk
-from blobsearch.llm.store import Scratch
+from blobsearch.llm.store import BATCH_BYTES, Scratch
 from llm import brute
 from oracle import compare
 
@@ -146,6 +148,31 @@ def test_jaccard_nulls_and_repeats(spark):
     assert sorted((x.doc_id or 0, x.component_id or 0) for x in jaccard.similar_components(df).collect()) == [(0, 0), (5, 5), (5, 5), (7, 5)]
 
 
+def test_packing_holds_few_bytes_for_a_shingle(monkeypatch):
+    monkeypatch.setattr(jaccard, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 10**6, 400))) for _ in range(1200)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    b = pa.record_batch([ids, pa.array(texts), ids], ["doc_id", "text", "row_key"])
+    tracemalloc.start()
+    for _ in jaccard._packed(iter([b]), 12):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 1200 * 396  # 47 bytes a shingle; 100 when what is held is kept beside its sorted copies
+
+
+@pytest.mark.parametrize("name", ["quality", "near copies", "decontaminate", "personal data"])
+def test_stages_read_small_batches(spark, sf_dir, name):
+    import corpus_pipeline
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    texts = spark.range(64, numPartitions=1).selectExpr("repeat('x', 1 << 18) as text")
+    sizes = texts.mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) < 2 * BATCH_BYTES  # 16 MB at Spark's own bound
+
+
 def test_contamination(spark, docs, rows, none):
     texts = dict(rows)
     items = [(1, " ".join(texts[5].split(" ")[:20])), (2, None), (3, ""), (4, texts[113]), (5, " ".join(texts[60].split(" ")[-25:])), (6, texts[3]), (7, texts[3]), (8, "never seen words " * 8)]
