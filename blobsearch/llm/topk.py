@@ -2,11 +2,11 @@
 
 A file of its own holds a quantised cell, one byte, for each component of every
 vector; each dimension has cells of its own, of about equally many vectors. A
-block of queries scans the cells of a block of vectors for bounds of the inner
-product and answers with the rows that may be among a query's k best, by all
-blocks that its task has scanned so far. Then exact vectors are read in the order
-of their bounds: the best ones first, and of the others those whose bound reaches
-the k-th score found.
+task holds the cells of a block of vectors, scans them for bounds of the inner
+product with each query of a group, and answers with the rows that may be among a
+query's k best of the block. Then exact vectors are read in the order of their
+bounds: the best ones first, and of the others those whose bound reaches the k-th
+score found.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ K, SCALE, EVERY = 5, 256, 50
 CELLS = 256
 #: Vectors of each dimension that the borders of cells are taken from, at most; every vector gets its cells.
 GRID = 4096
-#: Vectors and queries of a block, on average, and queries that are multiplied at once.
-VECTORS, QUERIES, ROWS = 8192, 8192, 512
+#: Blocks of vectors and groups of queries, at any size; vectors of a block, which a task holds, at most on average.
+BLOCKS, GROUPS, HELD = 16, 4, 524_288
+#: Vectors, and queries, that are multiplied at once.
+VECTORS, ROWS = 8192, 512
 #: Exact vectors that are read first for each query.
 READ = 32
 
@@ -45,30 +47,35 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """dim, lo, hi: the least and the greatest value of each component of a task's vectors."""
+    """dim, n, lo, hi: how many vectors a task has, the least and the greatest value of each component."""
     ends: dict[int, list[np.ndarray]] = {}
+    n: dict[int, int] = {}
     for b in batches:
         for d in set(b["dim"].to_pylist()) - {0}:
             x = b.filter(pa.compute.equal(b["dim"], d))["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             lo, hi = ends.get(d, (x[0], x[0]))
             ends[d] = [np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))]
-    yield pa.record_batch([pa.array(list(ends), pa.int32()), *(pa.array([e[k].tolist() for e in ends.values()], pa.list_(pa.int64())) for k in (0, 1))], ["dim", "lo", "hi"])
+            n[d] = n.get(d, 0) + len(x)
+    yield pa.record_batch([pa.array(list(ends), pa.int32()), pa.array([n[d] for d in ends], pa.int64()), *(pa.array([e[k].tolist() for e in ends.values()], pa.list_(pa.int64())) for k in (0, 1))], ["dim", "n", "lo", "hi"])
 
 
 def grids(vectors: DataFrame, cells: int = CELLS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each dimension the least and the greatest value of every cell of every component: dim x cells.
 
-    Inner borders are quantiles of at most GRID vectors, chosen by hash; the outer
-    ones are the extremes of all vectors. A far-off value widens the last cell of
-    its component, and no other.
+    Inner borders are quantiles of at most GRID vectors, those of the least hashes;
+    the outer ones are the extremes of all vectors. A far-off value widens the last
+    cell of its component, and no other.
     """
-    ends = vectors.mapInArrow(_extremes, "dim int, lo array<long>, hi array<long>").select("dim", F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x"))
-    ends = ends.groupBy("dim", "at").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    ends = vectors.mapInArrow(_extremes, "dim int, n long, lo array<long>, hi array<long>").select("dim", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x"))
+    ends = ends.groupBy("dim", "at").agg(F.sum("n").alias("n"), F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
     # a row for each component of each dimension
-    rows = ends.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("at", "lo", "hi"))).alias("x")).select("dim", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")).collect()
+    rows = ends.groupBy("dim").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "lo", "hi"))).alias("x")).select("dim", "n", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")).collect()
+    by = F.xxhash64("vec_id", F.lit(3))
     out = {0: (np.zeros((0, cells)), np.zeros((0, cells)))}
     for r in rows:
-        sample = vectors.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(GRID).select("v").collect()
+        # every task sends the driver its GRID least, so only hashes that some 2 * GRID vectors have are looked at
+        most = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * GRID // r["n"])
+        sample = vectors.where((F.col("dim") == r["dim"]) & (by <= most)).orderBy(by, "vec_id").limit(GRID).select("v").collect()
         inner = np.floor(np.quantile(np.array([x["v"] for x in sample], float), np.arange(1, cells) / cells, axis=0))
         # cell c holds lo[c] <= v <= hi[c]; a border belongs to the cell above it
         lo = np.vstack([np.array(r["lo"], float), inner])
@@ -78,7 +85,7 @@ def grids(vectors: DataFrame, cells: int = CELLS) -> dict[int, tuple[np.ndarray,
 
 
 def approximation_file(vectors: DataFrame, grid: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """dim, block, ids, cells: the cells of a block of vectors, one byte for each component."""
+    """dim, vec_id, cell: the cells of a vector, one byte for each component."""
 
     def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,36 +97,52 @@ def approximation_file(vectors: DataFrame, grid: dict[int, tuple[np.ndarray, np.
                     cell[:, k] = np.searchsorted(grid[d][0][k, 1:], x[:, k], side="right")
                 yield pa.record_batch([one["dim"], one["vec_id"], pa.array([c.tobytes() for c in cell], pa.binary())], ["dim", "vec_id", "cell"])
 
-    n = vectors.count()
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // VECTORS) or 1)).alias("block")
-    each = vectors.select("dim", "vec_id", "v").mapInArrow(quantised, "dim int, vec_id long, cell binary")
-    return each.groupBy("dim", block).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("cell").alias("cells"))
+    return vectors.select("dim", "vec_id", "v").mapInArrow(quantised, "dim int, vec_id long, cell binary")
 
 
-def bounded_candidates(ids: np.ndarray, cell: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, best: np.ndarray | None = None):
-    """Query, vector and upper bound of the rows of a block that may be among a query's k best; also the k greatest lower bounds of each query.
+def bounded_candidates(ids: np.ndarray, cell: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
+    """Query, vector and upper bound of the rows of a block that may be among a query's k best.
 
-    best: those of earlier blocks. Along each component a row's value is off the
-    middle of its cell by half the cell at most, so its score is off by the halves
-    weighed with the query's absolute values. A row stays if its upper bound
-    reaches the k-th lower bound.
+    Along each component a row's value is off the middle of its cell by half the
+    cell at most, so its score is off by the halves weighed with the query's
+    absolute values. A row stays if its upper bound reaches the k-th lower bound of
+    the whole block, which VECTORS rows at a time raise.
     """
-    at = np.arange(cell.shape[1])
-    low, high = lo[at, cell], hi[at, cell]
-    middle, half = (low + high) / 2, (high - low) / 2
-    q = q.astype(float)
-    score, slack = q @ middle.T, np.abs(q) @ half.T
-    slack += 1e-9 * (np.abs(q) @ np.abs(middle).max(0, initial=0))[:, None] + 1e-9 * slack + 1e-6  # rounding
-    own = qids[:, None] == ids[None, :]
-    lower = np.where(own, -np.inf, score - slack)
-    m = min(k, len(ids))
-    here = -np.partition(-lower, m - 1, axis=1)[:, :m] if m else lower
-    best = here if best is None else np.concatenate([best, here], 1)
-    best = -np.sort(-best, axis=1)[:, :k]
-    kth = best[:, k - 1] if best.shape[1] == k else np.full(len(q), -np.inf)
-    upper = np.where(own, -np.inf, score + slack)
-    i, j = np.nonzero((upper >= kth[:, None]) & ~own)
-    return qids[i], ids[j], upper[i, j], best
+    at, q = np.arange(cell.shape[1]), q.astype(float)
+    best, found = np.full((len(q), k), -np.inf), []
+    for a in range(0, len(ids), VECTORS):
+        some = cell[a : a + VECTORS]
+        low, high = lo[at, some], hi[at, some]
+        middle, half = (low + high) / 2, (high - low) / 2
+        score, slack = q @ middle.T, np.abs(q) @ half.T
+        slack += 1e-9 * (np.abs(q) @ np.abs(middle).max(0, initial=0))[:, None] + 1e-9 * slack + 1e-6  # rounding
+        own = qids[:, None] == ids[None, a : a + VECTORS]
+        lower = np.where(own, -np.inf, score - slack)
+        m = min(k, len(some))
+        best = -np.sort(-np.concatenate([best, -np.partition(-lower, m - 1, axis=1)[:, :m]], 1), axis=1)[:, :k]
+        upper = score + slack
+        i, j = np.nonzero((upper >= best[:, -1:]) & ~own)
+        found.append((i, a + j, upper[i, j]))
+    i, j, upper = (np.concatenate(x) for x in zip(*found, strict=True))
+    stays = upper >= best[i, -1]
+    return qids[i[stays]], ids[j[stays]], upper[stays]
+
+
+def pairs(file: DataFrame, queries: DataFrame) -> DataFrame:
+    """A partition for each pair of a block of vectors (dim, vec_id, cell) and a group of queries (dim, vec_id, v, asks): first the vectors, then the queries.
+
+    The numbers of blocks and groups do not follow the tables, so a row is sent
+    equally often at any size, and by a shuffle only: as one side of a join, the
+    queries of all blocks could be broadcast. Only if a block had more than HELD
+    vectors there are more blocks.
+    """
+    n = max(BLOCKS, -(-file.count() // HELD))
+    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = file.withColumn("block", number(n)).withColumn("grp", every(GROUPS)).withColumn("asks", F.lit(False))
+    right = queries.select("dim", "vec_id", "v").withColumn("block", every(n)).withColumn("grp", number(GROUPS)).withColumn("asks", F.lit(True))
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("part", F.col("block") * GROUPS + F.col("grp")).drop("block", "grp")
+    return rows.repartitionById(n * GROUPS, "part").sortWithinPartitions("asks")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS) -> DataFrame:
@@ -136,29 +159,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS
     equal = Window.partitionBy("dim", "v").orderBy("vec_id")
     grid = grids(vectors, cells)
     file = approximation_file(vectors.withColumn("r", F.row_number().over(equal)).where(F.col("r") <= k + 1), grid)
-    blocks, asked = settle(file, "approximations"), settle(queries, "queries")
-    n_groups = -(-asked.count() // QUERIES) or 1
-    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
-    groups = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)).alias("grp")).agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
-    # each block meets each group in a row of its own
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    pairs = blocks.withColumn("grp", every(n_groups)).join(groups.withColumn("block", every(n_blocks)), ["dim", "block", "grp"])
+    file, asked = settle(file, "approximations"), settle(queries, "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, np.ndarray] = {}  # of all blocks that this task has scanned
+        held: dict[int, list[pa.RecordBatch]] = {}
+        block: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ids and cells, once all vectors are there
         for b in batches:
-            for i in range(len(b)):
-                one = b.slice(i, 1)
-                d, grp = one["dim"][0].as_py(), one["grp"][0].as_py()
-                ids, qids, qs = (np.asarray(one[c][0].values.to_numpy(zero_copy_only=False)) for c in ("ids", "qids", "qs"))
-                cell = np.frombuffer(b"".join(one["cells"][0].as_py()), np.uint8).reshape(len(ids), d)
-                qs = qs.reshape(len(qids), d)
-                for a in range(0, len(qids), ROWS):
-                    key = (d, grp, a)
-                    *found, best[key] = bounded_candidates(ids, cell, qids[a : a + ROWS], qs[a : a + ROWS], *grid[d], k, best.get(key))
-                    yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "upper"])
-
-    found = settle(pairs.mapInArrow(search, "query_id long, vec_id long, upper double"), "candidates")
+            n = len(b) - b["asks"].true_count
+            for part, asks in ((b.slice(0, n), False), (b.slice(n), True)):
+                for d in sorted(set(part["dim"].to_pylist())):
+                    one = part.filter(pa.compute.equal(part["dim"], d))
+                    if not asks:
+                        held.setdefault(d, []).append(one.select(["vec_id", "cell"]))
+                        continue
+                    if d in held:
+                        t = pa.Table.from_batches(held.pop(d))
+                        block[d] = t["vec_id"].to_numpy(), np.frombuffer(b"".join(t["cell"].to_pylist()), np.uint8).reshape(len(t), d)
+                    if d in block:
+                        qids, qs = one["vec_id"].to_numpy(), one["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(one), d)
+                        for a in range(0, len(qids), ROWS):
+                            yield pa.record_batch([pa.array(x) for x in bounded_candidates(*block[d], qids[a : a + ROWS], qs[a : a + ROWS], *grid[d], k)], ["query_id", "vec_id", "upper"])
+
+    found = settle(pairs(file, asked).mapInArrow(search, "query_id long, vec_id long, upper double"), "candidates")
     order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
     first = settle(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= READ), "first")
     read = settle(exact_scores(first, vectors, asked), "scores")

@@ -295,3 +295,62 @@ def test_far_off_component_leaves_few_candidates(spark, odd):
     ids = np.arange(4000)
     found = topk.bounded_candidates(ids, cell, ids[::50], v[::50], lo, hi, 5)
     assert np.bincount(found[0]).max() < 50
+
+
+def broadcasts(spark, since):
+    """MB of the broadcasts of SQL executions after so many."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    for e in range(since, store.executionsCount()):
+        e = store.executionsList(e, 1).apply(0).executionId()
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                if n.name() == "BroadcastExchange" and m.name() == "data size" and values.contains(m.accumulatorId()):
+                    size, unit = values.apply(m.accumulatorId()).split()
+                    out.append(float(size.replace(",", "")) * {"B": 1e-6, "KiB": 2**10 / 1e6, "MiB": 2**20 / 1e6, "GiB": 2**30 / 1e6}[unit])
+    return out
+
+
+def test_topk_broadcasts_no_copies_of_queries(spark, monkeypatch):
+    # with few vectors of a block, queries once for each block would be over 40 MB
+    monkeypatch.setattr(topk, "VECTORS", 4)
+    x = np.random.default_rng(3).standard_normal((4000, 64)) * 0.125
+    vectors = store.settle(topk.integer_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")), "v")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    sizes = broadcasts(spark, since)
+    assert sizes and max(sizes) < 10
+    v = np.floor(256 * x).astype(int)
+    for q in range(0, 4000, 50):
+        s = v @ v[q]
+        assert [got[q, k + 1] for k in range(5)] == [(i, s[i]) for i in sorted((i for i in range(4000) if i != q), key=lambda i: (-s[i], i))[:5]]
+
+
+@pytest.mark.parametrize("held", [524_288, 20])
+def test_topk_pairs_meet_once(spark, monkeypatch, held):
+    monkeypatch.setattr(topk, "HELD", held)
+    file = spark.range(600).select(F.lit(1).alias("dim"), F.col("id").alias("vec_id"), F.lit(b"a").alias("cell"))
+    asked = spark.range(0, 600, 50).select(F.lit(1).alias("dim"), F.col("id").alias("vec_id"), F.array(F.col("id")).alias("v"))
+    blocks = max(16, -(-600 // held))
+    rows = topk.pairs(file, asked)
+    assert rows.rdd.getNumPartitions() == blocks * 4 and rows.count() == 600 * 4 + 12 * blocks
+    met = Counter()
+    for part in rows.rdd.glom().collect():
+        kinds = [r.asks for r in part]
+        assert kinds == sorted(kinds)
+        met.update((q.vec_id, v.vec_id) for q in part if q.asks for v in part if not v.asks)
+    assert len(met) == 600 * 12 and set(met.values()) == {1}
+
+
+def test_topk_grid_is_of_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GRID", 16)
+    x = np.random.default_rng(4).integers(-99, 99, (3000, 4))
+    rows = [*((i, 4, v) for i, v in enumerate(x.tolist())), (3000, 2, [5, 6]), (3001, 0, [])]
+    vectors = store.settle(spark.createDataFrame(rows, "vec_id long, dim int, v array<long>").repartition(8), "v")
+    grid = topk.grids(vectors, 8)
+    first = [r.vec_id for r in vectors.where("dim = 4").orderBy(F.xxhash64("vec_id", F.lit(3))).limit(16).collect()]
+    lo, hi = grid[4]
+    assert set(grid) == {0, 2, 4} and (lo[:, 1:] == np.floor(np.quantile(x[first].astype(float), np.arange(1, 8) / 8, axis=0)).T).all()
+    assert (lo[:, 0] == x.min(0)).all() and (hi[:, -1] == x.max(0)).all()
+    assert (grid[2][0][:, 0] == [5, 6]).all()
