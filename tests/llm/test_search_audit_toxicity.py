@@ -297,13 +297,18 @@ def test_far_off_component_leaves_few_candidates(spark, odd):
     assert np.bincount(found[0]).max() < 50
 
 
-def broadcasts(spark, since):
-    """MB of the broadcasts of SQL executions after so many."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    store, out = spark._jsparkSession.sharedState().statusStore(), []
-    for e in range(since, store.executionsCount()):
-        e = store.executionsList(e, 1).apply(0).executionId()
-        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+def executions(spark):
+    """Ids of the SQL executions that Spark still has a record of."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    known = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {known.apply(i).executionId() for i in range(known.size())}
+
+
+def broadcasts(spark, ids):
+    """MB of the broadcasts of these SQL executions."""
+    status, out = spark._jsparkSession.sharedState().statusStore(), []
+    for e in ids:
+        nodes, values = status.planGraph(e).allNodes(), status.executionMetrics(e)
         for n in (nodes.apply(i) for i in range(nodes.size())):
             for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
                 if n.name() == "BroadcastExchange" and m.name() == "data size" and values.contains(m.accumulatorId()):
@@ -317,9 +322,9 @@ def test_topk_broadcasts_no_copies_of_queries(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTORS", 4)
     x = np.random.default_rng(3).standard_normal((4000, 64)) * 0.125
     vectors = store.settle(topk.integer_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")), "v")
-    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = max(executions(spark))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
-    sizes = broadcasts(spark, since)
+    sizes = broadcasts(spark, {e for e in executions(spark) if e > before})
     assert sizes and max(sizes) < 10
     v = np.floor(256 * x).astype(int)
     for q in range(0, 4000, 50):
